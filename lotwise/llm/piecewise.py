@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import nonempty, texts_of, written
+from lotwise.llm.common import nonempty, schema_of, texts_of, written
 
 WINDOW, LEAST_BLOCK, LONGEST, SHARED = 7, 3, 64, 5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -108,7 +108,7 @@ def with_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     Columns of ``df`` named ``fingerprint`` give way to the new one.  Equal texts have equal fingerprints.
     """
     kept = [c for c in df.columns if c != "fingerprint"]
-    schema = df.select(*kept).withColumn("fingerprint", F.lit("")).schema
+    schema = schema_of(df, *kept, extra="fingerprint string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import documents
+from lotwise.llm.common import documents, training_row
 
 #: Where the public vocabulary files lie; None asks the ``public_tokenizers`` package.
 VOCABULARY: str | None = None
@@ -37,8 +37,31 @@ def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir), {"doc_id": F.col("doc_id"), "n_chars": F.col("n_chars"), "edited_sha256": F.sha2(F.col("edited_text").cast("binary"), 256)} | same)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document: 0 for junk, 1 for sound but toxic text, 2 for sound text; kept if likely 2."""
+    from lotwise.llm import quality
+
+    docs = documents(spark, sf_dir)
+    sound, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    ratings = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(sound & ~toxic, 2).when(sound, 1).when(~sound, 0).alias("label"))
+    learnt = quality.fit(docs, ratings.where(training_row(F.col("doc_id"), 5, 0)), 3)
+    scored = quality.score(docs, learnt, 2)
+    return scored.select("doc_id", training_row(F.col("doc_id"), 5, 0, True).alias("held_out"), "expected_grade", "tail_probability", "keep")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learnt from four fifths of the labels."""
+    from lotwise.llm import toxicity
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    learnt = toxicity.fit(docs, labels.where(training_row(F.col("doc_id"), 5, 0)))
+    scored = toxicity.score(docs, learnt)
+    return scored.select("doc_id", training_row(F.col("doc_id"), 5, 0, True).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise}
+    return {"op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
