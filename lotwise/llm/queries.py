@@ -19,6 +19,28 @@ def vocabulary_path() -> str:
     return VOCABULARY or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of largest integer inner product for each fiftieth vector."""
+    from lotwise.llm.topk import quantised, search
+
+    rows = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return search(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.w::DOUBLE[], v.w::DOUBLE[])::BIGINT AS score
+  FROM q JOIN v ON q.vec_id <> v.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     from lotwise.llm.bpe import Vocabulary, decode, encode
@@ -61,8 +83,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
+    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk": OP1_SQL}
