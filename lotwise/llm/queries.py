@@ -59,6 +59,14 @@ def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir), {"doc_id": F.col("doc_id"), "n_chars": F.col("n_chars"), "edited_sha256": F.sha2(F.col("edited_text").cast("binary"), 256)} | same)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, linked at four or fewer differing bits of four-word shingles."""
+    from lotwise.llm.simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir), words=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("p0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade of every document: 0 for junk, 1 for sound but toxic text, 2 for sound text; kept if likely 2."""
     from lotwise.llm import quality
@@ -83,7 +91,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
+    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op6_simhash": op6_simhash, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
