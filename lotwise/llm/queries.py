@@ -67,6 +67,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("p0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 200-byte string found elsewhere, and a digest of the rest."""
+    from lotwise.llm.suffixes import repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = repeats(documents(spark, sf_dir), 200)
+    return found.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade of every document: 0 for junk, 1 for sound but toxic text, 2 for sound text; kept if likely 2."""
     from lotwise.llm import quality
@@ -91,7 +100,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op6_simhash": op6_simhash, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
+    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op6_simhash": op6_simhash, "op7_suffixes": op7_suffixes, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
