@@ -59,6 +59,26 @@ def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir), {"doc_id": F.col("doc_id"), "n_chars": F.col("n_chars"), "edited_sha256": F.sha2(F.col("edited_text").cast("binary"), 256)} | same)
 
 
+#: Domains by the labels of quality and toxicity, with their share of tokens in the mixture.
+DOMAIN_WEIGHTS = {"sound": 0.93, "sound_toxic": 0.02, "junk": 0.04, "junk_toxic": 0.01}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    name = F.concat(F.when(F.col("quality") == 1, "sound").otherwise("junk"), F.when(F.col("toxic") == 1, "_toxic").otherwise(""))
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", name.alias("domain"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate for every document, such that expected tokens by domain have the target shares."""
+    from lotwise.llm import mixing
+
+    docs = documents(spark, sf_dir)
+    model = mixing.fit(docs, domain_labels(spark, sf_dir), list(DOMAIN_WEIGHTS))
+    mixed = mixing.mix(docs, model, DOMAIN_WEIGHTS)
+    return mixed.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)), "rate", mixing.draws(F.col("rate"), "doc_id").alias("copies"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, linked at four or fewer differing bits of four-word shingles."""
     from lotwise.llm.simhash import near_duplicates
@@ -99,8 +119,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", training_row(F.col("doc_id"), 5, 0, True).alias("held_out"), "score", "predicted")
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended as eight arrivals and compacted by size; the shard that ends up holding each."""
+    from lotwise.llm.common import new_path
+    from lotwise.llm.shards import shard
+
+    store = shard(documents(spark, sf_dir), new_path(spark, "shards"), target=64 << 20, smallest=256 << 20)
+    store.vacuum()
+    return store.read().select("doc_id", "arrival", F.element_at(F.split("shard", "/"), -2).alias("run"), F.element_at(F.split("shard", "/"), -1).alias("shard"), F.lit(store.version()).alias("version"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op6_simhash": op6_simhash, "op7_suffixes": op7_suffixes, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity}
+    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffixes": op7_suffixes, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_shards": op10_shards}
 
 
 def oracle_sql() -> dict[str, str]:
