@@ -51,6 +51,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(digests, vocabulary, keep=("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by a recurrent model learnt from four fifths of them, and by word counts."""
+    from lotwise.llm.recurrent import score_held_out
+
+    return score_held_out(documents(spark, sf_dir))
+
+
 def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited form."""
     from lotwise.llm.piecewise import compare_with_next
@@ -130,7 +137,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op4_piecewise": op4_piecewise, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffixes": op7_suffixes, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_shards": op10_shards}
+    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op3_language_model": op3_language_model, "op4_piecewise": op4_piecewise, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffixes": op7_suffixes, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_shards": op10_shards}
 
 
 def oracle_sql() -> dict[str, str]:
