@@ -146,14 +146,14 @@ def compare_with_next(df: DataFrame, outputs: dict | None = None) -> DataFrame:
 
     Documents are dealt out by ranges of the id, the only shuffle of texts, and each range is read in order once.  The
     last document of a range meets the first of the next range in a second step over two documents a range.  Null ids
-    come last, ties in the order of the texts; a lone document is its own successor; null texts are empty.
+    come last, ties in the order of the texts' hashes; a lone document is its own successor; null texts are empty.
     """
     spark = df.sparkSession
     outputs = outputs or {c: F.col(c) for c in _NEIGHBOURS.replace(",", "").split()[::2]}
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
+    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]  # what ranges are drawn from reaches the driver, so no text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    in_order = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the id, text and fingerprint of the row before, which waits for its successor
