@@ -154,7 +154,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tupl
         for b in nonempty(batches):
             yield rebuild(b, list(keep), {"ids": pa.array(map(encode_text, texts_of(b, text), repeat(pieces), repeat(special)), pa.binary())})
 
-    return df.select(*keep, text).mapInArrow(run, schema_of(df, *keep, extra="ids binary"))
+    return df.select(*dict.fromkeys((*keep, text))).mapInArrow(run, schema_of(df, *keep, extra="ids binary"))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -178,10 +178,12 @@ def _values(prints: np.ndarray, bits: list[int]) -> np.ndarray:
 def meetings(nodes: DataFrame, names: list[str], plans: list[list[tuple[list[int], int]]]) -> DataFrame:
     """``key, probe, node`` and fingerprints: each node under its own value of every group and the values it probes.
 
-    A pair whose values differ needs one probe only: the smaller value probes the larger.
+    A pair whose values differ needs one probe only: the smaller value probes the larger.  A row carries the fingerprint
+    that the group belongs to and, where there are several, the one after it.
     """
     steps = [(t, g, bits, flips(len(bits), most)) for t, p in enumerate(plans) for g, (bits, most) in enumerate(p) if most >= 0]
     many = max([1, *(len(f) for *_, f in steps)])
+    carried = ["own", "other"][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
@@ -196,9 +198,10 @@ def meetings(nodes: DataFrame, names: list[str], plans: list[list[tuple[list[int
                     at = np.concatenate([np.arange(len(own)), row])
                     key = np.concatenate([own, other[row, col]]) | mark
                     probe = np.arange(len(at)) >= len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(probe), pa.array(node[at]), *(pa.array(p[at]) for p in prints)], ["key", "probe", "node", *names])
+                    shown = [prints[t], prints[(t + 1) % len(prints)]][: len(carried)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(probe), pa.array(node[at]), *(pa.array(p[at]) for p in shown)], ["key", "probe", "node", *carried])
 
-    return nodes.select("node", *names).mapInArrow(run, "key long, probe boolean, node long, " + ", ".join(f"{n} long" for n in names))
+    return nodes.select("node", *names).mapInArrow(run, "key long, probe boolean, node long, " + ", ".join(f"{n} long" for n in carried))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +227,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Matcher:
     """Verifies what meets under a value and keeps a forest of the links found."""
 
-    def __init__(self, bits: int, total: int | None):
-        self.bits, self.total, self.found, self.held = bits, total, [], 0
+    def __init__(self, bits: int, second: int | None):
+        self.bits, self.second, self.found, self.held = bits, second, [], 0
 
     def _near(self, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         gaps = [np.bitwise_count((x ^ y).view(np.uint64)) for x, y in zip(left, right, strict=True)]  # of signed numbers it would count the magnitude's bits
-        near = np.minimum.reduce(gaps) <= self.bits
-        return near & (sum(g.astype(np.int64) for g in gaps) <= self.total) if self.total is not None else near
+        return (gaps[0] <= self.bits) & (gaps[1] <= self.second) if self.second is not None and len(gaps) > 1 else gaps[0] <= self.bits
 
     def _add(self, a: np.ndarray, b: np.ndarray) -> None:
         if len(a):
@@ -266,14 +268,15 @@ class Matcher:
         return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
 
-def links(nodes: DataFrame, names: list[str], bits: int, total: int | None = None) -> DataFrame:
-    """``a, b``: links that connect what is within ``bits`` bits by some column (and ``total`` bits over all columns).
+def links(nodes: DataFrame, names: list[str], bits: int, second: int | None = None) -> DataFrame:
+    """``a, b``: links that connect what is within ``bits`` bits by some column and within ``second`` by the one after it.
 
     ``nodes`` has a distinct ``node`` and fingerprints.  Links within a value's group are reduced to a forest, which
     connects the same nodes, so their number doesn't grow with the square of a group.
     """
     count = nodes.count()
     met = meetings(nodes, names, [plan(nodes, n, bits, count) for n in names])
+    names = met.columns[3:]
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_order = met.repartition(parts, "key").sortWithinPartitions("key")
     shape = "a long, b long, key long, block int, probe boolean, node long, " + ", ".join(f"{n} long" for n in names)
@@ -284,7 +287,7 @@ def links(nodes: DataFrame, names: list[str], bits: int, total: int | None = Non
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in empty.items()], list(empty))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, held, large, done = Matcher(bits, total), [], None, 0
+        matcher, held, large, done = Matcher(bits, second), [], None, 0
 
         def put_off(rows: tuple) -> Iterator[pa.RecordBatch]:
             nonlocal done
@@ -325,7 +328,7 @@ def links(nodes: DataFrame, names: list[str], bits: int, total: int | None = Non
     cells = dealt.groupBy("key", "lo", "hi")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        matcher = Matcher(bits, total)
+        matcher = Matcher(bits, second)
         block = table.column("block").to_numpy()
         columns = [table.column(c).to_numpy() for c in ("probe", "node", *names)]
         side = lambda k: (columns[0][block == k], columns[1][block == k], [c[block == k] for c in columns[2:]])
@@ -336,19 +339,35 @@ def links(nodes: DataFrame, names: list[str], bits: int, total: int | None = Non
     return near.unionByName(cells.applyInArrow(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (42,), total: int | None = None) -> DataFrame:
-    """``doc_id, p0, ..., component_id`` for every document of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (42,), second: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, ``p0``, ..., ``component_id`` and ``component`` for every document of ``docs`` (doc_id, text).
 
-    Documents are linked if a fingerprint of theirs differs in at most ``bits`` bits (and all together in at most
-    ``total``); ``component_id`` is the least id reachable over links, the own id included.  Null ids are never least: a
-    component of such rows only has a null id.  Equal fingerprints are one node, so copies cost one row each; texts
-    without words have the fingerprint zero and are linked like any others.  An empty table gives an empty one.
+    Documents are linked if a fingerprint of theirs differs in at most ``bits`` bits (and the one of the next seed in at
+    most ``second``); ``component_id`` is the least id reachable over links, the own id included.  Null ids are never
+    least: a component of such rows only has a null id, but a ``component`` number like all.  Equal fingerprints are one
+    node, so copies cost one row each; texts without words have the fingerprint zero and are linked like any others.  An
+    empty table gives an empty one.
     """
     names = [f"p{k}" for k in range(len(seeds))]
-    prints = written(with_fingerprints(docs, words, seeds).withColumn("doc_id", F.col("doc_id").cast("long")), "prints")
+    prints = written(with_fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words, seeds, keep), "prints")
     without = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(*names), 3)
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).select(F.coalesce("least", without).alias("node"), *names), "nodes")
-    label = components(links(nodes, names, bits, total))
-    of_node = nodes.join(label, "node", "left").select(*names, F.coalesce("label", "node").alias("label"))
-    found = F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id")
-    return prints.join(of_node, names).select("doc_id", *names, found)
+    label = components(links(nodes, names, bits, second))
+    of_node = nodes.join(label, "node", "left").select(*names, F.coalesce("label", "node").alias("component"))
+    found = F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id")
+    return prints.join(of_node, names).select(*keep, *names, found, "component")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 7, seeds: tuple[int, ...] = (42, 43, 44), second: int = 14) -> DataFrame:
+    """``docs`` with one document of each component of :func:`near_duplicates`: that of the least id, null ids last.
+
+    The defaults look for a Jaccard similarity of five-word shingles of 0.8 and more, at which about 10 of 64 bits are
+    expected to differ: several fingerprints give a pair several chances to differ in few, and the next one must agree.
+    Of rows equal in id and text one stays.  Columns are those of ``docs``.
+    """
+    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    found = near_duplicates(named, words, bits, seeds, second, ("doc_id", "text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    chosen = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("chosen_id"), F.col("first.text_hash").alias("chosen_hash"))
+    kept = named.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash")))
+    return kept.dropDuplicates(["chosen_id", "text_hash"]).select(*docs.columns)

@@ -277,13 +277,23 @@ def _flattened(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return rows, *(flat.field(i).to_numpy() for i in range(3))
 
 
-def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _at_characters(data: bytes, base: int, start: int, end: int, last: int) -> tuple[int, int]:
+    """The range cut back to where characters begin."""
+    while start < end and data[base + start] & 0xC0 == 0x80:
+        start += 1
+    while start < end and base + end < last and data[base + end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False) -> DataFrame:
     """``keep``, ``text``, ``spans`` and ``kept``: where bytes lie in a repeated string of ``length`` bytes, and the rest.
 
     ``spans`` are the maximal runs of such bytes as (start, end); ``kept`` is the text's UTF-8 without them.  A string
     repeats if it starts anywhere else in any document, the same one included; no match crosses documents and all are
     judged on the texts as given.  Null texts are empty; shorter texts keep all; repeated rows, null ids and ids that
-    occur more than once are documents like any other.  ``length`` must be over ``GRAM`` and at most 700.
+    occur more than once are documents like any other.  With ``whole_characters`` a run loses the bytes at its ends that
+    are parts of a character, so that what is kept is UTF-8.  ``length`` must be over ``GRAM`` and at most 700.
 
     One shuffle carries suffixes (about one in 80 bytes), one the texts; what repeats within a task's batch is settled
     before, so no group of copies is collected.
@@ -350,6 +360,8 @@ def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id
             for i in range(b.num_rows):
                 own = list(zip(s[cuts[i] : cuts[i + 1]].tolist(), e[cuts[i] : cuts[i + 1]].tolist(), strict=True))
                 at, base, parts = 0, int(offsets[i]), []
+                if whole_characters:
+                    own = [x for start, end in own if (x := _at_characters(whole, base, start, end, int(offsets[i + 1])))[1] > x[0]]
                 for start, end in own:
                     parts.append(whole[base + at : base + start])
                     at = end
