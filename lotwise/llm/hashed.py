@@ -91,7 +91,8 @@ class Features:
 def labelled_rows(docs: DataFrame, labels: DataFrame, made_up: bool, other: Callable[[str], str] | None = None) -> DataFrame:
     """``doc_id, label, at, second`` for each labelled document: its columns and, where it changes, those of ``other(text)``.
 
-    Texts are reduced to columns before the join, so only these are shuffled; the result is a written table.  Rows
+    Texts are reduced to columns before the join, so only these are shuffled, and labels
+    are never broadcast, for they grow with the documents; the result is a written table.  Rows
     without a label, or with a null id, take no part; null texts are empty.
     """
     kinds = pa.list_(pa.int32())
@@ -104,7 +105,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, made_up: bool, other: Call
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(features, texts), kinds), pa.array(second, kinds)], ["doc_id", "at", "second"])
 
     schema = schema_of(docs, "doc_id", extra="at array<int>, second array<int>")
-    return written(docs.select("doc_id", "text").mapInArrow(run, schema).join(labels.where(F.col("label").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label")), "doc_id"), "labelled")
+    return written(docs.select("doc_id", "text").mapInArrow(run, schema).join(labels.where(F.col("label").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label")).hint("merge"), "doc_id"), "labelled")
 
 
 def class_counts(labelled: DataFrame, classes: int) -> DataFrame:
