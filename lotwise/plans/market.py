@@ -130,13 +130,13 @@ def artist_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.join(artists(spark, sf_dir), "artist").select("artist", "name", "nationality", "lots", "sold", "sales", "median_hammer", "total")
 
 
-@query(f"""WITH {SALES}, {HEADERS} SELECT house, CAST(CAST(date_trunc('month', offered) AS DATE) AS VARCHAR) AS month, count(DISTINCT headers.sale) AS sales, count(*) AS lots, round(avg(CAST(hammer AS DOUBLE)), 4) AS mean_hammer, count(*) FILTER (sold) AS sold
+@query(f"""WITH {SALES}, {HEADERS} SELECT house, CAST(CAST(date_trunc('month', offered) AS DATE) AS VARCHAR) AS month, count(DISTINCT headers.sale) AS sales, count(*) AS lots, CAST(sum(hammer) AS DOUBLE) AS total, count(*) FILTER (sold) AS sold
 FROM headers JOIN sales USING (sale) GROUP BY 1, 2""")
 def sale_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales and lots of each house by month."""
     both = headers(spark, sf_dir).join(sales(spark, sf_dir), "sale")
     month = F.trunc("offered", "month").cast("string").alias("month")
-    return both.groupBy("house", month).agg(F.count_distinct("sale").alias("sales"), F.count("*").alias("lots"), F.round(F.avg(F.col("hammer").cast("double")), 4).alias("mean_hammer"), F.count_if("sold").alias("sold"))
+    return both.groupBy("house", month).agg(F.count_distinct("sale").alias("sales"), F.count("*").alias("lots"), F.sum("hammer").cast("double").alias("total"), F.count_if("sold").alias("sold"))
 
 
 @query(f"""WITH {SALES}, runs AS (SELECT work, edition, count(*) AS lots, min(year(sale_date)) AS first_year, max(year(sale_date)) AS last_year, count(*) FILTER (signed) AS signed FROM sales GROUP BY 1, 2)
