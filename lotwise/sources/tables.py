@@ -43,9 +43,9 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of a CSV file by a fixed schema, and the raw lines that don't fit it."""
+    """Rows of a CSV file by a fixed schema, and those that don't fit it, with the raw line as ``_corrupt``."""
     read = spark.read.schema(f"{schema}, _corrupt string").option("header", True).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    return read.where(F.col("_corrupt").isNull()).drop("_corrupt"), read.where(F.col("_corrupt").isNotNull()).select("_corrupt")
+    return read.where(F.col("_corrupt").isNull()).drop("_corrupt"), read.where(F.col("_corrupt").isNotNull())
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
