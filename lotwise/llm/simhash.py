@@ -365,9 +365,9 @@ def one_of_each(docs: DataFrame, words: int = 5, bits: int = 7, seeds: tuple[int
     expected to differ: several fingerprints give a pair several chances to differ in few, and the next one must agree.
     Of rows equal in id and text one stays.  Columns are those of ``docs``.
     """
-    named = docs.withColumn("text_hash", F.xxhash64("text"))
-    found = near_duplicates(named, words, bits, seeds, second, ("doc_id", "text_hash"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    chosen = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("chosen_id"), F.col("first.text_hash").alias("chosen_hash"))
-    kept = named.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash")))
-    return kept.dropDuplicates(["chosen_id", "text_hash"]).select(*docs.columns)
+    named = docs.withColumn("_text_hash", F.xxhash64("text"))
+    found = near_duplicates(named, words, bits, seeds, second, ("doc_id", "_text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("first")
+    chosen = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_chosen_id"), F.col("first._text_hash").alias("_chosen_hash"))
+    kept = named.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_chosen_id")) & (F.col("_text_hash") == F.col("_chosen_hash")))
+    return kept.dropDuplicates(["_chosen_id", "_text_hash"]).select(*docs.columns)

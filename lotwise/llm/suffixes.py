@@ -302,7 +302,9 @@ def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce("text", F.lit(""))
     first = F.coalesce(F.xxhash64("doc_id"), F.lit(0)) if "doc_id" in docs.columns else F.lit(0)
-    table = docs.select(*(c for c in keep if c != "text"), text.alias("text")).withColumns({"k1": first, "k2": F.xxhash64("text")})
+    names = [c for c in keep if c not in ("text", "spans", "kept")]
+    columns = [*(f"kept_{i}" for i in range(len(names))), "text"]
+    table = docs.select(*(F.col(c).alias(k) for c, k in zip(names, columns, strict=False)), text.alias("text"), first.alias("k1"), F.xxhash64(text).alias("k2"))
     splitters = splitters_of(table, buckets, length)
     widths = _widths(length)
     held = spark.sparkContext.broadcast(splitters)
@@ -344,7 +346,6 @@ def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id
     found = sort(table.mapInArrow(begin, _ROWS), 0)
     for step in (1, 2):
         found = sort(table.join(found, ["k1", "k2"]).mapInArrow(narrow(step), _ROWS), step)
-    columns = [c for c in table.columns if c not in ("k1", "k2")]
     spans = T.ArrayType(T.StructType.fromDDL("start long, end long"))
     schema = T.StructType([table.schema[c] for c in columns] + [T.StructField("spans", spans), T.StructField("kept", T.BinaryType())])
 
@@ -370,4 +371,4 @@ def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(lists, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))), pa.array(kept, pa.binary())], [*columns, "spans", "kept"])
 
     none = F.array().cast("array<struct<kind:int,x:bigint,y:bigint>>")
-    return table.join(found, ["k1", "k2"], "left").withColumn("found", F.coalesce("found", none)).mapInArrow(finish, schema)
+    return table.join(found, ["k1", "k2"], "left").withColumn("found", F.coalesce("found", none)).mapInArrow(finish, schema).select(*(F.col(k).alias(c) for c, k in zip(names, columns, strict=False)), "text", "spans", "kept")
