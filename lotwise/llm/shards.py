@@ -16,6 +16,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MANIFEST = "path string, run string, tier int, bytes long, rows long"
 
@@ -104,17 +105,28 @@ class ShardStore:
         rows.repartition(files).write.parquet(f"{self.path}/data/{merged}")
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, each with its shard's ``shard`` path; none where there is no version."""
+        """The rows of a version, each with its shard's ``shard`` path; none, in the columns of the first arrival, where no run has rows."""
         runs = [r.run for r in self.manifest(version).select("run").distinct().collect()]
         if not runs:
-            raise FileNotFoundError(f"{self.path} has no version")
+            schema = self._schema()
+            return self.spark.createDataFrame([], schema.add("shard", "string"))
         rows = self.spark.read.parquet(*(f"{self.path}/data/{r}" for r in runs))
         return rows.withColumn("shard", F.col("_metadata.file_path"))
 
+    def _schema(self) -> T.StructType:
+        """Columns of the rows, from any run that was written, rows or not."""
+        top = self._path(f"{self.path}/data")
+        written = sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+        if not written:
+            raise FileNotFoundError(f"{self.path} has no arrival")
+        return self.spark.read.parquet(f"{self.path}/data/{written[0]}").schema
+
     def vacuum(self) -> None:
-        """Delete runs that the newest version doesn't name, and older manifests."""
+        """Delete runs that the newest version doesn't name, and older manifests; without any live run all stay."""
         version = self.version()
         live = {r.run for r in self.manifest(version).select("run").distinct().collect()}
+        if not live:
+            return
         for kind, keep in (("data", live), ("manifests", {f"v{version:08d}"})):
             top = self._path(f"{self.path}/{kind}")
             for s in self._fs.listStatus(top) if self._fs.exists(top) else []:
