@@ -36,8 +36,7 @@ def test_query_agrees_with_sql(spark, db, name):
     got, want = rows(got), rows(want)
     assert len(got) == len(want)
     off = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
-    # the last printed digit of a mean may differ
-    assert len(off) <= len(got) // 100, off[:3]
+    assert not off, off[:3]
 
 
 def test_index_is_that_of_dummy_regression(spark):
@@ -72,7 +71,7 @@ def test_blend_lies_within_its_range(spark):
 
 def test_linkage_prefers_agreement(spark):
     got = QUERIES["linkage_weights"](spark, SF).toPandas()
-    assert got.probability.between(0, 1).all() and (got.weight.corr(got.probability, method="spearman") > 0.99)
+    assert got.probability.between(0, 1).all() and got.weight.rank().corr(got.probability.rank()) > 0.99
 
 
 def test_typo_variants_are_close(spark):
