@@ -17,6 +17,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -358,15 +359,117 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4, seeds: tuple
     return prints.join(of_node, names).select(*keep, *names, found, "component")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 7, seeds: tuple[int, ...] = (42, 43, 44), second: int = 14) -> DataFrame:
-    """``docs`` with one document of each component of :func:`near_duplicates`: that of the least id, null ids last.
+def with_sets(df: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """``node``, its distinct shingles as sorted 64-bit hashes, their number and the fingerprint ``p0``."""
 
-    The defaults look for a Jaccard similarity of five-word shingles of 0.8 and more, at which about 10 of 64 bits are
-    expected to differ: several fingerprints give a pair several chances to differ in few, and the next one must agree.
-    Of rows equal in id and text one stays.  Columns are those of ``docs``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in nonempty(batches):
+            sets, sizes, prints = [], [], []
+            for text in texts_of(b, "text"):
+                runs = list(dict.fromkeys(shingles(text, words)))
+                found = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(runs)))
+                sets.append(found.tobytes())
+                sizes.append(len(found))
+                prints.append(fingerprint(runs, seed))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64())], ["node", "shingles", "size", "p0"])
+
+    return df.select("node", "text").mapInArrow(run, "node long, shingles binary, size int, p0 long")
+
+
+def frequent(sets: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the sets holds more than once, and how often; they steer cost, never results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in nonempty(batches):
+            found, n = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    sample = sets.select("shingles").sample(min(1.0, 4 * ESTIMATE / max(1, count)), 7)
+    counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = sorted((r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(100_000).collect())
+    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def prefixes(sets: DataFrame, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``key, place, node, size, label``: the shingles of each set of which similar sets share at least one.
+
+    In one order of all shingles (frequent ones last), sets of a Jaccard similarity of ``least`` share a shingle among
+    the first n - ceil(least n) + 1 of each.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = held.value
+        for b in nonempty(batches):
+            keys, places, at = [], [], []
+            for i, x in enumerate(b.column("shingles").to_pylist()):
+                own = np.frombuffer(x, np.int64)
+                if not len(own):
+                    continue
+                often = np.zeros(len(own), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    often = np.where(known[place] == own, times[place], 0)
+                first = np.lexsort((own, often))[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+                keys.append(own[first])
+                places.append(np.arange(len(first)))
+                at.append(np.full(len(first), i))
+            if keys:
+                rows = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int32)), *(b.column(c).take(rows) for c in ("node", "size", "label"))], ["key", "place", "node", "size", "label"])
+
+    return sets.select("node", "shingles", "size", "label").mapInArrow(run, "key long, place int, node long, size int, label long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets have a Jaccard similarity of ``least`` and more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in nonempty(batches):
+            near = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_links(sets: DataFrame, bits: int, least: float) -> DataFrame:
+    """``a, b``: links that connect all nodes whose sets have a Jaccard similarity of ``least`` and more, and no others.
+
+    Links by fingerprint, verified on the sets, are a start that joins most of a large group; pairs that it leaves apart
+    are found by prefixes, which miss none, and verified likewise.
+    """
+    count = sets.count()
+    near = written(similar(links(sets.select("node", "p0"), ["p0"], bits), sets, least), "near")
+    label = components(near)
+    labelled = sets.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keys = prefixes(labelled, least, frequent(sets, count))
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("place", "node", "size", "label"))) for k in "ab")
+    shared = F.ceil(least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6)
+    reach = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    met = a.hint("merge").join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (reach >= shared))
+    apart = written(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "apart")
+    return near.unionByName(similar(apart, sets, least))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 7, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group that is chained by similarity: that of the least id, null ids last.
+
+    Documents are linked if the Jaccard similarity of their distinct shingles is ``least`` or more, all of them and no
+    others (but for equal 64-bit hashes of unlike shingles or texts); texts without words are one group.  ``bits`` is
+    that of the fingerprint links, which steer cost, never results.  Of rows equal in id and text one stays.  Columns
+    are those of ``docs``.
     """
-    named = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = near_duplicates(named, words, bits, seeds, second, ("doc_id", "_text_hash"))
+    spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    named = docs.withColumns({"_text_hash": F.xxhash64("text"), "_node": F.xxhash64(spaced)})
+    sets = with_sets(named.select(F.col("_node").alias("node"), "text"), words).dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
+    label = written(components(similar_links(sets, bits, least)), "labels")
+    sets.unpersist()
+    found = named.select("doc_id", "_text_hash", "_node").join(label.hint("merge"), F.col("_node") == F.col("node"), "left").withColumn("component", F.coalesce("label", "_node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("first")
     chosen = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_chosen_id"), F.col("first._text_hash").alias("_chosen_hash"))
     kept = named.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_chosen_id")) & (F.col("_text_hash") == F.col("_chosen_hash")))

@@ -105,6 +105,48 @@ def test_near_duplicates_with_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def jaccard_components(sets: dict, least: float) -> dict:
+    label, ids, changed = {i: i for i in sets}, sorted(sets), True
+    near = {i: [j for j in ids if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9] for i in ids}
+    while changed:
+        changed = False
+        for i in ids:
+            low = min(label[j] for j in near[i])
+            label[i], changed = low, changed or low < label[i]
+    return label
+
+
+def test_one_of_each_by_brute_force(spark):
+    rng, texts = np.random.default_rng(11), {}
+    line = [f"c{i}" for i in range(60)]  # a passage that many texts share
+
+    def put(words):
+        texts[len(texts)] = " ".join(words)
+
+    for g in range(60):  # pairs at similarities of 0.60 to 0.99: k words changed, five shingles each
+        base = [f"g{g}w{i}" for i in range(300)]
+        put(base)
+        other = base.copy()
+        for i in range(1 + g % 15):
+            other[20 * i + 7] += "x"
+        put(other)
+        put(line + [f"g{g}v{i}" for i in range(50)])
+    hot = [f"h{i}" for i in range(200)]  # a large group of near copies
+    for g in range(80):
+        own = hot.copy()
+        for i in rng.choice(200, int(rng.integers(0, 5)), replace=False):
+            own[i] += f"y{g}"
+        put(own)
+    for t in ("", " \n", "One  two", "one two", texts[0].replace(" ", "  "), texts[0].upper()):
+        texts[len(texts)] = t
+    sets = {i: frozenset(simhash.shingles(t, 5)) for i, t in texts.items()}
+    want = jaccard_components(sets, 0.8)
+    level = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 180, 3)]
+    assert sum(0.8 <= x <= 0.95 for x in level) >= 20 and sum(x < 0.8 for x in level) >= 20
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
+
+
 def test_thresholds_reach_every_link():
     costs = [np.array([0.0, 1, 5, 30]), np.array([0.0, 2, 3, 50]), np.array([0.0, 4, 8, 9])]
     from itertools import product
