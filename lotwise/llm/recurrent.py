@@ -25,11 +25,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: The end of a document; no word is empty.
 END = ""
-#: Words with weights of their own, words whose counts are broadcast, units of the state, tokens of a window, lanes.
+#: Words with weights of their own at least, words whose counts are broadcast, units of the state, tokens of a window, lanes.
 WORDS, COUNTED, UNITS, WINDOW, LANES = 2_000, 60_000, 16, 32, 256
 SHAPES = 32
-#: Share of the training documents (by hash) that the weights are fitted to; counts are of all of them.
-FIT_SHARE = 0.15
+#: Every word that occurs so often has weights of its own, so that their number grows with the corpus.
+OFTEN = 1_000
 #: Documents that one task makes the common start from, and the times that all workers' weights are averaged.
 START_DOCS, ROUNDS = 400, 2
 
@@ -67,9 +67,10 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, words: int = WORDS, counted: int = COUNTED) -> Vocabulary:
-    """From (word, shape, n) over all training documents; the most frequent words, a fixed number, come to the driver."""
-    total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(counted).toPandas()
+    """From (word, shape, n) over all training documents; the most frequent words come to the driver."""
+    total = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") >= OFTEN)).first()
+    words = max(words, int(total[2]))
+    top = counts.orderBy(F.desc("n"), "word").limit(max(counted, words)).toPandas()
     code = {w: i for i, w in enumerate(top.word)}
     k, n = min(words, len(top)), top.n.to_numpy(np.float64)
     root = np.cumsum(np.sqrt(n[:k]))
@@ -306,8 +307,8 @@ def _lanes(texts: list[str], coder: Coder, v: Vocabulary) -> Lanes:
     return Lanes([x for x, _ in pairs], [y for _, y in pairs], LANES)
 
 
-def fit(docs: DataFrame, v: Vocabulary, share: float = FIT_SHARE, rounds: int = ROUNDS, units: int = UNITS) -> dict[str, np.ndarray]:
-    """Weights fitted to a share of the training documents, chosen by hash, so that it grows with the corpus.
+def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, units: int = UNITS) -> dict[str, np.ndarray]:
+    """Weights fitted to all training documents in one pass, which is split by hash over the rounds.
 
     One task makes a start from a few documents.  Then, in each round, every worker trains on its part from the common
     weights and the means, weighted by tokens, are the next common weights; sums are taken by parameter block on the
@@ -344,7 +345,7 @@ def fit(docs: DataFrame, v: Vocabulary, share: float = FIT_SHARE, rounds: int =
     texts = docs.select("doc_id", "text")
     flat = trained(texts.orderBy(F.xxhash64("doc_id", F.lit("start"))).limit(START_DOCS), flat, 1)
     for k in range(rounds):
-        lo, hi = int(10_000 * share * k / rounds), int(10_000 * share * (k + 1) / rounds)
+        lo, hi = 10_000 * k // rounds, 10_000 * (k + 1) // rounds
         flat = trained(texts.where((chance >= lo) & (chance < hi)), flat, max(1, spark.sparkContext.defaultParallelism))
     return _unflat(flat, shapes)
 

@@ -233,3 +233,19 @@ def test_digest_of_ids(spark):
 
 def test_features_are_bounded():
     assert all(0 <= c < 1 << hashed.BITS for c in hashed.Features(True)("Some TEXT!! 12 ### " * 9)) and hashed.Features(True)("") == [hashed.column("=empty")]
+
+
+def test_every_training_document_shapes_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "START_DOCS", 0)
+    docs = spark.createDataFrame([(i, f"the cat sat on the mat {'and ran ' * (i % 5)}") for i in range(12)], "doc_id long, text string").repartition(1).cache()
+    v = recurrent.vocabulary(recurrent.word_counts(docs), words=4, counted=6)
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(10_000))
+    late = [r.doc_id for r in docs.where(chance >= 1_500).orderBy(chance).collect()]
+    whole = recurrent.fit(docs, v)["to_class"]
+    for left_out in (late[0], late[-1]):
+        assert not np.array_equal(whole, recurrent.fit(docs.where(F.col("doc_id") != left_out), v)["to_class"])
+
+
+def test_learnt_words_grow_with_the_counts(spark):
+    counts = spark.range(2_600).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(0).alias("shape"), F.when(F.col("id") < 2_500, 1_000).otherwise(1).cast("long").alias("n"))
+    assert recurrent.vocabulary(counts).words == 2_500
