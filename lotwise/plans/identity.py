@@ -87,6 +87,14 @@ def artist_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.least_reachable(joins.blocked_pairs(marked, "work", "artist").select("a", "b"))
 
 
+@query()
+def all_artist_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artists connected through works they share, among all lots; a work's artists are tied to the least of them."""
+    lots = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("work")).distinct()
+    least = lots.groupBy("work").agg(F.min("a").alias("b"))
+    return graph.least_reachable(lots.join(least, "work").where("a <> b").select("a", "b").distinct())
+
+
 @query("""SELECT l_suppkey AS artist, round(sum(CASE WHEN l_returnflag = 'A' THEN 1.0 WHEN l_returnflag = 'N' THEN 0.5 ELSE 0.1 END), 4) AS degree, count(*) AS edges FROM lineitem GROUP BY 1""")
 def weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each artist's edges weighted by how sure the attribution is."""
@@ -105,6 +113,14 @@ def similar_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.similar_nodes(edges, "artist", "kind", 5, 5).select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def all_similar_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each artist's five most similar by the kinds of work sold, among all lots."""
+    kind = F.concat("series", "technique", F.floor(F.col("size") / 10).cast("string"))
+    edges = sales(spark, sf_dir).join(works(spark, sf_dir).withColumn("kind", kind).select("work", "kind"), "work")
+    return graph.similar_nodes(edges, "artist", "kind", 5, 5).select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer), r AS (SELECT s_suppkey AS target, s_name AS name FROM supplier),
 x AS (SELECT n.id, a.target AS exact, b.target AS by_number FROM n LEFT JOIN (SELECT name, min(target) AS target FROM r GROUP BY 1) a ON n.name = a.name LEFT JOIN (SELECT CAST(split_part(name, '#', 2) AS BIGINT) AS k, min(target) AS target FROM r GROUP BY 1) b ON CAST(split_part(n.name, '#', 2) AS BIGINT) = b.k)
 SELECT id, coalesce(exact, by_number) AS target, CAST(CASE WHEN exact IS NOT NULL THEN 1 WHEN by_number IS NOT NULL THEN 2 END AS INTEGER) AS level FROM x""")
