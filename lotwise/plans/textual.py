@@ -159,6 +159,19 @@ def blocked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.blocked_pairs(blocks, "block", "doc_id", 30).select("a", "b", F.col("shared").cast("int").alias("shared"))
 
 
+@query("""WITH d AS (SELECT doc_id, string_split(lower(coalesce(text, '')), ' ') AS w FROM documents), p AS (SELECT DISTINCT doc_id, w[1] || ' ' || w[2] || ' ' || w[3] AS block FROM d WHERE len(w) >= 3),
+g AS (SELECT block, min(doc_id) AS class, count(*) AS members FROM p GROUP BY block HAVING count(*) > 1) SELECT doc_id, class, members, members * (members - 1) // 2 AS links FROM p JOIN g USING (block)""")
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that begin with the same three words, in classes named by their least id, with how many pairs each class has.
+
+    No block is too large: a class takes a row a member, not a row a pair.
+    """
+    w = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
+    members = table(spark, sf_dir, "documents").where(F.size(w) >= 3).select("doc_id", F.array_join(F.slice(w, 1, 3), " ").alias("block")).distinct()
+    classes = members.groupBy("block").agg(F.min("doc_id").alias("class"), F.count("*").alias("members")).where("members > 1")
+    return members.join(classes, "block").selectExpr("doc_id", "class", "members", "members * (members - 1) div 2 as links")
+
+
 @query("""SELECT p_partkey AS work, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'open' WHEN p_type IN ('SMALL', 'MEDIUM', 'LARGE') THEN 'sized' ELSE 'other' END AS family,
  floor(p_retailprice / pow(10.0, floor(log10(p_retailprice)) - 1)) * pow(10.0, floor(log10(p_retailprice)) - 1) AS low, ceil(p_retailprice * 1.2 / pow(10.0, floor(log10(p_retailprice * 1.2)) - 1)) * pow(10.0, floor(log10(p_retailprice * 1.2)) - 1) AS high FROM part WHERE p_retailprice > 0""")
 def technique_family(spark: SparkSession, sf_dir: str) -> DataFrame:

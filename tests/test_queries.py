@@ -100,3 +100,10 @@ def test_artists_of_all_lots_by_brute_force(spark):
         near = sorted((-len(has[a] & has[b]) / len(has[a] | has[b]), b) for b in has if b != a and has[a] & has[b])[:5]
         want += [(a, b, i, round(-s, 5)) for i, (s, b) in enumerate(near, 1)]
     assert want and sorted((r.a, r.b, r["rank"], round(r.similarity, 5)) for r in QUERIES["all_similar_artists"](spark, SF).collect()) == sorted(want)
+
+
+def test_large_blocks_of_documents_stay(spark, tmp_path):
+    rows = [(i, f"one two three {i}") for i in range(40)] + [(i, f"four five six {i}") for i in range(40, 43)] + [(50, "alone with none"), (51, None), (52, "too short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["document_blocks"](spark, str(tmp_path)).collect()))
+    assert got == [(i, 0, 40, 780) for i in range(40)] + [(i, 40, 3, 3) for i in range(40, 43)]
