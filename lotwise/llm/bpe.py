@@ -17,13 +17,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lotwise.llm.common import nonempty, rebuild, schema_of, texts_of
+from lotwise.llm.common import Remembered, rebuild, schema_of, slices, texts_of
 
 #: The split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A worker remembers the ids of this many distinct pieces, then starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 NONE, FAN = 1 << 62, 16
 
@@ -100,20 +100,11 @@ def merge_word(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]
     return [s for s in symbols if s >= 0]
 
 
-class Pieces(dict):
-    """Packed ids by piece of text; a missing piece is encoded and remembered."""
+class Pieces(Remembered):
+    """Packed ids by piece of text; those of short pieces are remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.of_byte, self.merges = vocabulary.byte_ids, vocabulary.merges
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = array("I", merge_word([self.of_byte[b] for b in piece.encode()], self.merges)).tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
+        super().__init__(lambda piece: array("I", merge_word([vocabulary.byte_ids[b] for b in piece.encode()], vocabulary.merges)).tobytes(), REMEMBERED)
 
 
 #: Texts of nothing but these characters split alike with the standard library's faster engine: its ``\w`` and ``\s``
@@ -151,20 +142,41 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, special = Pieces(held.value), held.value.special
-        for b in nonempty(batches):
+        for b in slices(batches):
             yield rebuild(b, list(keep), {"ids": pa.array(map(encode_text, texts_of(b, text), repeat(pieces), repeat(special)), pa.binary())})
 
     return df.select(*dict.fromkeys((*keep, text))).mapInArrow(run, schema_of(df, *keep, extra="ids binary"))
 
 
+def decode_ids(ids: bytes | None, pieces: dict[int, bytes]) -> str:
+    """The text of packed ids; bytes that aren't UTF-8 become U+FFFD."""
+    return b"".join(map(pieces.__getitem__, array("I", ids or b""))).decode("utf-8", "replace")
+
+
+def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, ``ids`` and ``decoded``, as :func:`encode` and then :func:`decode` give them.
+
+    Both ways share one pass and one vocabulary a worker, so ids don't travel between workers.
+    """
+    held = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, v = Pieces(held.value), held.value
+        for b in slices(batches):
+            ids = [encode_text(t, pieces, v.special) for t in texts_of(b, text)]
+            back = pa.array((decode_ids(x, v.pieces) for x in ids), pa.string())
+            yield rebuild(b, list(keep), {"ids": pa.array(ids, pa.binary()), "decoded": back})
+
+    return df.select(*dict.fromkeys((*keep, text))).mapInArrow(run, schema_of(df, *keep, extra="ids binary, decoded string"))
+
+
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``decoded``: the text of packed ids; bytes that aren't UTF-8 become U+FFFD, null ids an empty text."""
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = held.value.pieces.__getitem__
-        for b in nonempty(batches):
-            texts = (b"".join(map(piece, array("I", x or b""))).decode("utf-8", "replace") for x in b.column(ids).to_pylist())
+        for b in slices(batches):
+            texts = (decode_ids(x, held.value.pieces) for x in b.column(ids).to_pylist())
             yield rebuild(b, list(keep), {"decoded": pa.array(texts, pa.string())})
 
     return df.select(*dict.fromkeys((*keep, ids))).mapInArrow(run, schema_of(df, *keep, extra="decoded string"))

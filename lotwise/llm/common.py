@@ -51,6 +51,57 @@ def dropped(spark: SparkSession, frame: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A sieve has at most so many bits (64 MB); for more ids there is none.
+SIEVE_BITS = 1 << 29
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Four bits of a sieve for each id."""
+    x = ids.view(np.uint64)
+    a = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    b = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    a, b = a ^ (a >> np.uint64(33)), b ^ (b >> np.uint64(32)) | np.uint64(1)
+    return ((a[:, None] + np.arange(4, dtype=np.uint64) * b[:, None]) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def sieve(ids: DataFrame):
+    """A broadcast bit map that lets all of ``ids`` (one long column) through and hardly any other, for :func:`passes`.
+
+    It takes 16 to 32 bits an id and is bounded by ``SIEVE_BITS``; for more ids it is None, which lets all through.
+    Bit maps of tasks are united by block on the executors.
+    """
+    spark, name = ids.sparkSession, ids.columns[0]
+    bits = 1 << max(16, (16 * ids.count()).bit_length())
+    if bits > SIEVE_BITS:
+        return None
+    step = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for b in nonempty(batches):
+            at = _places(b.column(0).to_numpy(), bits).ravel()
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        used = [k for k in range(0, len(own), step) if own[k : k + step].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([own[k : k + step].tobytes() for k in used], pa.binary())], ["block", "bits"])
+
+    def unite(key: tuple, rows: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows.column("bits").to_pylist()])
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([both.tobytes()], pa.binary())})
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in ids.select(name).where(F.col(name).isNotNull()).mapInArrow(run, "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").collect():
+        whole[r.block : r.block + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return spark.sparkContext.broadcast(whole)
+
+
+def passes(held, ids: np.ndarray) -> np.ndarray:
+    """Which ids a sieve lets through; all, if there is none."""
+    if held is None:
+        return np.ones(len(ids), bool)
+    at = _places(ids, 8 * len(held.value))
+    return (held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -93,3 +144,33 @@ def byte_buffer(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
 def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches that have rows."""
     return (b for b in batches if b.num_rows)
+
+
+#: Rows of texts that a Python worker turns into objects at a time.
+SLICE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what is made of a part is small whatever the batch."""
+    return (b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows))
+
+
+class Remembered(dict):
+    """A function of short strings with its results, of which a bounded number is kept."""
+
+    def __init__(self, function, room: int):
+        super().__init__()
+        self.function, self.room = function, room
+
+    def __missing__(self, key: str):
+        value = self.function(key)
+        if len(self) >= self.room:
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
+def list_array(flat: np.ndarray, sizes) -> pa.ListArray:
+    """Lists of the given sizes, laid end to end in ``flat``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
