@@ -1,9 +1,9 @@
 """Hashed text features and sparse linear fits, shared by the classifiers.
 
-A text's features are its distinct words (runs of letters, lower-cased) and, where asked for, the make-up of its tokens:
-which character shapes take which share of them and how many are distinct.  Each is hashed into a fixed number of
-columns, so a model is bounded whatever the vocabulary.  Feature statistics are summed over all labelled rows on the
-executors; only a bounded sample of rows, reduced to the selected columns, reaches the driver for the fit.
+A text's features are its distinct words (runs of letters, lower-cased) and, where asked for, its make-up: the shares of
+kinds of bytes and of single symbols, and how many of its tokens and lines are distinct.  Each is hashed into a fixed
+number of columns, so a model is bounded whatever the vocabulary.  Feature statistics are summed over all labelled rows on
+the executors; only a bounded sample of rows, reduced to the selected columns, reaches the driver for the fit.
 """
 
 from __future__ import annotations
@@ -11,101 +11,112 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import nonempty, schema_of, texts_of, written
+from lotwise.llm.common import Remembered, list_array, nonempty, schema_of, slices, texts_of, written
 
 BITS = 18
 #: At most so many labelled rows are used to fit weights; feature statistics use all of them.
 FIT_ROWS = 20_000
 #: A column counts if its rate differs between the classes by so many standard errors.
 LEAST_Z = 3.0
-REMEMBERED = 500_000
+#: Tokens whose columns a worker remembers.
+REMEMBERED = 200_000
+#: Columns that :func:`with_features` adds.
+AT, SECOND, TOKENS = "_features", "_swapped", "_tokens"
 
 WORD = re.compile(r"[^\W\d_]+")
-_SHAPE = ((re.compile(r"[^\W\d_a-zà-öø-ÿ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"))
+#: Kind of each byte: white space, line end, small letter, capital, digit, beyond ASCII, other.
+_KIND = np.array([1 if b == 10 else 0 if b in b" \t\r" else 2 if 97 <= b <= 122 else 3 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 5 if b > 127 else 6 for b in range(256)])
 
 
 def column(name: str) -> int:
     return zlib.crc32(name.encode()) & (1 << BITS) - 1
 
 
-class Remembered(dict):
-    """A bounded memory of a function of strings."""
+def columns_of_token(token: str) -> tuple[int, ...]:
+    """Columns of the words in a token, most often one that a single mark may follow."""
+    word = token if token.isalpha() else token[:-1]
+    return (column(word),) if word.isalpha() and token[-1:].isascii() else tuple(map(column, WORD.findall(token)))
 
-    def __init__(self, function: Callable):
-        super().__init__()
-        self.function = function
 
-    def __missing__(self, key: str):
-        value = self.function(key)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(key) <= 64:
-            self[key] = value
-        return value
-
-
-def shape(token: str) -> str:
-    """The token with runs of capitals as A, other letters as a, digits as 0; the rest stays, to eight characters."""
-    for pattern, mark in _SHAPE:
-        token = pattern.sub(mark, token)
-    return token[:8]
-
-
-def make_up(text: str, shapes: Remembered) -> list[str]:
-    """Names of the text's make-up features."""
-    counts = Counter(text.split())
-    total = sum(counts.values())
-    if not total:
+def make_up(text: str, tokens: int, distinct: int) -> list[str]:
+    """Names of the make-up features of a text of so many tokens, of which so many are distinct."""
+    if not tokens:
         return ["=empty"]
-    by_shape: Counter = Counter()
-    for token, n in counts.items():
-        by_shape[shapes[token]] += n
-    found = [f"={s}={round(math.log2(n / total))}" for s, n in by_shape.items() if n * 50 >= total]
+    counts = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+    total, kinds = counts.sum(), np.bincount(_KIND, counts, 7)
+    found = [f"=kind{k}={round(2 * math.log2(n / total))}" for k, n in enumerate(kinds.tolist()) if n]
+    found += [f"=byte{b}={round(math.log2(counts[b] / total))}" for b in np.flatnonzero((_KIND == 6) & (100 * counts >= total)).tolist()]
     lines = text.split("\n")
-    found.append(f"=most={round(4 * math.log2(max(counts.values()) / total))}")
-    found.append(f"=distinct={round(8 * len(counts) / total)}")
+    found.append(f"=distinct={round(8 * distinct / tokens)}")
     found.append(f"=lines={round(8 * len(set(lines)) / len(lines))}")
-    found.append(f"=length={round(math.log2(total))}")
+    found.append(f"=length={round(math.log2(tokens))}")
     return found
 
 
 class Features:
-    """Hashed columns of texts: a list with one entry for each distinct word or make-up feature."""
+    """Hashed columns of texts: a set with one entry for each distinct word or make-up feature."""
 
     def __init__(self, made_up: bool):
-        self.made_up, self.columns, self.shapes = made_up, Remembered(column), Remembered(shape)
+        self.made_up, self.of_token, self.columns = made_up, Remembered(columns_of_token, REMEMBERED), Remembered(column, 10_000)
+        self.tokens = 0
 
-    def __call__(self, text: str) -> list[int]:
-        found = list(map(self.columns.__getitem__, set(WORD.findall(text.lower()))))
-        return found + list(map(self.columns.__getitem__, make_up(text, self.shapes))) if self.made_up else found
+    def __call__(self, text: str) -> set[int]:
+        tokens = text.lower().split()
+        distinct, self.tokens = set(tokens), len(tokens)
+        found = set(chain.from_iterable(map(self.of_token.__getitem__, distinct)))
+        if self.made_up:
+            found.update(map(self.columns.__getitem__, make_up(text, len(tokens), len(distinct))))
+        return found
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, made_up: bool, other: Callable[[str], str] | None = None) -> DataFrame:
-    """``doc_id, label, at, second`` for each labelled document: its columns and, where it changes, those of ``other(text)``.
+def with_features(docs: DataFrame, made_up: bool, keep: tuple[str, ...] = ("doc_id",), other: Callable[[str], str] | None = None, marks: frozenset[int] = frozenset()) -> DataFrame:
+    """``keep``, the text's distinct columns, those of ``other(text)`` where it may differ, and its number of tokens.
 
-    Texts are reduced to columns before the join, so only these are shuffled, and labels
-    are never broadcast, for they grow with the documents; the result is a written table.  Rows
-    without a label, or with a null id, take no part; null texts are empty.
+    ``other`` is asked only for texts with a column among ``marks``.  Null texts are empty.
     """
-    kinds = pa.list_(pa.int32())
+    schema = schema_of(docs, *keep, extra=f"{AT} array<int>, {SECOND} array<int>, {TOKENS} long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(made_up)
-        for b in nonempty(batches):
-            texts = texts_of(b, "text")
-            second = [features(o) if other and (o := other(t)) != t else None for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(features, texts), kinds), pa.array(second, kinds)], ["doc_id", "at", "second"])
+        for b in slices(batches):
+            at, sizes, second, tokens = [], [], [], []
+            for text in texts_of(b, "text"):
+                own = features(text)
+                at.extend(own)
+                sizes.append(len(own))
+                tokens.append(features.tokens)
+                second.append(list(features(o)) if other and not marks.isdisjoint(own) and (o := other(text)) != text else None)
+            more = [list_array(np.array(at, np.int32), sizes), pa.array(second, pa.list_(pa.int32())), pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *more], schema.names)
+
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
+
+
+def labelled_rows(featured: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, at, second, label`` for each labelled row of a table made by :func:`with_features`.
+
+    Only columns are shuffled, no texts, and labels are never broadcast, for they grow with the documents; the result is
+    a written table.  Rows without a label, or with a null id, take no part.  A label given more than once for an id
+    counts once; of labels that differ the least counts.
+    """
+    one = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"))
+    rows = featured.select("doc_id", F.col(AT).alias("at"), F.col(SECOND).alias("second"))
+    return written(rows.join(one.hint("merge"), "doc_id"), "labelled")
 
-    schema = schema_of(docs, "doc_id", extra="at array<int>, second array<int>")
-    return written(docs.select("doc_id", "text").mapInArrow(run, schema).join(labels.where(F.col("label").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label")).hint("merge"), "doc_id"), "labelled")
+
+def flattened(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a list column and the row of each."""
+    lists = batch.column(name)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
 
 
 def class_counts(labelled: DataFrame, classes: int) -> DataFrame:
@@ -113,10 +124,11 @@ def class_counts(labelled: DataFrame, classes: int) -> DataFrame:
     names = [f"n{k}" for k in range(classes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((classes, 1 << BITS), np.int64)
+        counts = np.zeros(classes << BITS, np.int64)
         for b in nonempty(batches):
-            for at, label in zip(b.column("at").to_pylist(), b.column("label").to_pylist(), strict=True):
-                counts[label, list(set(at))] += 1
+            at, row = flattened(b, "at")
+            counts += np.bincount((b.column("label").to_numpy()[row] << BITS) + at, minlength=len(counts))
+        counts = counts.reshape(classes, 1 << BITS)
         seen = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.int32())} | {n: pa.array(counts[k, seen]) for k, n in enumerate(names)})
 
@@ -132,7 +144,7 @@ def telling(labelled: DataFrame, classes: int, keep: set[int] = frozenset()) ->
     totals = np.zeros(classes)
     for r in labelled.groupBy("label").count().collect():
         totals[r.label] = r["count"]
-    found = class_counts(labelled, classes).toPandas()
+    found = class_counts(labelled, classes).toArrow().to_pandas()
     if not len(found) or totals.sum() == 0:
         return np.array(sorted(keep), np.int64)
     n = found[[f"n{k}" for k in range(classes)]].to_numpy(float)
@@ -147,18 +159,34 @@ def telling(labelled: DataFrame, classes: int, keep: set[int] = frozenset()) ->
 
 
 class Rows:
-    """Sparse rows over the selected columns."""
+    """Sparse rows over the selected columns, kept by row and by column."""
 
     def __init__(self, lists: list[np.ndarray], width: int):
         self.width, self.n = width, len(lists)
-        self.at = np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in lists]) if lists else np.zeros(0, np.int64)
+        self.at = np.concatenate([np.asarray(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in lists]) if lists else np.zeros(0, np.int32)
+        order = np.argsort(self.at, kind="stable")
+        self.row_of = row[order]
+        self.rows = self._starts(np.bincount(row, minlength=self.n))
+        self.columns = self._starts(np.bincount(self.at, minlength=width))
+
+    @staticmethod
+    def _starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(sizes)
+        return some, (np.cumsum(sizes) - sizes)[some]
+
+    @staticmethod
+    def _sums(v: np.ndarray, groups: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        out = np.zeros((n, *v.shape[1:]))
+        if len(groups[0]):
+            out[groups[0]] = np.add.reduceat(v, groups[1], axis=0)
+        return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.at], self.n)
+        return self._sums(w[self.at], self.rows, self.n)
 
     def back(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, v[self.row], self.width)
+        return self._sums(v[self.row_of], self.columns, self.width)
 
 
 def fit_rows(labelled: DataFrame, selected: np.ndarray, rows: int = FIT_ROWS) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
@@ -167,15 +195,17 @@ def fit_rows(labelled: DataFrame, selected: np.ndarray, rows: int = FIT_ROWS) ->
     The rows of smallest hash are taken, so the choice doesn't depend on their order.
     """
     held = labelled.sparkSession.sparkContext.broadcast(selected)
-    kinds = pa.list_(pa.int32())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {c: i for i, c in enumerate(held.value.tolist())}
-        find = lambda at: [place[c] for c in at if c in place]
+        place = np.full(1 << BITS, -1)
+        place[held.value] = np.arange(len(held.value))
         for b in nonempty(batches):
-            own = b.column("at").to_pylist()
-            second = [a if o is None else o for a, o in zip(own, b.column("second").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"h": b.column("h"), "at": pa.array(map(find, own), kinds), "second": pa.array(map(find, second), kinds), "label": b.column("label")})
+            whole = b.set_column(b.schema.get_field_index("second"), "second", pc.coalesce(b.column("second"), b.column("at")))
+            found = []
+            for c in ("at", "second"):
+                at, row = flattened(whole, c)
+                here = place[at] >= 0
+                found.append(list_array(place[at][here].astype(np.int32), np.bincount(row[here], minlength=b.num_rows)))
+            yield pa.RecordBatch.from_arrays([b.column("h"), *found, b.column("label")], ["h", "at", "second", "label"])
 
     last = labelled.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if last is None:
@@ -222,24 +252,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def linear_scores(df: DataFrame, selected: np.ndarray, weights: np.ndarray, offsets: np.ndarray, made_up: bool, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` and ``raw``, an array with each output's weighted sum over the text's features plus its offset."""
+def linear_scores(df: DataFrame, selected: np.ndarray, weights: np.ndarray, offsets: np.ndarray, made_up: bool, keep: tuple[str, ...], raw: str = "_raw") -> DataFrame:
+    """``keep`` and ``raw``, an array with each output's weighted sum over the text's features plus its offset.
+
+    A table made by :func:`with_features` is scored by its columns, any other by its texts.
+    """
     held = df.sparkSession.sparkContext.broadcast((selected, weights, offsets))
-    schema = schema_of(df, *keep, extra="raw array<double>")
+    ready = AT in df.columns
+    schema = schema_of(df, *keep, extra=f"`{raw}` array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, w, b0 = held.value
-        place = {c: i for i, c in enumerate(columns.tolist())}
-        where = Remembered(lambda word: place.get(column(word), -1))
-        shapes = Remembered(shape)
-        for b in nonempty(batches):
-            raw = np.empty((b.num_rows, len(b0)))
-            for i, text in enumerate(texts_of(b, "text")):
-                at = [j for j in map(where.__getitem__, set(WORD.findall(text.lower()))) if j >= 0]
-                if made_up:
-                    at += [j for j in map(where.__getitem__, make_up(text, shapes)) if j >= 0]
-                raw[i] = b0 + w[at].sum(axis=0)
-            out = pa.ListArray.from_arrays(np.arange(0, raw.size + 1, len(b0), dtype=np.int32), raw.ravel())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), out], [*keep, "raw"])
-
-    return df.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
+        place = np.full(1 << BITS, len(columns))
+        place[columns] = np.arange(len(columns))
+        w = np.concatenate([w, np.zeros((1, len(b0)))])
+        features = Features(made_up)
+        for b in slices(batches):
+            if ready:
+                at, row = flattened(b, AT)
+            else:
+                sets = list(map(features, texts_of(b, "text")))
+                at = np.fromiter(chain.from_iterable(sets), np.int64)
+                row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+            at = place[at]
+            sums = np.stack([np.bincount(row, w[at, k], b.num_rows) for k in range(len(b0))], axis=1) + b0
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), list_array(sums.ravel(), np.full(b.num_rows, len(b0)))], [*keep, raw])
+
+    return df.select(*dict.fromkeys((*keep, AT if ready else "text"))).mapInArrow(run, schema)

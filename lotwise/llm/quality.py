@@ -28,10 +28,10 @@ class Model:
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, ridge: float = 0.2, rows: int = hashed.FIT_ROWS) -> Model:
     """Fit to the texts of ``docs`` (doc_id, text) that ``ratings`` (doc_id, label) grades 0 to ``grades`` - 1.
 
-    Other labels and null ids take no part and null texts are empty.  Without ratings every tail has probability a half.
+    ``docs`` may be a table made by ``hashed.with_features``.  Other labels and null ids take no part and null texts are empty.  Without ratings every tail has probability a half.
     Which columns count follows from all rated rows; weights from the ``rows`` of smallest hash.
     """
-    rated = hashed.labelled_rows(docs, ratings.where(F.col("label").between(0, grades - 1)), True)
+    rated = hashed.labelled_rows(docs if hashed.AT in docs.columns else hashed.with_features(docs, True), ratings.where(F.col("label").between(0, grades - 1)))
     columns = hashed.telling(rated, grades)
     at, y, _ = hashed.fit_rows(rated, columns, rows)
     x, n, cuts = hashed.Rows(at, len(columns)), len(y), grades - 1
@@ -72,5 +72,5 @@ def score(df: DataFrame, model: Model, tail: int, least: float = 0.5, keep: tupl
     A narrow pass over whole texts; null and empty texts are scored by being empty, repeated rows alike.
     """
     raw = hashed.linear_scores(df, model.columns, model.weights[:, None], np.zeros(1), True, keep)
-    above = [1 / (1 + F.exp(F.lit(float(t)) - F.col("raw")[0])) for t in model.thresholds]
-    return raw.select(*keep, sum(above[1:], above[0]).alias("expected_grade"), above[tail - 1].alias("tail_probability")).withColumn("keep", F.col("tail_probability") >= least)
+    above = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_raw")[0])) for t in model.thresholds]
+    return raw.select(*keep, sum(above[1:], above[0]).alias("expected_grade"), above[tail - 1].alias("tail_probability"), (above[tail - 1] >= least).alias("keep"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import documents, training_row
+from lotwise.llm.common import documents, training_row, written
 
 #: Where the public vocabulary files lie; None asks the ``public_tokenizers`` package.
 VOCABULARY: str | None = None
@@ -43,12 +43,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    from lotwise.llm.bpe import Vocabulary, decode, encode
+    from lotwise.llm.bpe import Vocabulary, round_trip
 
-    vocabulary = Vocabulary(vocabulary_path())
-    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary)
-    digests = coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(digests, vocabulary, keep=("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = round_trip(documents(spark, sf_dir).select("doc_id", "text"), Vocabulary(vocabulary_path()))
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +76,12 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate for every document, such that expected tokens by domain have the target shares."""
-    from lotwise.llm import mixing
+    from lotwise.llm import hashed, mixing
 
-    docs = documents(spark, sf_dir)
+    docs = written(hashed.with_features(documents(spark, sf_dir), True), "features")
     model = mixing.fit(docs, domain_labels(spark, sf_dir), list(DOMAIN_WEIGHTS))
-    mixed = mixing.mix(docs, model, DOMAIN_WEIGHTS)
-    return mixed.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)), "rate", mixing.draws(F.col("rate"), "doc_id").alias("copies"))
+    mixed = mixing.mix(docs, model, DOMAIN_WEIGHTS).rated
+    return mixed.select("doc_id", F.col(hashed.TOKENS).alias("tokens"), *(F.col("_posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)), "rate", mixing.draws(F.col("rate"), "doc_id").alias("copies"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +103,9 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade of every document: 0 for junk, 1 for sound but toxic text, 2 for sound text; kept if likely 2."""
-    from lotwise.llm import quality
+    from lotwise.llm import hashed, quality
 
-    docs = documents(spark, sf_dir)
+    docs = written(hashed.with_features(documents(spark, sf_dir), True), "features")
     sound, toxic = F.col("quality") == 1, F.col("toxic") == 1
     ratings = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(sound & ~toxic, 2).when(sound, 1).when(~sound, 0).alias("label"))
     learnt = quality.fit(docs, ratings.where(training_row(F.col("doc_id"), 5, 0)), 3)
@@ -119,7 +117,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learnt from four fifths of the labels."""
     from lotwise.llm import toxicity
 
-    docs = documents(spark, sf_dir)
+    docs = written(toxicity.featured(documents(spark, sf_dir)), "features")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     learnt = toxicity.fit(docs, labels.where(training_row(F.col("doc_id"), 5, 0)))
     scored = toxicity.score(docs, learnt)

@@ -52,14 +52,26 @@ def _any_of(terms: tuple[str, ...]) -> re.Pattern:
     return re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(map(re.escape, terms), key=len, reverse=True)) + r")(?![^\W\d_])")
 
 
-def fit(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, penalty: float = 4.0, ridge: float = 0.2, rows: int = hashed.FIT_ROWS) -> Model:
+def _columns(terms) -> frozenset[int]:
+    return frozenset(c for t in swaps(terms) for c in hashed.columns_of_token(t))
+
+
+def featured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), terms=IDENTITY_TERMS) -> DataFrame:
+    """Features of each text and, where it names a group, of its copy with the terms swapped, for :func:`fit` and :func:`score`."""
+    return hashed.with_features(docs, False, keep, lambda t: swapped(t, terms), _columns(terms))
+
+
+def fit(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, penalty: float = 4.0, ridge: float = 0.2, rows: int = hashed.FIT_ROWS, silent: float = 0.05) -> Model:
     """Fit to the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) marks 0 or 1.
 
-    Other labels and null ids take no part and null texts are empty; with no rows, or one class only, the model gives
-    its smoothed share.  Which columns count follows from all rows; weights from the ``rows`` rows of smallest hash.
+    ``docs`` may be a table made by :func:`featured`.  Other labels and null ids take no part and null texts are empty;
+    with no rows, or one class only, the model gives its smoothed share.  Which columns count follows from all rows;
+    weights from the ``rows`` rows of smallest hash.  A text that says nothing counts as one that isn't toxic, with
+    ``silent`` of the weight of all rows; without it the offset, and so an empty text's score, would be whatever the lack
+    of known harmless words suggests.
     """
-    labelled = hashed.labelled_rows(docs, labels.where(F.col("label").isin(0, 1)), False, lambda t: swapped(t, terms))
-    columns = hashed.telling(labelled, 2, {hashed.column(t) for t in swaps(terms)})
+    labelled = hashed.labelled_rows(docs if hashed.AT in docs.columns else featured(docs, terms=terms), labels.where(F.col("label").isin(0, 1)))
+    columns = hashed.telling(labelled, 2, _columns(terms))
     at, y, second = hashed.fit_rows(labelled, columns, rows)
     x, x2, n = hashed.Rows(at, len(columns)), hashed.Rows(second, len(columns)), len(y)
     share = (y.sum() + 0.5) / (n + 1)
@@ -71,10 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, penalty: float
         w, b = v[:-1], v[-1]
         s = x.times(w) + b
         gap = x2.times(w) + b - s
-        loss = np.mean(np.logaddexp(0, s) - y * s) + penalty * np.mean(gap * gap) + ridge / 2 * (w @ w)
+        loss = np.mean(np.logaddexp(0, s) - y * s) + penalty * np.mean(gap * gap) + ridge / 2 * (w @ w) + silent * np.logaddexp(0, b)
         off = hashed.sigmoid(s) - y
         g = x.back(off / n - 2 * penalty * gap / n) + x2.back(2 * penalty * gap / n) + ridge * w
-        return float(loss), np.append(g, np.mean(off))
+        return float(loss), np.append(g, np.mean(off) + silent * hashed.sigmoid(b))
 
     v = hashed.minimise(objective, np.append(np.zeros(len(columns)), np.log(share / (1 - share))))
     return Model(columns, v[:-1], float(v[-1]))
@@ -83,9 +95,10 @@ def fit(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, penalty: float
 def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``score`` (0 to 1) and ``predicted`` (1 from a half on) of each whole text.
 
-    Null and empty texts get the score of a text without telling words.  A narrow pass: any number of rows, ties and
-    repeated rows are each scored by their text alone.
+    ``df`` has texts, or is a table made by :func:`featured`.  Null and empty texts get the score of a text without
+    telling words.  A narrow pass: any number of rows, ties and repeated rows are each scored by their text alone.  Kept
+    columns called score or predicted are not told apart from the new ones and must be renamed before.
     """
     raw = hashed.linear_scores(df, model.columns, model.weights[:, None], np.array([model.offset]), False, keep)
-    s = (1 / (1 + F.exp(-F.col("raw")[0]))).alias("score")
-    return raw.select(*keep, s).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    s = 1 / (1 + F.exp(-F.col("_raw")[0]))
+    return raw.select(*keep, s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))

@@ -121,7 +121,7 @@ def test_fits_without_labels_and_odd_rows(spark):
     assert toxicity.score(docs, toxicity.fit(docs, none)).where("score is null").count() == 0
     assert quality.score(docs, quality.fit(docs, none, 3), 2).where("tail_probability <> 0.5").count() == 0
     mixed = mixing.mix(docs, mixing.fit(docs, none.selectExpr("doc_id", "'a' AS domain").limit(0), ["a", "b"]), {"a": 1, "b": 1})
-    assert mixed.count() == len(ODD)
+    assert mixed.rated.count() == len(ODD)
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
@@ -145,12 +145,14 @@ def test_rates_meet_their_goals(spark):
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.3, 0.3], 500)
     rows = [(i, int(rng.integers(0, 900)), [float(x) for x in p[i]]) for i in range(500)]
-    members = spark.createDataFrame(rows, "doc_id long, tokens long, posterior array<double>")
-    rated, got, goal = mixing.rates(members, [0.6, 0.3, 0.1])
+    members = spark.createDataFrame(rows, "doc_id long, _tokens long, _posterior array<double>")
+    mixture = mixing.rates(members, [0.6, 0.3, 0.1])
+    rated, got, goal = mixture.rated, mixture.got, mixture.goal
+    assert mixture.settled
     assert np.allclose(got, goal, rtol=1e-3) and np.isclose(goal[0] / goal[2], 6)
     frame = rated.toPandas()
     assert (frame.rate >= 0).all()
-    assert np.allclose((np.stack(frame.posterior) * (frame.tokens * frame.rate).to_numpy()[:, None]).sum(0), goal, rtol=1e-3)
+    assert np.allclose((np.stack(frame._posterior) * (frame._tokens * frame.rate).to_numpy()[:, None]).sum(0), goal, rtol=1e-3)
 
 
 def small_vocabulary(spark):
@@ -232,7 +234,7 @@ def test_digest_of_ids(spark):
 
 
 def test_features_are_bounded():
-    assert all(0 <= c < 1 << hashed.BITS for c in hashed.Features(True)("Some TEXT!! 12 ### " * 9)) and hashed.Features(True)("") == [hashed.column("=empty")]
+    assert all(0 <= c < 1 << hashed.BITS for c in hashed.Features(True)("Some TEXT!! 12 ### " * 9)) and hashed.Features(True)("") == {hashed.column("=empty")}
 
 
 def test_every_training_document_shapes_the_weights(spark, monkeypatch):
@@ -249,3 +251,118 @@ def test_every_training_document_shapes_the_weights(spark, monkeypatch):
 def test_learnt_words_grow_with_the_counts(spark):
     counts = spark.range(2_600).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(0).alias("shape"), F.when(F.col("id") < 2_500, 1_000).otherwise(1).cast("long").alias("n"))
     assert recurrent.vocabulary(counts).words == 2_500
+
+
+def test_rates_by_dense_projected_gradient(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 200)
+    n = rng.integers(1, 500, 200).astype(float)
+    members = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(200)], "doc_id long, _tokens long, _posterior array<double>")
+    mixture = mixing.rates(members, [0.05, 0.15, 0.8])
+    got = mixture.rated.orderBy("doc_id").toPandas().rate.to_numpy()
+    assert mixture.settled and (got == 0).any()  # some rates are cut off
+    rate, goal = np.ones(200), np.array(mixture.goal)
+    a = p * n[:, None]
+    price = np.zeros(3)
+    step = 1 / np.linalg.eigvalsh(p.T @ a).max()
+    for _ in range(200_000):  # plain gradient steps on the prices of the least change
+        rate = np.maximum(0, 1 - p @ price)
+        price += step * (a.T @ rate - goal)
+    assert np.allclose(a.T @ rate, goal, rtol=1e-6) and np.allclose(got, rate, atol=2e-3)
+
+
+def test_draws_meet_the_goals_and_absent_domains_ask_for_nothing(spark):
+    rows = [(i, 10, [1.0, 0.0, 0.0] if i % 4 else [0.0, 1.0, 0.0]) for i in range(20_000)]
+    members = spark.createDataFrame(rows, "doc_id long, _tokens long, _posterior array<double>")
+    mixture = mixing.rates(members, [0.9, 0.1, 0.5])
+    drawn = mixture.rated.withColumn("copies", mixing.draws(F.col("rate"), "doc_id")).groupBy(F.col("_posterior")[1].alias("junk")).agg(F.sum(F.col("copies") * F.col("_tokens")).alias("n"))
+    totals = {r.junk: r.n for r in drawn.collect()}
+    assert mixture.settled and mixture.goal[2] == 0
+    assert totals[0.0] == pytest.approx(mixture.goal[0], rel=0.03) and totals[1.0] == pytest.approx(mixture.goal[1], rel=0.06)
+    whole = mixing.rates(members, [0.9, 0.1, 0.0], whole=[0])
+    assert whole.goal[0] == 150_000 and whole.rated.where("_posterior[0] = 1 AND rate < 1 - 1e-9").count() == 0
+
+
+def test_conflicting_labels_count_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 1), (None, 1), (2, None)], "doc_id long, label int")
+    got = hashed.labelled_rows(hashed.with_features(docs, True), labels)
+    assert sorted((r.doc_id, r.label) for r in got.collect()) == [(1, 0), (2, 1)]
+
+
+def dense(docs, features, columns):
+    """0/1 matrix of the documents' selected columns, made one by one."""
+    out = np.zeros((len(docs), len(columns)))
+    for i, t in enumerate(docs):
+        own = features(t)
+        out[i] = [c in own for c in columns]
+    return out
+
+
+def descend(gradient, v, step, times):
+    for _ in range(times):
+        v = v - step * gradient(v)
+    return v
+
+
+def test_toxicity_weights_by_dense_descent(spark):
+    docs, labels = toy(spark)
+    model = toxicity.fit(docs, labels, penalty=1.0, ridge=20.0)
+    texts, y = [r.text for r in docs.orderBy("doc_id").collect()], np.arange(200) % 2
+    words = hashed.Features(False)
+    x, x2 = dense(texts, words, model.columns), dense([toxicity.swapped(t) for t in texts], words, model.columns)
+
+    def gradient(v):
+        w, b = v[:-1], v[-1]
+        s, gap = x @ w + b, (x2 - x) @ w
+        off = 1 / (1 + np.exp(-s)) - y
+        return np.append(x.T @ off / 200 + 2 * (x2 - x).T @ gap / 200 + 20.0 / 200 * w, off.mean() + 0.05 / (1 + np.exp(-b)))
+
+    v = descend(gradient, np.zeros(len(model.columns) + 1), 0.3, 20_000)
+    want = 1 / (1 + np.exp(-(x @ v[:-1] + v[-1])))
+    got = [r.score for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
+    assert np.allclose(got, want, atol=5e-3)
+
+
+def test_ordinal_weights_by_dense_descent(spark):
+    docs, _ = toy(spark)
+    grade = np.array([2 if i % 2 == 0 else i % 3 % 2 for i in range(200)])
+    model = quality.fit(docs, spark.createDataFrame([(i, int(g)) for i, g in enumerate(grade)], "doc_id long, label int"), 3, ridge=20.0)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    x, m = dense(texts, hashed.Features(True), model.columns), len(model.columns)
+
+    def loss(v):
+        above = 1 / (1 + np.exp(v[m:] - (x @ v[:m])[:, None]))
+        p = np.column_stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]])
+        return -np.log(p[np.arange(200), grade]).mean() + 20.0 / 400 * v[:m] @ v[:m]
+
+    def gradient(v):
+        steps = np.eye(len(v)) * 1e-5
+        return np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in steps])
+
+    own = np.concatenate([model.weights, model.thresholds])
+    best = descend(gradient, np.concatenate([np.zeros(m), [-0.5, 0.5]]), 0.5, 1_500)
+    assert loss(own) == pytest.approx(loss(best), abs=1e-3) and np.abs(gradient(own)).max() < 2e-3
+    tail = 1 / (1 + np.exp(best[m + 1] - x @ best[:m]))
+    got = [r.tail_probability for r in quality.score(docs, model, 2).orderBy("doc_id").collect()]
+    assert np.allclose(got, tail, atol=2e-2)
+
+
+def test_scores_of_an_empty_table_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "good day", 7, 8), (2, None, 7, 8)], "doc_id long, text string, raw int, tokens int")
+    labels = spark.createDataFrame([(1, 2)], "doc_id long, label int")
+    kept = quality.score(docs, quality.fit(docs, labels, 3), 2, keep=("doc_id", "raw", "tokens"))
+    assert kept.columns[:3] == ["doc_id", "raw", "tokens"] and {r.raw for r in kept.collect()} == {7}
+    assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels, 3), 2).count() == 0
+    model = mixing.fit(docs.limit(0), labels.selectExpr("doc_id", "'a' AS domain"), ["a", "b"])
+    both = mixing.mix(docs, model, {"a": 1, "b": 1}, ("doc_id", "raw", "tokens"))
+    assert {r.tokens for r in both.rated.collect()} == {8}
+    assert mixing.mix(docs.limit(0), model, {"a": 1, "b": 1}).rated.count() == 0
+
+
+def test_both_ways_at_once_give_what_each_way_gives(spark):
+    docs = spark.createDataFrame(ODD, DOC)
+    one = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY, keep=("doc_id", "ids"))
+    both = bpe.round_trip(docs, VOCABULARY)
+    seen = lambda df: Counter((r.doc_id, bytes(r.ids), r.decoded) for r in df.collect())
+    assert seen(one) == seen(both)
