@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lotwise.llm.common import nonempty, schema_of, texts_of, written
+from lotwise.llm.common import nonempty, passes, schema_of, sieve, slices, texts_of, written
 from lotwise.llm.components import components
 
 BITS = 64
@@ -31,8 +31,6 @@ BLOCK = 8_192
 ESTIMATE = 4_096
 #: Weight of a probed row against a compared pair.
 ROW_COST = 400.0
-#: Ids stand for themselves up to here; groups that have null ids only are numbered above.
-NO_ID = 1 << 62
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -48,14 +46,17 @@ def shingles(text: str, words: int) -> list[str]:
     return list(map(" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
 
 
-def fingerprint(runs: list[str], seed: int) -> int:
-    """A bit is set if it is set in over half of the runs' hashes; as signed 64-bit, 0 without runs."""
-    if not runs:
+def hashed(runs: list[str], seed: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(runs))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; as signed 64-bit, 0 without any."""
+    if not len(hashes):
         return 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(runs))
     lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANES
     counts = np.einsum("lv,vb->lb", np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256), _OF_BYTE)
-    return int(np.packbits((2 * counts > len(runs)).ravel(), bitorder="little").view(np.int64)[0])
+    return int(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view(np.int64)[0])
 
 
 def with_fingerprints(df: DataFrame, words: int, seeds: tuple[int, ...] = (42,), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -63,11 +64,11 @@ def with_fingerprints(df: DataFrame, words: int, seeds: tuple[int, ...] = (42,),
     names = [f"p{k}" for k in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in nonempty(batches):
+        for b in slices(batches):
             prints = []
             for text in texts_of(b, "text"):
                 runs = shingles(text, words)
-                prints.append([fingerprint(runs, s) for s in seeds])
+                prints.append([fingerprint(hashed(runs, s)) for s in seeds])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in zip(*prints, strict=True))], [*keep, *names])
 
     return df.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema_of(df, *keep, extra=", ".join(f"{n} long" for n in names)))
@@ -262,6 +263,10 @@ class Matcher:
             x, y = np.nonzero(near)
             self._add(node[i + x], node2[y])
 
+    def ready(self) -> pa.RecordBatch | None:
+        """Pairs that needn't wait for others; a forest waits for all."""
+        return None
+
     def links(self) -> pa.RecordBatch | None:
         if not self.found:
             return None
@@ -269,6 +274,52 @@ class Matcher:
         return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
 
+class Candidates(Matcher):
+    """Pairs of sets that share a shingle and may be similar, of different labels; rows are sorted by key and label.
+
+    A row's columns are its label and, in one number, its size and the place of the shingle in the set.
+    """
+
+    def __init__(self, least: float):
+        super().__init__(0, None)
+        self.least = least
+
+    def _near(self, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        (label, a), (label2, b) = left, right
+        reach = np.minimum((a >> 32) - (a & 0xFFFFFFFF), (b >> 32) - (b & 0xFFFFFFFF))
+        return (label != label2) & (reach >= np.ceil(self.least / (1 + self.least) * ((a >> 32) + (b >> 32)) - 1e-6))
+
+    def _add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.found.append((np.minimum(a, b), np.maximum(a, b)))
+            self.held += len(a)
+
+    def groups(self, key: np.ndarray, probe: np.ndarray, node: np.ndarray, prints: list[np.ndarray]) -> None:
+        """Every row with the rows of its key beyond those of its label."""
+        last = np.concatenate([(key[1:] != key[:-1]) | (prints[0][1:] != prints[0][:-1]), [True]])
+        beyond = (np.flatnonzero(last) + 1)[np.cumsum(last) - last]
+        at = np.arange(len(key))
+        to = beyond[at]
+        while len(at):
+            inside = to < len(key)
+            at, to = at[inside], to[inside]
+            same = key[at] == key[to]
+            at, to = at[same], to[same]
+            near = self._near([p[at] for p in prints], [p[to] for p in prints])
+            self._add(node[at[near]], node[to[near]])
+            to = to + 1
+
+    def ready(self) -> pa.RecordBatch | None:
+        return self.links() if self.held > 1_000_000 else None
+
+    def links(self) -> pa.RecordBatch | None:
+        if not self.found:
+            return None
+        pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*self.found, strict=True)], axis=1), axis=0)
+        self.found, self.held = [], 0
+        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
 def links(nodes: DataFrame, names: list[str], bits: int, second: int | None = None) -> DataFrame:
     """``a, b``: links that connect what is within ``bits`` bits by some column and within ``second`` by the one after it.
 
@@ -277,9 +328,16 @@ def links(nodes: DataFrame, names: list[str], bits: int, second: int | None = No
     """
     count = nodes.count()
     met = meetings(nodes, names, [plan(nodes, n, bits, count) for n in names])
-    names = met.columns[3:]
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = met.repartition(parts, "key").sortWithinPartitions("key")
+    return matched(met, met.columns[3:], lambda: Matcher(bits, second))
+
+
+def matched(met: DataFrame, names: list[str], make: Callable[[], Matcher]) -> DataFrame:
+    """``a, b``: what matchers find among the rows (key, probe, node and ``names``) that meet under a key.
+
+    Groups of over ``BLOCK`` rows are cut into blocks, of which every two are compared in a task of their own.
+    """
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = met.repartition(parts, "key").sortWithinPartitions("key", *names[:1])
     shape = "a long, b long, key long, block int, probe boolean, node long, " + ", ".join(f"{n} long" for n in names)
     empty = {f.split()[0]: pa.int32() if f.split()[1] == "int" else pa.bool_() if f.split()[1] == "boolean" else pa.int64() for f in shape.split(", ")}
 
@@ -288,7 +346,7 @@ def links(nodes: DataFrame, names: list[str], bits: int, second: int | None = No
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in empty.items()], list(empty))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, held, large, done = Matcher(bits, second), [], None, 0
+        matcher, held, large, done = make(), [], None, 0
 
         def put_off(rows: tuple) -> Iterator[pa.RecordBatch]:
             nonlocal done
@@ -309,6 +367,8 @@ def links(nodes: DataFrame, names: list[str], bits: int, second: int | None = No
             held = [tuple(x[cut:] for x in rows)]
             if cut:
                 matcher.groups(rows[0][:cut], rows[1][:cut], rows[2][:cut], [x[:cut] for x in rows[3:]])
+                if (out := matcher.ready()) is not None:
+                    yield fill({"a": out.column("a"), "b": out.column("b")})
             if len(held[0][0]) > BLOCK:
                 large, done = int(held[0][0][0]), 0
                 yield from put_off(held[0])
@@ -329,7 +389,7 @@ def links(nodes: DataFrame, names: list[str], bits: int, second: int | None = No
     cells = dealt.groupBy("key", "lo", "hi")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        matcher = Matcher(bits, second)
+        matcher = make()
         block = table.column("block").to_numpy()
         columns = [table.column(c).to_numpy() for c in ("probe", "node", *names)]
         side = lambda k: (columns[0][block == k], columns[1][block == k], [c[block == k] for c in columns[2:]])
@@ -344,119 +404,140 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4, seeds: tuple
     """``keep``, ``p0``, ..., ``component_id`` and ``component`` for every document of ``docs`` (doc_id, text).
 
     Documents are linked if a fingerprint of theirs differs in at most ``bits`` bits (and the one of the next seed in at
-    most ``second``); ``component_id`` is the least id reachable over links, the own id included.  Null ids are never
-    least: a component of such rows only has a null id, but a ``component`` number like all.  Equal fingerprints are one
-    node, so copies cost one row each; texts without words have the fingerprint zero and are linked like any others.  An
-    empty table gives an empty one.
+    most ``second``); ``component_id`` is the least id reachable over links, the own id included; a
+    component of rows with null ids only has a null id, but a ``component`` number like all.  Nodes are fingerprints, so
+    copies cost one row each and rows of one id with different texts are apart; texts without words have the fingerprint
+    zero and are linked like any others.  ``doc_id`` must be an integer.  An empty table gives an empty one.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer column")
     names = [f"p{k}" for k in range(len(seeds))]
     prints = written(with_fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words, seeds, keep), "prints")
-    without = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(*names), 3)
-    nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).select(F.coalesce("least", without).alias("node"), *names), "nodes")
-    label = components(links(nodes, names, bits, second))
-    of_node = nodes.join(label, "node", "left").select(*names, F.coalesce("label", "node").alias("component"))
-    found = F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id")
-    return prints.join(of_node, names).select(*keep, *names, found, "component")
+    node = F.col("p0") if len(seeds) == 1 else F.xxhash64(*names)
+    nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("_least")).withColumn("node", node), "nodes")
+    label = components(links(nodes.select("node", *names), names, bits, second))
+    of_node = nodes.join(label, "node", "left").withColumn("component", F.coalesce("label", "node"))
+    least = of_node.groupBy("component").agg(F.min("_least").alias("component_id"))
+    return prints.join(of_node.join(least, "component").select(*names, "component_id", "component"), names).select(*keep, *names, "component_id", "component")
 
 
-def with_sets(df: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """``node``, its distinct shingles as sorted 64-bit hashes, their number and the fingerprint ``p0``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in nonempty(batches):
-            sets, sizes, prints = [], [], []
-            for text in texts_of(b, "text"):
-                runs = list(dict.fromkeys(shingles(text, words)))
-                found = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(runs)))
-                sets.append(found.tobytes())
-                sizes.append(len(found))
-                prints.append(fingerprint(runs, seed))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64())], ["node", "shingles", "size", "p0"])
-
-    return df.select("node", "text").mapInArrow(run, "node long, shingles binary, size int, p0 long")
+def shingle_set(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """The text's distinct shingles as ascending 64-bit hashes."""
+    return np.unique(hashed(shingles(text, words), seed))
 
 
-def frequent(sets: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the sets holds more than once, and how often; they steer cost, never results."""
+def frequent(rows: DataFrame, words: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts holds more than once, and how often; they steer cost, never results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
-            found, n = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
+            found, n = np.unique(np.concatenate([shingle_set(t, words) for t in texts_of(b, "text")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    sample = sets.select("shingles").sample(min(1.0, 4 * ESTIMATE / max(1, count)), 7)
+    sample = rows.select("text").sample(min(1.0, 2 * ESTIMATE / max(1, count)), 7)
     counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = sorted((r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(100_000).collect())
-    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+    top = counts.orderBy(F.desc("n"), "h").limit(100_000).toArrow()
+    order = np.argsort(top.column("h").to_numpy().view(np.uint64))
+    return top.column("h").to_numpy()[order].view(np.uint64), top.column("n").to_numpy()[order]
 
 
-def prefixes(sets: DataFrame, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``key, place, node, size, label``: the shingles of each set of which similar sets share at least one.
+def prefix(own: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of a set of which similar sets share at least one.
 
     In one order of all shingles (frequent ones last), sets of a Jaccard similarity of ``least`` share a shingle among
     the first n - ceil(least n) + 1 of each.
     """
-    held = sets.sparkSession.sparkContext.broadcast(common)
+    known, times = common
+    size = len(own) - math.ceil(least * len(own) - 1e-9) + 1
+    if not len(known) or not len(own):
+        return own[:size]
+    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    often = np.where(known[place] == own, times[place], 0)
+    rare = own[often == 0][:size]
+    if len(rare) == size:
+        return rare
+    rest = own[often > 0]
+    return np.concatenate([rare, rest[np.argsort(often[often > 0], kind="stable")][: size - len(rare)]])
+
+
+def with_prefixes(rows: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``node``, the fingerprint ``p0`` and size of its set of shingles, and the prefix of the set."""
+    held = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = held.value
-        for b in nonempty(batches):
-            keys, places, at = [], [], []
-            for i, x in enumerate(b.column("shingles").to_pylist()):
-                own = np.frombuffer(x, np.int64)
-                if not len(own):
-                    continue
-                often = np.zeros(len(own), np.int64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    often = np.where(known[place] == own, times[place], 0)
-                first = np.lexsort((own, often))[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
-                keys.append(own[first])
-                places.append(np.arange(len(first)))
-                at.append(np.full(len(first), i))
-            if keys:
-                rows = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int32)), *(b.column(c).take(rows) for c in ("node", "size", "label"))], ["key", "place", "node", "size", "label"])
+        for b in slices(batches):
+            prints, sizes, first = [], [], []
+            for text in texts_of(b, "text"):
+                own = shingle_set(text, words)
+                prints.append(fingerprint(own))
+                sizes.append(len(own))
+                first.append(prefix(own, least, held.value).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.binary())], ["node", "p0", "size", "prefix"])
 
-    return sets.select("node", "shingles", "size", "label").mapInArrow(run, "key long, place int, node long, size int, label long")
+    return rows.select("node", "text").mapInArrow(run, "node long, p0 long, size long, prefix binary")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets have a Jaccard similarity of ``least`` and more."""
+def apart(nodes: DataFrame, least: float) -> DataFrame:
+    """``a, b``: pairs of ``nodes`` (node, size, prefix, label) of different labels that may be similar; none is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in nonempty(batches):
+        for b in slices(batches, 8_192):
+            keys = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
+            sizes = np.array([len(k) for k in keys])
+            row = np.repeat(np.arange(len(keys)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = (b.column("size").to_numpy()[row] << 32) | place
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.zeros(len(row), bool)), pa.array(b.column("node").to_numpy()[row]), pa.array(b.column("label").to_numpy()[row]), pa.array(found)], ["key", "probe", "node", "label", "found"])
+
+    met = nodes.select("node", "size", "prefix", "label").mapInArrow(run, "key long, probe boolean, node long, label long, found long")
+    return matched(met, ["label", "found"], lambda: Candidates(least)).distinct()
+
+
+def similar(rows: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those pairs (a, b) of the nodes of ``rows`` (node, text) whose sets have a Jaccard similarity of ``least`` and more.
+
+    Sets are made of the texts of nodes in pairs, which a sieve picks out, so others are not shuffled.
+    """
+    pairs = written(pairs, "pairs")
+    held = sieve(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in slices(batches):
+            b = b.filter(pa.array(passes(held, b.column("node").to_numpy())))
+            new = {n: i for i, n in enumerate(b.column("node").to_pylist()) if n not in seen}
+            seen.update(new)
+            texts = texts_of(b, "text")
+            yield pa.RecordBatch.from_arrays([pa.array(new.keys(), pa.int64()), pa.array([shingle_set(texts[i], words).tobytes() for i in new.values()], pa.binary())], ["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
             near = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+                n, both = (len(x) + len(y)) // 8, np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort()
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                near.append(shared >= least * (n - shared) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(c)) for k, c in (("a", "x"), ("b", "y")))
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    found = written(rows.select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    x, y = (found.select(F.col("node").alias(k), F.col("shingles").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+    return written(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
 
 
-def similar_links(sets: DataFrame, bits: int, least: float) -> DataFrame:
-    """``a, b``: links that connect all nodes whose sets have a Jaccard similarity of ``least`` and more, and no others.
+def similar_labels(rows: DataFrame, words: int, bits: int, least: float) -> DataFrame:
+    """``node, label``: the least node that each is connected with over all pairs of a similarity of ``least`` and more.
 
-    Links by fingerprint, verified on the sets, are a start that joins most of a large group; pairs that it leaves apart
-    are found by prefixes, which miss none, and verified likewise.
+    ``rows`` has (node, text), a node as often as its text.  Fingerprint links, verified on the sets, are a start that
+    joins most of a large group; pairs that it leaves apart are found by prefixes, which miss none, and verified likewise.
     """
-    count = sets.count()
-    near = written(similar(links(sets.select("node", "p0"), ["p0"], bits), sets, least), "near")
-    label = components(near)
-    labelled = sets.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keys = prefixes(labelled, least, frequent(sets, count))
-    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("place", "node", "size", "label"))) for k in "ab")
-    shared = F.ceil(least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6)
-    reach = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    met = a.hint("merge").join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (reach >= shared))
-    apart = written(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "apart")
-    return near.unionByName(similar(apart, sets, least))
-
-
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 7, least: float = 0.8) -> DataFrame:
+    nodes = written(with_prefixes(rows, words, least, frequent(rows, words, rows.count())).dropDuplicates(["node"]), "nodes")
+    near = similar(rows, links(nodes.select("node", "p0"), ["p0"], bits), words, least)
+    labelled = nodes.join(written(components(near), "labels").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return components(near.unionByName(similar(rows, apart(labelled, least), words, least)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 4, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group that is chained by similarity: that of the least id, null ids last.
 
     Documents are linked if the Jaccard similarity of their distinct shingles is ``least`` or more, all of them and no
@@ -465,12 +546,21 @@ def one_of_each(docs: DataFrame, words: int = 5, bits: int = 7, least: float = 0
     are those of ``docs``.
     """
     spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
-    named = docs.withColumns({"_text_hash": F.xxhash64("text"), "_node": F.xxhash64(spaced)})
-    sets = with_sets(named.select(F.col("_node").alias("node"), "text"), words).dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
-    label = written(components(similar_links(sets, bits, least)), "labels")
-    sets.unpersist()
-    found = named.select("doc_id", "_text_hash", "_node").join(label.hint("merge"), F.col("_node") == F.col("node"), "left").withColumn("component", F.coalesce("label", "_node"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("first")
-    chosen = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_chosen_id"), F.col("first._text_hash").alias("_chosen_hash"))
-    kept = named.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_chosen_id")) & (F.col("_text_hash") == F.col("_chosen_hash")))
-    return kept.dropDuplicates(["_chosen_id", "_text_hash"]).select(*docs.columns)
+    named = docs.withColumns({"_row": F.xxhash64("doc_id", "text"), "_node": F.xxhash64(spaced)})
+    label = similar_labels(named.select(F.col("_node").alias("node"), "text"), words, bits, least)
+    slim = written(named.select("doc_id", "_row", "_node"), "slim")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    groups = slim.join(label.hint("merge"), F.col("_node") == F.col("node"), "left").withColumn("component", F.coalesce("label", "_node"))
+    kept = groups.groupBy("component").agg(F.min(order)["_row"].alias("_row")).select("_row")
+    # rows of which several are alike, or which aren't kept, are few: only these meet the table of what is kept
+    going = written(slim.groupBy("_row").agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)).hint("merge"), "_row", "left").where("n > 1 OR stays IS NULL"), "going")
+    held = sieve(going.select("_row"))
+
+    def part(asked: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return (b.filter(pa.array(passes(held, b.column("_row").to_numpy()) == asked)) for b in nonempty(batches))
+
+        return named.select("_row", *docs.columns).mapInArrow(run, schema_of(named, "_row", *docs.columns))
+
+    maybe = part(True).join(going.hint("merge"), "_row", "left").where("n IS NULL OR stays").dropDuplicates(["_row"])
+    return part(False).select(*docs.columns).unionByName(maybe.select(*docs.columns))

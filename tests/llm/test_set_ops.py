@@ -40,6 +40,15 @@ def test_search_with_ties_nulls_and_many_cells(spark):
     assert topk.search(data.limit(0), data, 5).count() == 0 and topk.search(data, data.limit(0), 5).count() == 0
 
 
+def test_search_with_repeated_ids(spark):
+    rows = [(0, [10])] * 6 + [(i, [w]) for i, w in enumerate([90, 80, 70, 60, 50, 40, 30], 1)] + [(3, [75])]
+    data = spark.createDataFrame(rows, "vec_id long, weights array<long>")
+    got = topk.search(data, data.where("vec_id = 0"), 5, block=4).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 900), (2, 2, 800), (3, 3, 750), (4, 3, 700), (5, 4, 600)]
+    both = topk.search(data, data.where("vec_id = 3"), 2, block=4, batch=1).collect()  # two queries of one id
+    assert Counter((r.rank, r.vec_id, r.score) for r in both) == Counter([(1, 1, 6750), (2, 2, 6000), (1, 1, 6300), (2, 2, 5600)])
+
+
 def plain_print(text, words):
     import re
 
@@ -147,6 +156,28 @@ def test_one_of_each_by_brute_force(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
 
 
+def test_rows_of_one_id_stay_apart(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    assert Counter(r.doc_id for r in simhash.one_of_each(docs).collect()) == {1: 2, 2: 1}
+    found = simhash.near_duplicates(docs).collect()
+    assert len({r.component for r in found}) == 3 and {r.component_id for r in found} == {1, 2}
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(docs.selectExpr("concat('x', doc_id) AS doc_id", "text"))
+
+
+def test_sieve_loses_no_id(spark):
+    from lotwise.llm import common
+
+    ids = spark.range(-3_000, 3_000, 3)
+    held = common.sieve(ids)
+    own, others = np.arange(-3_000, 3_000, 3), np.arange(10**6, 10**6 + 20_000)
+    assert common.passes(held, own).all() and common.passes(held, others).mean() < 0.01
+    common.SIEVE_BITS, before = 1, common.SIEVE_BITS
+    assert common.sieve(ids) is None and common.passes(None, others).all()
+    common.SIEVE_BITS = before
+
+
 def test_thresholds_reach_every_link():
     costs = [np.array([0.0, 1, 5, 30]), np.array([0.0, 2, 3, 50]), np.array([0.0, 4, 8, 9])]
     from itertools import product
