@@ -44,19 +44,18 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at most once each at rates that bring sound and junk text to their target shares."""
+    """Documents drawn at most once each, at rates that keep all sound text and cut junk to its share."""
     labels = domain_labels(spark, sf_dir).withColumn("domain", F.split("domain", "_")[0])
     model = mixing.fit(docs, labels, list(WEIGHTS))
-    mixed = mixing.mix(docs, model, WEIGHTS, COLUMNS)
-    return mixed.where(mixing.draws(F.col("rate"), "doc_id", "text", settled=0.7) > 0).select(*COLUMNS)
+    mixed = mixing.mix(docs, model, WEIGHTS, COLUMNS, whole=("sound",)).rated
+    return mixed.where(mixing.draws(F.col("rate"), "doc_id", "text") > 0).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, four bytes each) of every text, and whether decoding them gives the text again."""
     vocabulary = bpe.Vocabulary(vocabulary_path())
     keep = ("doc_id", "lang", "source", "n_chars", "text")
-    coded = bpe.encode(docs.withColumn("text", F.coalesce("text", F.lit(""))), vocabulary, keep=keep)
-    back = bpe.decode(coded, vocabulary, keep=(*keep, "ids"))
+    back = bpe.round_trip(docs.withColumn("text", F.coalesce("text", F.lit(""))), vocabulary, keep=keep)
     return back.select("doc_id", "lang", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
