@@ -27,6 +27,6 @@ class Registry:
 
 
 def registries() -> list[Registry]:
-    from lotwise.plans import identity, market, pricing, stream, textual
+    from lotwise.plans import identity, market, parsing, pricing, stream, textual
 
-    return [m.REGISTRY for m in (market, textual, identity, pricing, stream)]
+    return [m.REGISTRY for m in (market, textual, parsing, identity, pricing, stream)]

@@ -13,7 +13,7 @@ from lotwise.sources.tables import table, works
 REGISTRY = Registry()
 query = REGISTRY
 
-FOLDED = "replace(replace(replace(replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th')"
+FOLDED = text.fold_sql("{0}")
 KEYED = "trim(regexp_replace(regexp_replace(" + FOLDED + ", '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 LINE = "split_part(coalesce(text, ''), chr(10), 1)"
 

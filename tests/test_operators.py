@@ -17,12 +17,12 @@ def one(spark, text_value, column):
     return spark.createDataFrame([(text_value,)], "c string").select(column(F.col("c")).alias("x")).first().x
 
 
-@pytest.mark.parametrize(("given", "want"), [("Édition  Crème, Nº 2", "edition creme n 2"), ("Straße", "strasse"), ("", ""), (None, None)])
+@pytest.mark.parametrize(("given", "want"), [("Édition  Crème, Nº 2", "edition creme n 2"), ("Straße", "strasse"), ("Łódź e\u0301tude č", "lodz etude c"), ("", ""), (None, None)])
 def test_title_key(spark, given, want):
     assert one(spark, given, text.title_key) == want
 
 
-@pytest.mark.parametrize(("given", "want"), [("from the edition of 1,500", 1500), ("numbered 12/75", 75), ("one of 30 proofs", 30), ("14 3/16 in", None), ("signed", None), (None, None)])
+@pytest.mark.parametrize(("given", "want"), [("from the edition of 1,500", 1500), ("numbered 12/75", 75), ("12/75", None), ("no. 7/40, aside from an unsigned edition of 300", 40), ("one of 30 proofs", 30), ("14 3/16 in", None), ("signed", None), (None, None)])
 def test_edition_size(spark, given, want):
     assert one(spark, given, text.edition_size) == want
 
