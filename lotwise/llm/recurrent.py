@@ -9,7 +9,7 @@ are read to their ends with the state carried from window to window; training ba
 from __future__ import annotations
 
 import heapq
-import re
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,23 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import nonempty, schema_of, texts_of, training_row, written
+from lotwise.llm.common import nonempty, schema_of, slices, texts_of, training_row, words_of, written
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: The end of a document; no word is empty.
 END = ""
 #: Words with weights of their own at least, words whose counts are broadcast, units of the state, tokens of a window, lanes.
-WORDS, COUNTED, UNITS, WINDOW, LANES = 2_000, 60_000, 16, 32, 256
+WORDS, COUNTED, UNITS, WINDOW, LANES = 2_000, 200_000, 16, 32, 512
 SHAPES = 32
 #: Every word that occurs so often has weights of its own, so that their number grows with the corpus.
 OFTEN = 1_000
-#: Documents that one task makes the common start from, and the times that all workers' weights are averaged.
+#: Documents that one task makes the common start from, and the times that the parts' weights are averaged.
 START_DOCS, ROUNDS = 400, 2
-
-
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER))
+#: A round has the root of its tokens over this number of parts, so that parts and their sizes grow alike.
+PART_TOKENS = 500_000
+#: Tokens that a worker lays out at a time, and updates that a pass over them should make, with fewer lanes if need be.
+TOGETHER, UPDATES = 1 << 22, 200
 
 
 def shape(word: str) -> int:
@@ -103,10 +101,12 @@ def parameters(v: Vocabulary, units: int, seed: int = 3) -> dict[str, np.ndarray
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
+    """The logistic function, in place."""
+    x *= 0.5
+    np.tanh(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    x *= 0.5
+    return x
 
 
 class Lanes:
@@ -152,55 +152,70 @@ class Network:
         """States of a window (steps, lanes, units), and what backpropagation needs of it."""
         u, w = self.units, self.p["state"]
         x = self.p["input"][inputs]
-        states = np.empty((*inputs.shape, u), np.float32)
-        kept = []
+        states = np.empty((*inputs.shape, u), x.dtype)
+        before_, gates_, new_, inner_ = (np.empty((*inputs.shape, n), x.dtype) for n in (u, 2 * u, u, u)) if keep else (None,) * 4
         for t in range(len(inputs)):
             before = h * carries[t][:, None]
             a = before @ w
-            gates = sigmoid(x[t, :, : 2 * u] + a[:, : 2 * u])
+            gates = x[t, :, : 2 * u]
+            gates += a[:, : 2 * u]
+            sigmoid(gates)
             z, r = gates[:, :u], gates[:, u:]
-            new = np.tanh(x[t, :, 2 * u :] + r * a[:, 2 * u :])
-            h = new + z * (before - new)
+            new = r * a[:, 2 * u :]
+            new += x[t, :, 2 * u :]
+            np.tanh(new, out=new)
+            h = before - new
+            h *= z
+            h += new
             states[t] = h
             if keep:
-                kept.append((before, z, r, new, a[:, 2 * u :]))
-        return states, kept, h
+                before_[t], gates_[t], new_[t], inner_[t] = before, gates, new, a[:, 2 * u :]
+        return states, (before_, gates_, new_, inner_), h
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
         """Natural log of each target's class and, for words with weights, of the word in its class."""
         p, k = self.p, self.v.words
-        logits = states @ p["to_class"]
-        logits += p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        e = states @ p["to_class"]
+        e += p["class_bias"]
+        np.minimum(e, 60, out=e)
         cls = np.where(targets < k, self.v.word_class[np.minimum(targets, max(0, k - 1))], targets - k + len(self.v.members)) if k else targets + len(self.v.members)
         rows = np.arange(len(targets))
-        out = logits[rows, cls] - np.log(total)
+        out = e[rows, cls]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        out -= np.log(total)
         grads = {}
+        order = np.argsort(cls.astype(np.int16) if self.v.classes < 1 << 15 else cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(len(self.v.members) + 1))
+        inside = order[: cuts[-1]]
+        s_all, slots, more = states[inside], self.v.slot[targets[inside]] if k else targets[inside], np.zeros(len(inside), e.dtype)
         if learn:
             e /= total[:, None]
             e[rows, cls] -= 1
-            grads["to_class"], grads["class_bias"] = states.T @ e, e.sum(axis=0)
+            grads["to_class"], grads["class_bias"] = states.T @ e, np.ones(len(e), e.dtype) @ e
             back = e @ p["to_class"].T
             grads["to_word"], grads["word_bias"] = np.zeros_like(p["to_word"]), np.zeros_like(p["word_bias"])
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.v.members) + 1))
+            back_in = np.zeros_like(s_all)
         for c, m in enumerate(self.v.members):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own) and len(m) > 1:
-                s, at = states[own], self.v.slot[targets[own]]
-                g = s @ p["to_word"][c, :, : len(m)] + p["word_bias"][c, : len(m)]
-                g -= g.max(axis=1, keepdims=True)
-                f = np.exp(g)
-                z = f.sum(axis=1)
-                out[own] += g[np.arange(len(own)), at] - np.log(z)
+            lo, hi = cuts[c], cuts[c + 1]
+            if hi > lo and len(m) > 1:
+                s, at, own = s_all[lo:hi], slots[lo:hi], rows[: hi - lo]
+                f = s @ p["to_word"][c, :, : len(m)]
+                f += p["word_bias"][c, : len(m)]
+                np.minimum(f, 60, out=f)
+                one = f[own, at]
+                np.exp(f, out=f)
+                z = f @ np.ones(len(m), f.dtype)
+                more[lo:hi] = one - np.log(z)
                 if learn:
                     f /= z[:, None]
-                    f[np.arange(len(own)), at] -= 1
+                    f[own, at] -= 1
                     grads["to_word"][c, :, : len(m)] = s.T @ f
-                    grads["word_bias"][c, : len(m)] = f.sum(axis=0)
-                    back[own] += f @ p["to_word"][c, :, : len(m)].T
+                    grads["word_bias"][c, : len(m)] = np.ones(hi - lo, f.dtype) @ f
+                    back_in[lo:hi] = f @ p["to_word"][c, :, : len(m)].T
+        out[inside] += more
+        if learn:
+            back[inside] += back_in
         return (out, back, grads) if learn else out
 
     def score(self, lanes: Lanes) -> np.ndarray:
@@ -230,21 +245,27 @@ class Network:
             self.step(x, carries, kept, back.reshape(states.shape), grads, int(real.sum()))
         return seen
 
-    def step(self, x: np.ndarray, carries: np.ndarray, kept: list, back: np.ndarray, grads: dict, n: int) -> None:
-        u, w = self.units, self.p["state"]
-        to_input = np.empty((*x.shape, 3 * u), np.float32)
-        grads["state"] = np.zeros_like(w)
+    def step(self, x: np.ndarray, carries: np.ndarray, kept: tuple, back: np.ndarray, grads: dict, n: int) -> None:
+        u, turned = self.units, np.ascontiguousarray(self.p["state"].T)
+        before, gates, new, inner = kept
+        z, r = gates[..., :u], gates[..., u:]
+        by_new = (1 - z) * (1 - new * new)
+        by_z = (before - new) * z * (1 - z)
+        by_r = inner * r * (1 - r)
+        to_input, to_state = np.empty((*x.shape, 3 * u), back.dtype), np.empty((*x.shape, 3 * u), back.dtype)
         dh = np.zeros_like(back[0])
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, new, a = kept[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            to_input[t, :, :u], to_input[t, :, u : 2 * u], to_input[t, :, 2 * u :] = dz, dr, dn
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            grads["state"] += before.T @ da
-            dh = (dh * z + da @ w.T) * carries[t][:, None]
+            dh += back[t]
+            dn, da = to_input[t, :, 2 * u :], to_state[t]
+            np.multiply(dh, by_new[t], out=dn)
+            np.multiply(dh, by_z[t], out=da[:, :u])
+            np.multiply(dn, by_r[t], out=da[:, u : 2 * u])
+            np.multiply(dn, r[t], out=da[:, 2 * u :])
+            dh *= z[t]
+            dh += da @ turned
+            dh *= carries[t][:, None]
+        to_input[..., : 2 * u] = to_state[..., : 2 * u]
+        grads["state"] = before.reshape(-1, u).T @ to_state.reshape(-1, 3 * u)
         ids, flat = x.ravel(), to_input.reshape(-1, 3 * u)
         order = np.argsort(ids, kind="stable")
         rows, first = np.unique(ids[order], return_index=True)
@@ -277,15 +298,16 @@ class Coder(dict):
         return found
 
 
-def sequences(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (the token before) and targets (words, then shapes) of a document's codes."""
+def sequences(codes: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (the token before, or the mark for the start) and targets (words, then shapes) of documents laid end to end."""
     k = v.words
-    tail = np.where(codes < 0, -1 - codes, 0)
-    counted = (codes >= k) & (codes >= 0)
-    if counted.any():
-        tail = np.where(counted, v.class_of[np.maximum(codes, 0)] - len(v.members), tail)
+    tail = np.where(codes < 0, -1 - codes, v.class_of[np.maximum(codes, 0)] - len(v.members) if len(v.class_of) else 0)
     target = np.where((codes >= 0) & (codes < k), codes, k + tail).astype(np.int32)
-    return np.concatenate([[k + SHAPES], target[:-1]]).astype(np.int32), target
+    before = np.empty_like(target)
+    before[1:] = target[:-1]
+    starts = np.cumsum(sizes) - sizes
+    before[starts[starts < len(before)]] = k + SHAPES
+    return before, target
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -302,33 +324,67 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
+def _laid(codes: np.ndarray, sizes: np.ndarray, v: Vocabulary, lanes: int = LANES) -> Lanes:
+    x, y = sequences(codes, sizes, v)
+    cuts = np.cumsum(sizes)[:-1]
+    return Lanes(np.split(x, cuts), np.split(y, cuts), lanes)
+
+
 def _lanes(texts: list[str], coder: Coder, v: Vocabulary) -> Lanes:
-    pairs = [sequences(np.array([*map(coder.__getitem__, words_of(t)), coder[END]], np.int64), v) for t in texts]
-    return Lanes([x for x, _ in pairs], [y for _, y in pairs], LANES)
+    lists = [[*map(coder.__getitem__, words_of(t)), coder[END]] for t in texts]
+    return _laid(np.concatenate([np.array(x, np.int64) for x in lists]), np.array(list(map(len, lists))), v)
+
+
+def with_codes(docs: DataFrame, v: Vocabulary, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, ``_codes`` (packed, four bytes a token) and ``_rare``, the tokens without a count of their own."""
+    held = docs.sparkSession.sparkContext.broadcast(v.code)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(held.value)
+        for b in slices(batches):
+            codes, rare = [], []
+            for text in texts_of(b, "text"):
+                words = words_of(text)
+                words.append(END)
+                own = np.fromiter(map(coder.__getitem__, words), np.int32, len(words))
+                codes.append(own.tobytes())
+                rare.append([words[i] for i in np.flatnonzero(own < 0).tolist()])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], [*keep, "_codes", "_rare"])
+
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema_of(docs, *keep, extra="_codes binary, _rare array<string>"))
+
+
+def _together(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch of about ``TOGETHER`` tokens, with their codes end to end and sizes."""
+    lists = b.column("_codes").to_pylist()
+    sizes = np.array([len(x) // 4 for x in lists])
+    part = (np.cumsum(sizes) - sizes) // TOGETHER
+    for lo, hi in zip(*(lambda first: (first, np.append(first[1:], len(sizes))))(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))), strict=True):
+        yield b.slice(lo, hi - lo), np.frombuffer(b"".join(lists[lo:hi]), np.int32), sizes[lo:hi]
 
 
 def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, units: int = UNITS) -> dict[str, np.ndarray]:
     """Weights fitted to all training documents in one pass, which is split by hash over the rounds.
 
-    One task makes a start from a few documents.  Then, in each round, every worker trains on its part from the common
-    weights and the means, weighted by tokens, are the next common weights; sums are taken by parameter block on the
-    executors.  A lost worker's part is trained anew by another.
+    One task makes a start from a few documents.  Then, in each round, the round's documents are dealt by hash to parts;
+    each part is trained from the common weights, in an order that doesn't depend on the cluster, and the means, weighted
+    by tokens, are the next common weights; sums are taken by parameter block on the executors.  A lost part is trained
+    anew.  ``docs`` has texts, or codes by :func:`with_codes`.
     """
     spark = docs.sparkSession
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(10_000))
+    coded = (docs if "_codes" in docs.columns else with_codes(docs, v)).select("doc_id", "_codes").withColumn("h", F.xxhash64("doc_id", "_codes", F.lit("fit")))
     names = list(parameters(v, units))
     shapes = {k: x.shape for k, x in parameters(v, units).items()}
 
-    def trained(rows: DataFrame, flat: np.ndarray, workers: int) -> np.ndarray:
+    def trained(rows: DataFrame, flat: np.ndarray) -> np.ndarray:
         held = spark.sparkContext.broadcast((v, flat))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, start = held.value
-            network, coder, n = Network(vocabulary, _unflat(start, shapes)), Coder(vocabulary.code), 0
+            network, n = Network(vocabulary, _unflat(start, shapes)), 0
             for b in nonempty(batches):
-                texts = texts_of(b, "text")
-                for lo in range(0, len(texts), 2_000):
-                    n += network.learn(_lanes(texts[lo : lo + 2_000], coder, vocabulary))
+                for _, codes, sizes in _together(b):
+                    n += network.learn(_laid(codes, sizes, vocabulary, min(LANES, max(32, len(codes) // (WINDOW * UPDATES)))))
             if n:
                 own = np.concatenate([network.p[k].ravel() for k in names]).astype(np.float64) * n
                 blocks = np.array_split(own, max(1, len(own) // 4_096))
@@ -338,15 +394,19 @@ def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, units: int = UNITS
             sums = np.sum([np.array(x) for x in rows.column("sums").to_pylist()], axis=0) / np.sum(rows.column("n").to_numpy())
             return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([sums.tolist()], pa.list_(pa.float64()))})
 
-        means = rows.coalesce(workers).mapInArrow(run, "block int, n double, sums array<double>").groupBy("block").applyInArrow(add, "block int, mean array<double>").collect()
+        means = rows.mapInArrow(run, "block int, n double, sums array<double>").groupBy("block").applyInArrow(add, "block int, mean array<double>").collect()
         return np.concatenate([r["mean"] for r in sorted(means, key=lambda r: r.block)]).astype(np.float32) if means else flat
 
     flat = np.concatenate([x.ravel() for x in parameters(v, units).values()])
-    texts = docs.select("doc_id", "text")
-    flat = trained(texts.orderBy(F.xxhash64("doc_id", F.lit("start"))).limit(START_DOCS), flat, 1)
+    if START_DOCS:
+        flat = trained(coded.orderBy("h").limit(START_DOCS), flat)
+    chance = F.pmod("h", F.lit(10_000))
+    parts = max(1, round(math.sqrt(v.tokens / rounds / PART_TOKENS)))
     for k in range(rounds):
         lo, hi = 10_000 * k // rounds, 10_000 * (k + 1) // rounds
-        flat = trained(texts.where((chance >= lo) & (chance < hi)), flat, max(1, spark.sparkContext.defaultParallelism))
+        part = F.pmod(F.shiftrightunsigned("h", 20), F.lit(parts)).cast("int")
+        own = coded.where((chance >= lo) & (chance < hi)).repartitionById(parts, part).sortWithinPartitions("h", "doc_id")
+        flat = trained(own.select("doc_id", "_codes"), flat)
     return _unflat(flat, shapes)
 
 
@@ -362,52 +422,47 @@ def _unflat(flat: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> dict[str, n
 def likelihoods(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray], counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``n_tokens``, ``n_known``, ``base_score`` and ``score``: log10 probabilities of each whole text and its end.
 
-    ``base_score`` is that of independent tokens with counts smoothed by a half, ``score`` the network's.  Null and empty
-    texts hold the end alone.  Counts of rare words are joined to the documents that use them, since their number grows
-    with the corpus; each row keeps its own sum, so repeated rows and ids don't mix.
+    ``base_score`` is that of independent tokens with counts smoothed by a half, ``score`` the network's.  ``docs`` has
+    texts, or codes by :func:`with_codes`.  Null and empty texts hold the end alone.  Counts of rare words are joined to
+    the documents that use them, since their number grows with the corpus; each row keeps its own sum, so repeated rows
+    and ids don't mix.
     """
     held = docs.sparkSession.sparkContext.broadcast((v, weights))
-    schema = schema_of(docs, *keep, extra="n_tokens long, known long, logs double, network double, rare array<struct<word:string,n:int>>")
-    pair = pa.list_(pa.struct({"word": pa.string(), "n": pa.int32()}))
+    coded = docs if "_codes" in docs.columns else with_codes(docs, v, keep)
+    coded = coded if "_row" in docs.columns else written(coded.withColumn("_row", F.monotonically_increasing_id()), "coded")
+    schema = schema_of(coded, "_row", *keep, extra="n_tokens long, _known long, _logs double, _network double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, p = held.value
-        network, coder = Network(vocabulary, p), Coder(vocabulary.code)
-        for whole in nonempty(batches):
-            for lo in range(0, whole.num_rows, 4_096):
-                b = whole.slice(lo, 4_096)
-                inputs, targets, n, known, logs, tails, rare = [], [], [], [], [], [], []
-                for text in texts_of(b, "text"):
-                    words = words_of(text)
-                    codes = np.array([*map(coder.__getitem__, words), coder[END]], np.int64)
-                    seen = codes[codes >= 0]
-                    x, y = sequences(codes, vocabulary)
-                    inputs.append(x)
-                    targets.append(y)
-                    n.append(len(codes))
-                    known.append(len(seen))
-                    logs.append(float(vocabulary.log_count[seen].sum()))
-                    tails.append(float(vocabulary.log_count[seen[seen >= vocabulary.words]].sum() - vocabulary.tail_total[y[y >= vocabulary.words] - vocabulary.words].sum()))
-                    odd = np.flatnonzero(codes < 0).tolist()
-                    rare.append([{"word": w, "n": k} for w, k in Counter(words[i] if i < len(words) else END for i in odd).items()])
-                got = network.score(Lanes(inputs, targets, LANES)) / np.log(10) + np.array(tails)
-                out = {"n_tokens": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "logs": pa.array(logs), "network": pa.array(got), "rare": pa.array(rare, pair)}
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out.values()], [*keep, *out])
-
-    scored = docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+        network = Network(vocabulary, p)
+        for whole in slices(batches, 4_096):
+            for b, codes, sizes in _together(whole):
+                row, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+                lanes = _laid(codes, sizes, vocabulary)
+                _, target = sequences(codes, sizes, vocabulary)
+                own = np.where(codes >= 0, vocabulary.log_count[np.maximum(codes, 0)] if len(vocabulary.log_count) else 0.0, 0.0)
+                in_tail = target >= vocabulary.words
+                tails = np.where(in_tail, own - vocabulary.tail_total[np.maximum(target - vocabulary.words, 0)], 0.0)
+                got = network.score(lanes) / np.log(10) + np.bincount(row, tails, n)
+                out = [pa.array(sizes), pa.array(np.bincount(row, codes >= 0, n).astype(np.int64)), pa.array(np.bincount(row, own, n)), pa.array(got)]
+                yield pa.RecordBatch.from_arrays([b.column("_row"), *(b.column(c) for c in keep), *out], schema.names)
+
+    scored = coded.select("_row", *keep, "_codes").mapInArrow(run, schema)
+    rare = coded.select("_row", F.explode("_rare").alias("word"))
     found = rare.join(counts.select("word", F.col("n").alias("c")).hint("merge"), "word", "left")
-    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    both = scored.drop("rare").join(sums.hint("merge"), "row", "left")
-    more, under = F.coalesce("rare_logs", F.lit(0.0)), float(np.log10(v.tokens + 0.5 * (v.types + 1)))
-    return both.select(*keep, "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), (F.col("logs") + more - F.col("n_tokens") * under).alias("base_score"), (F.col("network") + more).alias("score"))
+    sums = found.groupBy("_row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("_more"), F.count_if(F.col("c") > 0).alias("_rare_known"))
+    both = scored.join(sums.hint("merge"), "_row", "left")
+    more, under = F.coalesce("_more", F.lit(0.0)), float(np.log10(v.tokens + 0.5 * (v.types + 1)))
+    return both.select(*keep, "n_tokens", (F.col("_known") + F.coalesce("_rare_known", F.lit(0))).alias("n_known"), (F.col("_logs") + more - F.col("n_tokens") * under).alias("base_score"), (F.col("_network") + more).alias("score"))
 
 
 def score_held_out(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
-    """Learn from all documents but those whose crc32(doc_id) modulo ``folds`` is ``held``; score all of them."""
-    training = docs.where(training_row(F.col("doc_id"), folds, held))
-    counts = written(word_counts(training), "counts")
+    """Learn from all documents but those whose crc32(doc_id) modulo ``folds`` is ``held``; score all of them.
+
+    Texts are split and coded once; the fit and the scores read the codes.
+    """
+    counts = written(word_counts(docs.where(training_row(F.col("doc_id"), folds, held))), "counts")
     v = vocabulary(counts)
-    found = likelihoods(docs, v, fit(training, v), counts)
+    coded = written(with_codes(docs, v).withColumn("_row", F.monotonically_increasing_id()), "coded")
+    found = likelihoods(coded, v, fit(coded.where(training_row(F.col("doc_id"), folds, held)), v), counts)
     return found.select("doc_id", training_row(F.col("doc_id"), folds, held, True).alias("held_out"), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")

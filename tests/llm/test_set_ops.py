@@ -12,6 +12,7 @@ from lotwise.llm import queries, shards, simhash, suffixes, topk
 from lotwise.llm.components import components
 
 SF = "/root/testdata/sf0.01"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def vectors(spark, rows):
@@ -54,7 +55,7 @@ def plain_print(text, words):
 
     import xxhash
 
-    found = re.findall(r"[^\x20\x09-\x0D]+", text.translate(simhash.LOWER))
+    found = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
     runs = [" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
     hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
