@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -118,6 +119,17 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if t is None else t for t in batch.column(name).to_pylist()]
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: White space to Python, not to the corpus.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of anything but blanks, tabs and line ends, A to Z in lower case."""
+    low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return _WORD.findall(low) if _ODD_SPACE.search(low) else low.split()
+
+
 def schema_of(df: DataFrame, *columns: str, extra: str = "") -> T.StructType:
     """Fields of ``df`` named in ``columns`` followed by those of the DDL string ``extra``."""
     fields = [df.schema[c] for c in columns]
