@@ -129,9 +129,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lotwise.llm.common import new_path
     from lotwise.llm.shards import shard
 
-    store = shard(documents(spark, sf_dir), new_path(spark, "shards"), target=64 << 20, smallest=256 << 20)
-    store.vacuum()
-    return store.read().select("doc_id", "arrival", F.element_at(F.split("shard", "/"), -2).alias("run"), F.element_at(F.split("shard", "/"), -1).alias("shard"), F.lit(store.version()).alias("version"))
+    store = shard(documents(spark, sf_dir), new_path(spark, "shards"), versions=1)
+    return store.read().select("doc_id", F.col("_arrival").alias("arrival"), F.element_at(F.split("shard", "/"), -2).alias("run"), F.element_at(F.split("shard", "/"), -1).alias("shard"), F.lit(store.version()).alias("version"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -260,6 +260,62 @@ def test_store_compacts_and_keeps_every_row(spark, tmp_path):
     assert empty.read().count() == 0
 
 
+def plain_tiers(sizes, fan, smallest):
+    """Sizes of runs after each arrival, merged tier by tier from the smallest."""
+    import math
+
+    tier = lambda n: 0 if n <= smallest else math.ceil(math.log(n / smallest, fan) - 1e-9)
+    runs = []
+    for size in sizes:
+        runs.append(size)
+        while True:
+            full = sorted(t for t, n in Counter(map(tier, runs)).items() if n >= fan)
+            if not full:
+                break
+            runs = [r for r in runs if tier(r) != full[0]] + [sum(r for r in runs if tier(r) == full[0])]
+    return sorted(runs)
+
+
+def test_runs_are_those_of_plain_compaction(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (7 * i % 90), 777) for i in range(600)], "doc_id long, text string, arrival int")
+    store = shards.shard(docs, str(tmp_path / "s"), arrivals=8, target=700, fan=3, smallest=400, versions=1)
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    sizes = [r.n for r in docs.groupBy(turn.alias("t")).agg(F.sum(F.octet_length("text")).alias("n")).orderBy("t").collect()]
+    live = store.manifest()
+    assert sorted(r.n for r in live.groupBy("run").agg(F.sum("bytes").alias("n")).collect()) == plain_tiers(sizes, 3, 400)
+    assert live.select("tier").distinct().count() >= 2 and {r.arrival for r in store.read().collect()} == {777}
+    assert set(store._names("data")) == {r.run for r in live.collect()}
+    with pytest.raises(ValueError):
+        shards.shard(docs.withColumn("shard", F.lit(1)), str(tmp_path / "t"))
+
+
+def test_one_of_two_writers_wins_and_vacuum_spares_the_other(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    one = shards.ShardStore(spark, str(tmp_path / "s"))
+    two = shards.ShardStore(spark, str(tmp_path / "s"))
+    one.append(rows(1))
+    first, lost = one.manifest, []
+
+    def late(version=None):  # another writer commits after this one has read the version
+        if not lost:
+            lost.append(two.append(rows(99), "other"))
+        return first(version)
+
+    one.manifest = late
+    with pytest.raises(shards.Conflict):
+        one.append(rows(7), "mine")
+    one.manifest = first
+    two.vacuum()
+    assert "mine" in two._names("data")  # not committed yet, so not deleted
+    one.adopt("mine")
+    assert sorted(r.doc_id for r in one.read().collect()) == [1, 7, 99]
+    rows(5).write.parquet(str(tmp_path / "s/data/stray"))
+    rows(6).write.mode("append").parquet(str(tmp_path / "s/data/mine"))  # a stray file in a run isn't read
+    assert sorted(r.doc_id for r in two.read().collect()) == [1, 7, 99]
+    two.vacuum(orphans=-1)
+    assert "stray" not in two._names("data") and two.read().count() == 3
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
