@@ -61,3 +61,20 @@ def fuse(left: DataFrame, right: DataFrame, key: str, scores: tuple[str, str]) -
     """Two rankings as one: rows of both first, then by the better score."""
     both = left.join(right, key, "full_outer")
     return both.withColumn("in_both", F.col(scores[0]).isNotNull() & F.col(scores[1]).isNotNull()).withColumn("best", F.greatest(*scores))
+
+
+def within_one_edit(left: DataFrame, a: str, right: DataFrame, b: str, by: list[str]) -> DataFrame:
+    """Rows of both whose texts ``a`` and ``b`` differ by at most one letter left out, put in, changed or swapped with its neighbour.
+
+    Texts meet over what is left of them without one letter (or whole), which any two within one edit share, so within a
+    group only texts that nearly agree are paired.
+    """
+    def spread(df: DataFrame, c: str) -> DataFrame:
+        n = F.length(c)
+        without = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
+        return df.where(F.col(c).isNotNull()).withColumn("_v", F.explode(F.array_distinct(F.array_append(without, F.col(c)))))
+
+    pairs = spread(left, a).join(spread(right, b), [*by, "_v"]).drop("_v").distinct()
+    x, y = F.col(a), F.col(b)
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.lit(1)), F.substr(x, i, F.lit(1)), F.substr(x, i + 2)) == y)
+    return pairs.where((F.levenshtein(x, y) <= 1) | ((F.length(x) == F.length(y)) & swapped))

@@ -27,6 +27,6 @@ class Registry:
 
 
 def registries() -> list[Registry]:
-    from lotwise.plans import identity, market, parsing, pricing, stream, textual, valuation
+    from lotwise.plans import catalogue, identity, market, parsing, pricing, stream, textual, valuation
 
-    return [m.REGISTRY for m in (market, textual, parsing, identity, pricing, valuation, stream)]
+    return [m.REGISTRY for m in (market, textual, parsing, catalogue, identity, pricing, valuation, stream)]
