@@ -10,7 +10,6 @@ meets under a value is verified on all bits.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.llm.common import nonempty, passes, schema_of, sieve, slices, texts_of, written
+from lotwise.llm.common import nonempty, passes, schema_of, sieve, slices, texts_of, words_of, written
 from lotwise.llm.components import components
 
 BITS = 64
@@ -32,15 +31,13 @@ ESTIMATE = 4_096
 #: Weight of a probed row against a compared pair.
 ROW_COST = 400.0
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8) * 256
 
 
 def shingles(text: str, words: int) -> list[str]:
     """Runs of ``words`` words, repeats included; the whole sequence where there are fewer; none for no words."""
-    found = WORD.findall(text.lower() if text.isascii() else text.translate(LOWER))
+    found = words_of(text)
     if len(found) <= words:
         return [" ".join(found)] if found else []
     return list(map(" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
@@ -275,9 +272,9 @@ class Matcher:
 
 
 class Candidates(Matcher):
-    """Pairs of sets that share a shingle and may be similar, of different labels; rows are sorted by key and label.
+    """Pairs of sets that share a key and may be similar, of different labels; rows are sorted by key and label.
 
-    A row's columns are its label and, in one number, its size and the place of the shingle in the set.
+    A row's columns are its label and the size of its set.
     """
 
     def __init__(self, least: float):
@@ -286,8 +283,7 @@ class Candidates(Matcher):
 
     def _near(self, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         (label, a), (label2, b) = left, right
-        reach = np.minimum((a >> 32) - (a & 0xFFFFFFFF), (b >> 32) - (b & 0xFFFFFFFF))
-        return (label != label2) & (reach >= np.ceil(self.least / (1 + self.least) * ((a >> 32) + (b >> 32)) - 1e-6))
+        return (label != label2) & (np.minimum(a, b) >= self.least * np.maximum(a, b) - 1e-9)
 
     def _add(self, a: np.ndarray, b: np.ndarray) -> None:
         if len(a):
@@ -426,71 +422,56 @@ def shingle_set(text: str, words: int, seed: int = 42) -> np.ndarray:
     return np.unique(hashed(shingles(text, words), seed))
 
 
-def frequent(rows: DataFrame, words: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the texts holds more than once, and how often; they steer cost, never results."""
+#: Bands of least hashes and their width: sets of a Jaccard similarity of 0.8 share no band with a chance of 7e-10.
+BANDS, WIDTH = 40, 4
+_ODD = np.random.default_rng(42).integers(0, 1 << 31, (BANDS * WIDTH, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in nonempty(batches):
-            found, n = np.unique(np.concatenate([shingle_set(t, words) for t in texts_of(b, "text")]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    sample = rows.select("text").sample(min(1.0, 2 * ESTIMATE / max(1, count)), 7)
-    counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "h").limit(100_000).toArrow()
-    order = np.argsort(top.column("h").to_numpy().view(np.uint64))
-    return top.column("h").to_numpy()[order].view(np.uint64), top.column("n").to_numpy()[order]
+def bands(own: np.ndarray) -> np.ndarray:
+    """A key for each band of the set's least hashes under ``BANDS * WIDTH`` orders; none for an empty set."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    x = (own ^ (own >> np.uint64(32))).astype(np.uint32)
+    least = np.full(len(_ODD), 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(x), 4_096):
+        least = np.minimum(least, (_ODD[:, :1] * x[None, lo : lo + 4_096] + _ODD[:, 1:]).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, WIDTH).T.astype(np.uint64):
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
-def prefix(own: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The shingles of a set of which similar sets share at least one.
-
-    In one order of all shingles (frequent ones last), sets of a Jaccard similarity of ``least`` share a shingle among
-    the first n - ceil(least n) + 1 of each.
-    """
-    known, times = common
-    size = len(own) - math.ceil(least * len(own) - 1e-9) + 1
-    if not len(known) or not len(own):
-        return own[:size]
-    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    often = np.where(known[place] == own, times[place], 0)
-    rare = own[often == 0][:size]
-    if len(rare) == size:
-        return rare
-    rest = own[often > 0]
-    return np.concatenate([rare, rest[np.argsort(often[often > 0], kind="stable")][: size - len(rare)]])
-
-
-def with_prefixes(rows: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``node``, the fingerprint ``p0`` and size of its set of shingles, and the prefix of the set."""
-    held = rows.sparkSession.sparkContext.broadcast(common)
+def with_bands(rows: DataFrame, words: int) -> DataFrame:
+    """``node``, the fingerprint ``p0`` and size of its set of shingles, and the set's bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in slices(batches):
-            prints, sizes, first = [], [], []
-            for text in texts_of(b, "text"):
-                own = shingle_set(text, words)
+            new = {n: i for i, n in enumerate(b.column("node").to_pylist()) if n not in seen}
+            seen.update(new)
+            texts, prints, sizes, found = texts_of(b, "text"), [], [], []
+            for i in new.values():
+                own = shingle_set(texts[i], words)
                 prints.append(fingerprint(own))
                 sizes.append(len(own))
-                first.append(prefix(own, least, held.value).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.binary())], ["node", "p0", "size", "prefix"])
+                found.append(bands(own).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(new.keys(), pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["node", "p0", "size", "bands"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, p0 long, size long, prefix binary")
+    return rows.select("node", "text").mapInArrow(run, "node long, p0 long, size long, bands binary")
 
 
 def apart(nodes: DataFrame, least: float) -> DataFrame:
-    """``a, b``: pairs of ``nodes`` (node, size, prefix, label) of different labels that may be similar; none is left out."""
+    """``a, b``: pairs of ``nodes`` (node, size, bands, label) of different labels that share a band and may be similar by size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8_192):
-            keys = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
-            sizes = np.array([len(k) for k in keys])
-            row = np.repeat(np.arange(len(keys)), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            found = (b.column("size").to_numpy()[row] << 32) | place
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.zeros(len(row), bool)), pa.array(b.column("node").to_numpy()[row]), pa.array(b.column("label").to_numpy()[row]), pa.array(found)], ["key", "probe", "node", "label", "found"])
+            keys = [np.frombuffer(x, np.int64) for x in b.column("bands").to_pylist()]
+            row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.zeros(len(row), bool)), *(pa.array(b.column(c).to_numpy()[row]) for c in ("node", "label", "size"))], ["key", "probe", "node", "label", "size"])
 
-    met = nodes.select("node", "size", "prefix", "label").mapInArrow(run, "key long, probe boolean, node long, label long, found long")
-    return matched(met, ["label", "found"], lambda: Candidates(least)).distinct()
+    met = nodes.select("node", "size", "bands", "label").mapInArrow(run, "key long, probe boolean, node long, label long, size long")
+    return matched(met, ["label", "size"], lambda: Candidates(least)).distinct()
 
 
 def similar(rows: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -529,9 +510,10 @@ def similar_labels(rows: DataFrame, words: int, bits: int, least: float) -> Data
     """``node, label``: the least node that each is connected with over all pairs of a similarity of ``least`` and more.
 
     ``rows`` has (node, text), a node as often as its text.  Fingerprint links, verified on the sets, are a start that
-    joins most of a large group; pairs that it leaves apart are found by prefixes, which miss none, and verified likewise.
+    joins most of a large group.  Pairs that it leaves apart are found by bands of least hashes, of which sets at the
+    threshold miss all with a chance of 7e-10, and verified likewise.
     """
-    nodes = written(with_prefixes(rows, words, least, frequent(rows, words, rows.count())).dropDuplicates(["node"]), "nodes")
+    nodes = written(with_bands(rows, words).dropDuplicates(["node"]), "nodes")
     near = similar(rows, links(nodes.select("node", "p0"), ["p0"], bits), words, least)
     labelled = nodes.join(written(components(near), "labels").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     return components(near.unionByName(similar(rows, apart(labelled, least), words, least)))
@@ -540,9 +522,9 @@ def similar_labels(rows: DataFrame, words: int, bits: int, least: float) -> Data
 def one_of_each(docs: DataFrame, words: int = 5, bits: int = 4, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group that is chained by similarity: that of the least id, null ids last.
 
-    Documents are linked if the Jaccard similarity of their distinct shingles is ``least`` or more, all of them and no
-    others (but for equal 64-bit hashes of unlike shingles or texts); texts without words are one group.  ``bits`` is
-    that of the fingerprint links, which steer cost, never results.  Of rows equal in id and text one stays.  Columns
+    Documents are linked if the Jaccard similarity of their distinct shingles is ``least`` or more and no others (but for
+    equal 64-bit hashes of unlike shingles or texts); a link at the threshold is missed with a chance of 7e-10.  Texts
+    without words are one group.  ``bits`` is that of the fingerprint links, which steer cost.  Of rows equal in id and text one stays.  Columns
     are those of ``docs``.
     """
     spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
