@@ -27,6 +27,6 @@ class Registry:
 
 
 def registries() -> list[Registry]:
-    from lotwise.plans import catalogue, identity, learning, market, parsing, pricing, stream, textual, valuation
+    from lotwise.plans import catalogue, identity, learning, market, parsing, pricing, rules, stream, textual, valuation
 
-    return [m.REGISTRY for m in (market, textual, parsing, catalogue, identity, learning, pricing, valuation, stream)]
+    return [m.REGISTRY for m in (market, textual, parsing, catalogue, identity, learning, pricing, valuation, rules, stream)]
