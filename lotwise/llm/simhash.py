@@ -16,7 +16,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -316,6 +316,41 @@ class Candidates(Matcher):
         return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+class Bounded(Candidates):
+    """Candidates whose sets, by the parities of their counts in ``PARITIES`` buckets, may differ in few enough shingles.
+
+    Parities differ in at most as many buckets as the sets in shingles, so no similar pair is lost.
+    """
+
+    def _near(self, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        most = (1 - self.least) / (1 + self.least) * (left[1] + right[1]) + 1e-6
+        near = super()._near(left[:2], right[:2])
+        gap = np.zeros(near.shape, np.int64)
+        for x, y in zip(left[2:], right[2:], strict=True):
+            gap += np.bitwise_count((x ^ y).view(np.uint64))
+        return near & (gap <= most)
+
+
+class Stars(Candidates):
+    """Of each label under a key one row, with that of the key's first label and that of the label before."""
+
+    def groups(self, key: np.ndarray, probe: np.ndarray, node: np.ndarray, prints: list[np.ndarray]) -> None:
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new_key | np.concatenate([[True], prints[0][1:] != prints[0][:-1]]))
+        head = np.flatnonzero(new_key)[np.cumsum(new_key) - 1][first]
+        before = np.concatenate([first[:1], first[:-1]])
+        for to in (head, np.where(key[before] == key[first], before, first)):
+            near = self._near([p[first] for p in prints], [p[to] for p in prints])
+            self._add(node[first[near]], node[to[near]])
+
+    def cell(self, left: tuple, right: tuple) -> None:
+        """Blocks of one group: by their own rows as a group."""
+        (probe, node, prints), (probe2, node2, prints2) = left, right
+        both = [np.concatenate(x) for x in zip((probe, node, *prints), (probe2, node2, *prints2), strict=True)]
+        order = np.argsort(both[2], kind="stable")
+        self.groups(np.zeros(len(order), np.int64), *(x[order] for x in both[:2]), [x[order] for x in both[2:]])
+
+
 def links(nodes: DataFrame, names: list[str], bits: int, second: int | None = None) -> DataFrame:
     """``a, b``: links that connect what is within ``bits`` bits by some column and within ``second`` by the one after it.
 
@@ -327,11 +362,12 @@ def links(nodes: DataFrame, names: list[str], bits: int, second: int | None = No
     return matched(met, met.columns[3:], lambda: Matcher(bits, second))
 
 
-def matched(met: DataFrame, names: list[str], make: Callable[[], Matcher]) -> DataFrame:
+def matched(met: DataFrame, names: list[str], make: Callable[[], Matcher], most: int | None = None) -> DataFrame:
     """``a, b``: what matchers find among the rows (key, probe, node and ``names``) that meet under a key.
 
-    Groups of over ``BLOCK`` rows are cut into blocks, of which every two are compared in a task of their own.
+    Groups of over ``most`` (else ``BLOCK``) rows are cut into blocks, of which every two are compared in a task of their own.
     """
+    most = most or BLOCK
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_order = met.repartition(parts, "key").sortWithinPartitions("key", *names[:1])
     shape = "a long, b long, key long, block int, probe boolean, node long, " + ", ".join(f"{n} long" for n in names)
@@ -347,7 +383,7 @@ def matched(met: DataFrame, names: list[str], make: Callable[[], Matcher]) -> Da
         def put_off(rows: tuple) -> Iterator[pa.RecordBatch]:
             nonlocal done
             key, probe, node, *prints = rows
-            yield fill({"key": pa.array(key), "block": pa.array((done + np.arange(len(key))) // BLOCK, pa.int32()), "probe": pa.array(probe), "node": pa.array(node)} | {n: pa.array(p) for n, p in zip(names, prints, strict=True)})
+            yield fill({"key": pa.array(key), "block": pa.array((done + np.arange(len(key))) // most, pa.int32()), "probe": pa.array(probe), "node": pa.array(node)} | {n: pa.array(p) for n, p in zip(names, prints, strict=True)})
             done += len(key)
 
         for b in nonempty(batches):
@@ -365,7 +401,7 @@ def matched(met: DataFrame, names: list[str], make: Callable[[], Matcher]) -> Da
                 matcher.groups(rows[0][:cut], rows[1][:cut], rows[2][:cut], [x[:cut] for x in rows[3:]])
                 if (out := matcher.ready()) is not None:
                     yield fill({"a": out.column("a"), "b": out.column("b")})
-            if len(held[0][0]) > BLOCK:
+            if len(held[0][0]) > most:
                 large, done = int(held[0][0][0]), 0
                 yield from put_off(held[0])
                 held = []
@@ -442,27 +478,47 @@ def bands(own: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+#: Buckets whose parities tell sets apart.
+PARITIES = 1_024
+MASKS = [f"m{i}" for i in range(PARITIES // 64)]
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each bucket of shingles whether the set has an odd number of them, as 64-bit numbers."""
+    odd = np.bincount((own & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def with_bands(rows: DataFrame, words: int) -> DataFrame:
-    """``node``, the fingerprint ``p0`` and size of its set of shingles, and the set's bands."""
+    """``node``, the fingerprint ``p0`` and size of its set of shingles, the set's bands and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in slices(batches):
             new = {n: i for i, n in enumerate(b.column("node").to_pylist()) if n not in seen}
             seen.update(new)
-            texts, prints, sizes, found = texts_of(b, "text"), [], [], []
+            texts, prints, sizes, found, odd = texts_of(b, "text"), [], [], [], [np.zeros((0, len(MASKS)), np.int64)]
             for i in new.values():
                 own = shingle_set(texts[i], words)
                 prints.append(fingerprint(own))
                 sizes.append(len(own))
                 found.append(bands(own).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(new.keys(), pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["node", "p0", "size", "bands"])
+                odd.append(parities(own)[None])
+            yield pa.RecordBatch.from_arrays([pa.array(new.keys(), pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), *map(pa.array, np.ascontiguousarray(np.concatenate(odd).T))], ["node", "p0", "size", "bands", *MASKS])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, p0 long, size long, bands binary, " + ", ".join(f"{m} long" for m in MASKS))
+
 
-    return rows.select("node", "text").mapInArrow(run, "node long, p0 long, size long, bands binary")
+#: Rows of a key that are looked at together where only those of different labels are paired.
+LABELLED = 1 << 20
 
 
-def apart(nodes: DataFrame, least: float) -> DataFrame:
-    """``a, b``: pairs of ``nodes`` (node, size, bands, label) of different labels that share a band and may be similar by size."""
+def apart(nodes: DataFrame, least: float, stars: bool) -> DataFrame:
+    """``a, b``: pairs of ``nodes`` of different labels that share a band and may be similar.
+
+    ``stars`` takes a few pairs of each group, by size alone.  All pairs are looked at otherwise; only rows under keys of
+    several labels then carry parities, which leave hardly any pair that isn't similar.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8_192):
@@ -471,7 +527,12 @@ def apart(nodes: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.zeros(len(row), bool)), *(pa.array(b.column(c).to_numpy()[row]) for c in ("node", "label", "size"))], ["key", "probe", "node", "label", "size"])
 
     met = nodes.select("node", "size", "bands", "label").mapInArrow(run, "key long, probe boolean, node long, label long, size long")
-    return matched(met, ["label", "size"], lambda: Candidates(least)).distinct()
+    if stars:
+        return matched(met, ["label", "size"], lambda: Stars(least), LABELLED).distinct()
+    by = Window.partitionBy("key")
+    mixed = met.withColumn("_lo", F.min("label").over(by)).withColumn("_hi", F.max("label").over(by)).where("_lo <> _hi").drop("_lo", "_hi")
+    shown = mixed.join(nodes.select("node", *MASKS).hint("merge"), "node").select("key", "probe", "node", "label", "size", *MASKS)
+    return matched(shown, ["label", "size", *MASKS], lambda: Bounded(least), LABELLED).distinct()
 
 
 def similar(rows: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -515,8 +576,10 @@ def similar_labels(rows: DataFrame, words: int, bits: int, least: float) -> Data
     """
     nodes = written(with_bands(rows, words).dropDuplicates(["node"]), "nodes")
     near = similar(rows, links(nodes.select("node", "p0"), ["p0"], bits), words, least)
-    labelled = nodes.join(written(components(near), "labels").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return components(near.unionByName(similar(rows, apart(labelled, least), words, least)))
+    for stars in (True, False):  # a few pairs of each group first, which leave next to nothing of a large group apart
+        labelled = nodes.join(written(components(near), "labels").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        near = near.unionByName(similar(rows, apart(labelled, least, stars), words, least))
+    return components(near)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, bits: int = 4, least: float = 0.8) -> DataFrame:
