@@ -23,8 +23,9 @@ from lotwise.llm.common import nonempty, schema_of, slices, texts_of, training_r
 
 #: The end of a document; no word is empty.
 END = ""
-#: Words with weights of their own at least, words whose counts are broadcast, units of the state, tokens of a window, lanes.
-WORDS, COUNTED, UNITS, WINDOW, LANES = 2_000, 200_000, 16, 32, 512
+#: Words with weights of their own at least, words whose counts are broadcast, units of the state, tokens of a window, lanes
+#: in training and in scoring.
+WORDS, COUNTED, UNITS, WINDOW, LANES, READING = 2_000, 200_000, 16, 32, 512, 1_024
 SHAPES = 32
 #: Every word that occurs so often has weights of its own, so that their number grows with the corpus.
 OFTEN = 1_000
@@ -73,10 +74,10 @@ def vocabulary(counts: DataFrame, words: int = WORDS, counted: int = COUNTED) ->
     k, n = min(words, len(top)), top.n.to_numpy(np.float64)
     root = np.cumsum(np.sqrt(n[:k]))
     bins = np.floor(root / max(1.0, root[-1] if k else 1.0) * 24 * 0.999999).astype(int)
-    word_class, size = np.zeros(k, np.int64), 0
+    word_class, size, most = np.zeros(k, np.int64), 0, max(64, int(1.3 * math.sqrt(k)))
     for i in range(1, k):
         size = size + 1
-        new = bins[i] != bins[i - 1] or size >= 64
+        new = (bins[i] != bins[i - 1] and size >= most // 4 or bins[i] < 8 and bins[i] != bins[i - 1]) or size >= most
         word_class[i] = word_class[i - 1] + new
         size = 0 if new else size
     members = [np.flatnonzero(word_class == c) for c in range(int(word_class[-1]) + 1 if k else 0)]
@@ -102,13 +103,26 @@ def parameters(v: Vocabulary, units: int, seed: int = 3) -> dict[str, np.ndarray
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """The logistic function, in place."""
-    x *= 0.5
-    np.tanh(x, out=x)
+    np.negative(x, out=x)
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
     x += 1
-    x *= 0.5
+    return np.reciprocal(x, out=x)
+
+
+def tanh(x: np.ndarray) -> np.ndarray:
+    """The hyperbolic tangent, in place, by the exponential, which is the faster."""
+    x *= 2
+    sigmoid(x)
+    x *= 2
+    x -= 1
     return x
 
 
+#: Rows whose scores of all classes fit a core's cache.
+CACHED = 768
+
+
 class Lanes:
     """Documents laid end to end in parallel lanes, which are read in step."""
 
@@ -152,48 +166,57 @@ class Network:
         """States of a window (steps, lanes, units), and what backpropagation needs of it."""
         u, w = self.units, self.p["state"]
         x = self.p["input"][inputs]
+        to_gates, to_new = np.ascontiguousarray(x[..., : 2 * u]), np.ascontiguousarray(x[..., 2 * u :])
         states = np.empty((*inputs.shape, u), x.dtype)
-        before_, gates_, new_, inner_ = (np.empty((*inputs.shape, n), x.dtype) for n in (u, 2 * u, u, u)) if keep else (None,) * 4
+        before_, inner_ = (np.empty((*inputs.shape, u), x.dtype) for _ in range(2)) if keep else (None, None)
         for t in range(len(inputs)):
             before = h * carries[t][:, None]
             a = before @ w
-            gates = x[t, :, : 2 * u]
+            gates, new, inner = to_gates[t], to_new[t], a[:, 2 * u :]
             gates += a[:, : 2 * u]
             sigmoid(gates)
-            z, r = gates[:, :u], gates[:, u:]
-            new = r * a[:, 2 * u :]
-            new += x[t, :, 2 * u :]
-            np.tanh(new, out=new)
+            new += gates[:, u:] * inner
+            tanh(new)
             h = before - new
-            h *= z
+            h *= gates[:, :u]
             h += new
             states[t] = h
             if keep:
-                before_[t], gates_[t], new_[t], inner_[t] = before, gates, new, a[:, 2 * u :]
-        return states, (before_, gates_, new_, inner_), h
+                before_[t], inner_[t] = before, inner
+        return states, (before_, to_gates, to_new, inner_), h
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
         """Natural log of each target's class and, for words with weights, of the word in its class."""
         p, k = self.p, self.v.words
-        e = states @ p["to_class"]
-        e += p["class_bias"]
-        np.minimum(e, 60, out=e)
         cls = np.where(targets < k, self.v.word_class[np.minimum(targets, max(0, k - 1))], targets - k + len(self.v.members)) if k else targets + len(self.v.members)
-        rows = np.arange(len(targets))
-        out = e[rows, cls]
-        np.exp(e, out=e)
-        total = e @ np.ones(e.shape[1], e.dtype)
-        out -= np.log(total)
-        grads = {}
+        rows, kind = np.arange(len(targets)), states.dtype
+        w, bias = p["to_class"], p["class_bias"]
+        ones, safe = np.ones(len(bias), kind), float((np.abs(w).sum(axis=0) + np.abs(bias)).max()) < 60
+        both, given = np.concatenate([w, bias[None]]), np.concatenate([states, np.ones((len(states), 1), kind)], axis=1)
+        out, grads = np.empty(len(targets), kind), {}
+        if learn:
+            grad, back = np.zeros_like(both), np.empty_like(states)
+        for lo in range(0, len(targets), CACHED):
+            s, c = given[lo : lo + CACHED], cls[lo : lo + CACHED]
+            own = rows[: len(c)]
+            e = s @ both
+            if not safe:
+                np.minimum(e, 60, out=e)
+            one = e[own, c]
+            np.exp(e, out=e)
+            total = e @ ones
+            out[lo : lo + CACHED] = one - np.log(total)
+            if learn:
+                e *= (1 / total)[:, None]
+                e[own, c] -= 1
+                grad += s.T @ e
+                back[lo : lo + CACHED] = e @ w.T
         order = np.argsort(cls.astype(np.int16) if self.v.classes < 1 << 15 else cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(len(self.v.members) + 1))
         inside = order[: cuts[-1]]
-        s_all, slots, more = states[inside], self.v.slot[targets[inside]] if k else targets[inside], np.zeros(len(inside), e.dtype)
+        s_all, slots, more = states[inside], self.v.slot[targets[inside]] if k else targets[inside], np.zeros(len(inside), kind)
         if learn:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["to_class"], grads["class_bias"] = states.T @ e, np.ones(len(e), e.dtype) @ e
-            back = e @ p["to_class"].T
+            grads["to_class"], grads["class_bias"] = grad[:-1], grad[-1]
             grads["to_word"], grads["word_bias"] = np.zeros_like(p["to_word"]), np.zeros_like(p["word_bias"])
             back_in = np.zeros_like(s_all)
         for c, m in enumerate(self.v.members):
@@ -435,10 +458,10 @@ def likelihoods(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, p = held.value
         network = Network(vocabulary, p)
-        for whole in slices(batches, 4_096):
+        for whole in nonempty(batches):
             for b, codes, sizes in _together(whole):
                 row, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
-                lanes = _laid(codes, sizes, vocabulary)
+                lanes = _laid(codes, sizes, vocabulary, READING)
                 _, target = sequences(codes, sizes, vocabulary)
                 own = np.where(codes >= 0, vocabulary.log_count[np.maximum(codes, 0)] if len(vocabulary.log_count) else 0.0, 0.0)
                 in_tail = target >= vocabulary.words
