@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.operators.durable import durable
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], version: str, keep_first: tuple[str, ...] = ()) -> DataFrame:
     """One row a key: the newest version's values; where these are null, and for ``keep_first``, earlier ones."""
@@ -25,15 +27,18 @@ def repoint(edges: DataFrame, merges: DataFrame, column: str) -> DataFrame:
 
 
 def final_survivor(merges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Chains of merges followed to their ends; ``rounds`` doublings reach chains of 2 ** rounds."""
+    """Chains of merges followed to their ends; ``rounds`` doublings reach chains of 2 ** rounds.
+
+    A cycle of merges never ends, so merges that are not settled by then raise ValueError.
+    """
     found = merges.select("old", "survivor")
     for _ in range(rounds):
         onward = found.select(F.col("old").alias("survivor"), F.col("survivor").alias("_next"))
         after = found.join(onward, "survivor", "left").select("old", F.coalesce("_next", "survivor").alias("survivor"))
         if not after.join(found, ["old", "survivor"], "left_anti").take(1):
-            break
-        found = after.checkpoint() if after.sparkSession.sparkContext.getCheckpointDir() else after
-    return found
+            return found
+        found = durable(after)
+    raise ValueError("merges form a cycle")
 
 
 def with_reason(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:

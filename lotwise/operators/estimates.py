@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.operators.learn import running_sums
+
 
 def median(c: str | Column) -> Column:
     return F.percentile(c, F.lit(0.5))
@@ -95,11 +97,11 @@ def blend(witnesses: DataFrame, key: str, temperature: float = 1.0, freedom: flo
 def ranked_area(df: DataFrame, score: str, label: str) -> DataFrame:
     """``auc, positives, negatives``: chance that a positive outranks a negative, ties a half, from average ranks.
 
-    Ranks come from counts by distinct score, so the window runs over scores, not rows.
+    Ranks come from counts by distinct score, so windows run over ranges of scores, not rows.
     """
     by = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("p"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = by.withColumn("rank", below + (F.col("n") + 1) / 2)
+    sums = running_sums(by, score, ["n"])
+    ranks = sums.withColumn("rank", F.col("all_n") - F.col("sum_n") + (F.col("n") + 1) / 2)
     s = ranks.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
     return s.select(((F.col("r") - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * F.col("negatives"))).alias("auc"), "positives", "negatives")
 

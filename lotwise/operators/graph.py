@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.operators.durable import durable
 
-def least_reachable(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, least): each pair with the least of u and its partners."""
+    return pairs.join(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")), "u")
+
+
+def least_reachable(pairs: DataFrame) -> DataFrame:
     """(node, component) of every node of undirected pairs (a, b): the least node it is connected with.
 
-    Labels spread to neighbours and then jump to their labels' labels, so rounds grow with the logarithm of a chain; each
-    round is checkpointed.
+    Alternating stars: each round ties a node's larger neighbours, then its smaller ones, to the least node it knows, so a
+    chain takes about the logarithm of its length; rounds go on until nothing changes, and each is checkpointed.
     """
-    spark = pairs.sparkSession
-    durable = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    edges = durable(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = durable(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
-        near = edges.join(label, edges.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        spread = label.join(near, "node").select("node", F.least("component", "near").alias("component"))
-        jump = spread.select(F.col("node").alias("component"), F.col("component").alias("onward"))
-        after = durable(spread.join(jump, "component", "left").select("node", F.coalesce("onward", "component").alias("component")))
-        changed = after.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").take(1)
-        label = after
-        if not changed:
+    edges = durable(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
+    while True:
+        mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == seen or not mark[0]:
             break
-    return label
+        seen = mark
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        small = _with_least(large)
+        tied = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))
+        edges = durable(tied.where("u <> v").distinct())
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def weighted_degree(edges: DataFrame, node: str, weight: Column) -> DataFrame:

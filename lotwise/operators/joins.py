@@ -6,23 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, values: list[str], strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, values: list[str], strict: bool = False, every: int | None = None) -> DataFrame:
     """``left`` with ``values`` of the latest right row of its keys whose ``since`` is not after ``at`` (before, if strict).
 
-    Both sides go through one window by key, so cost is a sort, not a join of every pair; right ties must not occur.
+    Both sides go through one window by key, so cost is a sort, not a join of every pair; right ties must not occur.  With
+    ``every`` a key is cut into stretches of that length (seconds of timestamps, days of dates, else plain numbers), each
+    sorted by itself, and what the last stretch knew is handed to the next; a hot key is then spread over its stretches.
     """
     both = F.struct(*(F.col(v) for v in values)).alias("_found")
     facts = left.withColumns({"_at": F.col(at), "_side": F.lit(0 if strict else 1)}).withColumn("_found", F.lit(None).cast(right.select(both).schema[0].dataType))
     marks = right.select(*keys, F.col(since).alias("_at"), F.lit(1 if strict else 0).alias("_side"), both)
-    past = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mine = 0 if strict else 1
-    found = facts.unionByName(marks, allowMissingColumns=True).withColumn("_found", F.last("_found", True).over(past)).where(F.col("_side") == mine)
+    rows = facts.unionByName(marks, allowMissingColumns=True)
+    stretch = [] if every is None else ["_stretch"]
+    if every is not None:
+        kind = right.schema[since].dataType.typeName()
+        number = F.unix_seconds(F.col("_at").cast("timestamp")) if kind.startswith("timestamp") else F.unix_date("_at") if kind == "date" else F.col("_at")
+        rows = rows.withColumn("_stretch", F.floor(number / every))
+    past = Window.partitionBy(*keys, *stretch).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_found", F.last("_found", True).over(past)).where(F.col("_side") == mine)
+    if every is not None:
+        last = rows.groupBy(*keys, "_stretch").agg(F.max_by("_found", F.when(F.col("_found").isNotNull(), F.col("_at"))).alias("_last"))
+        earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        known = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_stretch").alias("_s"), F.last("_last", True).over(earlier).alias("_carried"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        on = F.col("_stretch").eqNullSafe(F.col("_s"))
+        for c in same:
+            on = on & c
+        found = found.join(known, on, "left").withColumn("_found", F.coalesce("_found", "_carried"))
     return found.select(*left.columns, *(F.col("_found")[v].alias(v) for v in values))
 
 
+#: A step function of at most so many steps is sent to every task.
+STEPS = 10_000
+
+
 def step_lookup(left: DataFrame, steps: DataFrame, year: str, step: str, value: str) -> DataFrame:
-    """A step function's value at a year: that of the latest step at or before it, else of the earliest step."""
-    found = asof(left.withColumn("_all", F.lit(1)), steps.select(F.lit(1).alias("_all"), step, value), ["_all"], year, step, [value])
+    """A step function's value at a year: that of the latest step at or before it, else of the earliest step.
+
+    Up to ``STEPS`` steps go to every task as one sorted array, so ``left`` isn't moved; with more both sides go through
+    one window by decade of the step.
+    """
+    if steps.limit(STEPS + 1).count() <= STEPS:
+        every = steps.agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v")))).alias("_steps"))
+        at = F.filter("_steps", lambda x: x["s"] <= F.col(year))
+        found = F.coalesce(F.try_element_at(at, F.lit(-1)), F.try_element_at("_steps", F.lit(1)))
+        return left.crossJoin(F.broadcast(every)).select(*left.columns, found["v"].alias(value))
+    found = asof(left.withColumn("_all", F.lit(1)), steps.select(F.lit(1).alias("_all"), step, value), ["_all"], year, step, [value], every=10)
     first = steps.agg(F.min_by(value, step).alias("_first"))
     return found.crossJoin(F.broadcast(first)).withColumn(value, F.coalesce(value, "_first")).select(*left.columns, value)
 

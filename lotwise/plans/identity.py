@@ -78,23 +78,25 @@ def likeness_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.least_reachable(class_pairs(spark, sf_dir).where(F.col("s") >= NEAR).select("a", "b"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS y FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1),
+CONNECTED = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS y FROM lineitem),
 pairs AS (SELECT DISTINCT a.x AS a, b.x AS b FROM e a JOIN e b ON a.y = b.y AND a.x <> b.x), reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
-SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a""")
-def artist_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artists connected through works they share, among marked lots."""
-    marked = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1D").select(F.col("l_suppkey").alias("artist"), F.col("l_partkey").alias("work"))
-    return graph.least_reachable(joins.blocked_pairs(marked, "work", "artist").select("a", "b"))
+SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a"""
 
 
-@query()
-def all_artist_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artists connected through works they share, among all lots; a work's artists are tied to the least of them."""
+@query(CONNECTED)
+def artist_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artists connected through works they share; a work's artists are tied to the least of them, so no pairs are made."""
     lots = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("work")).distinct()
     least = lots.groupBy("work").agg(F.min("a").alias("b"))
     return graph.least_reachable(lots.join(least, "work").where("a <> b").select("a", "b").distinct())
 
 
+@query(CONNECTED)
+def all_artist_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under its earlier name."""
+    return artist_components(spark, sf_dir)
+
+
 @query("""SELECT l_suppkey AS artist, round(sum(CASE WHEN l_returnflag = 'A' THEN 1.0 WHEN l_returnflag = 'N' THEN 0.5 ELSE 0.1 END), 4) AS degree, count(*) AS edges FROM lineitem GROUP BY 1""")
 def weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each artist's edges weighted by how sure the attribution is."""
@@ -103,22 +105,23 @@ def weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("l_suppkey").alias("artist"), F.round("degree", 4).alias("degree"), "edges")
 
 
-@query("""WITH h AS (SELECT DISTINCT l_suppkey AS node, p_brand || p_type || (p_size // 10) AS feature FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40), s AS (SELECT node, count(*) AS n FROM h GROUP BY 1 HAVING count(*) >= 5),
+SIMILAR = """WITH h AS (SELECT DISTINCT l_suppkey AS node, p_brand || p_type || (p_size // 10) AS feature FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT node, count(*) AS n FROM h GROUP BY 1 HAVING count(*) >= 5),
 p AS (SELECT a.node AS a, b.node AS b, sa.n AS na, sb.n AS nb, count(*) AS common FROM h a JOIN h b ON a.feature = b.feature AND a.node <> b.node JOIN s sa ON sa.node = a.node JOIN s sb ON sb.node = b.node GROUP BY 1, 2, 3, 4),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY common / (na + nb - common) DESC, b) AS rank FROM p) SELECT a, b, CAST(rank AS INTEGER) AS rank, round(common / (na + nb - common), 6) AS similarity FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY common / (na + nb - common) DESC, b) AS rank FROM p) SELECT a, b, CAST(rank AS INTEGER) AS rank, round(common / (na + nb - common), 6) AS similarity FROM r WHERE rank <= 5"""
+
+
+@query(SIMILAR)
 def similar_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each artist's five most similar by the kinds of work sold in large editions."""
+    """Each artist's five most similar by the kinds of work sold."""
     kind = F.concat("series", "technique", F.floor(F.col("size") / 10).cast("string"))
-    edges = sales(spark, sf_dir).where("edition > 40").join(works(spark, sf_dir).withColumn("kind", kind).select("work", "kind"), "work")
+    edges = sales(spark, sf_dir).select("artist", "work").distinct().join(works(spark, sf_dir).withColumn("kind", kind).select("work", "kind"), "work")
     return graph.similar_nodes(edges, "artist", "kind", 5, 5).select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(SIMILAR)
 def all_similar_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each artist's five most similar by the kinds of work sold, among all lots."""
-    kind = F.concat("series", "technique", F.floor(F.col("size") / 10).cast("string"))
-    edges = sales(spark, sf_dir).join(works(spark, sf_dir).withColumn("kind", kind).select("work", "kind"), "work")
-    return graph.similar_nodes(edges, "artist", "kind", 5, 5).select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
+    """The same under its earlier name."""
+    return similar_artists(spark, sf_dir)
 
 
 @query("""WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer), r AS (SELECT s_suppkey AS target, s_name AS name FROM supplier),

@@ -172,7 +172,7 @@ def asof_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with its type's mean of the latest earlier day, as a rate of exchange is looked up."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("date").alias("at"), "value")
     days = events.groupBy("event_type", F.col("at").alias("day")).agg(F.avg("value").alias("rate")).withColumn("rate_day", F.col("day").cast("string"))
-    return joins.asof(events, days, ["event_type"], "at", "day", ["rate_day", "rate"], strict=True).select("event_id", "event_type", "rate_day", F.round("rate", 6).alias("rate"))
+    return joins.asof(events, days, ["event_type"], "at", "day", ["rate_day", "rate"], strict=True, every=7).select("event_id", "event_type", "rate_day", F.round("rate", 6).alias("rate"))
 
 
 @query(f"""WITH {HEADERS}, d AS (SELECT owner, offered, max(estimate) AS estimate FROM headers GROUP BY 1, 2)

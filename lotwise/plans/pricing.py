@@ -54,7 +54,15 @@ def size_price_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lots.agg(F.lit(round(slope, 8)).alias("slope"), F.lit(round(intercept, 6)).alias("intercept"), F.count("*").alias("n"))
 
 
-@query()
+BLENDED = f"""{COMPS}, b AS (SELECT probe, tier, median(ln(CAST(hammer AS DOUBLE))) AS mu, stddev_samp(ln(CAST(hammer AS DOUBLE))) AS sd, count(*) AS n FROM found GROUP BY 1, 2),
+w AS (SELECT probe, mu, greatest(0.2, coalesce(sd, 0.8) / sqrt(n)) AS sigma, CASE tier WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS weight FROM b),
+m AS (SELECT probe, sum(weight * mu) / sum(weight) AS mean, count(*) AS n, sqrt(sum(weight * pow(mu, 2)) / sum(weight) - pow(sum(weight * mu) / sum(weight), 2)) AS apart, sum(weight * sigma) / sum(weight) AS own FROM w GROUP BY 1),
+g AS (SELECT m.probe, i, any_value(mean) AS mean, -sum(weight * (ln(sigma) + 3 * ln(1 + pow((mean - 4 + i * (8.0::DOUBLE / 600) - mu) / sigma, 2) / 5))) AS l FROM m JOIN w USING (probe), range(601) r(i) GROUP BY 1, 2),
+d AS (SELECT *, exp(l - max(l) OVER (PARTITION BY probe)) AS v FROM g), c AS (SELECT *, sum(v) OVER (PARTITION BY probe ORDER BY i) AS cum, sum(v) OVER (PARTITION BY probe) AS total FROM d),
+q AS (SELECT probe, {', '.join(f"exp(min(mean - 4 + (i + 0.5::DOUBLE) * (8.0::DOUBLE / 600) - (8.0::DOUBLE / 600) * (cum - {q} * total) / v) FILTER (cum >= {q} * total AND cum - v < {q} * total)) AS {n}" for n, q in (('p10', 0.1), ('median', 0.5), ('p90', 0.9)))} FROM c GROUP BY 1)"""
+
+
+@query(f"WITH {BLENDED.removeprefix('WITH ')} SELECT probe, n, round(median, 4) AS median, round(p10, 4) AS p10, round(p90, 4) AS p90, round(coalesce(apart, 0) / own, 4) AS divergence FROM m JOIN q USING (probe)")
 def blended_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price with its range for each work, from its own, its artist's and its technique's earlier sales."""
     lots = comparables(spark, sf_dir).withColumn("y", F.log(F.col("hammer").cast("double")))
@@ -63,13 +71,17 @@ def blended_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.blend(witnesses, "probe").select("probe", "n", *(F.round(c, 4).alias(c) for c in ("median", "p10", "p90", "divergence")))
 
 
-@query(f"""WITH {SALES}, p AS (SELECT work, hammer, sale_date, avg(ln(CAST(hammer AS DOUBLE))) OVER (PARTITION BY artist) AS mu FROM sales WHERE hammer > 0)
-SELECT CAST(year(sale_date) AS INTEGER) AS year, count(*) AS n, round(avg(abs(ln(CAST(hammer AS DOUBLE)) - mu)), 6) AS mae, round(avg(CASE WHEN abs(ln(CAST(hammer AS DOUBLE)) - mu) <= ln(2) THEN 1.0 ELSE 0.0 END), 6) AS within_double, round(exp(avg(ln(CAST(hammer AS DOUBLE)) - mu)), 6) AS ratio FROM p GROUP BY 1""")
+@query(f"""WITH {LOGS}, d AS (SELECT artist, sale_date, sum(y) AS s, count(*) AS c FROM logs GROUP BY 1, 2), k AS (SELECT artist, sale_date, sum(s) OVER w / sum(c) OVER w AS mu FROM d WINDOW w AS (PARTITION BY artist ORDER BY sale_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+e AS (SELECT CAST(year(sale_date) AS INTEGER) AS year, y - mu AS e FROM logs JOIN k USING (artist, sale_date) WHERE mu IS NOT NULL)
+SELECT year, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(avg(CASE WHEN abs(e) <= ln(2) THEN 1.0 ELSE 0.0 END), 6) AS within_double, round(exp(avg(e)), 6) AS ratio FROM e GROUP BY 1""")
 def error_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error of an artist's mean level as a forecast, by year."""
-    y = F.log(F.col("hammer").cast("double"))
-    off = sales(spark, sf_dir).where("hammer > 0").select("sale_date", (y - F.avg(y).over(Window.partitionBy("artist"))).alias("e"))
-    return off.groupBy(F.year("sale_date").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs("e")), 6).alias("mae"), F.round(F.avg((F.abs("e") <= F.log(F.lit(2.0))).cast("double")), 6).alias("within_double"), F.round(F.exp(F.avg("e")), 6).alias("ratio"))
+    """Error of an artist's mean level over strictly earlier sales as a forecast, by year."""
+    lots = logs(spark, sf_dir)
+    days = lots.groupBy("artist", "sale_date").agg(F.sum("y").alias("s"), F.count("*").alias("c"))
+    w = Window.partitionBy("artist").orderBy(F.unix_date("sale_date")).rangeBetween(Window.unboundedPreceding, -1)
+    known = days.select("artist", "sale_date", (F.sum("s").over(w) / F.sum("c").over(w)).alias("mu")).where("mu IS NOT NULL")
+    off = lots.join(known, ["artist", "sale_date"]).select(F.year("sale_date").alias("year"), (F.col("y") - F.col("mu")).alias("e"))
+    return off.groupBy("year").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("e")), 6).alias("mae"), F.round(F.avg((F.abs("e") <= F.log(F.lit(2.0))).cast("double")), 6).alias("within_double"), F.round(F.exp(F.avg("e")), 6).alias("ratio"))
 
 
 @query("""WITH r AS (SELECT toxic, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM labels JOIN documents USING (doc_id))
@@ -121,9 +133,12 @@ def precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("work", source.alias("source"), verdict.alias("verdict"))
 
 
-@query(f"""WITH {LOGS}, m AS (SELECT avg(edition) AS me, avg(premium) AS mp FROM logs) SELECT work, round(avg(-0.004 * (edition - me)), 6) AS edition_effect, round(avg(1.5 * (premium - mp)), 6) AS premium_effect FROM logs, m GROUP BY work""")
+@query(f"""WITH {LOGS}, m AS (SELECT avg(edition) AS me, avg(premium) AS mp, var_pop(edition) AS s11, var_pop(premium) AS s22, covar_pop(edition, premium) AS s12, covar_pop(edition, y) AS s1y, covar_pop(premium, y) AS s2y FROM logs),
+b AS (SELECT me, mp, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m)
+SELECT work, round(avg(b1 * (edition - me)), 6) AS edition_effect, round(avg(b2 * (premium - mp)), 6) AS premium_effect FROM logs, b GROUP BY work""")
 def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What edition and premium add to each work's log price, against the corpus mean; the means are one row."""
+    """What edition and premium add to each work's log price against the corpus mean, by a fit of both; means and slopes are one row."""
     lots = logs(spark, sf_dir)
+    _, b1, b2 = estimates.pooled_line(lots, ["edition", "premium"], "y")
     means = lots.agg(F.avg("edition").alias("me"), F.avg("premium").alias("mp"))
-    return lots.crossJoin(F.broadcast(means)).groupBy("work").agg(F.round(F.avg(-0.004 * (F.col("edition") - F.col("me"))), 6).alias("edition_effect"), F.round(F.avg(1.5 * (F.col("premium") - F.col("mp"))), 6).alias("premium_effect"))
+    return lots.crossJoin(F.broadcast(means)).groupBy("work").agg(F.round(F.avg(b1 * (F.col("edition") - F.col("me"))), 6).alias("edition_effect"), F.round(F.avg(b2 * (F.col("premium") - F.col("mp"))), 6).alias("premium_effect"))

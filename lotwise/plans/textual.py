@@ -110,14 +110,15 @@ def title_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round(text.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"), F.round(strings.jaro_winkler_of("a", "b"), 6).alias("name_likeness"), F.levenshtein("a", "b").alias("substitutions"))
 
 
-@query()
+@query("WITH t AS (SELECT DISTINCT p_name AS t FROM part) SELECT x.t AS a, y.t AS b, damerau_levenshtein(x.t, y.t) AS edits FROM t x JOIN t y ON x.t < y.t WHERE damerau_levenshtein(x.t, y.t) <= 3")
 def typo_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles at most three edits apart, a swap of neighbours counting as one."""
     from lotwise.functions import strings
 
     t = works(spark, sf_dir).select("title").distinct()
     pairs = t.select(F.col("title").alias("a")).join(t.select(F.col("title").alias("b")), F.col("a") < F.col("b"))
-    return pairs.where(F.abs(F.length("a") - F.length("b")) <= 3).withColumn("edits", strings.typo_distance_of("a", "b")).where("edits <= 3")
+    near = pairs.where((F.abs(F.length("a") - F.length("b")) <= 3) & (F.levenshtein("a", "b", 6) >= 0))  # a swap is two plain edits
+    return near.withColumn("edits", strings.typo_distance_of("a", "b")).where("edits <= 3")
 
 
 @query("""WITH t AS (SELECT p_partkey AS work, p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) AS body FROM part), w AS (SELECT work, unnest(string_split(body, ' ')) AS word FROM t), f AS (SELECT work, word, count(*) AS tf FROM w GROUP BY 1, 2),
@@ -150,13 +151,13 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.md5("props").alias("digest"))
 
 
-@query("""WITH d AS (SELECT doc_id, lang, string_split(lower(coalesce(text, '')), ' ') AS w FROM documents), p AS (SELECT doc_id, lang, w[1] || ' ' || w[2] || ' ' || w[3] AS block FROM d WHERE len(w) >= 3), s AS (SELECT block FROM p GROUP BY block HAVING count(*) BETWEEN 2 AND 30)
+@query("""WITH d AS (SELECT doc_id, lang, string_split(lower(coalesce(text, '')), ' ') AS w FROM documents), p AS (SELECT doc_id, lang, w[1] || ' ' || w[2] || ' ' || w[3] AS block FROM d WHERE len(w) >= 3), s AS (SELECT block FROM p GROUP BY block HAVING count(*) BETWEEN 2 AND 300)
 SELECT a.doc_id AS a, b.doc_id AS b, 1 AS shared FROM p a JOIN p b ON a.block = b.block AND a.doc_id < b.doc_id WHERE a.block IN (SELECT block FROM s)""")
 def blocked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents that begin with the same three words, of blocks that aren't too common to say anything."""
+    """Pairs of documents that begin with the same three words, of blocks of up to 300; ``document_blocks`` has them all, as classes."""
     w = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
     blocks = table(spark, sf_dir, "documents").where(F.size(w) >= 3).select("doc_id", F.array_join(F.slice(w, 1, 3), " ").alias("block"))
-    return joins.blocked_pairs(blocks, "block", "doc_id", 30).select("a", "b", F.col("shared").cast("int").alias("shared"))
+    return joins.blocked_pairs(blocks, "block", "doc_id", 300).select("a", "b", F.col("shared").cast("int").alias("shared"))
 
 
 @query("""WITH d AS (SELECT doc_id, string_split(lower(coalesce(text, '')), ' ') AS w FROM documents), p AS (SELECT DISTINCT doc_id, w[1] || ' ' || w[2] || ' ' || w[3] AS block FROM d WHERE len(w) >= 3),
