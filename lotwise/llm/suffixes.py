@@ -2,10 +2,10 @@
 
 A window of ``length`` bytes is represented by the suffix at its minimiser, the place in the window whose ``GRAM`` bytes
 hash lowest.  Equal windows have equal minimisers at equal offsets, so only suffixes that agree need be compared, and
-windows next to one another share a suffix.  Suffixes are sorted by tokens that hash their bytes: first those that all
-the windows of a suffix contain (the core), then all the bytes its windows cover (the content).  Sampled splitters
-range-partition them by these tokens; each bucket is sorted by multikey quicksort and neighbours are compared, as are the
-edges of buckets with the splitters next to them.  Suffixes of equal content repeat in whole.  Those that share the core
+windows next to one another share a suffix.  Suffixes are sorted by their leading eight bytes as they stand, then by tokens
+that hash further bytes: those that all the windows of a suffix contain (the core), then all the bytes its windows cover
+(the content), by another hash function.  Sampled splitters range-partition them by these tokens; each bucket is sorted by
+multikey quicksort and neighbours are compared, as are the edges of buckets with the splitters next to them.  Suffixes of equal content repeat in whole.  Those that share the core
 only are cut into suffixes of fewer windows, twice, until each holds one window, whose core is its content.
 """
 
@@ -23,24 +23,29 @@ from pyspark.sql import types as T
 from lotwise.llm.common import byte_buffer, nonempty
 
 GRAM = 40
+#: Bytes of a suffix that are its first token.
+LEADING = 8
 #: Bytes hashed at a time, whatever the lengths of texts.
 PIECE = 1 << 18
 #: Windows of a suffix: all that share the minimiser, then so many, then one.
 NARROWER = 14
+#: Bytes of text to a bucket at most, so that buckets grow in number, not in size.
+BUCKET = 64 << 20
 #: Documents from which splitters are drawn; they steer balance, never results.
 SAMPLED = 512
 
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Multipliers of the two hash functions of byte ranges.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 U = np.uint64
 
 SUFFIX, WITNESS, SPAN = 0, 1, 2
 
 
-@lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse for i < n, modulo 2 ** 64."""
+@lru_cache(maxsize=4)
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and its inverse for i < n, modulo 2 ** 64."""
     out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
+    for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(n, b, U)
         p[0] = 1
         out.append(np.cumprod(p, dtype=U))
@@ -58,8 +63,8 @@ def mixed(x: np.ndarray, salt: int | np.ndarray = 0) -> np.ndarray:
 class Hasher:
     """Hashes of byte ranges of a piece, from sums of its prefixes."""
 
-    def __init__(self, data: np.ndarray):
-        self.up, down = powers(PIECE + 1024)
+    def __init__(self, data: np.ndarray, which: int = 0):
+        self.up, down = powers(PIECE + 1024, BASES[which])
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum((data.astype(U) + U(1)) * down[: len(data)], out=self.sums[1:])
 
@@ -121,22 +126,24 @@ def narrower(suffixes: np.ndarray, width: int) -> np.ndarray:
     return np.stack([doc[row], m[row], np.maximum(lo[row], k * width), np.minimum(hi[row], (k + 1) * width - 1)])
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, suffixes: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Core and content of every suffix as signed numbers."""
+def tokens(data: np.ndarray, offsets: np.ndarray, suffixes: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leading bytes, core and content of every suffix as signed numbers; the first in the order of the bytes."""
     doc, m, lo, hi = suffixes
-    core, content = np.zeros(len(doc), U), np.zeros(len(doc), U)
+    lead, core, content = np.zeros(len(doc), U), np.zeros(len(doc), U), np.zeros(len(doc), U)
     at = m + offsets[doc]
+    for i in range(LEADING):
+        lead = lead << U(8) | data[at + i].astype(U)
     group = lo // width * width
     turn = np.argsort((at - hi) // PIECE, kind="stable")
     cuts = np.searchsorted(((at - hi) // PIECE)[turn], np.arange(len(data) // PIECE + 2))
     for k, p in enumerate(pieces(len(data))):
         own = turn[cuts[k] : cuts[k + 1]]
         if len(own):
-            h, place = Hasher(data[p : p + PIECE + 2 * length]), at[own] - p
+            h, h2, place = (*(Hasher(data[p : p + PIECE + 2 * length], k) for k in (0, 1)), at[own] - p)
             g = group[own]
             core[own] = mixed(h.ranges(place - g, place - g - width + 1 + length), (g + 1).astype(U) << U(20) | U(width))
-            content[own] = mixed(h.ranges(place - hi[own], place - lo[own] + length), (lo[own] << 10 | hi[own]).astype(U) << U(20) | U(width))
-    return core.view(np.int64), content.view(np.int64)
+            content[own] = mixed(h2.ranges(place - hi[own], place - lo[own] + length), (lo[own] << 10 | hi[own]).astype(U) << U(20) | U(width))
+    return (lead ^ U(1 << 63)).view(np.int64), core.view(np.int64), content.view(np.int64)
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -166,78 +173,85 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], (reach - shift)[np.append(new[1:], len(doc)) - 1]
 
 
-_ROWS = "bucket int, kind int, core long, content long, k1 long, k2 long, at long"
+_ROWS = "bucket int, kind int, lead long, core long, content long, k1 long, k2 long, at long"
 
 
-def _batch(bucket, kind, core, content, k1, k2, at) -> pa.RecordBatch:
+def _batch(bucket, kind, lead, core, content, k1, k2, at) -> pa.RecordBatch:
     n = len(k1)
     one = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), n).astype(t))
-    return pa.RecordBatch.from_arrays([one(bucket, np.int32), one(kind, np.int32), *(one(x, np.int64) for x in (core, content, k1, k2, at))], ["bucket", "kind", "core", "content", "k1", "k2", "at"])
+    return pa.RecordBatch.from_arrays([one(bucket, np.int32), one(kind, np.int32), *(one(x, np.int64) for x in (lead, core, content, k1, k2, at))], ["bucket", "kind", "lead", "core", "content", "k1", "k2", "at"])
 
 
-def bucket_of(core: np.ndarray, content: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """How many splitters are at most (core, content)."""
-    lo, hi = np.searchsorted(splitters[0], core, "left"), np.searchsorted(splitters[0], core, "right")
-    for i in np.flatnonzero(hi > lo):
-        hi[i] = lo[i] + np.searchsorted(splitters[1][lo[i] : hi[i]], content[i], "right")
-    return hi
+def bucket_of(keys: tuple[np.ndarray, ...], splitters: np.ndarray) -> np.ndarray:
+    """How many splitters are at most (lead, core, content)."""
+    lead, core, content = keys
+    lo, hi = np.searchsorted(splitters[0], lead, "left"), np.searchsorted(splitters[0], lead, "right")
+    tied = np.flatnonzero(hi > lo)
+    if len(tied):  # rows that lead like a splitter: by their further tokens
+        x, y, at = core[tied], content[tied], lead[tied]
+        for j in range(int(lo[tied].min()), int(hi[tied].max())):
+            c, d = splitters[1][j], splitters[2][j]
+            lo[tied] += (at == splitters[0][j]) & ((x > c) | ((x == c) & (y >= d)))
+    return lo
 
 
-def asked(suffixes: np.ndarray, core: np.ndarray, content: np.ndarray, k1: np.ndarray, k2: np.ndarray, length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
+def asked(suffixes: np.ndarray, keys: tuple[np.ndarray, ...], k1: np.ndarray, k2: np.ndarray, length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows to be sorted.  What repeats within the batch is settled here and leaves one witness for other batches."""
     doc, m, lo, hi = suffixes
-    order = multikey_order([core, content])
-    same = (core[order[1:]] == core[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+    order = multikey_order(list(keys))
+    same = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
     again, before = np.concatenate([same, [False]])[: len(order)], np.concatenate([[False], same])[: len(order)]
     single, first, all_of = order[~again & ~before], order[again & ~before], order[again | before]
     d, s, e = merged(doc[all_of], (m - hi)[all_of], (m - lo)[all_of] + length)
     buckets = len(splitters[0]) + 1
     if len(d):
-        yield _batch(np.arange(len(d)) % buckets, SPAN, s, e, k1[d], k2[d], 0)
+        yield _batch(np.arange(len(d)) % buckets, SPAN, 0, s, e, k1[d], k2[d], 0)
     for rows, kind in ((single, SUFFIX), (first, WITNESS)):
         if len(rows):
-            x, y = core[rows], content[rows]
-            yield _batch(bucket_of(x, y, splitters), kind, x, y, k1[doc[rows]], k2[doc[rows]], (m << 20 | lo << 10 | hi)[rows])
+            own = tuple(k[rows] for k in keys)
+            yield _batch(bucket_of(own, splitters), kind, *own, k1[doc[rows]], k2[doc[rows]], (m << 20 | lo << 10 | hi)[rows])
 
 
 def answered(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of a sorted bucket: the spans of suffixes whose content repeats, and suffixes of which only the core does."""
     held, edges = [], set()
     for b in nonempty(batches):
-        c = [b.column(i).to_numpy() for i in range(7)]
+        c = [b.column(i).to_numpy() for i in range(8)]
         span = c[1] == SPAN
         if span.any():
-            yield _batch(0, SPAN, *(x[span] for x in c[2:6]), 0)
+            yield _batch(0, SPAN, *(x[span] for x in c[2:7]), 0)
         held.append([x[~span] for x in c])
         if len(held[-1][0]):
             k = int(held[-1][0][0])
-            edges |= set(splitters[0][max(0, k - 2) : k + 2].tolist())
+            edges |= set(splitters[1][max(0, k - 2) : k + 2].tolist())
     if not held:
         return
-    _, kind, core, content, k1, k2, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, kind, lead, core, content, k1, k2, at = (np.concatenate(x) for x in zip(*held, strict=True))
     held.clear()
-    order = multikey_order([core, content])
-    kind, core, content, k1, k2, at = (x[order] for x in (kind, core, content, k1, k2, at))
-    lead = core[1:] == core[:-1]
-    both = lead & (content[1:] == content[:-1])
+    order = multikey_order([lead, core, content])
+    kind, lead, core, content, k1, k2, at = (x[order] for x in (kind, lead, core, content, k1, k2, at))
+    alike = (lead[1:] == lead[:-1]) & (core[1:] == core[:-1])
+    both = alike & (content[1:] == content[:-1])
     m, lo, hi = at >> 20, at >> 10 & 1023, at & 1023
     whole = (kind == SUFFIX) & (np.concatenate([both, [False]])[: len(core)] | np.concatenate([[False], both])[: len(core)])
     if whole.any():
-        yield _batch(0, SPAN, (m - hi)[whole], (m - lo)[whole] + length, k1[whole], k2[whole], 0)
+        yield _batch(0, SPAN, 0, (m - hi)[whole], (m - lo)[whole] + length, k1[whole], k2[whole], 0)
     # one row of each content goes on if its core has other contents; also of those that repeat, since others may hold parts of them
     first = np.concatenate([[True], ~both])[: len(core)]
-    group = np.cumsum(np.concatenate([[True], ~lead])[: len(core)]) - 1
+    group = np.cumsum(np.concatenate([[True], ~alike])[: len(core)]) - 1
     part = first & ((np.bincount(group, first)[group] > 1) | np.isin(core, list(edges)))
     if part.any():
-        yield _batch(0, SUFFIX, core[part], content[part], k1[part], k2[part], at[part])
+        yield _batch(0, SUFFIX, lead[part], core[part], content[part], k1[part], k2[part], at[part])
 
 
 def splitters_of(texts: DataFrame, buckets: int, length: int) -> list[np.ndarray]:
-    """Splitters for each step: even ones and quantiles of the tokens in a bounded sample of documents.
+    """Splitters (lead, core, content) for each step: quantiles of the tokens in a bounded sample of documents.
 
-    From the second step on, where only suffixes that share a core are left, those of repeated cores are drawn.
+    From the second step on, where only suffixes that share a core are left, half of them are those of repeated cores.
+    The sample's texts are cut before they are sorted; splitters steer balance, never results.
     """
-    rows = texts.select("text", F.xxhash64("text", F.rand(7)).alias("h")).orderBy("h").limit(SAMPLED).select(F.substring("text", 1, 50_000).alias("text"))
+    drawn_from = texts.select(F.substring("text", 1, 50_000).alias("text"), F.xxhash64("text", F.rand(7)).alias("h"))
+    rows = drawn_from.orderBy("h").limit(SAMPLED).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in nonempty(batches):
@@ -245,23 +259,22 @@ def splitters_of(texts: DataFrame, buckets: int, length: int) -> list[np.ndarray
             found = all_suffixes(data, offsets, length)
             for step, width in enumerate(_widths(length)):
                 found = narrower(found, width)
-                core, content = tokens(data, offsets, found, width, length)
-                if step:
-                    order = np.argsort(core)
-                    same = core[order[1:]] == core[order[:-1]]
-                    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
-                    core, content = core[order], content[order]
-                drawn = np.unique(np.linspace(0, max(0, len(core) - 1), min(len(core), 4_096)).astype(np.int64))
-                yield pa.RecordBatch.from_pydict({"step": pa.array(np.full(len(drawn), step), pa.int32()), "core": pa.array(core[drawn]), "content": pa.array(content[drawn])})
-
-    got = rows.coalesce(1).mapInArrow(run, "step int, core long, content long").toPandas()
-    out, even = [], (buckets + 1) // 2
+                keys = tokens(data, offsets, found, width, length)
+                order = multikey_order(list(keys))
+                keys = [k[order] for k in keys]
+                same = keys[1][1:] == keys[1][:-1]
+                again = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(order) else order
+                for rows in (np.arange(len(order)), again) if step else (np.arange(len(order)),):
+                    at = rows[np.unique(np.linspace(0, max(0, len(rows) - 1), min(len(rows), 4_096)).astype(np.int64))]
+                    yield pa.RecordBatch.from_pydict({"step": pa.array(np.full(len(at), step), pa.int32()), "lead": pa.array(keys[0][at]), "core": pa.array(keys[1][at]), "content": pa.array(keys[2][at])})
+
+    got = rows.coalesce(1).mapInArrow(run, "step int, lead long, core long, content long").toPandas()
+    out = []
     for step in range(len(_widths(length))):
-        x = got[got.step == step].sort_values(["core", "content"])
-        at = np.linspace(0, len(x) - 1, buckets - even + 1).astype(int)[:-1] if len(x) else []
-        drawn = {(int(a), int(b)) for a, b in zip(x.core.iloc[at], x.content.iloc[at], strict=True)}
-        cuts = sorted(drawn | {(-(1 << 63) + k * ((1 << 64) // even), -(1 << 63)) for k in range(1, even)})
-        out.append(np.array(cuts, np.int64).reshape(-1, 2).T)
+        x = got[got.step == step].sort_values(["lead", "core", "content"])
+        at = np.linspace(0, len(x), buckets + 1).astype(int)[1:-1] if len(x) else []
+        cuts = sorted({(int(a), int(b), int(c)) for a, b, c in zip(x.lead.iloc[at], x.core.iloc[at], x.content.iloc[at], strict=True)})
+        out.append(np.array(cuts, np.int64).reshape(-1, 3).T)
     return out
 
 
@@ -299,8 +312,9 @@ def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id
     before, so no group of copies is collected.
     """
     spark = docs.sparkSession
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce("text", F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
     first = F.coalesce(F.xxhash64("doc_id"), F.lit(0)) if "doc_id" in docs.columns else F.lit(0)
     names = [c for c in keep if c not in ("text", "spans", "kept")]
     columns = [*(f"kept_{i}" for i in range(len(names))), "text"]
@@ -314,7 +328,7 @@ def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id
             data, offsets = byte_buffer(b, "text")
             found = all_suffixes(data, offsets, length)
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-            yield from asked(found, *tokens(data, offsets, found, widths[0], length), k1, k2, length, held.value[0])
+            yield from asked(found, tokens(data, offsets, found, widths[0], length), k1, k2, length, held.value[0])
 
     def answer(step: int) -> Callable:
         return lambda batches: answered(batches, length, held.value[step])
@@ -328,10 +342,10 @@ def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id
                 span = kind == SPAN
                 d, s, e = merged(row[span], x[span], y[span])
                 if len(d):
-                    yield _batch(np.arange(len(d)) % (len(held.value[step][0]) + 1), SPAN, s, e, k1[d], k2[d], 0)
+                    yield _batch(np.arange(len(d)) % (len(held.value[step][0]) + 1), SPAN, 0, s, e, k1[d], k2[d], 0)
                 at = y[~span]
                 found = narrower(np.stack([row[~span], at >> 20, at >> 10 & 1023, at & 1023]), widths[step])
-                yield from asked(found, *tokens(data, offsets, found, widths[step], length), k1, k2, length, held.value[step])
+                yield from asked(found, tokens(data, offsets, found, widths[step], length), k1, k2, length, held.value[step])
 
         return run
 
