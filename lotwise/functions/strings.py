@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,3 +60,24 @@ def jaro_winkler_of(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.IntegerType())
 def typo_distance_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else typo_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def name_score(a: str, b: str) -> float:
+    """0.55 of the mean best likeness of the words of ``a`` and 0.45 of that of the whole, ``a`` as it is or turned round."""
+    words = [max(jaro_winkler(x, y) for y in b.split(" ")) for x in a.split(" ")]
+    turned = " ".join(reversed(a.split(" ")))
+    return 0.55 * sum(words) / len(words) + 0.45 * max(jaro_winkler(a, b), jaro_winkler(turned, b))
+
+
+def sequence_ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+@F.pandas_udf(T.DoubleType())
+def name_score_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else name_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else sequence_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
