@@ -53,13 +53,38 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.unionByName(other)
 
 
+def nearest_comparables(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The rows of :func:`comparables` that can be among a probe's first ``k``: its work's, and the latest few of its artist by technique.
+
+    Each probe stands in its artist's lots of a technique as a mark before its day, and takes the last 2 ``k`` of them: if
+    over ``k`` of these are its own work's, those of tier 0 suffice.  So a sort does, and no probe meets all lots of its
+    artist.
+    """
+    lots = sales(spark, sf_dir).join(works(spark, sf_dir).select("work", "technique"), "work")
+    probes = probes_of(lots)
+    recent = (F.col("sale_date") < F.col("until")) & (F.col("sale_date") >= F.add_months("until", -12 * YEARS)) & F.col("sold")
+    same = probes.join(lots, F.col("work") == F.col("probe")).where(recent).withColumn("tier", F.lit(0))
+    kinds = lots.select(F.col("artist").alias("probe_artist"), F.col("technique").alias("kind")).distinct()
+    fields = ["work", "artist", "sale", "lot", "sale_date", "hammer", "sold", "edition", "signed", "premium", "technique"]
+    sold = lots.where("sold").select(F.col("artist").alias("_a"), F.col("technique").alias("_t"), F.col("sale_date").alias("_d"), F.lit(1).alias("_s"), F.struct(*fields).alias("_lot"))
+    marks = probes.join(kinds, "probe_artist").select(F.col("probe_artist").alias("_a"), F.col("kind").alias("_t"), F.col("until").alias("_d"), F.lit(0).alias("_s"), F.struct("probe", "probe_artist", "probe_technique", "until").alias("_probe"))
+    order = [F.col("_d"), F.col("_s"), *(F.col(f"_lot.{c}").asc() if c == "hammer" else F.col(f"_lot.{c}").desc() for c in ("hammer", "work", "sale", "lot"))]
+    by = Window.partitionBy("_a", "_t").orderBy(*order)
+    lists = sold.withColumn("_before", F.collect_list("_lot").over(by.rowsBetween(1 - 2 * k, Window.currentRow)))
+    known = F.last("_before", True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = lists.unionByName(marks, allowMissingColumns=True).withColumn("_before", known).where("_s = 0")
+    near = rows.select("_probe.*", F.explode("_before").alias("_lot")).select("probe", "probe_artist", "probe_technique", "until", "_lot.*")
+    other = near.where(recent & (F.col("work") != F.col("probe"))).withColumn("tier", F.when(F.col("technique") == F.col("probe_technique"), 1).otherwise(2))
+    return same.select(*other.columns).unionByName(other)
+
+
 @query(f"""{COMPS}
 SELECT probe, CAST(rank AS INTEGER) AS rank, tier, work, CAST(sale_date AS VARCHAR) AS sale_date, CAST(hammer AS DOUBLE) AS hammer FROM (
   SELECT *, row_number() OVER (PARTITION BY probe ORDER BY tier, sale_date DESC, hammer DESC, work, sale, lot) AS rank FROM found) WHERE rank <= 5""")
 def comps_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best comparables of each work's latest sale, nearest tier first."""
     order = [F.col("tier"), F.desc("sale_date"), F.desc("hammer"), F.col("work"), F.col("sale"), F.col("lot")]
-    return ranking.top(comparables(spark, sf_dir), ["probe"], order, 5).select("probe", "rank", "tier", "work", F.col("sale_date").cast("string").alias("sale_date"), F.col("hammer").cast("double").alias("hammer"))
+    return ranking.top(nearest_comparables(spark, sf_dir), ["probe"], order, 5).select("probe", "rank", "tier", "work", F.col("sale_date").cast("string").alias("sale_date"), F.col("hammer").cast("double").alias("hammer"))
 
 
 @query(f"""{COMPS}

@@ -71,6 +71,8 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.where(F.length("word") >= 4).groupBy("word").agg(F.count("*").alias("documents")).where("documents >= 5")
 
 
+#: Hashes of listed runs are sent to every task up to this number.
+SENT = 1_000_000
 GRAMS = "SELECT {id}, unnest(list_transform(range(1, len(w) - 6), lambda i: list_aggregate(w[i:i+7], 'string_agg', ' '))) AS gram FROM (SELECT {id}, string_split(trim(regexp_replace(lower(text), '[^a-zà-ÿ]+', ' ', 'g')), ' ') AS w FROM {table}) WHERE len(w) >= 8"
 
 
@@ -84,8 +86,13 @@ def grams(df: DataFrame, key: str, n: int = 8) -> DataFrame:
 SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (gram) GROUP BY 1, 2""")
 def leak_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold eight words in a row of a listed passage, and how many such runs."""
-    listed, own = grams(table(spark, sf_dir, "benchmark"), "item_id"), grams(table(spark, sf_dir, "documents"), "doc_id")
-    return own.join(listed, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    listed, docs = grams(table(spark, sf_dir, "benchmark"), "item_id").persist(), table(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = listed.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    marks = F.broadcast(marks) if marks.limit(SENT + 1).count() <= SENT else marks
+    # whole runs are made for documents only that hold the hash of a listed one, so no document's runs are shuffled
+    w = docs.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-zà-ÿ]+", " ")), " ").alias("w")).where(F.size("w") >= 8)
+    hits = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.slice("w", i, 8)))).alias("h")).join(marks, "h", "left_semi").select("doc_id").distinct()
+    return grams(docs.join(hits, "doc_id", "left_semi"), "doc_id").join(listed, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
 @query("""WITH d AS (SELECT md5(text) AS h, count(*) AS copies, min(doc_id) AS first, count(DISTINCT source) AS sources FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT h, copies, first, sources FROM d WHERE copies > 1""")

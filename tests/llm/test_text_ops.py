@@ -366,3 +366,89 @@ def test_both_ways_at_once_give_what_each_way_gives(spark):
     both = bpe.round_trip(docs, VOCABULARY)
     seen = lambda df: Counter((r.doc_id, bytes(r.ids), r.decoded) for r in df.collect())
     assert seen(one) == seen(both)
+
+
+def plain_fingerprint(text: bytes) -> str:
+    """Boundaries byte by byte, as the format states them."""
+    import zlib
+
+    hashes = []
+    for i in range(len(text)):
+        h = 0
+        for lag in range(7):
+            if i - lag >= 0:
+                h += text[i - lag] * pow(0x01000193, lag + 1, 1 << 32)
+        h &= 0xFFFFFFFF
+        h ^= h >> 15
+        h = h * 0x9E3779B1 & 0xFFFFFFFF
+        hashes.append(h ^ h >> 13)
+
+    def signature(block):
+        out, start = "", 0
+        for end in [i + 1 for i, h in enumerate(hashes) if h % block == 0] + [len(text)]:
+            if end > start:
+                out += piecewise.ALPHABET[zlib.crc32(text[start:end]) & 63]
+            start = end
+        return out
+
+    block = 3
+    while sum(h % block == 0 for h in hashes) >= 64:
+        block *= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def plain_likeness(f: str, g: str) -> float:
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        run = min(5, len(a), len(b))
+        if not run or not any(a[i : i + run] in b for i in range(len(a) - run + 1)):
+            return 0.0
+        return 1 - brute_distance(a, b) / (len(a) + len(b))
+
+    if f == g:
+        return 1.0
+    (m, a1, a2), (n, b1, b2) = f.split(":"), g.split(":")
+    if m == n:
+        return max(alike(a1, b1), alike(a2, b2) if min(len(a2), len(b2)) >= 5 else 0.0)
+    return alike(a2, b1) if 2 * int(m) == int(n) else alike(a1, b2) if int(m) == 2 * int(n) else 0.0
+
+
+@given(st.lists(st.one_of(st.binary(max_size=400), st.text("ab c", max_size=200).map(str.encode)), min_size=1, max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_fingerprints_byte_by_byte(texts):
+    texts = [*texts, texts[0] + b"more", texts[0] * 3]
+    got = piecewise.fingerprints(texts)
+    assert got == [plain_fingerprint(t) for t in texts]
+    for g in got:
+        assert piecewise.likeness(got[0], g) == pytest.approx(plain_likeness(got[0], g))
+
+
+def test_scores_by_a_plain_forward_pass(spark):
+    docs, counts = small_vocabulary(spark)
+    v = recurrent.vocabulary(counts, words=4, counted=6)
+    p = recurrent.parameters(v, 5, seed=9)
+    texts = ["the cat sat on Word1", "", "mat. the the Odd7"]
+    coder = recurrent.Coder(v.code)
+    got = recurrent.Network(v, {k: x.copy() for k, x in p.items()}).score(recurrent._lanes(texts, coder, v))
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    u = 5
+    for text, score in zip(texts, got, strict=True):
+        h, before, total = [0.0] * u, v.words + recurrent.SHAPES, 0.0
+        for w in [*recurrent.words_of(text), recurrent.END]:
+            x = p["input"][before]
+            a = [sum(h[i] * p["state"][i, j] for i in range(u)) for j in range(3 * u)]
+            z, r = [sig(x[j] + a[j]) for j in range(u)], [sig(x[u + j] + a[u + j]) for j in range(u)]
+            new = [math.tanh(x[2 * u + j] + r[j] * a[2 * u + j]) for j in range(u)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(u)]
+            code = v.code.get(w)
+            own = code is not None and code < v.words
+            target = code if own else v.words + recurrent.shape(w)
+            cls = int(v.word_class[code]) if own else len(v.members) + recurrent.shape(w)
+            logits = [sum(h[i] * p["to_class"][i, c] for i in range(u)) + p["class_bias"][c] for c in range(v.classes)]
+            total += logits[cls] - math.log(sum(map(math.exp, logits)))
+            if own and len(v.members[cls]) > 1:
+                inner = [sum(h[i] * p["to_word"][cls, i, s] for i in range(u)) + p["word_bias"][cls, s] for s in range(len(v.members[cls]))]
+                total += inner[int(v.slot[code])] - math.log(sum(map(math.exp, inner)))
+            before = target
+        assert score == pytest.approx(total, abs=2e-3)
