@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_fallback: list[str] = []
+from lotwise.operators.durable import checkpoint_dir
+
+#: Tables that :func:`written` has made and nothing has deleted.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder of this process stands in.
+    Only where the session names none and runs on this machine alone (tests, a laptop) a temporary folder stands in.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="lotwise-"))
-    return _fallback[0]
+    return (spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -41,17 +39,31 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, frame: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`written` once a later table has replaced it."""
-    jvm, paths = spark._jvm, {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared file system."""
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dropped(spark: SparkSession, frame: DataFrame) -> None:
+    """Delete the files behind a frame made by :func:`written` once a later table has replaced it."""
+    delete(spark, *{f.rsplit("/", 1)[0] for f in frame.inputFiles()})
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes within are deleted at the end, when what was made of them has been written."""
+    mark = len(_made)
+    yield
+    delete(spark, *_made[mark:])
+    del _made[mark:]
+
+
 #: A sieve has at most so many bits (64 MB); for more ids there is none.
 SIEVE_BITS = 1 << 29
 
