@@ -12,7 +12,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +120,7 @@ def tanh(x: np.ndarray) -> np.ndarray:
 
 
 #: Rows whose scores of all classes fit a core's cache.
-CACHED = 768
+CACHED = 512
 
 
 class Lanes:
@@ -245,11 +245,11 @@ class Network:
         """Natural log-likelihood by document of what the network predicts."""
         found = np.zeros(int(lanes.document.max(initial=-1)) + 1)
         h = np.zeros((lanes.inputs.shape[1], self.units), np.float32)
-        for steps, live in lanes.windows(WINDOW):
+        for steps, live in lanes.windows(4 * WINDOW):  # nothing is learnt, so windows may be longer
             states, _, h = self.forward(lanes.inputs[steps, :live], lanes.carries[steps, :live], h[:live])
             doc = lanes.document[steps, :live].ravel()
             got = self.outputs(states.reshape(-1, self.units), lanes.targets[steps, :live].ravel())
-            np.add.at(found, doc[doc >= 0], got[doc >= 0].astype(np.float64))
+            found += np.bincount(doc + 1, got, len(found) + 1)[1:]
         return found
 
     def learn(self, lanes: Lanes) -> int:
@@ -259,13 +259,17 @@ class Network:
             x, carries = lanes.inputs[steps, :live], lanes.carries[steps, :live]
             states, kept, h = self.forward(x, carries, h[:live], True)
             real = (lanes.document[steps, :live] >= 0).ravel()
-            seen += int(real.sum())
+            count = int(real.sum())
+            seen += count
             targets = lanes.targets[steps, :live].ravel()
             flat = states.reshape(-1, self.units)
-            _, part, grads = self.outputs(flat[real], targets[real], True)
-            back = np.zeros_like(flat)
-            back[real] = part
-            self.step(x, carries, kept, back.reshape(states.shape), grads, int(real.sum()))
+            if count == len(real):
+                _, back, grads = self.outputs(flat, targets, True)
+            else:
+                _, part, grads = self.outputs(flat[real], targets[real], True)
+                back = np.zeros_like(flat)
+                back[real] = part
+            self.step(x, carries, kept, back.reshape(states.shape), grads, count)
         return seen
 
     def step(self, x: np.ndarray, carries: np.ndarray, kept: tuple, back: np.ndarray, grads: dict, n: int) -> None:
@@ -290,8 +294,10 @@ class Network:
         to_input[..., : 2 * u] = to_state[..., : 2 * u]
         grads["state"] = before.reshape(-1, u).T @ to_state.reshape(-1, 3 * u)
         ids, flat = x.ravel(), to_input.reshape(-1, 3 * u)
-        order = np.argsort(ids, kind="stable")
-        rows, first = np.unique(ids[order], return_index=True)
+        order = np.argsort(ids.astype(np.uint16) if len(self.p["input"]) < 1 << 16 else ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows = ids[first]
         mean = np.float32(1 / max(1, n) ** 0.5)
         self._move("input", np.add.reduceat(flat[order], first, axis=0) * mean, rows)
         for k, g in grads.items():
@@ -365,14 +371,17 @@ def with_codes(docs: DataFrame, v: Vocabulary, keep: tuple[str, ...] = ("doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(held.value)
         for b in slices(batches):
-            codes, rare = [], []
+            words, ends = [], [0]
             for text in texts_of(b, "text"):
-                words = words_of(text)
+                words += words_of(text)
                 words.append(END)
-                own = np.fromiter(map(coder.__getitem__, words), np.int32, len(words))
-                codes.append(own.tobytes())
-                rare.append([words[i] for i in np.flatnonzero(own < 0).tolist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], [*keep, "_codes", "_rare"])
+                ends.append(len(words))
+            own = np.fromiter(map(coder.__getitem__, words), np.int32, len(words))
+            odd, packed = np.flatnonzero(own < 0), own.tobytes()
+            cuts = np.searchsorted(odd, ends)
+            rare = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array([words[i] for i in odd.tolist()], pa.string()))
+            codes = pa.array([packed[4 * i : 4 * j] for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), codes, rare], [*keep, "_codes", "_rare"])
 
     return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema_of(docs, *keep, extra="_codes binary, _rare array<string>"))
 
@@ -400,7 +409,7 @@ def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, units: int = UNITS
     shapes = {k: x.shape for k, x in parameters(v, units).items()}
 
     def trained(rows: DataFrame, flat: np.ndarray) -> np.ndarray:
-        held = spark.sparkContext.broadcast((v, flat))
+        held = spark.sparkContext.broadcast((replace(v, code={}), flat))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, start = held.value
@@ -450,7 +459,7 @@ def likelihoods(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray],
     the documents that use them, since their number grows with the corpus; each row keeps its own sum, so repeated rows
     and ids don't mix.
     """
-    held = docs.sparkSession.sparkContext.broadcast((v, weights))
+    held = docs.sparkSession.sparkContext.broadcast((replace(v, code={}), weights))
     coded = docs if "_codes" in docs.columns else with_codes(docs, v, keep)
     coded = coded if "_row" in docs.columns else written(coded.withColumn("_row", F.monotonically_increasing_id()), "coded")
     schema = schema_of(coded, "_row", *keep, extra="n_tokens long, _known long, _logs double, _network double")
