@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import vectors
-from lotwise.operators import changes, graph, joins, linkage, ranking
+from lotwise.operators import cells, changes, graph, joins, linkage, ranking
 from lotwise.plans import Registry
 from lotwise.sources.tables import artists, sales, table, works
 
@@ -14,6 +14,8 @@ REGISTRY = Registry()
 query = REGISTRY
 
 NEAR = 0.25
+#: Classes whose vectors are sent to every task at most.
+CLASSES = 10_000
 VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
@@ -36,14 +38,15 @@ def class_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT vec_id, c.label, list_cosine_similarity(e, m) AS s FROM v, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS n FROM s)
 SELECT a.vec_id, a.label AS best, round(a.s - b.s, 6) AS margin, a.s - b.s >= 0.02 AS confident FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.n = 1 AND b.n = 2""")
 def zero_shot_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest class of each vector and how far the second lies behind; classes are few and sent to every task."""
+    """The nearest class of each vector and how far the second lies behind; up to ``CLASSES`` classes go to every task."""
     v = embedded(spark, sf_dir)
     means = v.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     mid = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
-    every = mid.agg(F.collect_list(F.struct("label", "m")).alias("classes"))
-    scored = v.crossJoin(F.broadcast(every)).select("vec_id", F.reverse(F.array_sort(F.transform("classes", lambda c: F.struct(vectors.cosine(F.col("e"), c["m"]).alias("s"), (-c["label"]).alias("l"))))).alias("ranked"))
-    margin = F.col("ranked")[0]["s"] - F.col("ranked")[1]["s"]
-    return scored.select("vec_id", (-F.col("ranked")[0]["l"]).alias("best"), F.round(margin, 6).alias("margin"), (margin >= 0.02).alias("confident"))
+    classes = [(r.label, r.m) for r in mid.limit(CLASSES + 1).collect()]
+    if len(classes) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
+    found = cells.nearest_class(v, "vec_id", "e", classes)
+    return found.select("vec_id", F.col("best").cast("int").alias("best"), F.round("margin", 6).alias("margin"), (F.col("margin") >= 0.02).alias("confident"))
 
 
 PAIRS = f"""{VECTORS}, p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)"""
@@ -67,15 +70,15 @@ def background_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x AS vec_id, round(max(s), 6) AS best, round(avg(s), 6) AS mean_top FROM r WHERE n <= 5 GROUP BY x""")
 def style_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean likeness of each vector to the five nearest of its class, the same image left out."""
-    p = class_pairs(spark, sf_dir)
-    both = p.select(F.col("a").alias("vec_id"), F.col("b").alias("other"), "s").unionByName(p.select(F.col("b").alias("vec_id"), F.col("a").alias("other"), "s"))
-    return ranking.top(both.where("s < 0.9"), ["vec_id"], [F.desc("s"), F.col("other")], 5).groupBy("vec_id").agg(F.round(F.max("s"), 6).alias("best"), F.round(F.avg("s"), 6).alias("mean_top"))
+    near = cells.within_groups(embedded(spark, sf_dir), "label", "vec_id", "e", cells.best_below(5, 0.9), "a long, b long, s double")
+    return ranking.top(near.select(F.col("a").alias("vec_id"), F.col("b").alias("other"), "s"), ["vec_id"], [F.desc("s"), F.col("other")], 5).groupBy("vec_id").agg(F.round(F.max("s"), 6).alias("best"), F.round(F.avg("s"), 6).alias("mean_top"))
 
 
 @query()
 def likeness_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors of a class that are chained by likeness."""
-    return graph.least_reachable(class_pairs(spark, sf_dir).where(F.col("s") >= NEAR).select("a", "b"))
+    links = cells.within_groups(embedded(spark, sf_dir), "label", "vec_id", "e", cells.links_from(NEAR), "a long, b long")
+    return graph.least_reachable(links)
 
 
 CONNECTED = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS y FROM lineitem),

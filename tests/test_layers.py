@@ -154,3 +154,27 @@ def test_weights_can_not_be_bettered_one_at_a_time(spark):
         for c in (0.0, 0.25, 0.5, 1.0, 2.0):
             other, n = error(np.where(np.arange(len(best)) == i, c, best))
             assert n < priced or other >= own - 1e-8
+
+
+def test_cells_of_a_group_by_brute_force(spark):
+    from lotwise.operators import cells
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((70, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[3] = x[50]
+    df = spark.createDataFrame([(i % 2, i, [float(v) for v in x[i]]) for i in range(70)], "g int, k long, e array<double>")
+    s, same = x @ x.T, np.equal.outer(np.arange(70) % 2, np.arange(70) % 2)
+    got = {}
+    for r in cells.within_groups(df, "g", "k", "e", cells.best_below(3, 0.9), "a long, b long, s double", block=8).collect():
+        got.setdefault(r.a, []).append((-round(r.s, 9), r.b))
+    for i in range(70):
+        want = sorted((-round(s[i, j], 9), j) for j in range(70) if j != i and same[i, j] and s[i, j] < 0.9)[:3]
+        assert sorted(got[i])[:3] == want
+    links = cells.within_groups(df, "g", "k", "e", cells.links_from(0.6), "a long, b long", block=8)
+    label = {r.node: r.component for r in graph.least_reachable(links).collect()}
+    want = list(range(70))
+    for _ in range(70):
+        want = [min([want[i], *(want[j] for j in range(70) if same[i, j] and s[i, j] >= 0.6)]) for i in range(70)]
+    assert [label.get(i, i) for i in range(70)] == want
+    assert cells.within_groups(df.limit(0), "g", "k", "e", cells.links_from(0.6), "a long, b long").count() == 0
