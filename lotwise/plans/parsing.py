@@ -248,3 +248,41 @@ def keyed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as maps by column: the strongest column, and how many pass a mark."""
     keyed = table(spark, sf_dir, "embeddings").withColumn("by", F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i.cast("string")), "embedding"))
     return keyed.select("vec_id", "label", F.round(F.array_max(F.map_values("by")).cast("double"), 6).alias("most"), (F.array_position("embedding", F.array_max("embedding")) - 1).alias("place"), F.size(F.map_filter("by", lambda _, v: v.cast("double") > 0.2)).cast("long").alias("strong"))
+
+
+#: Families of printmaking by the words that name them.
+FAMILIES = (("intaglio", r"(?i)\b(?:etching|aquatint|drypoint|engraving|mezzotint)\b"), ("planographic", r"(?i)\b(?:lithograph|monotype)\b"), ("relief", r"(?i)\b(?:woodcut|linocut|wood engraving)\b"), ("stencil", r"(?i)\b(?:screenprint|serigraph|silkscreen|pochoir)\b"), ("photomechanical", r"(?i)\b(?:offset|giclee|photogravure)\b"))
+FAMILY_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(body, '{quoted(p)}') THEN '{n}' END" for n, p in FAMILIES) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {LISTED} SELECT sale, lot, {ladder_sql('body', FAMILIES)} AS family, array_to_string(list_sort({FAMILY_LIST}), ',') AS families FROM listed")
+def technique_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lot's family of printmaking, the first that its description names, and all that it names."""
+    body = F.col("body")
+    return listed(spark, sf_dir).select("sale", "lot", text.first_match(body, list(FAMILIES)).alias("family"), F.array_join(text.all_matches(body, list(FAMILIES)), ",").alias("families"))
+
+
+PROCESSES = (("offset", r"(?i)\boffset\b"), ("etching", r"(?i)\betching\b"), ("lithograph", r"(?i)\blithograph\b"), ("screenprint", r"(?i)\bscreenprint\b"), ("woodcut", r"(?i)\bwoodcut\b"))
+PROOFS = (("artist's proof", r"(?i)\b(?:artist.s proof|a\.?p\.?)\b"), ("proof", r"(?i)\bproofs?\b"), ("numbered", r"(?i)\bnumbered\b"))
+
+
+@query(f"WITH {LISTED} SELECT sale, lot, {ladder_sql('body', PROCESSES)} AS process, coalesce({ladder_sql('body', PROOFS)}, 'unknown') AS proof, CASE WHEN regexp_matches(body, '(?i)in pencil') THEN 'pencil' WHEN regexp_matches(body, '(?i)signed') THEN 'signed' ELSE 'unsigned' END AS signature, regexp_matches(body, '(?i)\\bposter\\b') AS poster FROM listed")
+def print_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process, kind of proof, signature and whether it's a poster, by the wording of a description."""
+    body = F.col("body")
+    signature = F.when(body.rlike("(?i)in pencil"), "pencil").when(body.rlike("(?i)signed"), "signed").otherwise("unsigned")
+    return listed(spark, sf_dir).select("sale", "lot", text.first_match(body, list(PROCESSES)).alias("process"), text.first_match(body, list(PROOFS), "unknown").alias("proof"), signature.alias("signature"), body.rlike(r"(?i)\bposter\b").alias("poster"))
+
+
+@query(f"""WITH {LISTED}, m AS (SELECT l_partkey AS work, CAST(min(l_quantity) AS INTEGER) AS least FROM lineitem GROUP BY 1), c AS (SELECT sale, lot, listed.work, {EDITION} AS said, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS INTEGER) END AS seen, least FROM listed JOIN m ON m.work = listed.work)
+SELECT sale, lot, work, coalesce(said, seen, least) AS edition, CASE WHEN said IS NOT NULL THEN 'catalogue' WHEN seen IS NOT NULL THEN 'appraiser' ELSE 'work' END AS source, CASE WHEN said IS NULL OR seen IS NULL THEN 'unassessable' WHEN said = seen THEN 'agrees' ELSE 'diverges' END AS verdict FROM c""")
+def edition_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each lot's edition with its source, the catalogue before the appraiser before the work's other lots, and whether the first two agree."""
+    lots = listed(spark, sf_dir)
+    least = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("work")).agg(F.min("l_quantity").cast("int").alias("least"))
+    said, seen = text.edition_size(F.col("body")), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("int"))
+    both = lots.join(least, "work").select("sale", "lot", "work", said.alias("said"), seen.alias("seen"), "least")
+    values = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), F.lit(n).alias("source"))) for c, n in (("said", "catalogue"), ("seen", "appraiser"), ("least", "work"))]
+    found = F.coalesce(*values)
+    verdict = F.when(F.col("said").isNull() | F.col("seen").isNull(), "unassessable").when(F.col("said") == F.col("seen"), "agrees").otherwise("diverges")
+    return both.select("sale", "lot", "work", found["value"].alias("edition"), found["source"].alias("source"), verdict.alias("verdict"))
