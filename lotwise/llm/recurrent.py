@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import nonempty, schema_of, slices, texts_of, training_row, words_of, written
+from lotwise.llm.common import list_array, nonempty, schema_of, slices, texts_of, training_row, words_of, written
 
 #: The end of a document; no word is empty.
 END = ""
@@ -41,7 +41,7 @@ def shape(word: str) -> int:
     """Class of a word without weights of its own: its last character's kind, its foreign letters and its length."""
     last = word[-1:]
     end = 0 if last.isalpha() else 1 if last == "." else 2 if last == "," else 3
-    odd = next((ord(c) for c in word if ord(c) > 127), 0)
+    odd = 0 if word.isascii() else next(ord(c) for c in word if ord(c) > 127)
     return end * 8 + (1 + odd % 3 if odd else 0) * 2 + (len(word) > 6)
 
 
@@ -69,7 +69,7 @@ def vocabulary(counts: DataFrame, words: int = WORDS, counted: int = COUNTED) ->
     """From (word, shape, n) over all training documents; the most frequent words come to the driver."""
     total = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") >= OFTEN)).first()
     words = max(words, int(total[2]))
-    top = counts.orderBy(F.desc("n"), "word").limit(max(counted, words)).toPandas()
+    top = counts.orderBy(F.desc("n"), "word").limit(max(counted, words)).toArrow().to_pandas()
     code = {w: i for i, w in enumerate(top.word)}
     k, n = min(words, len(top)), top.n.to_numpy(np.float64)
     root = np.cumsum(np.sqrt(n[:k]))
@@ -330,8 +330,9 @@ class Coder(dict):
 def sequences(codes: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Inputs (the token before, or the mark for the start) and targets (words, then shapes) of documents laid end to end."""
     k = v.words
-    tail = np.where(codes < 0, -1 - codes, v.class_of[np.maximum(codes, 0)] - len(v.members) if len(v.class_of) else 0)
-    target = np.where((codes >= 0) & (codes < k), codes, k + tail).astype(np.int32)
+    codes, classes = codes.astype(np.int32, copy=False), (v.class_of - len(v.members)).astype(np.int32)
+    tail = np.where(codes < 0, -1 - codes, classes[np.maximum(codes, 0)] if len(classes) else np.int32(0))
+    target = np.where((codes >= 0) & (codes < k), codes, k + tail).astype(np.int32, copy=False)
     before = np.empty_like(target)
     before[1:] = target[:-1]
     starts = np.cumsum(sizes) - sizes
@@ -354,9 +355,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _laid(codes: np.ndarray, sizes: np.ndarray, v: Vocabulary, lanes: int = LANES) -> Lanes:
-    x, y = sequences(codes, sizes, v)
+    return _lined(*sequences(codes, sizes, v), sizes, lanes)
+
+
+def _lined(inputs: np.ndarray, targets: np.ndarray, sizes: np.ndarray, lanes: int) -> Lanes:
     cuts = np.cumsum(sizes)[:-1]
-    return Lanes(np.split(x, cuts), np.split(y, cuts), lanes)
+    return Lanes(np.split(inputs, cuts), np.split(targets, cuts), lanes)
 
 
 def _lanes(texts: list[str], coder: Coder, v: Vocabulary) -> Lanes:
@@ -419,15 +423,16 @@ def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, units: int = UNITS
                     n += network.learn(_laid(codes, sizes, vocabulary, min(LANES, max(32, len(codes) // (WINDOW * UPDATES)))))
             if n:
                 own = np.concatenate([network.p[k].ravel() for k in names]).astype(np.float64) * n
-                blocks = np.array_split(own, max(1, len(own) // 4_096))
-                yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "n": pa.array([float(n)] * len(blocks)), "sums": pa.array([x.tolist() for x in blocks], pa.list_(pa.float64()))})
+                sizes = [len(x) for x in np.array_split(own, max(1, len(own) // 4_096))]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int32()), pa.array([float(n)] * len(sizes)), list_array(own, sizes)], ["block", "n", "sums"])
 
         def add(key: tuple, rows: pa.Table) -> pa.Table:
-            sums = np.sum([np.array(x) for x in rows.column("sums").to_pylist()], axis=0) / np.sum(rows.column("n").to_numpy())
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+            flat = np.concatenate([c.flatten().to_numpy() for c in rows.column("sums").chunks])
+            mean = flat.reshape(rows.num_rows, -1).sum(axis=0) / np.sum(rows.column("n").to_numpy())
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": list_array(mean, [len(mean)])})
 
-        means = rows.mapInArrow(run, "block int, n double, sums array<double>").groupBy("block").applyInArrow(add, "block int, mean array<double>").collect()
-        return np.concatenate([r["mean"] for r in sorted(means, key=lambda r: r.block)]).astype(np.float32) if means else flat
+        means = rows.mapInArrow(run, "block int, n double, sums array<double>").groupBy("block").applyInArrow(add, "block int, mean array<double>").orderBy("block").toArrow()
+        return np.concatenate([c.flatten().to_numpy() for c in means.column("mean").chunks]).astype(np.float32) if means.num_rows else flat
 
     flat = np.concatenate([x.ravel() for x in parameters(v, units).values()])
     if START_DOCS:
@@ -470,8 +475,8 @@ def likelihoods(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray],
         for whole in nonempty(batches):
             for b, codes, sizes in _together(whole):
                 row, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
-                lanes = _laid(codes, sizes, vocabulary, READING)
-                _, target = sequences(codes, sizes, vocabulary)
+                given, target = sequences(codes, sizes, vocabulary)
+                lanes = _lined(given, target, sizes, READING)
                 own = np.where(codes >= 0, vocabulary.log_count[np.maximum(codes, 0)] if len(vocabulary.log_count) else 0.0, 0.0)
                 in_tail = target >= vocabulary.words
                 tails = np.where(in_tail, own - vocabulary.tail_total[np.maximum(target - vocabulary.words, 0)], 0.0)

@@ -328,3 +328,28 @@ def test_pipeline_stages(spark):
     kept = set(got.doc_id)
     assert all(len(kept & set(r.ids)) <= 1 for r in copies)
     assert got.ids_sha256[0] == hashlib.sha256(bytes(got.ids[0])).hexdigest()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _node long, rate double, ids string, kept_0 int, _row long, score double"
+    more = ("en", "s", 9, 1, 0.5, "x", 3, 4, 0.1)
+    texts = [(1, "plain words about a quiet day"), (1, "plain words about a quiet day"), (2, None), (3, ""), (None, "other words of no harm at all"), (4, "a long tale goes on " * 4_000), (5, "Ünï 漢字 ½")]
+    docs = spark.createDataFrame([(*t, *more) for t in texts], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for rows in (docs, docs.limit(0)):
+            got = stage(spark, rows, sf)
+            assert tuple(got.columns) == corpus_pipeline.COLUMNS, name
+            left = [(r.doc_id, r.text) for r in got.collect()]
+            if name != "suffixes":
+                assert not set(left) - set(texts), name
+            if rows is docs:
+                ids = {i for i, _ in left}
+                assert {None, 4, 5} <= ids if name != "suffixes" else {None, 5} <= ids, name
+                if name == "simhash":  # copies are one, and so are texts without words
+                    assert Counter(left)[texts[0]] == 1 and len(ids & {2, 3}) == 1
+    coded = corpus_pipeline.encode(spark, docs, sf)
+    assert coded.count() == len(texts) and coded.where("NOT round_trip").count() == 0
+    assert corpus_pipeline.encode(spark, docs.limit(0), sf).count() == 0
