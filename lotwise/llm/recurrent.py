@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import list_array, nonempty, schema_of, slices, texts_of, training_row, words_of, written
+from lotwise.llm.common import SLICE, list_array, nonempty, schema_of, slices, texts_of, training_row, words_of, written
 
 #: The end of a document; no word is empty.
 END = ""
@@ -124,7 +124,10 @@ CACHED = 512
 
 
 class Lanes:
-    """Documents laid end to end in parallel lanes, which are read in step."""
+    """Documents laid end to end in parallel lanes, which are read in step; the longest lane comes first.
+
+    Tokens are kept without padding, lane after lane; only a window is laid out in full.
+    """
 
     def __init__(self, inputs: list[np.ndarray], targets: list[np.ndarray], lanes: int):
         lanes = max(1, min(lanes, len(inputs)))
@@ -135,22 +138,24 @@ class Lanes:
             heapq.heappush(heap, (length + len(inputs[i]), j))
         dealt.sort(key=lambda own: -sum(len(inputs[i]) for i in own))
         self.lengths = np.array([sum(len(inputs[i]) for i in own) for own in dealt])
-        steps = int(self.lengths.max(initial=0))
-        self.inputs, self.targets = np.zeros((steps, lanes), np.int32), np.zeros((steps, lanes), np.int32)
-        self.document = np.full((steps, lanes), -1, np.int32)
-        self.carries = np.ones((steps, lanes), np.float32)
-        for j, own in enumerate(dealt):
-            at = 0
-            for i in own:
-                end = at + len(inputs[i])
-                self.inputs[at:end, j], self.targets[at:end, j], self.document[at:end, j] = inputs[i], targets[i], i
-                self.carries[at, j] = 0
-                at = end
-
-    def windows(self, size: int) -> Iterator[tuple[slice, int]]:
-        """Steps of each window and how many lanes it still has."""
-        for lo in range(0, len(self.inputs), size):
-            yield slice(lo, min(lo + size, len(self.inputs))), int(np.searchsorted(-self.lengths, -lo, "left"))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        order = [i for own in dealt for i in own]
+        sizes = np.array([len(inputs[i]) for i in order], np.int64)
+        empty = [np.zeros(0, np.int32)]
+        self.inputs, self.targets = (np.concatenate([x[i] for i in order] or empty) for x in (inputs, targets))
+        self.document = np.repeat(np.array(order, np.int32), sizes)
+        self.carries = np.ones(len(self.document), np.float32)
+        self.carries[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+
+    def windows(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Live lanes, and inputs, targets, documents (-1 beyond a lane's end) and carries by step and lane, of each window."""
+        longest = int(self.lengths.max(initial=0))
+        for lo in range(0, longest, size):
+            live = int(np.searchsorted(-self.lengths, -lo, "left"))
+            step = np.arange(lo, min(lo + size, longest))[:, None]
+            real = step < self.lengths[:live]
+            at = np.where(real, self.starts[:live] + step, 0)
+            yield live, np.where(real, self.inputs[at], 0), np.where(real, self.targets[at], 0), np.where(real, self.document[at], -1), np.where(real, self.carries[at], np.float32(1))
 
 
 class Network:
@@ -244,24 +249,23 @@ class Network:
     def score(self, lanes: Lanes) -> np.ndarray:
         """Natural log-likelihood by document of what the network predicts."""
         found = np.zeros(int(lanes.document.max(initial=-1)) + 1)
-        h = np.zeros((lanes.inputs.shape[1], self.units), np.float32)
-        for steps, live in lanes.windows(4 * WINDOW):  # nothing is learnt, so windows may be longer
-            states, _, h = self.forward(lanes.inputs[steps, :live], lanes.carries[steps, :live], h[:live])
-            doc = lanes.document[steps, :live].ravel()
-            got = self.outputs(states.reshape(-1, self.units), lanes.targets[steps, :live].ravel())
+        h = np.zeros((len(lanes.lengths), self.units), np.float32)
+        for live, x, targets, document, carries in lanes.windows(4 * WINDOW):  # nothing is learnt, so windows may be longer
+            states, _, h = self.forward(x, carries, h[:live])
+            doc = document.ravel()
+            got = self.outputs(states.reshape(-1, self.units), targets.ravel())
             found += np.bincount(doc + 1, got, len(found) + 1)[1:]
         return found
 
     def learn(self, lanes: Lanes) -> int:
         """One pass of training over the lanes; the number of tokens."""
-        h, seen = np.zeros((lanes.inputs.shape[1], self.units), np.float32), 0
-        for steps, live in lanes.windows(WINDOW):
-            x, carries = lanes.inputs[steps, :live], lanes.carries[steps, :live]
+        h, seen = np.zeros((len(lanes.lengths), self.units), np.float32), 0
+        for live, x, targets, document, carries in lanes.windows(WINDOW):
             states, kept, h = self.forward(x, carries, h[:live], True)
-            real = (lanes.document[steps, :live] >= 0).ravel()
+            real = (document >= 0).ravel()
             count = int(real.sum())
             seen += count
-            targets = lanes.targets[steps, :live].ravel()
+            targets = targets.ravel()
             flat = states.reshape(-1, self.units)
             if count == len(real):
                 _, back, grads = self.outputs(flat, targets, True)
@@ -474,14 +478,17 @@ def likelihoods(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray],
         network = Network(vocabulary, p)
         for whole in nonempty(batches):
             for b, codes, sizes in _together(whole):
-                row, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
                 given, target = sequences(codes, sizes, vocabulary)
-                lanes = _lined(given, target, sizes, READING)
-                own = np.where(codes >= 0, vocabulary.log_count[np.maximum(codes, 0)] if len(vocabulary.log_count) else 0.0, 0.0)
-                in_tail = target >= vocabulary.words
-                tails = np.where(in_tail, own - vocabulary.tail_total[np.maximum(target - vocabulary.words, 0)], 0.0)
-                got = network.score(lanes) / np.log(10) + np.bincount(row, tails, n)
-                out = [pa.array(sizes), pa.array(np.bincount(row, codes >= 0, n).astype(np.int64)), pa.array(np.bincount(row, own, n)), pa.array(got)]
+                got = network.score(_lined(given, target, sizes, READING)) / np.log(10)
+                logs, known, ends = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), np.concatenate([[0], np.cumsum(sizes)])
+                for lo in range(0, len(sizes), SLICE):
+                    hi = min(lo + SLICE, len(sizes))
+                    row, c, t = np.repeat(np.arange(hi - lo), sizes[lo:hi]), codes[ends[lo] : ends[hi]], target[ends[lo] : ends[hi]]
+                    own = np.where(c >= 0, vocabulary.log_count[np.maximum(c, 0)] if len(vocabulary.log_count) else 0.0, 0.0)
+                    tails = np.where(t >= vocabulary.words, own - vocabulary.tail_total[np.maximum(t - vocabulary.words, 0)], 0.0)
+                    got[lo:hi] += np.bincount(row, tails, hi - lo)
+                    logs[lo:hi], known[lo:hi] = np.bincount(row, own, hi - lo), np.bincount(row, c >= 0, hi - lo)
+                out = [pa.array(sizes), pa.array(known), pa.array(logs), pa.array(got)]
                 yield pa.RecordBatch.from_arrays([b.column("_row"), *(b.column(c) for c in keep), *out], schema.names)
 
     scored = coded.select("_row", *keep, "_codes").mapInArrow(run, schema)
