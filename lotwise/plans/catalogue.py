@@ -213,3 +213,15 @@ def work_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = decided.groupBy("artist", "title").agg(F.min_by(F.struct("at", "names", "name"), "at").alias("d"))
     basis = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("d.at") + 1)
     return asked.join(best, ["artist", "title"], "left").select("artist", "title", "lots", basis.alias("basis"), F.when(F.col("d.names") == 1, F.col("d.name")).alias("name"), F.coalesce(F.col("d.names") > 1, F.lit(False)).alias("ambiguous"))
+
+
+@query(f"""WITH {LISTED}, a AS (SELECT DISTINCT {KEY_SQL} AS key FROM listed), n AS (SELECT DISTINCT {KEYED.format('name')} AS name_key FROM listed)
+SELECT key, name_key FROM a JOIN n ON damerau_levenshtein(key, name_key) = 1 AND len(string_split(key, ' ')) = len(string_split(name_key, ' ')) AND NOT regexp_matches(key || name_key, '[0-9]')""")
+def misspelt_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles one slip away from a name, word for word; where numbers are named a slip may be another plate, so these are left alone."""
+    from lotwise.operators.joins import within_one_edit
+
+    lots = listed(spark, sf_dir)
+    asked, names = lots.select(identity_key(F.col("title")).alias("key")).distinct(), lots.select(text.title_key(F.col("name")).alias("name_key")).distinct()
+    near = within_one_edit(asked, "key", names, "name_key", [])
+    return near.where("key <> name_key AND size(split(key, ' ')) = size(split(name_key, ' '))").where(~F.concat("key", "name_key").rlike("[0-9]"))

@@ -263,7 +263,7 @@ def technique_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROCESSES = (("offset", r"(?i)\boffset\b"), ("etching", r"(?i)\betching\b"), ("lithograph", r"(?i)\blithograph\b"), ("screenprint", r"(?i)\bscreenprint\b"), ("woodcut", r"(?i)\bwoodcut\b"))
-PROOFS = (("artist's proof", r"(?i)\b(?:artist.s proof|a\.?p\.?)\b"), ("proof", r"(?i)\bproofs?\b"), ("numbered", r"(?i)\bnumbered\b"))
+PROOFS = (("artist proof", r"(?i)\b(?:artist.s proof|a\.?p\.?)\b"), ("proof", r"(?i)\bproofs?\b"), ("numbered", r"(?i)\bnumbered\b"))
 
 
 @query(f"WITH {LISTED} SELECT sale, lot, {ladder_sql('body', PROCESSES)} AS process, coalesce({ladder_sql('body', PROOFS)}, 'unknown') AS proof, CASE WHEN regexp_matches(body, '(?i)in pencil') THEN 'pencil' WHEN regexp_matches(body, '(?i)signed') THEN 'signed' ELSE 'unsigned' END AS signature, regexp_matches(body, '(?i)\\bposter\\b') AS poster FROM listed")

@@ -263,3 +263,19 @@ def rights_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that hold rows with a rights line, of which a cleared table has none."""
     marked = F.col("text").rlike("(?i)all rights reserved|licensed under")
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(marked).alias("marked")).where("marked > 0")
+
+
+CHANCES = (("HIGH", 0.9), ("MEDIUM_HIGH", 0.75), ("MEDIUM", 0.5), ("LOW", 0.25))
+
+
+@query(f"""WITH {ARTIST_PASS}, {WORK_PASS}, o AS (SELECT lot, count(DISTINCT artist) > 1 AS overridden FROM votes WHERE source IN ('A', 'V') GROUP BY 1)
+SELECT a.lot, CASE WHEN coalesce(overridden, FALSE) THEN 'conflict' ELSE a.verdict END AS artist_verdict, w.verdict AS work_verdict, coalesce(overridden, FALSE) AS overridden,
+  round(CASE WHEN coalesce(overridden, FALSE) THEN 0.1 ELSE coalesce(CASE confidence {' '.join(f"WHEN '{b}' THEN {p}" for b, p in CHANCES)} END, 0) * CASE WHEN w.verdict = 'conflict' THEN 0.8 ELSE 1 END END, 4) AS chance FROM artist_pass a JOIN work_pass w USING (lot) LEFT JOIN o USING (lot)""")
+def fused_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both verdicts in one row with a chance; a documented claim against a legible signature overrides them."""
+    split = votes(spark, sf_dir).where(F.col("source").isin("A", "V")).groupBy("lot").agg((F.count_distinct("artist") > 1).alias("split"))
+    both = artist_verdicts(spark, sf_dir).join(work_verdicts(spark, sf_dir).select("lot", F.col("verdict").alias("work_verdict")), "lot").join(split, "lot", "left")
+    over = F.coalesce("split", F.lit(False))
+    known = F.create_map(*(F.lit(x) for kv in CHANCES for x in kv))
+    chance = F.coalesce(known[F.col("confidence")], F.lit(0.0)) * F.when(F.col("work_verdict") == "conflict", 0.8).otherwise(1.0)
+    return both.select("lot", F.when(over, "conflict").otherwise(F.col("verdict")).alias("artist_verdict"), "work_verdict", over.alias("overridden"), F.round(F.when(over, 0.1).otherwise(chance), 4).alias("chance"))
