@@ -124,7 +124,7 @@ def counted(probes: DataFrame, lots: DataFrame, by: list[str], name: str) -> Dat
     so_far = days.select(*by, "_day", F.sum("_c").over(Window.partitionBy(*by).orderBy("_day")).alias("_so_far"))
     out = probes
     for end in ("until", "since"):
-        out = joins.asof(out, so_far, by, end, "_day", ["_so_far"], strict=True, every=3_653).withColumnRenamed("_so_far", f"_{end}")
+        out = joins.asof(out, so_far, by, end, "_day", ["_so_far"], strict=True).withColumnRenamed("_so_far", f"_{end}")
     return out.select(*probes.columns, (F.coalesce("_until", F.lit(0)) - F.coalesce("_since", F.lit(0))).alias(name))
 
 
