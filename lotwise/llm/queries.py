@@ -133,9 +133,97 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", F.col("_arrival").alias("arrival"), F.element_at(F.split("shard", "/"), -2).alias("run"), F.element_at(F.split("shard", "/"), -1).alias("shard"), F.lit(store.version()).alias("version"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's words are from those of the other sources of its language, and the words that set it apart."""
+    from lotwise.llm.divergence import audit
+
+    return audit(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT id, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+      FROM (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+every AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0)::HUGEINT AS n
+          FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + v) AS p FROM every JOIN v USING (lang)),
+whole AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM every GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang)::HUGEINT + v) AS q FROM whole JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+                    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+         ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' AS part FROM term))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters of documents remove in each of their 120 orders, by language."""
+    from lotwise.llm.interaction import audit
+
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: Every order applied to the counts of documents by part and filters failed, without subsets or grouping sets.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+        + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS fails, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+      FROM d LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((labels.toxic = 1)::INT) AS toxic FROM labels GROUP BY ALL) l USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, k, substr(o, k, 1) AS x, 1 << (ascii(substr(o, k, 1)) - 65) AS bit,
+            list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(substr(o, i, 1)) - 65)))::INT AS before0 FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+told AS (SELECT part, o, k, x,
+           sum(CASE WHEN fails & (coalesce(before0, 0) | bit) = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN fails & coalesce(before0, 0) = 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN fails & coalesce(before0, 0) <> 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN fails & coalesce(before0, 0) = 0 AND fails & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN fails & coalesce(before0, 0) = 0 AND fails & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+         FROM cells, steps GROUP BY ALL)
+SELECT part, o AS filter_order, k::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM told
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives that hold equal payloads once, and what reading them back tells."""
+    from lotwise.llm.common import new_path
+    from lotwise.llm.warc import archive, records, resolved
+
+    path = new_path(spark, "warc")
+    archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    found = resolved(records(spark, path, payload=False))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("of_page").cast("long").alias("refers_to"))
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+b AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(h, 1 + 5 * k, 5))::INTEGER) AS fives FROM h)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((fives[1 + i // 4] >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op3_language_model": op3_language_model, "op4_piecewise": op4_piecewise, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffixes": op7_suffixes, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_shards": op10_shards}
+    return {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op3_language_model": op3_language_model, "op4_piecewise": op4_piecewise, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_suffixes": op7_suffixes, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_shards": op10_shards, "op11_divergence": op11_divergence, "op12_interaction": op12_interaction, "op13_warc": op13_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL}
+    return {"op1_topk": OP1_SQL, "op11_divergence": OP11_SQL, "op12_interaction": OP12_SQL, "op13_warc": OP13_SQL}
