@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import text
-from lotwise.functions.parse import ARTICLE, SERIES, identity_key, title_without_extras
+from lotwise.functions.parse import ARTICLE, bare_title, identity_key, without_article
 from lotwise.operators import ranking
 from lotwise.plans import Registry
 from lotwise.plans.market import SALES
@@ -191,12 +191,12 @@ def work_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lots = listed(spark, sf_dir)
     key = identity_key(F.col("title"))
-    series = text.title_key(F.regexp_replace(title_without_extras(F.col("title")), SERIES, ""))
+    series = text.title_key(bare_title(F.col("title"), series=True))
     first = F.element_at(text.citations(F.col("title")), 1)
     asked = lots.groupBy("artist", "title").agg(F.count("*").alias("lots")).select("artist", "title", "lots", text.title_key(F.col("title")).alias("exact"), key.alias("key"), F.when(key != series, series).alias("no_series"), F.concat(first["prefix"], F.lit("/"), first["number"]).alias("cited"))
     names = lots.select("artist", text.title_key(F.col("name")).alias("name_key"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("/"))).alias("entry")).distinct()
     keys = names.select("artist", "name_key").distinct()
-    bare = lambda c: F.regexp_replace(c, ARTICLE, "")
+    bare = without_article
     by = lambda left, right, *more: asked.withColumn("_k", left).join(right.withColumn("_k", more[0]), ["artist", "_k"])
     hits = [
         by(F.col("exact"), keys, F.col("name_key")), by(F.col("cited"), names, F.col("entry")), by(F.concat("cited", F.lit("|"), "key"), names, F.concat("entry", F.lit("|"), "name_key")),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import text
-from lotwise.functions.parse import ARTICLE, CAT_NUM, CITED, CONDITION, DEFECTS, MIXED, MULTI, ORDINAL, PAPERS, PREFIXES, ROMAN, SERIES, YEAR, YEAR_BRACKET, embedding_title, identity_key, mixed_fraction, title_without_extras
+from lotwise.functions.parse import ARTICLE, CITED, CONDITION, DEFECTS, MIXED, PAPERS, PREFIXES, QUOTES, ROMAN, bare_title, bare_title_sql, embedding_title, identity_key, mixed_fraction, several_works, several_works_sql, without_article
 from lotwise.plans import Registry
 from lotwise.plans.textual import KEYED
 from lotwise.sources.tables import table
@@ -43,7 +43,7 @@ def quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-EDITION = "coalesce(" + ", ".join(f"CAST(replace({extracted('body', p)}, ',', '') AS INTEGER)" for p in text.EDITION_FORMS) + ")"
+EDITION = text.edition_size_sql("body")
 
 
 @query(f"WITH {LISTED} SELECT sale, lot, work, {EDITION} AS edition FROM listed")
@@ -81,12 +81,9 @@ def title_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(spark, sf_dir).select("sale", "lot", "work", first["prefix"].alias("prefix"), first["number"].alias("number"))
 
 
-STRIPPED_SQL = "title"
-for _p in (CITED, YEAR_BRACKET, YEAR, ORDINAL, CAT_NUM):
-    STRIPPED_SQL = f"regexp_replace({STRIPPED_SQL}, '{quoted(_p)}', '')"
-KEY_SQL = KEYED.format(STRIPPED_SQL)
-NO_SERIES_SQL = KEYED.format(f"regexp_replace({STRIPPED_SQL}, '{quoted(SERIES)}', '')")
-NO_ARTICLE_SQL = f"regexp_replace({KEY_SQL}, '{quoted(ARTICLE)}', '')"
+KEY_SQL = KEYED.format(bare_title_sql("title", KEYED))
+NO_SERIES_SQL = KEYED.format(bare_title_sql("title", KEYED, series=True))
+NO_ARTICLE_SQL = f"regexp_replace({KEY_SQL}, '{ARTICLE}', '')"
 
 
 @query(f"""WITH {LISTED} SELECT title, {KEY_SQL} AS key, {NO_SERIES_SQL} AS without_series, {NO_ARTICLE_SQL} AS without_article, count(*) AS n FROM listed GROUP BY 1""")
@@ -94,20 +91,15 @@ def title_identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of a title at falling strictness: without citations, years and numbers; without its series; without its article."""
     titles = listed(spark, sf_dir).groupBy("title").agg(F.count("*").alias("n"))
     key = identity_key(F.col("title"))
-    return titles.select("title", key.alias("key"), text.title_key(F.regexp_replace(title_without_extras(F.col("title")), SERIES, "")).alias("without_series"), F.regexp_replace(key, ARTICLE, "").alias("without_article"), "n")
+    return titles.select("title", key.alias("key"), text.title_key(bare_title(F.col("title"), series=True)).alias("without_series"), without_article(key).alias("without_article"), "n")
 
 
-EMBED_SQL = "title"
-for _k in range(3):
-    for _p in (CITED, YEAR_BRACKET, YEAR, SERIES):
-        EMBED_SQL = f"regexp_replace({EMBED_SQL}, '{quoted(_p)}', '')"
-for _p in (ORDINAL, CAT_NUM):
-    EMBED_SQL = f"regexp_replace({EMBED_SQL}, '{quoted(_p)}', '')"
+EMBED_SQL = f"lower(trim(regexp_replace(regexp_replace({bare_title_sql('title', KEYED, series=True)}, '{QUOTES}', '', 'g'), '\\s+', ' ', 'g')))"
 
 
-@query(f"""WITH {LISTED} SELECT title, coalesce(nullif(lower(trim(regexp_replace({EMBED_SQL}, '\\s+', ' ', 'g'))), ''), lower(trim(title))) AS plain FROM (SELECT DISTINCT title FROM listed)""")
+@query(f"""WITH {LISTED} SELECT title, {EMBED_SQL} AS plain FROM (SELECT DISTINCT title FROM listed)""")
 def embedding_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles as they're given to an encoder: references, years and series peeled off the end, up to three times."""
+    """Titles as they're given to an encoder: without catalogue entries, years, series, numbers and quotation marks."""
     return listed(spark, sf_dir).select("title").distinct().select("title", embedding_title(F.col("title")).alias("plain"))
 
 
@@ -151,7 +143,7 @@ def artist_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("artist"), F.expr(CASES_SQL).alias("raw"))
     bare = F.trim(F.regexp_replace(F.regexp_replace("raw", QUALIFIER, ""), r"\s*\([^)]*\)", ""))
     found = raw.select("artist", F.lower(F.nullif(F.regexp_extract("raw", QUALIFIER, 1), F.lit(""))).alias("qualifier"), bare.alias("bare"))
-    worded = F.array_join(F.transform(F.split(F.lower("bare"), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    worded = F.array_join(F.transform(F.split(F.lower("bare"), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
     return found.select("artist", "qualifier", F.when(F.col("bare") == F.upper("bare"), worded).otherwise(F.col("bare")).alias("name"))
 
 
@@ -169,10 +161,10 @@ def ladder_sql(c: str, classes, other: str = "NULL") -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{quoted(p)}') THEN '{n}'" for n, p in classes) + f" ELSE {other} END"
 
 
-@query(f"""WITH {LISTED} SELECT reason, count(*) AS n, count(DISTINCT work) AS works FROM (SELECT work, {ladder_sql('body', MULTI)} AS reason FROM listed) WHERE reason IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {LISTED} SELECT reason, count(*) AS n, count(DISTINCT work) AS works FROM (SELECT work, {several_works_sql('body', KEYED)} AS reason FROM listed) WHERE reason IS NOT NULL GROUP BY 1""")
 def multi_work_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lots of more than one work, by the first wording that says so."""
-    found = listed(spark, sf_dir).select("work", text.first_match(F.col("body"), list(MULTI)).alias("reason")).where("reason IS NOT NULL")
+    found = listed(spark, sf_dir).select("work", several_works(F.col("body")).alias("reason")).where("reason IS NOT NULL")
     return found.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("work").alias("works"))
 
 

@@ -138,3 +138,53 @@ def test_incremental_load_goes_on_where_it_stopped(spark, arrivals, tmp_path):
     for _ in range(2):
         feeds.incremental(feeds.feed(spark, arrivals), str(tmp_path / "mark"), lambda df, _: seen.append(df.count()))
     assert sum(seen) == spark.read.parquet(arrivals).count()
+
+
+@pytest.mark.parametrize(
+    ("given", "bare", "without_series"),
+    [
+        ("4. THE KISS", "THE KISS", "THE KISS"), ("Kiss (Bloch 12), from the Blue Series", "Kiss , from the Blue Series", "Kiss"), ("Kiss, circa 1950", "Kiss", "Kiss"), ("Kiss [c. 1998]", "Kiss", "Kiss"), ("Kiss 1998", "Kiss", "Kiss"), ("1998", "1998", "1998"),
+        ("l'Atelier (Baer 34a) rouge", "l'Atelier rouge", "l'Atelier rouge"), ("Letter from London", "Letter from London", "Letter"), ("from the Blue Series", "from the Blue Series", "from the Blue Series"), ("(Untitled)", "(Untitled)", "(Untitled)"), ("Kiss (state), (1961)", "Kiss (state)", "Kiss (state)"), ("", "", ""), (None, None, None),
+    ],
+)
+def test_bare_title(spark, given, bare, without_series):
+    import duckdb
+
+    from lotwise.functions import parse
+    from lotwise.plans.textual import KEYED
+
+    assert (one(spark, given, parse.bare_title), one(spark, given, lambda c: parse.bare_title(c, series=True))) == (bare, without_series)
+    sql = [parse.bare_title_sql("c", KEYED, series) for series in (False, True)]
+    assert duckdb.execute(f"SELECT {', '.join(sql)} FROM (SELECT CAST(? AS VARCHAR) AS c)", [given]).fetchone() == (bare, without_series)
+
+
+def test_titles_for_an_encoder_and_articles(spark):
+    from lotwise.functions import parse
+
+    assert one(spark, "“The Kiss”, plate 3, 1960", parse.embedding_title) == "the kiss"
+    assert [one(spark, t, parse.without_article) for t in ("the kiss", "l atelier", "les", "lattice")] == ["kiss", "atelier", "les", "lattice"]
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("A pair of etchings", "a pair"), ("Two works, framed", "2 works"), ("3 works", "3 works"), ("Four  Works", "4 works"), ("a set of six", "a set of"), ("a set of", None), ("A group of prints", "a group of"), ("Kiss; together with a poster", "together with"),
+        ("Kiss and another", "and another"), ("portfolio of ten", "portfolio of"), ("The complete suite", "complete set"), ("Views (12)", "trailing (n)"), ("Views (1)", None), ("Kiss", None), ("repair", None), (None, None),
+    ],
+)
+def test_several_works(spark, given, want):
+    import duckdb
+
+    from lotwise.functions import parse
+    from lotwise.plans.textual import KEYED
+
+    assert one(spark, given, parse.several_works) == want
+    assert duckdb.execute(f"SELECT {parse.several_works_sql('c', KEYED)} FROM (SELECT CAST(? AS VARCHAR) AS c)", [given]).fetchone()[0] == want
+
+
+@pytest.mark.parametrize(("given", "want"), [("numbered '12/50' (also an unsigned edition of 500)", 50), ("no. 12/50 mm", None), ('numbered 3/8" wide, edition of 20', 20), ("numbered in pencil 3 / 1,200.", 1200), ("expedition of 12", None)])
+def test_edition_size_by_context(spark, given, want):
+    import duckdb
+
+    assert one(spark, given, text.edition_size) == want
+    assert duckdb.execute(f"SELECT {text.edition_size_sql('c')} FROM (SELECT ? AS c)", [given]).fetchone()[0] == want
