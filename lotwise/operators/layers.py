@@ -12,49 +12,69 @@ from lotwise.operators.changes import assertions
 
 
 class Snapshots:
-    """A table kept as whole versions under a folder; a pointer file names the one in force.
+    """A table kept as whole versions under a folder; the newest of numbered pointers names the one in force.
 
     A change is written beside the version in force, checked there, and taken over only if it breaks no rule, so a failed
-    change leaves nothing to undo; :meth:`roll_back` goes one version back.
+    change leaves nothing to undo; :meth:`roll_back` goes back to the version that the one in force was made from, and
+    further back each time.  A pointer is made in one step that fails if its number is taken, so of two writers one wins.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _log(self) -> list[str]:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-        return [r.version for r in self.spark.read.json(f"{self.path}/log", schema="n long, version string").orderBy("n").collect()] if there else []
-
-    def _point(self, version: str) -> None:
-        self.spark.createDataFrame([(len(self._log()), version)], "n long, version string").coalesce(1).write.mode("append").json(f"{self.path}/log")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        log = self._path(f"{self.path}/log")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(log) if s.getPath().getName().isdigit()) if self._fs.exists(log) else []
+
+    def _pointer(self, number: int) -> tuple[str, int | None]:
+        """The version that a pointer names, and the number of the pointer that it was made from."""
+        version, _, parent = self.spark.read.text(f"{self.path}/log/{number:08d}").first()[0].partition(" ")
+        return version, int(parent) if parent else None
+
+    def _point(self, version: str, parent: int | None, after: int | None = None) -> None:
+        """The next pointer after ``after`` (the newest, if not given); FileExistsError if another writer made it first."""
+        number = 1 + (max(self._numbers(), default=-1) if after is None else after)
+        try:
+            out = self._fs.create(self._path(f"{self.path}/log/{number:08d}"), False)
+        except Exception as e:
+            if self._fs.exists(self._path(f"{self.path}/log/{number:08d}")):
+                raise FileExistsError(f"another change of {self.path} came first") from e
+            raise
+        out.writeBytes(f"{version} {'' if parent is None else parent}".strip() + "\n")
+        out.close()
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self._log()[-1]}")
+        return self.spark.read.parquet(f"{self.path}/{self._pointer(self._numbers()[-1])[0]}")
 
     def write(self, df: DataFrame) -> str:
-        version = uuid.uuid4().hex
+        version, held = uuid.uuid4().hex, self._numbers()
         df.write.parquet(f"{self.path}/{version}")
-        self._point(version)
+        self._point(version, held[-1] if held else None, held[-1] if held else -1)
         return version
 
     def apply(self, change: Callable[[DataFrame], DataFrame], rules: dict[str, Column]) -> dict[str, int]:
-        """Broken rules of the changed table, by name; the change is in force only if there are none."""
-        version = uuid.uuid4().hex
+        """Broken rules of the changed table, by name; the change is in force only if there are none.
+
+        Raises FileExistsError if the table was changed meanwhile.
+        """
+        version, held = uuid.uuid4().hex, self._numbers()[-1]
         change(self.read()).write.parquet(f"{self.path}/{version}")
         broken = {r.rule: r.violations for r in assertions(self.spark.read.parquet(f"{self.path}/{version}"), rules).collect() if r.violations}
         if not broken:
-            self._point(version)
+            self._point(version, held, held)
         return broken
 
     def roll_back(self) -> None:
-        """Put the version before the one in force back in force."""
-        log = self._log()
-        earlier = [v for v in log if v != log[-1]]
-        if not earlier:
+        """Put the version that the one in force was made from back in force."""
+        held = self._numbers()[-1]
+        parent = self._pointer(held)[1]
+        if parent is None:
             raise ValueError("there is no earlier version")
-        self._point(earlier[-1])
+        version, before = self._pointer(parent)
+        self._point(version, before, held)
 
 
 def tagged(df: DataFrame, run: str) -> DataFrame:

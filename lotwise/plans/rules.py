@@ -19,22 +19,28 @@ from lotwise.sources.tables import sales, table
 REGISTRY = Registry()
 query = REGISTRY
 
-#: Confidence bands, the lowest first, and the mean confidence of sources below which a band is lowered.
-BANDS, FLOOR = ("LOW", "MEDIUM", "MEDIUM_HIGH", "HIGH"), 0.5
-#: What each source says of lot p: when it speaks, whom it names, how sure it is.
+#: Confidence bands, the lowest first, and the mean confidence of agreeing sources below which a band is lowered.
+BANDS, FLOOR = ("LOW", "MEDIUM", "MEDIUM_HIGH", "HIGH"), 0.8
+#: Likeness at which an image match is a vote, and at which it is a strong one.
+VOTE, STRONG = 0.75, 0.85
+#: What each source says of lot p: when it speaks, whom it names, how sure it is.  H is a guess of the appraiser, which is no vote.
 SOURCES = (
-    ("V", "p_size % 2 = 0", "p_partkey % 10", "0.4 + (p_size % 6) / 10.0"),
-    ("R", "p_partkey % 3 <> 0", "(p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END) % 10", "(p_size % 10) / 10.0"),
-    ("A", "p_partkey % 4 = 1", "p_partkey % 10", "0.9"),
-    ("D", "p_partkey % 7 IN (1, 2, 3)", "(p_partkey + CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 0 END) % 10", "0.6"),
+    ("V", "p_size % 2 = 0", "p_partkey % 10", "CASE WHEN p_size % 5 = 0 THEN 0.5 ELSE 0.45 + (p_size % 6) / 10.0 END"),
+    ("R", "p_partkey % 3 <> 0", "(p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END) % 10", "0.6 + (p_size % 10) / 25.0"),
+    ("A", "p_partkey % 4 = 1", "(p_partkey + CASE WHEN p_partkey % 13 = 0 THEN 3 ELSE 0 END) % 10", "0.85"),
+    ("D", "p_partkey % 7 IN (1, 2, 3)", "(p_partkey + CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 0 END) % 10", "0.9"),
+    ("H", "p_partkey % 4 = 3", "(p_partkey + CASE WHEN p_partkey % 17 = 0 THEN 4 ELSE 0 END) % 10", "0.5"),
 )
-VOTES = "votes AS (" + " UNION ALL ".join(f"SELECT p_partkey AS lot, '{s}' AS source, CAST({who} AS BIGINT) AS artist, round(CAST({sure} AS DOUBLE), 3) AS sure FROM part WHERE {when}" for s, when, who, sure in SOURCES) + ")"
+#: A signature that can be read.
+LEGIBLE = "p_size % 5 <> 0"
+IS_VOTE = f"source <> 'H' AND (source <> 'R' OR sure >= {VOTE})"
+VOTES = "said AS (" + " UNION ALL ".join(f"SELECT p_partkey AS lot, '{s}' AS source, CAST({who} AS BIGINT) AS artist, round(CAST({sure} AS DOUBLE), 3) AS sure, {LEGIBLE} AS legible FROM part WHERE {when}" for s, when, who, sure in SOURCES) + f"), votes AS (SELECT lot, source, artist, sure FROM said WHERE {IS_VOTE})"
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lot, source, artist, sure``: one row for each source that names somebody."""
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lot, source, artist, sure, legible``: one row for each source that names somebody."""
     part = table(spark, sf_dir, "part")
-    each = [part.where(when).select(F.col("p_partkey").alias("lot"), F.lit(s).alias("source"), F.expr(who).cast("long").alias("artist"), F.round(F.expr(sure).cast("double"), 3).alias("sure")) for s, when, who, sure in SOURCES]
+    each = [part.where(when).select(F.col("p_partkey").alias("lot"), F.lit(s).alias("source"), F.expr(who).cast("long").alias("artist"), F.round(F.expr(sure).cast("double"), 3).alias("sure"), F.expr(LEGIBLE).alias("legible")) for s, when, who, sure in SOURCES]
     return reduce(DataFrame.unionByName, each)
 
 
@@ -48,32 +54,43 @@ def band(level: Column) -> Column:
 
 KNOWN = "known AS (SELECT l_suppkey AS artist, count(DISTINCT l_partkey) AS works FROM lineitem GROUP BY 1)"
 ARTIST_PASS = f"""{VOTES}, {KNOWN}, agreed AS (SELECT lot, artist, count(*) AS n, avg(sure) AS sure, string_agg(source, '' ORDER BY source) AS sources FROM votes GROUP BY 1, 2),
-largest AS (SELECT lot, max(n) AS n, count(*) AS named, sum(CASE WHEN n = m THEN 1 ELSE 0 END) AS tops FROM (SELECT *, max(n) OVER (PARTITION BY lot) AS m FROM agreed) GROUP BY 1),
+overruled AS (SELECT DISTINCT a.lot FROM said a JOIN said v ON a.lot = v.lot AND a.source = 'A' AND v.source = 'V' AND v.legible AND a.artist <> v.artist), guesses AS (SELECT lot, artist AS guess FROM said WHERE source = 'H'),
+largest AS (SELECT lot, max(n) AS n, CASE WHEN lot IN (SELECT lot FROM overruled) THEN 2 ELSE sum(CASE WHEN n = m THEN 1 ELSE 0 END) END AS tops FROM (SELECT *, max(n) OVER (PARTITION BY lot) AS m FROM agreed) GROUP BY 1),
 settled AS (SELECT c.lot, c.artist, c.n, c.sure, c.sources, coalesce(k.works, 0) AS works, CASE WHEN coalesce(k.works, 0) >= 100 THEN 1 WHEN coalesce(k.works, 0) >= 1 THEN 0 ELSE -1 END AS lift FROM agreed c JOIN largest t ON t.lot = c.lot AND c.n = t.n AND t.tops = 1 LEFT JOIN known k ON k.artist = c.artist),
-judged AS (SELECT *, CASE WHEN n >= 3 THEN 3 WHEN n = 2 THEN 2 WHEN sources = 'V' AND sure < 0.6 THEN 0 WHEN sources = 'R' AND sure < 0.8 THEN 0 ELSE 1 END AS base,
-  CASE WHEN n >= 3 THEN 'A1' WHEN n = 2 THEN CASE lift WHEN 1 THEN 'A2' WHEN 0 THEN 'A3' ELSE 'A4' END WHEN sources = 'V' THEN 'A5' WHEN sources = 'R' THEN CASE WHEN sure >= 0.8 THEN 'A6' ELSE 'A7' END WHEN sources = 'D' THEN 'A6D' ELSE 'A8' END AS code FROM settled),
-artist_pass AS (SELECT p_partkey AS lot, CASE WHEN t.lot IS NULL THEN 'not_attributed' WHEN t.tops > 1 THEN 'conflict' WHEN s.n >= 2 THEN 'attributed' ELSE 'candidate' END AS verdict, s.artist, CASE WHEN t.lot IS NULL THEN 'A11' WHEN t.tops > 1 THEN 'A10' ELSE s.code END AS code, coalesce(s.sources, '') AS sources,
-  CASE WHEN s.lot IS NOT NULL THEN {band_sql(f"least(greatest(base - CASE WHEN sure < {FLOOR} THEN 1 ELSE 0 END, 0), 3) + CASE WHEN lift < 0 AND s.n <> 2 THEN 0 ELSE lift END")} END AS confidence FROM part LEFT JOIN largest t ON t.lot = p_partkey LEFT JOIN judged s ON s.lot = p_partkey)"""
+judged AS (SELECT settled.*, guess, CASE WHEN n >= 3 THEN 3 WHEN n = 2 THEN 2 WHEN sources = 'V' AND sure < 0.6 THEN 0 WHEN sources = 'R' AND sure < {STRONG} THEN 0 ELSE 1 END AS base,
+  CASE WHEN n >= 3 THEN 'A1' WHEN n = 2 THEN CASE lift WHEN 1 THEN 'A2' WHEN 0 THEN 'A3' ELSE 'A4' END WHEN sources = 'V' THEN 'A5' WHEN sources = 'R' THEN CASE WHEN sure >= {STRONG} THEN 'A6' ELSE 'A7' END WHEN sources = 'D' THEN 'A6D' ELSE 'A8' END AS code FROM settled LEFT JOIN guesses USING (lot)),
+scored AS (SELECT *, least(greatest(greatest(base - CASE WHEN sure < {FLOOR} THEN 1 ELSE 0 END, 0) + CASE WHEN lift < 0 AND n <> 2 THEN 0 ELSE lift END, 0), 3) AS level FROM judged),
+artist_pass AS (SELECT p_partkey AS lot, CASE WHEN t.lot IS NULL THEN 'not_attributed' WHEN t.tops > 1 THEN 'conflict' WHEN s.n >= 2 THEN 'attributed' ELSE 'candidate' END AS verdict, s.artist, CASE WHEN t.lot IS NULL THEN CASE WHEN g.guess IS NULL THEN 'A11' ELSE 'A9' END WHEN t.tops > 1 THEN 'A10' ELSE s.code END AS code, coalesce(s.sources, '') AS sources,
+  CASE WHEN s.lot IS NOT NULL THEN {band_sql("level + CASE WHEN s.n = 1 AND s.guess = s.artist THEN 1 ELSE 0 END")} WHEN t.lot IS NULL AND g.guess IS NOT NULL THEN 'LOW' END AS confidence FROM part LEFT JOIN largest t ON t.lot = p_partkey LEFT JOIN scored s ON s.lot = p_partkey LEFT JOIN guesses g ON g.lot = p_partkey)"""
 
 
 def artist_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lot, verdict, artist, code, sources, confidence``.
 
     Sources that agree form a set; the largest decides unless another is as large.  Its size sets the band, doubtful
-    sources lower it, and what is known of the artist moves it, down only where two agree.
+    sources lower it, and what is known of the artist moves it, down only where two agree.  The appraiser's guess is no
+    vote: it lifts a single source that names the same artist, and alone attributes nothing.  Papers that name another
+    artist than a legible signature are a conflict whatever else is said.
     """
     known = sales(spark, sf_dir).groupBy("artist").agg(F.count_distinct("work").alias("works"))
-    sets = votes(spark, sf_dir).groupBy("lot", "artist").agg(F.count("*").alias("n"), F.avg("sure").alias("sure"), F.array_join(F.array_sort(F.collect_list("source")), "").alias("sources"))
+    said = claims(spark, sf_dir)
+    named = lambda s, when=True: F.max(F.when((F.col("source") == s) & when, F.col("artist")))
+    asides = said.groupBy("lot").agg(named("H").alias("guess"), named("A").alias("papers"), named("V", F.col("legible")).alias("signature"))
+    sets = said.where(IS_VOTE).groupBy("lot", "artist").agg(F.count("*").alias("n"), F.avg("sure").alias("sure"), F.array_join(F.array_sort(F.collect_list("source")), "").alias("sources"))
     best = sets.groupBy("lot").agg(F.max_by(F.struct("artist", "n", "sure", "sources"), F.struct("n", "artist")).alias("d"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
-    tied = (F.size("ns") > 1) & (F.try_element_at("ns", F.lit(2)) == F.element_at("ns", 1))
-    d = best.select("lot", tied.alias("tied"), "d.*").join(known, "artist", "left")
+    tied = ((F.size("ns") > 1) & (F.try_element_at("ns", F.lit(2)) == F.element_at("ns", 1))) | F.coalesce(F.col("papers") != F.col("signature"), F.lit(False))
+    d = asides.join(best, "lot", "left").where("d IS NOT NULL OR guess IS NOT NULL").select("lot", "guess", tied.alias("tied"), "d.*").join(known, "artist", "left")
     n, sure, one = F.col("n"), F.col("sure"), F.col("sources")
     lift = F.when(F.coalesce("works", F.lit(0)) >= 100, 1).when(F.coalesce("works", F.lit(0)) >= 1, 0).otherwise(-1)
-    base = F.when(n >= 3, 3).when(n == 2, 2).when((one == "V") & (sure < 0.6), 0).when((one == "R") & (sure < 0.8), 0).otherwise(1)
-    code = F.when(n >= 3, "A1").when(n == 2, F.when(lift == 1, "A2").when(lift == 0, "A3").otherwise("A4")).when(one == "V", "A5").when((one == "R") & (sure >= 0.8), "A6").when(one == "R", "A7").when(one == "D", "A6D").otherwise("A8")
+    base = F.when(n >= 3, 3).when(n == 2, 2).when((one == "V") & (sure < 0.6), 0).when((one == "R") & (sure < STRONG), 0).otherwise(1)
+    code = F.when(n >= 3, "A1").when(n == 2, F.when(lift == 1, "A2").when(lift == 0, "A3").otherwise("A4")).when(one == "V", "A5").when((one == "R") & (sure >= STRONG), "A6").when(one == "R", "A7").when(one == "D", "A6D").otherwise("A8")
     lowered = F.greatest(base - (sure < FLOOR).cast("int"), F.lit(0))
-    settled = ~F.col("tied")
-    judged = d.select("lot", F.when(settled, F.col("artist")).alias("artist"), F.when(settled, code).otherwise("A10").alias("code"), F.when(settled, one).otherwise("").alias("sources"), F.when(settled, band(lowered + F.when((lift < 0) & (n != 2), 0).otherwise(lift))).alias("confidence"), F.when(~settled, "conflict").when(n >= 2, "attributed").otherwise("candidate").alias("verdict"))
+    level = F.least(F.greatest(lowered + F.when((lift < 0) & (n != 2), 0).otherwise(lift), F.lit(0)), F.lit(3)) + F.when((n == 1) & (F.col("guess") == F.col("artist")), 1).otherwise(0)
+    silent, settled = n.isNull(), ~F.col("tied")
+    judged = d.select(
+        "lot", F.when(settled, F.col("artist")).alias("artist"), F.when(silent, "A9").when(settled, code).otherwise("A10").alias("code"), F.when(settled, one).otherwise("").alias("sources"),
+        F.when(silent, BANDS[0]).when(settled, band(level)).alias("confidence"), F.when(silent, "not_attributed").when(~settled, "conflict").when(n >= 2, "attributed").otherwise("candidate").alias("verdict"),
+    )
     lots = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lot"))
     return lots.join(judged, "lot", "left").select("lot", F.coalesce("verdict", F.lit("not_attributed")).alias("verdict"), "artist", F.coalesce("code", F.lit("A11")).alias("code"), F.coalesce("sources", F.lit("")).alias("sources"), "confidence")
 
@@ -232,7 +249,7 @@ def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is looked up for each lot: up to four candidates, the work of each, and whether it holds the title."""
     from lotwise.operators import ranking
 
-    cand = votes(spark, sf_dir).groupBy("lot", "artist").agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
+    cand = claims(spark, sf_dir).where(IS_VOTE).groupBy("lot", "artist").agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
     top = ranking.top(cand, ["lot"], [F.desc("n"), F.desc("sure"), F.col("artist")], 4)
     lots = sales(spark, sf_dir)
     oeuvre = lots.groupBy("artist").agg(F.count_distinct("work").alias("works"), F.count("*").alias("sales"))
@@ -273,7 +290,7 @@ SELECT a.lot, CASE WHEN coalesce(overridden, FALSE) THEN 'conflict' ELSE a.verdi
   round(CASE WHEN coalesce(overridden, FALSE) THEN 0.1 ELSE coalesce(CASE confidence {' '.join(f"WHEN '{b}' THEN {p}" for b, p in CHANCES)} END, 0) * CASE WHEN w.verdict = 'conflict' THEN 0.8 ELSE 1 END END, 4) AS chance FROM artist_pass a JOIN work_pass w USING (lot) LEFT JOIN o USING (lot)""")
 def fused_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both verdicts in one row with a chance; a documented claim against a legible signature overrides them."""
-    split = votes(spark, sf_dir).where(F.col("source").isin("A", "V")).groupBy("lot").agg((F.count_distinct("artist") > 1).alias("split"))
+    split = claims(spark, sf_dir).where(F.col("source").isin("A", "V")).groupBy("lot").agg((F.count_distinct("artist") > 1).alias("split"))
     both = artist_verdicts(spark, sf_dir).join(work_verdicts(spark, sf_dir).select("lot", F.col("verdict").alias("work_verdict")), "lot").join(split, "lot", "left")
     over = F.coalesce("split", F.lit(False))
     known = F.create_map(*(F.lit(x) for kv in CHANCES for x in kv))

@@ -215,8 +215,11 @@ def witness_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUALIFIERS = "CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN 'direct' WHEN 2 THEN NULL ELSE 'after' END"
-NON_DIRECT = r"after-|manner-of-|attributed-to-|follower-of-"
-URLS = "'https://house.example/lot/' || CASE l_orderkey % 5 WHEN 0 THEN 'after-' WHEN 1 THEN 'Manner-Of-' ELSE '' END || CAST(l_partkey AS {0})"
+#: Hands that aren't the artist's own, as addresses of lots name them.
+HANDS = ("after", "manner-of", "circle-of", "attributed-to", "follower-of", "school-of")
+#: The hand stands where the lot's own part of an address begins, never in a sale's name.
+NON_DIRECT = "/(?:lot/[0-9]+/|[0-9]+-)(?:" + "|".join(HANDS) + ")-"
+URLS = "'https://house.example/' || CASE WHEN l_linenumber = 2 THEN 'after-hours/' ELSE 'sale/' END || CASE WHEN l_orderkey % 2 = 0 THEN 'lot/' || CAST(l_partkey AS {0}) || '/' ELSE CAST(l_partkey AS {0}) || '-' END || CASE l_orderkey % 9 WHEN 0 THEN 'after-' WHEN 1 THEN 'Manner-Of-' WHEN 2 THEN 'circle-of-' WHEN 3 THEN 'school-of-' WHEN 4 THEN 'before-' ELSE '' END || 'artist'"
 
 
 @query(f"""WITH q AS (SELECT l_suppkey AS artist, {QUALIFIERS} AS qualifier, lower({URLS.format('VARCHAR')}) AS url FROM lineitem)

@@ -48,6 +48,17 @@ def test_a_change_that_breaks_a_rule_is_not_in_force(spark, tmp_path):
     assert table.read().agg(F.sum("v")).first()[0] == 20
     table.roll_back()
     assert table.read().agg(F.sum("v")).first()[0] == 10
+    with pytest.raises(ValueError):
+        table.roll_back()
+    for times in (3, 5):
+        assert table.apply(lambda df, t=times: df.withColumn("v", F.col("v") * t), rules) == {}
+    seen = [table.read().agg(F.sum("v")).first()[0]]
+    for _ in range(2):
+        table.roll_back()
+        seen.append(table.read().agg(F.sum("v")).first()[0])
+    assert seen == [150, 30, 10]
+    with pytest.raises(FileExistsError):
+        table.apply(lambda df: table.write(df.limit(0)) and df, rules)
 
 
 def test_runs_and_guards(spark):
