@@ -27,6 +27,6 @@ class Registry:
 
 
 def registries() -> list[Registry]:
-    from lotwise.plans import catalogue, identity, learning, market, parsing, pricing, rules, stream, textual, upkeep, valuation
+    from lotwise.plans import catalogue, identity, images, learning, market, parsing, pricing, rules, stream, textual, upkeep, valuation
 
-    return [m.REGISTRY for m in (market, textual, parsing, catalogue, identity, learning, pricing, valuation, rules, upkeep, stream)]
+    return [m.REGISTRY for m in (market, textual, parsing, catalogue, identity, learning, pricing, valuation, rules, upkeep, stream, images)]
