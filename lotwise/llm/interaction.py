@@ -12,16 +12,16 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.common import written
+
 FILTERS = "ABCDE"
 _COUNTS = ("n", "good", "toxic")
-#: Upper-case letters, to be counted.
-_UPPER = "[^A-Z]"
 
 
 def flags(text: Column) -> dict[str, Column]:
     """Which of the filters A to D a text fails; the text may not be null."""
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    capitals = F.char_length(F.regexp_replace(text, _UPPER, ""))
+    capitals = F.size(F.split(text, "[A-Z]")) - 1
     return {
         "A": F.size(words) < 200,
         "B": 100 * F.size(F.array_distinct(words)).cast("long") < 50 * F.size(words).cast("long"),
@@ -43,6 +43,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = seen.join(marks, "doc_id", "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("is_good", "is_toxic")})
     by_id = rows.groupBy("doc_id", *kind).agg(F.count("*").alias("n"))  # a row an id, but for repeated ids
     by_text = by_id.groupBy(*kind, F.isnull("doc_id").alias("nameless")).agg(F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n_least"))
+    by_text = written(by_text, "texts")  # read twice
     first = by_text.groupBy("digest").agg(F.min("least").alias("first"))
     with_first = by_text.join(first, "digest")
     copies = F.when(F.col("nameless"), 0).when(F.col("least") == F.col("first"), F.col("n") - F.col("n_least")).otherwise(F.col("n"))
