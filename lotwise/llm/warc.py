@@ -35,11 +35,11 @@ PARTS = 256
 RECORD = "record_id string, record_type string, uri string, date string, page_id string, digest string, refers_to string, payload_bytes long, payload binary"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """SHA-1 of bytes in base 32: every five hexadecimal digits are four digits of it."""
-    h = F.sha1(payload)
-    five = [F.conv(F.substring(h, 1 + 5 * k, 5), 16, 10).cast("int") for k in range(8)]
-    return F.concat(*(F.substring(F.lit(_DIGITS), F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for v in five for s in (15, 10, 5, 0)))
+def base32(digest: Column) -> Column:
+    """40 hexadecimal digits in base 32: every five of them are four digits of it."""
+    fives = F.array(*(F.conv(F.substring(digest, 1 + 5 * k, 5), 16, 10).cast("int") for k in range(8)))
+    digit = lambda v, s: F.substring(F.lit(_DIGITS), F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    return F.array_join(F.transform(fives, lambda v: F.concat(*(digit(v, s) for s in (15, 10, 5, 0)))), "")
 
 
 def met(rows: DataFrame, found: DataFrame, key: str, spread: list[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def _records(rows: DataFrame, kind: str, date: str) -> DataFrame:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END + END))
     fields = [
         F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}"), _field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.lit(kind), F.col("copy"))), F.lit(f"WARC-Date: {date}"),
-        _field("WARC-Target-URI", F.col("url")), _field(PAGE_FIELD, F.col("page_id")), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        _field("WARC-Target-URI", F.col("url")), _field(PAGE_FIELD, F.col("page_id")), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
     ]
     if kind == "revisit":
         of = F.col("original")
@@ -106,9 +106,9 @@ def archive(pages: DataFrame, path: str, least: int = 0, payload: str = "html",
     a folder without records.  A file has at most ``per_file`` records.
     """
     held = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select("page_id", "url", held.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
+    rows = pages.select("page_id", "url", held.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    heads = written(decided(headers(rows), least), "headers")
+    heads = written(decided(written(headers(rows), "captures"), least), "headers")
     here = F.struct("page_id", "url")
     alone = F.col("original").isNull()
     owner = alone | F.col("original").eqNullSafe(here)
