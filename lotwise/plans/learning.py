@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import learn
+from lotwise.operators import learn, ridges
 from lotwise.plans import Registry
 from lotwise.plans.pricing import LOGS, logs
 from lotwise.sources.tables import sales, table, works
@@ -66,6 +66,56 @@ def artist_ridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("artist", "n", F.round(slope, 8).alias("slope"), F.round(F.col("my") - slope * F.col("mx"), 6).alias("intercept"))
 
 
+TWO = f"""{LOGS}, r AS (SELECT artist, CAST(year(sale_date) AS INTEGER) AS year, y, CAST(edition AS DOUBLE) AS x, ln(p_size) AS z FROM logs JOIN part ON work = p_partkey)"""
+#: A ridge on two columns by Cramer's rule, penalty 10.
+CRAMER = "count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) * count(*) + 10 AS a, var_pop(z) * count(*) + 10 AS b, covar_pop(x, z) * count(*) AS c, covar_pop(x, y) * count(*) AS u, covar_pop(z, y) * count(*) AS v"
+SLOPES = "(b * u - c * v) / (a * b - c * c) AS sx, (a * v - c * u) / (a * b - c * c) AS sz"
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sold lots with what a price model reads: artist, work, year, x (edition), z (log of size), y (log price)."""
+    sizes = works(spark, sf_dir).select("work", F.log("size").alias("z"))
+    return logs(spark, sf_dir).join(sizes, "work").select("artist", "work", F.year("sale_date").alias("year"), F.col("edition").cast("double").alias("x"), "z", "premium", F.col("signed").cast("double").alias("signed"), "y")
+
+
+@query(f"WITH {TWO}, s AS (SELECT artist, {CRAMER} FROM r GROUP BY 1), k AS (SELECT *, {SLOPES} FROM s) SELECT artist, n, round(sx, 8) AS edition_slope, round(sz, 6) AS size_slope, round(my - sx * mx - sz * mz, 6) AS intercept FROM k WHERE n >= 15")
+def artist_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes of log price by edition and size for each artist of fifteen sales or more, from sums of products alone."""
+    found = ridges.by_group(described(spark, sf_dir), "artist", ["x", "z"], "y", 10.0, 15)
+    return found.select("artist", "n", F.round(F.col("slopes")[0], 8).alias("edition_slope"), F.round(F.col("slopes")[1], 6).alias("size_slope"), F.round("intercept", 6).alias("intercept"))
+
+
+STRENGTHS = (0.0, 5.0, 20.0, 80.0, 320.0)
+
+
+@query(f"""WITH {TWO}, t AS (SELECT * FROM r WHERE year < 1998), h AS (SELECT * FROM r WHERE year >= 1998), p AS (SELECT *, my - sx * mx - sz * mz AS i FROM (SELECT *, {SLOPES} FROM (SELECT {CRAMER} FROM t))),
+o AS (SELECT *, my - sx * mx - sz * mz AS i FROM (SELECT *, {SLOPES} FROM (SELECT artist, {CRAMER} FROM t GROUP BY 1) WHERE n >= 15)), g AS (SELECT unnest({list(STRENGTHS)})::DOUBLE AS strength),
+e AS (SELECT strength, h.y - CASE WHEN o.artist IS NULL THEN p.i + p.sx * h.x + p.sz * h.z ELSE (o.n * (o.i + o.sx * h.x + o.sz * h.z) + strength * (p.i + p.sx * h.x + p.sz * h.z)) / (o.n + strength) END AS e FROM h CROSS JOIN g CROSS JOIN p LEFT JOIN o ON o.artist = h.artist),
+m AS (SELECT strength, count(*) AS n, avg(e * e) AS error FROM e GROUP BY 1) SELECT strength, n, round(error, 8) AS error, row_number() OVER (ORDER BY error, strength) = 1 AS best FROM m""")
+def shrinkage_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far artists' ridges should be drawn towards the pooled one, by their errors on later sales."""
+    lots = described(spark, sf_dir)
+    found = ridges.strengths(lots.where("year < 1998"), lots.where("year >= 1998"), "artist", ["x", "z"], "y", 10.0, list(STRENGTHS), 15)
+    return found.select("strength", "n", F.round("error", 8).alias("error"), "best")
+
+
+@query()
+def pooled_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log price on edition, size, signature and premium with a level for each artist and each year, all drawn towards 0."""
+    model = ridges.TwoWay(described(spark, sf_dir), "artist", "year", ["x", "z", "signed", "premium"], "y", 1.0)
+    intercept, slopes = model.coefficients()
+    plain = spark.createDataFrame([("intercept", "all", intercept), *(("slope", c, v) for c, v in slopes.items())], "term string, level string, effect double")
+    effects = [e.select(F.lit(name).alias("term"), F.col(name).cast("string").alias("level"), "effect") for name, e in (("artist", model.many_effects()), ("year", model.few_effects()))]
+    return plain.unionByName(effects[0]).unionByName(effects[1]).withColumn("effect", F.round("effect", 6))
+
+
+@query()
+def year_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price by year relative to 1995 within works, with a 90 % interval from whole works drawn again forty times."""
+    found = ridges.bootstrap_effects(described(spark, sf_dir), "work", "year", "y", 1995, DRAWS)
+    return found.select("year", *(F.round(c, 6).alias(c) for c in ("effect", "p5", "p95")))
+
+
 DRAWS = 40
 #: Poisson(1) weights by cumulative chance, in thousandths.
 POISSON = ((368, 0), (736, 1), (920, 2), (981, 3), (996, 4), (1000, 5))
