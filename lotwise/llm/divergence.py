@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import written
 
-#: Runs of letters A to Z and of anything beyond ASCII.
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: What lies between terms, which are runs of letters A to Z and of anything beyond ASCII; splitting is many times as fast as extracting.
+BETWEEN = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Groups are broadcast up to so many; beyond it they are dealt with the vocabulary by language and part of its terms.
 FEW_GROUPS = 20_000
 #: Parts of a language's vocabulary, or of a group's terms, that are dealt out apart.
@@ -21,31 +21,31 @@ PARTS = 64
 _SCALE = 10**9
 
 
-def low(term: Column) -> Column:
+def low(text: Column) -> Column:
     """A to Z in lower case, all else as it is."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(F.octet_length(term) == F.char_length(term), F.lower(term)).otherwise(F.translate(term, capitals, capitals.lower()))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, capitals, capitals.lower()))
 
 
 def counted(docs: DataFrame, least: int) -> DataFrame:
-    """Terms in at least ``least`` documents of their language: (lang, source, term, n, n_lang, first).
+    """Terms in at least ``least`` documents of their language: (lang, term, n_lang, by_source).
 
-    ``n`` counts occurrences in the group, ``n_lang`` in the language, ``first`` is true on one row a term of a language.
-    Terms of a document are sorted, so that each tells by its neighbour whether it is the document's first of its kind.
+    ``by_source`` maps the sources of the language that have the term to their counts, ``n_lang`` is their sum.  Terms of a
+    document are sorted, so that each tells by its neighbour whether it is the document's first of its kind.
     """
-    terms = docs.select("lang", "source", F.sort_array(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), low)).alias("terms"))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("new")))
-    rows = terms.select("lang", "source", F.explode(marked).alias("t"))
-    counts = rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count("*").alias("n"), F.sum("t.new").alias("docs"))
-    same = Window.partitionBy("lang", "term")
-    known = counts.withColumns({"n_lang": F.sum("n").over(same), "in_docs": F.sum("docs").over(same), "place": F.row_number().over(same.orderBy("source"))})
-    return known.where(F.col("in_docs") >= least).select("lang", "source", "term", "n", "n_lang", (F.col("place") == 1).alias("first"))
+    terms = docs.select("lang", "source", F.sort_array(F.split(low(F.col("text")), BETWEEN)).alias("term"))
+    beside = terms.select("lang", "source", F.explode(F.arrays_zip("term", F.array_prepend("term", F.lit(None)).alias("before"))).alias("t"))
+    rows = beside.select("lang", "source", "t.*").where("term <> ''")
+    counts = rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("docs"))
+    known = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("each"))  # a row a source
+    return known.where(F.col("docs") >= least).select("lang", "term", "n_lang", F.map_from_entries("each").alias("by_source"))
 
 
 def share(n: Column, total: Column, size: Column) -> Column:
-    """1 + floor(10^9 (n + 1) / (total + size)), in decimals since the product may exceed a long."""
-    wide = (n + 1).cast("decimal(20,0)") * F.lit(_SCALE).cast("decimal(10,0)")
-    return 1 + F.call_function("div", wide, (total + size).cast("decimal(20,0)"))
+    """1 + floor(10^9 (n + 1) / (total + size)), by way of decimals where the product exceeds a long."""
+    div = lambda a, b: F.call_function("div", a, b)
+    wide = div((n + 1).cast("decimal(20,0)") * F.lit(_SCALE).cast("decimal(10,0)"), (total + size).cast("decimal(20,0)"))
+    return 1 + F.when(n < 9 * _SCALE, div((n + 1) * F.lit(_SCALE).cast("long"), total + size)).otherwise(wide)
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -81,23 +81,27 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, few_groups: int = FEW
     texts = docs.select(*(e.alias(c) for c, e in blank.items()))
     kept = written(counted(texts, least), "terms")
     groups = texts.select("lang", "source").distinct()
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum(F.col("first").cast("long")).alias("own"))
-    groups = groups.join(totals, ["lang", "source"], "left").fillna(0, ["total", "own"])
-    sizes = groups.groupBy("lang").agg(F.sum("own").alias("size"), F.sum("total").alias("lang_total"))
-    groups = written(groups.join(sizes, "lang").select("lang", "source", "total", "size", "lang_total"), "groups")
+    each = kept.select("lang", "term", "n_lang", F.explode("by_source").alias("source", "n"))
+    totals = each.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    sizes = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("n_lang").alias("lang_total"))
+    groups = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["total", "size", "lang_total"])
+    groups = written(groups, "groups")
     few = groups.count() <= few_groups
 
-    counts = kept.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source"))  # a source once a term
-    dense = _with_groups(counts, groups.select("lang", "source", "total", "size"), ["lang"], few)
+    dealt = kept.select("lang", "term", "by_source").repartition("lang", "term")  # before zeros are filled in, and as the join below wants it
+    dense = _with_groups(dealt, groups.select("lang", "source", "total", "size"), ["lang"], few)
     dense = dense.select("lang", "term", "source", share(F.coalesce(F.try_element_at("by_source", F.col("source")), F.lit(0)), F.col("total"), F.col("size")).alias("p"))
     other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    sums = dense.join(other, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(F.sum(gap(F.col("p"), F.col("q"))).alias("value"))
+    p, q = F.col("p"), F.col("q")
+    both = dense.join(other, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(gap(p, q)).alias("there"), F.sum(gap(q, p)).alias("back"))
+    ways = F.explode(F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value"))))
+    sums = both.select("lang", ways.alias("w")).select("lang", "w.*")
     wordless = groups.where("size = 0")
     zeros = wordless.select("lang", "source").join(wordless.select("lang", F.col("source").alias("item")), "lang").where("source <> item").select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
     first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = sums.unionByName(zeros).withColumn("rank", F.row_number().over(first)).withColumn("part", F.lit("pair"))
 
-    known = _with_groups(kept, groups, ["lang", "source"], few)
+    known = _with_groups(each, groups, ["lang", "source"], few)
     p, q = share(F.col("n"), F.col("total"), F.col("size")), share(F.col("n_lang"), F.col("lang_total"), F.col("size"))
     ahead = known.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q").select("lang", "source", "item", gap(F.col("p"), F.col("q")).alias("value"))
     by_part = Window.partitionBy("lang", "source", _part(F.col("item"))).orderBy(F.desc("value"), "item")
