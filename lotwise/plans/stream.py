@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.operators.durable import checkpoint_dir
 from lotwise.plans import Registry
 from lotwise.sources.tables import table
 from lotwise.streaming import events as feeds
+from lotwise.streaming import status
 
 REGISTRY = Registry()
 query = REGISTRY
@@ -62,3 +67,41 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = e.agg(F.max("ts").alias("top"))
     by = e.groupBy("event_type").agg(F.max("ts").alias("t"))
     return by.crossJoin(F.broadcast(top)).select("event_type", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("latest"), (F.col("t") < F.col("top") - F.expr("INTERVAL 1 HOUR")).alias("stale"))
+
+
+#: Arrivals that events come in, and after how long without an event a user counts as quiet.
+ARRIVALS, QUIET = 4, timedelta(hours=6)
+#: Events arrive in the order of their days but for every seventeenth, which comes an arrival later.
+ARRIVAL = "least({0} - 1, CAST(floor(({1} - lo) * {0} / (hi - lo + 1)) AS INT) + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END)"
+STREAMED = f"""WITH span AS (SELECT min(epoch_us(ts)) // 86400000000 AS lo, max(epoch_us(ts)) // 86400000000 AS hi FROM events), a AS (SELECT event_id, user_id, event_type, ts, {ARRIVAL.format(ARRIVALS, "epoch_us(ts) // 86400000000")} AS arrival FROM events, span),
+marks AS (SELECT k AS arrival, (SELECT max(ts) FROM a WHERE a.arrival < k) - INTERVAL 1 DAY AS mark FROM range({ARRIVALS}) r(k)), told AS (SELECT a.*, coalesce(date_trunc('millisecond', ts) <= mark, FALSE) AS late FROM a JOIN marks USING (arrival))"""
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> tuple[status.KeyedSink, list[tuple[int, int, int]]]:
+    """The sink after all arrivals have gone through the stream, and (arrival, rows, late rows)."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    events = table(spark, sf_dir, "events").where("ts IS NOT NULL")
+    span = events.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    rows = events.crossJoin(F.broadcast(span)).withColumn("day", day)
+    rows = rows.withColumn("arrival", F.expr(ARRIVAL.format(ARRIVALS, "day"))).select(*events.columns, "arrival")
+    sink, seen = status.KeyedSink(spark, f"{folder}/table", ["user_id"], status.STATUS), []
+    for k in range(ARRIVALS):
+        rows.where(F.col("arrival") == k).write.mode("append").parquet(f"{folder}/feed")
+        done = status.drain(spark, f"{folder}/feed", f"{folder}/checkpoint", sink, quiet=QUIET)
+        seen.append((k, sum(n for n, _ in done), sum(late for _, late in done)))
+    return sink, seen
+
+
+@query(f"""{STREAMED}, s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS latest, count(*) AS n FROM told WHERE NOT late GROUP BY 1)
+SELECT user_id, event_type, event_id, strftime(latest, '%Y-%m-%d %H:%M:%S') AS latest, n, latest + INTERVAL {QUIET.seconds} SECOND <= (SELECT max(ts) FROM a) - INTERVAL 1 DAY AS quiet FROM s""")
+def streamed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's latest event and number of events, kept by a stream that takes in the events in four arrivals; late rows don't count."""
+    sink, _ = streamed(spark, sf_dir)
+    return sink.read().select("user_id", "event_type", "event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("latest"), "n", "quiet")
+
+
+@query(f"""{STREAMED} SELECT CAST(arrival AS INTEGER) AS arrival, count(*) AS rows, count(*) FILTER (late) AS late FROM told GROUP BY 1""")
+def streamed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each arrival of the stream had, and how many of them came too late."""
+    return spark.createDataFrame(streamed(spark, sf_dir)[1], "arrival int, rows long, late long")

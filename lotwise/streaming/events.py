@@ -48,19 +48,19 @@ def enriched(events: DataFrame, static: DataFrame, key: str) -> DataFrame:
 
 
 def last_status(events: DataFrame) -> DataFrame:
-    """A user's latest event type and number of events, updated with every batch."""
+    """A user's latest event type by time, then id, and number of events, updated with every batch."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, kind, n = state.get if state.exists else (None, None, 0)
+        at, event_id, kind, n = state.get if state.exists else (None, None, None, 0)
         for f in frames:
             n += len(f)
             row = f.sort_values(["ts", "event_id"]).iloc[-1]
-            if at is None or row.ts >= pd.Timestamp(at):
-                at, kind = row.ts.isoformat(), row.event_type
-        state.update((at, kind, n))
+            if at is None or (row.ts, row.event_id) > (pd.Timestamp(at), event_id):
+                at, event_id, kind = row.ts.isoformat(), int(row.event_id), row.event_type
+        state.update((at, event_id, kind, n))
         yield pd.DataFrame({"user_id": [key[0]], "event_type": [kind], "n": [n]})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_type string, n long", "at string, kind string, n long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_type string, n long", "at string, event_id long, kind string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
 def incremental(stream: DataFrame, checkpoint: str, load: Callable[[DataFrame, int], None]) -> None:
