@@ -27,20 +27,6 @@ def low(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, capitals, capitals.lower()))
 
 
-def counted(docs: DataFrame, least: int) -> DataFrame:
-    """Terms in at least ``least`` documents of their language: (lang, term, n_lang, by_source).
-
-    ``by_source`` maps the sources of the language that have the term to their counts, ``n_lang`` is their sum.  Terms of a
-    document are sorted, so that each tells by its neighbour whether it is the document's first of its kind.
-    """
-    terms = docs.select("lang", "source", F.sort_array(F.split(low(F.col("text")), BETWEEN)).alias("term"))
-    beside = terms.select("lang", "source", F.explode(F.arrays_zip("term", F.array_prepend("term", F.lit(None)).alias("before"))).alias("t"))
-    rows = beside.select("lang", "source", "t.*").where("term <> ''")
-    counts = rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("docs"))
-    known = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("each"))  # a row a source
-    return known.where(F.col("docs") >= least).select("lang", "term", "n_lang", F.map_from_entries("each").alias("by_source"))
-
-
 def share(n: Column, total: Column, size: Column) -> Column:
     """1 + floor(10^9 (n + 1) / (total + size)), by way of decimals where the product exceeds a long."""
     div = lambda a, b: F.call_function("div", a, b)
@@ -65,6 +51,30 @@ def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool)
     return rows.withColumn("_part", _part(F.col("term"))).join(spread, [*keys, "_part"]).drop("_part")
 
 
+def keyed(groups: DataFrame) -> tuple[DataFrame, Column]:
+    """Groups with a number ``g`` each, and how it is made of lang and source: a hash, of the first seed by which no two groups agree."""
+    whole = groups.count()
+    for seed in range(100):
+        g = F.xxhash64(F.lit(seed), "lang", "source")
+        if groups.select(g).distinct().count() == whole:
+            return groups.withColumn("g", g), g
+    raise RuntimeError("no seed tells all groups apart")
+
+
+def counted(docs: DataFrame, groups: DataFrame, g: Column, few: bool, least: int) -> DataFrame:
+    """Terms in at least ``least`` documents of their language: (lang, term, n_lang, by_source).
+
+    ``by_source`` maps the sources of the language that have the term to their counts, ``n_lang`` is their sum.  Terms of a
+    document are sorted, so that each tells by its neighbour whether it is the document's first of its kind.
+    """
+    terms = docs.select(g.alias("g"), F.sort_array(F.split(low(F.col("text")), BETWEEN)).alias("term"))
+    beside = terms.select("g", F.explode(F.arrays_zip("term", F.array_prepend("term", F.lit(None)).alias("before"))).alias("t"))
+    counts = beside.select("g", "t.*").where("term <> ''").groupBy("g", "term").agg(F.count("*").alias("n"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("docs"))
+    named = _with_groups(counts, groups.select("g", "lang", "source"), ["g"], few)
+    known = named.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("each"))  # a row a source
+    return known.where(F.col("docs") >= least).select("lang", "term", "n_lang", F.map_from_entries("each").alias("by_source"))
+
+
 def audit(docs: DataFrame, least: int = 3, top: int = 200, few_groups: int = FEW_GROUPS) -> DataFrame:
     """Divergence of every group from the other sources of its language, and the terms that set it apart from the language.
 
@@ -79,14 +89,14 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, few_groups: int = FEW
     """
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("text", "lang", "source")}
     texts = docs.select(*(e.alias(c) for c, e in blank.items()))
-    kept = written(counted(texts, least), "terms")
-    groups = texts.select("lang", "source").distinct()
+    groups, g = keyed(written(texts.select("lang", "source").distinct(), "groups"))
+    few = groups.count() <= few_groups
+    kept = written(counted(texts, groups, g, few, least), "terms")
     each = kept.select("lang", "term", "n_lang", F.explode("by_source").alias("source", "n"))
     totals = each.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("n_lang").alias("lang_total"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["total", "size", "lang_total"])
-    groups = written(groups, "groups")
-    few = groups.count() <= few_groups
+    groups = groups.drop("g").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["total", "size", "lang_total"])
+    groups = written(groups, "totals")
 
     dealt = kept.select("lang", "term", "by_source").repartition("lang", "term")  # before zeros are filled in, and as the join below wants it
     dense = _with_groups(dealt, groups.select("lang", "source", "total", "size"), ["lang"], few)
