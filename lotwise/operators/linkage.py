@@ -1,50 +1,219 @@
-"""Probabilistic record linkage."""
+"""Probabilistic record linkage by agreement of columns.
+
+Records that share a block are compared in cells, and what leaves a task is either counts by pattern of agreement or the
+pairs that pass a mark; a table of all compared pairs is never made.  Of several blocking rules the first that makes a
+pair counts as its rule, so no pair comes twice.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Records of a cell; larger blocks are cut by the hash of the key.
+CELL = 1_024
+#: Pairs a record of the random sample that chances of others are taken from.
+RANDOM = 50
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """How a column agrees: level 1 for equal values, 0 for others; with ``near`` 2 for equal numbers, 1 for those as near as that.  A null on either side says nothing (-1)."""
+
+    column: str
+    near: float | None = None
+    #: Equal values weigh more the rarer they are.
+    by_frequency: bool = False
+
+    @property
+    def top(self) -> int:
+        return 1 if self.near is None else 2
+
+    def levels(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Levels of every row of ``a`` with every row of ``b``: codes (-1 for null) or numbers (nan for null)."""
+        if self.near is None:
+            same = (a[:, None] == b[None]).astype(np.int8)
+            same[a < 0] = -1
+            same[:, b < 0] = -1
+            return same
+        with np.errstate(invalid="ignore"):
+            apart = np.abs(a[:, None] - b[None])
+        return np.where(np.isnan(apart), -1, np.where(apart == 0, 2, np.where(apart <= self.near, 1, 0))).astype(np.int8)
+
+
+@dataclass
+class Chances:
+    """``match`` (share of pairs that are matches) and, by comparison, chances of levels 0, 1, .. among matches and others."""
+
+    match: float
+    m: dict[str, list[float]]
+    u: dict[str, list[float]] = field(default_factory=dict)
 
-def fit_levels(pairs: DataFrame, comparisons: list[str], rounds: int = 15, start: float = 0.1) -> tuple[float, dict[str, dict[int, tuple[float, float]]]]:
-    """Share of matches and, by comparison and level, the chances (m, u) of the level among matches and others.
 
-    Pairs are reduced to counts by pattern of levels once; the rounds of expectation and maximisation run over these
-    patterns, of which there are as many as combinations of levels.
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values have equal codes, nulls -1."""
+    coded = pc.dictionary_encode(column).combine_chunks() if isinstance(column, pa.ChunkedArray) else pc.dictionary_encode(column)
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def compared(records: DataFrame, key: str, comparisons: list[Comparison], block: list[str], earlier: list[list[str]], use: Callable[[pa.Table, np.ndarray, np.ndarray, dict[str, np.ndarray]], pa.Table], schema: str, carry: list[str] = ()) -> DataFrame:
+    """What ``use`` makes of the pairs of a cell that share ``block`` and none of the ``earlier`` blocks.
+
+    It gets the cell's table, places a and b of each pair in it, the smaller key first, and the levels of each
+    comparison; ``carry`` names further columns of the table.  Small blocks are put together into cells of about ``CELL`` records, larger ones are cut into such
+    parts, each two of which are a cell.  Records with a null in the block take no part; keys are distinct and not null.
     """
-    patterns = [(tuple(r[c] for c in comparisons), r["count"]) for r in pairs.groupBy(*comparisons).count().collect()]
-    levels = {c: sorted({p[i] for p, _ in patterns}) for i, c in enumerate(comparisons)}
-    top = {c: max(v, default=1) or 1 for c, v in levels.items()}
-    share = start
-    m = {c: {v: 0.1 + 0.8 * v / top[c] for v in vs} for c, vs in levels.items()}
-    u = {c: {v: 0.9 - 0.8 * v / top[c] for v in vs} for c, vs in levels.items()}
-    for table in (m, u):
-        for c in table:
-            total = sum(table[c].values())
-            table[c] = {v: x / total for v, x in table[c].items()}
+    needed = list(dict.fromkeys([key, *block, *(c for r in earlier for c in r), *(c.column for c in comparisons), *carry]))
+    rows = records.select(*needed).dropna(subset=[key, *block]).withColumn("_g", F.xxhash64(*block))
+    count = rows.count()
+    sizes = rows.groupBy("_g").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_n"), F.count("*").alias("_rows")).where("_rows > 1")
+    dealt = rows.join(sizes, "_g").withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    small = F.pmod(F.col("_g"), F.lit(max(1, -(-count // CELL))))
+    cells = dealt.select(*needed, "_b", F.when(F.col("_n") == 1, small).otherwise(F.col("_g")).alias("_c"), F.col("_n").alias("_parts"), F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def cell(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(key, "ascending")]))
+        part, i, j = table.column("_b").to_numpy(), table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        values = {c: _codes(table.column(c)) for c in {*block, *(c for r in earlier for c in r), *(c.column for c in comparisons if c.near is None)}}
+        numbers = {c.column: table.column(c.column).cast(pa.float64()).to_numpy() for c in comparisons if c.near is not None}
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        outs = []
+        for lo in range(0, max(len(left), 1), 256):
+            a = left[lo : lo + 256]
+            ok = a[:, None] < right[None] if i == j else np.ones((len(a), len(right)), bool)
+            for c in block:
+                ok &= values[c][a][:, None] == values[c][right][None]
+            for rule in earlier:
+                same = np.ones_like(ok)
+                for c in rule:
+                    same &= (values[c][a][:, None] == values[c][right][None]) & (values[c][a] >= 0)[:, None]
+                ok &= ~same
+            x, y = np.nonzero(ok)
+            levels = {c.column: c.levels(*((values if c.near is None else numbers)[c.column][s] for s in (a, right)))[x, y] for c in comparisons}
+            outs.append(use(table, np.minimum(a[x], right[y]), np.maximum(a[x], right[y]), levels))
+        return pa.concat_tables(outs)
+
+    return cells.groupBy("_c", "_parts", "_i", "_j").applyInArrow(cell, schema)
+
+
+def patterns(records: DataFrame, key: str, comparisons: list[Comparison], block: list[str], earlier: list[list[str]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of levels, one row each, and how many pairs have them; there are as many as combinations of levels at most."""
+    radix = [c.top + 2 for c in comparisons]
+
+    def use(_: pa.Table, a: np.ndarray, b: np.ndarray, levels: dict[str, np.ndarray]) -> pa.Table:
+        code = np.zeros(len(a), np.int64)
+        for c, r in zip(comparisons, radix, strict=True):
+            code = code * r + levels[c.column] + 1
+        found, n = np.unique(code, return_counts=True)
+        return pa.table({"pattern": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    rows = compared(records, key, comparisons, block, list(earlier), use, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    code, n = np.array([r.pattern for r in rows], np.int64), np.array([r.n for r in rows], float)
+    out = np.zeros((len(rows), len(comparisons)), int)
+    for k in range(len(comparisons) - 1, -1, -1):
+        out[:, k], code = code % radix[k] - 1, code // radix[k]
+    return out, n
+
+
+def random_patterns(records: DataFrame, key: str, comparisons: list[Comparison], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of pairs that meet by chance: records in random blocks, about ``RANDOM`` pairs each."""
+    blocks = max(1, records.count() // (2 * RANDOM))
+    return patterns(records.withColumn("_random", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(blocks))), key, comparisons, ["_random"])
+
+
+def level_shares(found: tuple[np.ndarray, np.ndarray], weights: np.ndarray, comparisons: list[Comparison], least: float = 1e-6) -> dict[str, list[float]]:
+    """Share of each level among the pairs, weighted, that say something."""
+    p, out = found[0], {}
+    for k, c in enumerate(comparisons):
+        each = np.array([weights[p[:, k] == v].sum() for v in range(c.top + 1)])
+        share = np.maximum(each / max(each.sum(), 1e-300), least)
+        out[c.column] = (share / share.sum()).tolist()
+    return out
+
+
+def match_chances(p: np.ndarray, chances: Chances, comparisons: list[Comparison], skip: set[str] = frozenset()) -> np.ndarray:
+    """The chance that a pair of each pattern is a match."""
+    log = np.full(len(p), np.log(chances.match / (1 - chances.match)))
+    for k, c in enumerate(comparisons):
+        if c.column not in skip:
+            ratio = np.log(np.array(chances.m[c.column]) / np.array(chances.u[c.column]))
+            log += np.where(p[:, k] >= 0, ratio[np.maximum(p[:, k], 0)], 0)
+    return 1 / (1 + np.exp(-log))
+
+
+def fit(records: DataFrame, key: str, comparisons: list[Comparison], rules: list[list[str]], rounds: int = 50, start: float = 0.1) -> Chances:
+    """Chances of levels among others from random pairs, among matches by expectation and maximisation within each rule's pairs.
+
+    A rule says nothing of its own columns; what several rules say of a column is averaged by the matches they expect.
+    The share of matches is that expected among the pairs of all rules, each counted once, over all pairs there are.
+    """
+    by_chance = random_patterns(records, key, comparisons)
+    u = level_shares(by_chance, by_chance[1], comparisons)
+    begun = {c.column: ([0.1, 0.9] if c.top == 1 else [0.1, 0.2, 0.7]) for c in comparisons}
+    said: dict[str, list[tuple[float, np.ndarray]]] = {c.column: [] for c in comparisons}
+    for rule in rules:
+        p, n = patterns(records, key, comparisons, rule)
+        own, skip = Chances(start, dict(begun), u), set(rule)
+        for _ in range(rounds if n.sum() else 0):
+            g = match_chances(p, own, comparisons, skip)
+            own = Chances(float(np.clip((n * g).sum() / n.sum(), 1e-9, 1 - 1e-9)), level_shares((p, n), n * g, comparisons), u)
+        for c in comparisons:
+            if n.sum() and c.column not in skip:
+                said[c.column].append((own.match * n.sum(), np.array(own.m[c.column])))
+    m = {c.column: (np.average([v for _, v in said[c.column]], axis=0, weights=[w for w, _ in said[c.column]]).tolist() if said[c.column] else begun[c.column]) for c in comparisons}
+    count = records.where(F.col(key).isNotNull()).count()
+    every = max(1.0, count * (count - 1) / 2)
+    once = [patterns(records, key, comparisons, rule, rules[:i]) for i, rule in enumerate(rules)]
+    found = Chances(1e-3, m, u)
     for _ in range(rounds):
-        chance = []
-        for p, _ in patterns:
-            yes, no = share, 1 - share
-            for c, v in zip(comparisons, p, strict=True):
-                yes, no = yes * m[c][v], no * u[c][v]
-            chance.append(yes / (yes + no) if yes + no else 0.0)
-        every = sum(n for _, n in patterns)
-        hits = sum(n * g for (_, n), g in zip(patterns, chance, strict=True))
-        share = min(max(hits / every, 1e-6), 1 - 1e-6) if every else start
-        for i, c in enumerate(comparisons):
-            for v in levels[c]:
-                own = [(n * g, n * (1 - g)) for (p, n), g in zip(patterns, chance, strict=True) if p[i] == v]
-                m[c][v] = max(1e-6, sum(x for x, _ in own) / max(hits, 1e-9))
-                u[c][v] = max(1e-6, sum(y for _, y in own) / max(every - hits, 1e-9))
-    return share, {c: {v: (m[c][v], u[c][v]) for v in vs} for c, vs in levels.items()}
-
-
-def match_weights(pairs: DataFrame, comparisons: list[str], share: float, chances: dict[str, dict[int, tuple[float, float]]]) -> DataFrame:
-    """``weight`` (sum of log2 m/u) and ``probability`` of each pair."""
-    weight = F.lit(0.0)
+        hits = sum(float((n * match_chances(p, found, comparisons)).sum()) for p, n in once)
+        found = Chances(float(np.clip(hits / every, 1e-12, 0.5)), m, u)
+    return found
+
+
+def with_frequencies(records: DataFrame, comparisons: list[Comparison]) -> DataFrame:
+    """Records with ``_f_column``, the share of records that have the value, for columns compared by frequency."""
     for c in comparisons:
-        own = F.create_map(*(x for v, (m, u) in chances[c].items() for x in (F.lit(v), F.log2(F.lit(m / u)))))
-        weight = weight + own[F.col(c)]
-    odds = F.pow(F.lit(2.0), F.col("weight")) * (share / (1 - share))
-    return pairs.withColumn("weight", weight).withColumn("probability", odds / (1 + odds))
+        if c.by_frequency:
+            known = records.where(F.col(c.column).isNotNull())
+            share = known.groupBy(c.column).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(known.agg(F.count("*").alias("_all")))).select(c.column, (F.col("_n") / F.col("_all")).alias(f"_f_{c.column}"))
+            records = records.join(share, c.column, "left")
+    return records
+
+
+def links(records: DataFrame, key: str, comparisons: list[Comparison], rules: list[list[str]], chances: Chances, least: float) -> DataFrame:
+    """(a, b, rule, weight, probability) of pairs that are matches with a chance of ``least`` or more.
+
+    ``weight`` is the sum of log2 m / u over the comparisons; of an equal value that is compared by frequency u is the
+    share of records that have it.
+    """
+    whole = with_frequencies(records, comparisons)
+    kind, odds = records.schema[key].dataType.simpleString(), chances.match / (1 - chances.match)
+    out = None
+    for number, rule in enumerate(rules, 1):
+
+        def use(table: pa.Table, a: np.ndarray, b: np.ndarray, levels: dict[str, np.ndarray], number: int = number) -> pa.Table:
+            weight = np.zeros(len(a))
+            for c in comparisons:
+                level, ratio = levels[c.column], np.log2(np.array(chances.m[c.column]) / np.array(chances.u[c.column]))
+                own = ratio[np.maximum(level, 0)]
+                if c.by_frequency:
+                    share = table.column(f"_f_{c.column}").to_numpy()[a]
+                    own = np.where(level == c.top, np.log2(chances.m[c.column][c.top] / np.where(np.isnan(share), 1, share)), own)
+                weight += np.where(level >= 0, own, 0)
+            with np.errstate(over="ignore"):
+                chance = 1 / (1 + np.exp2(-weight) / odds)
+            keep = chance >= least
+            keys = table.column(key)
+            return pa.table({"a": keys.take(pa.array(a[keep])), "b": keys.take(pa.array(b[keep])), "rule": pa.array(np.full(keep.sum(), number), pa.int32()), "weight": pa.array(weight[keep]), "probability": pa.array(chance[keep])})
+
+        found = compared(whole, key, comparisons, rule, rules[: number - 1], use, f"a {kind}, b {kind}, rule int, weight double, probability double", [f"_f_{c.column}" for c in comparisons if c.by_frequency])
+        out = found if out is None else out.unionByName(found)
+    return out

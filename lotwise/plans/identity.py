@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import vectors
@@ -94,12 +94,6 @@ def artist_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.least_reachable(lots.join(least, "work").where("a <> b").select("a", "b").distinct())
 
 
-@query(CONNECTED)
-def all_artist_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under its earlier name."""
-    return artist_components(spark, sf_dir)
-
-
 @query("""SELECT l_suppkey AS artist, round(sum(CASE WHEN l_returnflag = 'A' THEN 1.0 WHEN l_returnflag = 'N' THEN 0.5 ELSE 0.1 END), 4) AS degree, count(*) AS edges FROM lineitem GROUP BY 1""")
 def weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each artist's edges weighted by how sure the attribution is."""
@@ -121,12 +115,6 @@ def similar_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.similar_nodes(edges, "artist", "kind", 5, 5).select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query(SIMILAR)
-def all_similar_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under its earlier name."""
-    return similar_artists(spark, sf_dir)
-
-
 @query("""WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer), r AS (SELECT s_suppkey AS target, s_name AS name FROM supplier),
 x AS (SELECT n.id, a.target AS exact, b.target AS by_number FROM n LEFT JOIN (SELECT name, min(target) AS target FROM r GROUP BY 1) a ON n.name = a.name LEFT JOIN (SELECT CAST(split_part(name, '#', 2) AS BIGINT) AS k, min(target) AS target FROM r GROUP BY 1) b ON CAST(split_part(n.name, '#', 2) AS BIGINT) = b.k)
 SELECT id, coalesce(exact, by_number) AS target, CAST(CASE WHEN exact IS NOT NULL THEN 1 WHEN by_number IS NOT NULL THEN 2 END AS INTEGER) AS level FROM x""")
@@ -163,14 +151,38 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.repoint(edges, merges, "artist").groupBy("work").agg(F.count("*").alias("artists"))
 
 
-@query()
+#: Works are the same by title, series, technique, size and price; candidates share two or three of these.
+SAME = [linkage.Comparison("title", by_frequency=True), linkage.Comparison("series", by_frequency=True), linkage.Comparison("technique"), linkage.Comparison("size", near=2), linkage.Comparison("list_price", near=20)]
+RULES = [["title", "series"], ["title", "technique", "size"], ["series", "technique", "size"]]
+#: Chances given beforehand, levels from none to full agreement.
+GIVEN = linkage.Chances(0.0005, {"title": [0.05, 0.95], "series": [0.1, 0.9], "technique": [0.15, 0.85], "size": [0.1, 0.2, 0.7], "list_price": [0.2, 0.3, 0.5]}, {"title": [0.98, 0.02], "series": [0.96, 0.04], "technique": [0.83, 0.17], "size": [0.9, 0.08, 0.02], "list_price": [0.6, 0.39, 0.01]})
+AGREED = {"title": "a.p_name = b.p_name", "series": "a.p_brand = b.p_brand", "technique": "a.p_type = b.p_type", "size": "a.p_size = b.p_size"}
+_ALL = lambda rule: " AND ".join(AGREED[c] for c in rule)
+_RATIO = lambda c, level: f"log2({GIVEN.m[c][level]} / {GIVEN.u[c][level]}::DOUBLE)"
+LINKED = f"""n AS (SELECT *, count(*) OVER (PARTITION BY p_name) / (count(*) OVER ())::DOUBLE AS ft, count(*) OVER (PARTITION BY p_brand) / (count(*) OVER ())::DOUBLE AS fs FROM part),
+p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, CASE {' '.join(f'WHEN {_ALL(r)} THEN {i}' for i, r in enumerate(RULES, 1))} END AS rule,
+  CASE WHEN {AGREED['title']} THEN log2({GIVEN.m['title'][1]} / a.ft) ELSE {_RATIO('title', 0)} END + CASE WHEN {AGREED['series']} THEN log2({GIVEN.m['series'][1]} / a.fs) ELSE {_RATIO('series', 0)} END + CASE WHEN {AGREED['technique']} THEN {_RATIO('technique', 1)} ELSE {_RATIO('technique', 0)} END
+  + CASE WHEN a.p_size = b.p_size THEN {_RATIO('size', 2)} WHEN abs(a.p_size - b.p_size) <= 2 THEN {_RATIO('size', 1)} ELSE {_RATIO('size', 0)} END + CASE WHEN a.p_retailprice = b.p_retailprice THEN {_RATIO('list_price', 2)} WHEN abs(a.p_retailprice - b.p_retailprice) <= 20 THEN {_RATIO('list_price', 1)} ELSE {_RATIO('list_price', 0)} END AS weight
+  FROM n a JOIN n b ON a.p_partkey < b.p_partkey AND a.p_name = b.p_name AND ({_ALL(RULES[0])} OR {_ALL(RULES[1])})
+  UNION ALL SELECT a.p_partkey, b.p_partkey, 3, {_RATIO('title', 0)} + log2({GIVEN.m['series'][1]} / a.fs) + {_RATIO('technique', 1)} + {_RATIO('size', 2)} + CASE WHEN a.p_retailprice = b.p_retailprice THEN {_RATIO('list_price', 2)} WHEN abs(a.p_retailprice - b.p_retailprice) <= 20 THEN {_RATIO('list_price', 1)} ELSE {_RATIO('list_price', 0)} END
+  FROM n a JOIN n b ON {_ALL(RULES[2])} AND a.p_partkey < b.p_partkey AND a.p_name <> b.p_name),
+linked AS (SELECT a, b, rule, weight, 1 / (1 + pow(2, -weight) * {1 - GIVEN.match} / {GIVEN.match}) AS probability FROM p)"""
+
+
+def linked(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    return linkage.links(works(spark, sf_dir), "work", SAME, RULES, GIVEN, least)
+
+
+@query(f"WITH {LINKED} SELECT a AS work_a, b AS work_b, rule, round(weight, 6) AS weight, round(probability, 6) AS probability FROM linked WHERE probability >= 0.01")
 def linkage_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chance that two works of a title are one, by agreement of series, technique, size and price."""
-    w = works(spark, sf_dir)
-    a, b = (w.select("title", *(F.col(c).alias(f"{c}_{k}") for c in ("work", "series", "technique", "size", "list_price"))) for k in "ab")
-    near = lambda c, most: F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), 2).when(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= most, 1).otherwise(0)
-    pairs = a.join(b, "title").where("work_a < work_b").select("work_a", "work_b", (F.col("series_a") == F.col("series_b")).cast("int").alias("same_series"), (F.col("technique_a") == F.col("technique_b")).cast("int").alias("same_technique"), near("size", 2).alias("same_size"), near("list_price", 20).alias("same_price"))
-    names = ["same_series", "same_technique", "same_size", "same_price"]
-    share, chances = linkage.fit_levels(pairs, names)
-    scored = linkage.match_weights(pairs, names, share, chances)
-    return scored.select("work_a", "work_b", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), F.row_number().over(Window.partitionBy("work_a").orderBy(F.desc("weight"), "work_b")).alias("rank"))
+    """Pairs of works that may be one, by chances given beforehand, with the rule that made each pair; rare titles and series weigh more."""
+    found = linked(spark, sf_dir, 0.01)
+    return found.select(F.col("a").alias("work_a"), F.col("b").alias("work_b"), "rule", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
+
+
+@query()
+def linkage_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances of each level of agreement among matches and others, learnt from random pairs and from the pairs of each rule."""
+    found = linkage.fit(works(spark, sf_dir), "work", SAME, RULES)
+    rows = [(c, level, round(m, 6), round(u, 6), round(found.match, 9)) for c in found.m for level, (m, u) in enumerate(zip(found.m[c], found.u[c], strict=True))]
+    return spark.createDataFrame(rows, "comparison string, level int, m double, u double, share double")
