@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import vectors
-from lotwise.operators import cells, changes, graph, joins, linkage, ranking
+from lotwise.operators import cells, changes, clusters, graph, joins, linkage, ranking
 from lotwise.plans import Registry
 from lotwise.sources.tables import artists, sales, table, works
 
@@ -186,3 +186,62 @@ def linkage_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linkage.fit(works(spark, sf_dir), "work", SAME, RULES)
     rows = [(c, level, round(m, 6), round(u, 6), round(found.match, 9)) for c in found.m for level, (m, u) in enumerate(zip(found.m[c], found.u[c], strict=True))]
     return spark.createDataFrame(rows, "comparison string, level int, m double, u double, share double")
+
+
+#: Entries of works in two catalogues; letters after a number name an edition.
+ENTRIES_SQL = "SELECT p_partkey AS node, p_brand AS prefix, CAST(p_size % 7 AS {0}) || CASE WHEN p_partkey % 3 = 0 THEN 'Bd' ELSE '' END AS number FROM part UNION ALL SELECT p_partkey, 'General', CAST(p_partkey % 9 AS {0}) FROM part WHERE p_partkey % 2 = 0"
+#: The year of a work, unknown for some.
+YEAR_SQL = "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 1900 + (p_partkey * 7) % 40 END"
+SPREAD = 30
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    own = part.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("prefix"), F.concat((F.col("p_size") % 7).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "Bd").otherwise("")).alias("number"))
+    return own.unionByName(part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node"), F.lit("General").alias("prefix"), (F.col("p_partkey") % 9).cast("string").alias("number")))
+
+
+JUDGED = f"""{LINKED}, entries AS ({ENTRIES_SQL.format('VARCHAR')}), pairs AS (SELECT a, b, probability AS confidence FROM linked WHERE probability >= 0.01),
+same AS (SELECT a, b, bool_or(x.number = y.number) AS whole, bool_or(regexp_extract(x.number, '^[0-9]*') = regexp_extract(y.number, '^[0-9]*')) AS head FROM pairs JOIN entries x ON x.node = a JOIN entries y ON y.node = b AND x.prefix = y.prefix GROUP BY 1, 2),
+judged AS (SELECT p.*, CASE WHEN s.a IS NULL THEN 'silent' WHEN whole THEN 'agree' WHEN head THEN 'silent' ELSE 'conflict' END AS verdict FROM pairs p LEFT JOIN same s ON s.a = p.a AND s.b = p.b)"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = linked(spark, sf_dir, 0.01).select("a", "b", F.col("probability").alias("confidence"))
+    return clusters.pair_verdicts(pairs, entries(spark, sf_dir))
+
+
+@query(f"WITH {JUDGED} SELECT a, b, round(confidence, 6) AS confidence, verdict FROM judged")
+def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What catalogues say of pairs that may be one work: agreement, conflict of digits, or nothing."""
+    return judged(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"""WITH RECURSIVE {JUDGED}, kept AS (SELECT DISTINCT a, b, confidence FROM judged WHERE verdict <> 'conflict'), e AS (SELECT a AS x, b AS y FROM kept UNION SELECT b, a FROM kept), reach AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+found AS (SELECT x AS node, min(y) AS cluster FROM reach GROUP BY 1), sure AS (SELECT cluster, min(confidence) AS confidence FROM kept JOIN found ON node = a GROUP BY 1), broken AS (SELECT x.cluster, count(*) AS n FROM judged JOIN found x ON x.node = a JOIN found y ON y.node = b AND y.cluster = x.cluster WHERE verdict = 'conflict' GROUP BY 1),
+facts AS (SELECT cluster, count(*) AS size, min({YEAR_SQL}) AS first, max({YEAR_SQL}) AS last FROM found JOIN part ON p_partkey = node GROUP BY 1)
+SELECT node, cluster, size, round(s.confidence, 6) AS confidence, CASE WHEN b.n > 0 THEN CAST(b.n AS VARCHAR) || ' rejected within' WHEN last - first > {SPREAD} THEN 'years ' || CAST(first AS VARCHAR) || ' to ' || CAST(last AS VARCHAR) END AS reason FROM found JOIN facts USING (cluster) JOIN sure s USING (cluster) LEFT JOIN broken b USING (cluster)""")
+def held_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works chained into clusters by pairs without a conflict, and the clusters that a conflict within or their years hold back."""
+    pairs = judged(spark, sf_dir)
+    years = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.expr(YEAR_SQL).cast("int").alias("year"))
+    found = clusters.held(pairs.where("verdict <> 'conflict'"), pairs.where("verdict = 'conflict'"), years, SPREAD)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+#: What makes works candidates of each other: title and year, a catalogue's number, an edition's siblings, an anchor of a museum, a title alone.
+GENERATORS = {"title and year": ["p_name", YEAR_SQL], "catalogue": ["p_brand", "p_size % 7"], "edition siblings": ["p_name", "p_brand", "p_type"], "anchor": ["CASE WHEN p_size > 25 THEN p_name END", "CASE WHEN p_type = 'PROMO' THEN NULL ELSE p_brand END"], "title": ["p_name"]}
+MOST = 300
+
+
+@query("WITH g AS (" + " UNION ALL ".join(f"SELECT '{g}' AS generator, {' || {0} || '.format(chr(39) + '|' + chr(39)).join(f'CAST({c} AS VARCHAR)' for c in cs)} AS key, p_partkey AS node FROM part" for g, cs in GENERATORS.items()) + f"), m AS (SELECT DISTINCT * FROM g WHERE key IS NOT NULL), s AS (SELECT *, count(*) OVER (PARTITION BY generator, key) AS size FROM m) SELECT * FROM s WHERE size BETWEEN 2 AND {MOST}")
+def candidate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works that share a key of one of five generators, keys of up to three hundred works."""
+    return clusters.generated(table(spark, sf_dir, "part"), "p_partkey", {g: [F.expr(c) for c in cs] for g, cs in GENERATORS.items()}, MOST)
+
+
+@query(f"WITH e AS ({ENTRIES_SQL.format('VARCHAR')}) SELECT p_name || '|' || p_brand || '|' || p_type AS cluster, prefix, string_agg(DISTINCT number, ',' ORDER BY number) AS numbers FROM part JOIN e ON node = p_partkey GROUP BY 1, 2 HAVING count(DISTINCT number) > 1")
+def cluster_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edition siblings that a catalogue knows under several numbers, whole numbers compared."""
+    members = table(spark, sf_dir, "part").select(F.concat_ws("|", "p_name", "p_brand", "p_type").alias("cluster"), F.col("p_partkey").alias("node"))
+    return clusters.entry_conflicts(members, entries(spark, sf_dir)).withColumn("numbers", F.array_join("numbers", ","))
