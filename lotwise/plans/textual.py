@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import numbers, text
 from lotwise.operators import joins
+from lotwise.operators.durable import checkpoint_dir
 from lotwise.plans import Registry
+from lotwise.sources import zipped
 from lotwise.sources.tables import table, works
 
 REGISTRY = Registry()
@@ -194,3 +198,26 @@ def turn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()
     w = Window.partitionBy("conv_id")
     return t.select("conv_id", "turn", F.count("*").over(w).alias("turns"), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w.orderBy("turn")).alias("asked"))
+
+
+TITLED = """CASE WHEN position('<title>' IN html) > 0 THEN nullif(split_part(split_part(html, '<title>', 2), '</title>', 1), '') END"""
+
+
+@query(f"""SELECT page_id, url, {TITLED} AS title, CASE WHEN length(html) % 3 = 0 THEN 'fr' ELSE 'en' END AS lang, length(html) AS size FROM pages WHERE url IS NOT NULL""")
+def pages_from_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages said in triples inside ZIP archives, read back and put together again by predicate."""
+    title = F.nullif(F.split_part(F.split_part("html", F.lit("<title>"), F.lit(2)), F.lit("</title>"), F.lit(1)), F.lit(""))
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL").select(F.concat(F.lit("http://example.org/page/"), F.col("page_id").cast("string")).alias("subject"), "url", F.when(F.col("html").contains("<title>"), title).alias("title"), F.length("html").alias("size"))
+    lang = F.when(F.col("size") % 3 == 0, "fr").otherwise("en")
+    said = F.array(
+        F.struct(F.lit("http://example.org/url").alias("predicate"), F.col("url").alias("object"), F.lit(False).alias("is_literal"), F.lit(None).cast("string").alias("tag")),
+        F.struct(F.lit("http://example.org/title").alias("predicate"), F.col("title").alias("object"), F.lit(True).alias("is_literal"), lang.alias("tag")),
+        F.struct(F.lit("http://example.org/size").alias("predicate"), F.col("size").cast("string").alias("object"), F.lit(True).alias("is_literal"), F.concat(F.lit("http://www.w3.org/2001/XMLSchema#integer;"), lang).alias("tag")),
+    )
+    triples = pages.select("subject", F.explode(said).alias("t")).select("subject", "t.*").where("object IS NOT NULL")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/triples-{uuid.uuid4().hex}"
+    zipped.write(triples, path, split=1 << 20)
+    found = zipped.read(spark, path, split=1 << 18, strict=True)
+    of = lambda p, c="object": F.max(F.when(F.col("predicate") == f"http://example.org/{p}", F.col(c)))
+    by = found.groupBy("subject").agg(of("url").alias("url"), of("title").alias("title"), F.split_part(of("size", "tag"), F.lit(";"), F.lit(2)).alias("lang"), of("size").cast("long").alias("size"))
+    return by.select(F.element_at(F.split("subject", "/"), -1).cast("long").alias("page_id"), "url", "title", "lang", "size")
