@@ -39,31 +39,23 @@ s AS (SELECT vec_id, c.label, list_cosine_similarity(e, m) AS s FROM v, c), r AS
 SELECT a.vec_id, a.label AS best, round(a.s - b.s, 6) AS margin, a.s - b.s >= 0.02 AS confident FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.n = 1 AND b.n = 2""")
 def zero_shot_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest class of each vector and how far the second lies behind; up to ``CLASSES`` classes go to every task."""
-    v = embedded(spark, sf_dir)
-    means = v.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-    mid = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    mid = cells.class_means(v, "label", "embedding")
     classes = [(r.label, r.m) for r in mid.limit(CLASSES + 1).collect()]
     if len(classes) > CLASSES:
         raise ValueError(f"more than {CLASSES} classes")
-    found = cells.nearest_class(v, "vec_id", "e", classes)
+    found = cells.nearest_class(v.where("embedding IS NOT NULL"), "vec_id", "embedding", classes)
     return found.select("vec_id", F.col("best").cast("int").alias("best"), F.round("margin", 6).alias("margin"), (F.col("margin") >= 0.02).alias("confident"))
 
 
 PAIRS = f"""{VECTORS}, p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)"""
 
 
-def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two vectors of a class with their likeness; for background levels of classes of bounded size."""
-    v = embedded(spark, sf_dir)
-    a, b = (v.select("label", F.col("vec_id").alias(k), F.col("e").alias(f"e{k}")) for k in "ab")
-    return a.join(b, "label").where("a < b").select("label", "a", "b", vectors.dot(F.col("ea"), F.col("eb")).alias("s"))
-
-
 @query(f"WITH {PAIRS} SELECT label, count(*) AS pairs, round(quantile_cont(s, 0.95), 6) AS p95, round(quantile_cont(s, 0.99), 6) AS p99 FROM p GROUP BY label HAVING count(*) >= 30")
 def background_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike unrelated members of a class are: the level a match must beat."""
-    q = F.percentile("s", F.array(F.lit(0.95), F.lit(0.99)))
-    return class_pairs(spark, sf_dir).groupBy("label").agg(F.count("*").alias("pairs"), q.alias("q")).where("pairs >= 30").select("label", "pairs", F.round(F.col("q")[0], 6).alias("p95"), F.round(F.col("q")[1], 6).alias("p99"))
+    found = cells.group_quantiles(embedded(spark, sf_dir), "label", "vec_id", "e", [0.95, 0.99], 30)
+    return found.select("label", "pairs", F.round(F.col("values")[0], 6).alias("p95"), F.round(F.col("values")[1], 6).alias("p99"))
 
 
 @query(f"""WITH {PAIRS}, e AS (SELECT a AS x, b AS y, s FROM p UNION ALL SELECT b, a, s FROM p), r AS (SELECT x, s, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS n FROM e WHERE s < 0.9)

@@ -57,11 +57,14 @@ def test_index_is_that_of_dummy_regression(spark):
 
 
 def test_components_of_likeness_are_closed(spark):
-    from lotwise.plans.identity import NEAR, class_pairs
+    from itertools import combinations
+
+    from lotwise.plans.identity import NEAR, embedded
 
     label = {r.node: r.component for r in QUERIES["likeness_components"](spark, SF).collect()}
-    pairs = class_pairs(spark, SF).where(f"s >= {NEAR}").collect()
-    assert pairs and all(label[p.a] == label[p.b] <= p.a for p in pairs)
+    rows = sorted((r.vec_id, r.label, r.e) for r in embedded(spark, SF).collect())
+    pairs = [(a, b) for (a, g, x), (b, h, y) in combinations(rows, 2) if g == h and sum(map(float.__mul__, x, y)) >= NEAR + 1e-9]
+    assert pairs and all(label[a] == label[b] <= a for a, b in pairs)
 
 
 def test_blend_lies_within_its_range(spark):
