@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lotwise.llm.common import Remembered, rebuild, schema_of, slices, texts_of
+from lotwise.llm.common import Remembered, kept_apart, rebuild, schema_of, slices, texts_of
 
 #: The split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,6 +132,7 @@ def encode_text(text: str, pieces: Pieces, special: dict[str, int]) -> bytes:
     return b"".join(array("I", [special[p]]).tobytes() if p in special else b"".join(map(pieces.__getitem__, split(p))) for p in marks.split(text))
 
 
+@kept_apart(r"ids")
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``ids``: the ids of each whole text as packed little-endian unsigned 32-bit integers.
 
@@ -153,6 +154,7 @@ def decode_ids(ids: bytes | None, pieces: dict[int, bytes]) -> str:
     return b"".join(map(pieces.__getitem__, array("I", ids or b""))).decode("utf-8", "replace")
 
 
+@kept_apart(r"ids|decoded")
 def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``ids`` and ``decoded``, as :func:`encode` and then :func:`decode` give them.
 
@@ -170,6 +172,7 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep:
     return df.select(*dict.fromkeys((*keep, text))).mapInArrow(run, schema_of(df, *keep, extra="ids binary, decoded string"))
 
 
+@kept_apart(r"decoded")
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``decoded``: the text of packed ids; bytes that aren't UTF-8 become U+FFFD, null ids an empty text."""
     held = df.sparkSession.sparkContext.broadcast(vocabulary)

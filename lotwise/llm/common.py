@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +150,36 @@ def schema_of(df: DataFrame, *columns: str, extra: str = "") -> T.StructType:
     return T.StructType(fields + (T.StructType.fromDDL(extra).fields if extra else []))
 
 
+def kept_apart(own: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For an operator whose first argument is a table and that has ``keep``: kept columns with names that it gives itself come back as ``kept_<name>``.
+
+    ``own`` is a pattern of the operator's own names, those of columns on the way included.
+    """
+    mine = re.compile(own)
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+        table = next(iter(signature.parameters))
+
+        @wraps(operator)
+        def run(*args, **kwargs) -> DataFrame:
+            call = signature.bind(*args, **kwargs)
+            call.apply_defaults()
+            df, names = call.arguments[table], []
+            for c in call.arguments["keep"]:
+                name = c
+                while mine.fullmatch(name) or (name != c and name in df.columns):
+                    name = f"kept_{name}"
+                df = df.withColumnRenamed(c, name) if name != c else df
+                names.append(name)
+            call.arguments.update({table: df, "keep": tuple(names)})
+            return operator(*call.args, **call.kwargs)
+
+        return run
+
+    return around
+
+
 def rebuild(batch: pa.RecordBatch, columns: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:
     """The named columns of ``batch`` and the new ones."""
     return pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + list(more.values()), [*columns, *more])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import hashed
-from lotwise.llm.common import written
+from lotwise.llm.common import kept_apart, written
 
 
 @dataclass
@@ -97,14 +97,18 @@ def goals(have: np.ndarray, targets: np.ndarray, whole: np.ndarray | None = None
     return t * min(have[j] / t[j] for j in range(len(t)) if t[j] > 0)
 
 
-def rates(members: DataFrame, targets: list[float], whole: list[int] | None = None, steps: int = 40, tolerance: float = 1e-4, tokens: str = "_tokens", posterior: str = "_posterior") -> Mixture:
+def rates(members: DataFrame, targets: list[float], whole: list[int] | None = None, steps: int = 100, strict: bool = True, tolerance: float = 1e-4, tokens: str = "_tokens", posterior: str = "_posterior") -> Mixture:
     """``members`` with a ``rate``, such that expected tokens by domain meet :func:`goals` with least change to the rates.
 
-    The least squares change from 1, weighted by tokens, has the rate max(0, 1 - posterior . price) with a price for each
-    domain.  Prices climb the gradient, which is the domains' errors, scaled by the inverse curvature over the rates
-    above 0; rates are cut off at 0 at every step and a step that loses is halved.  A rate follows from the prices, so no
+    Least squares of the domains' errors, scaled by their inverse curvature, are brought down by projected gradient
+    steps on the rates, from 1: in the metric of tokens the gradient for a document is its posterior times the scaled
+    errors, which are summed up unprojected (as one price a domain), and rates are what is left above 0 after every
+    step, max(0, 1 - posterior . price).  Where they settle the goals are met with the least change from 1.  A step that
+    loses is halved.  A rate follows from the prices, so no
     step rewrites the corpus: one aggregate of sums by domain and by two domains comes back from each.  Prices below 1
     cut off no rate, since posteriors sum to 1; then the sums are known without a pass.  An empty corpus gets no rates.
+
+    Goals that aren't met after ``steps`` raise RuntimeError, or, if not ``strict``, warn and leave the rates as they are.
     """
     k, p, n = len(targets), F.col(posterior), F.col(tokens)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -146,11 +150,15 @@ def rates(members: DataFrame, targets: list[float], whole: list[int] | None = No
             step /= 2
     settled = off(got) < tolerance
     if not settled:
-        warnings.warn(f"rates stopped {off(got):.2g} off their goals, relative to them", stacklevel=2)
+        said = f"rates stopped {off(got):.2g} off their goals, relative to them"
+        if strict:
+            raise RuntimeError(said)
+        warnings.warn(said, stacklevel=2)
     return Mixture(members.withColumn("rate", F.greatest(F.lit(0.0), 1 - fall(price))), got.tolist(), goal.tolist(), settled)
 
 
-def mix(docs: DataFrame, model: Model, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), whole: tuple[str, ...] = ()) -> Mixture:
+@kept_apart(r"_tokens|_posterior|_raw|_e|rate")
+def mix(docs: DataFrame, model: Model, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), whole: tuple[str, ...] = (), strict: bool = True) -> Mixture:
     """``rated`` has ``keep``, ``_tokens``, ``_posterior`` and ``rate`` for every document.
 
     ``targets`` are relative weights of the model's domains; the total is the largest that raises no domain above what
@@ -158,7 +166,7 @@ def mix(docs: DataFrame, model: Model, targets: dict[str, float], keep: tuple[st
     get the rate of their posterior; repeated rows get equal rates.
     """
     members = written(posteriors(docs, model, keep), "posteriors")
-    return rates(members, [targets[d] for d in model.domains], [model.domains.index(d) for d in whole] or None)
+    return rates(members, [targets[d] for d in model.domains], [model.domains.index(d) for d in whole] or None, strict=strict)
 
 
 def draws(rate, *key):

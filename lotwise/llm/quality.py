@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import hashed
+from lotwise.llm.common import kept_apart
 
 
 @dataclass
@@ -66,6 +67,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, ridge: float = 0.2, ro
     return Model(columns, v[: len(columns)], thresholds(v[len(columns) :]))
 
 
+@kept_apart(r"expected_grade|tail_probability|keep|_raw")
 def score(df: DataFrame, model: Model, tail: int, least: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``expected_grade``, ``tail_probability`` of grade ``tail`` or better and ``keep`` (tail at ``least``).
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import SLICE, list_array, nonempty, schema_of, slices, texts_of, training_row, words_of, written
+from lotwise.llm.common import SLICE, kept_apart, list_array, nonempty, schema_of, slices, texts_of, training_row, words_of, written
 
 #: The end of a document; no word is empty.
 END = ""
@@ -460,6 +460,7 @@ def _unflat(flat: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> dict[str, n
     return out
 
 
+@kept_apart(r"n_tokens|n_known|base_score|score")
 def likelihoods(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray], counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``n_tokens``, ``n_known``, ``base_score`` and ``score``: log10 probabilities of each whole text and its end.
 

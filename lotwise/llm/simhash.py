@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.llm.common import nonempty, passes, schema_of, sieve, slices, texts_of, words_of, written
+from lotwise.llm.common import kept_apart, nonempty, passes, schema_of, sieve, slices, texts_of, words_of, written
 from lotwise.llm.components import components
 
 BITS = 64
@@ -432,6 +432,7 @@ def matched(met: DataFrame, names: list[str], make: Callable[[], Matcher], most:
     return near.unionByName(cells.applyInArrow(compare, "a long, b long"))
 
 
+@kept_apart(r"p[0-9]+|component|component_id|node|label|_least")
 def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (42,), second: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``p0``, ..., ``component_id`` and ``component`` for every document of ``docs`` (doc_id, text).
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.llm.common import byte_buffer, nonempty
+from lotwise.llm.common import byte_buffer, kept_apart, nonempty
 
 GRAM = 40
 #: Bytes of a suffix that are its first token.
@@ -299,6 +299,7 @@ def _at_characters(data: bytes, base: int, start: int, end: int, last: int) -> t
     return start, end
 
 
+@kept_apart(r"spans|kept")
 def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False) -> DataFrame:
     """``keep``, ``text``, ``spans`` and ``kept``: where bytes lie in a repeated string of ``length`` bytes, and the rest.
 
@@ -316,7 +317,7 @@ def repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
     first = F.coalesce(F.xxhash64("doc_id"), F.lit(0)) if "doc_id" in docs.columns else F.lit(0)
-    names = [c for c in keep if c not in ("text", "spans", "kept")]
+    names = [c for c in keep if c != "text"]
     columns = [*(f"kept_{i}" for i in range(len(names))), "text"]
     table = docs.select(*(F.col(c).alias(k) for c, k in zip(names, columns, strict=False)), text.alias("text"), first.alias("k1"), F.xxhash64(text).alias("k2"))
     splitters = splitters_of(table, buckets, length)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import hashed
+from lotwise.llm.common import kept_apart
 
 #: Terms that name groups of people, by language; a term is swapped for the next of its row.
 IDENTITY_TERMS = (
@@ -92,12 +93,12 @@ def fit(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, penalty: float
     return Model(columns, v[:-1], float(v[-1]))
 
 
+@kept_apart(r"score|predicted|_raw")
 def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``score`` (0 to 1) and ``predicted`` (1 from a half on) of each whole text.
 
     ``df`` has texts, or is a table made by :func:`featured`.  Null and empty texts get the score of a text without
-    telling words.  A narrow pass: any number of rows, ties and repeated rows are each scored by their text alone.  Kept
-    columns called score or predicted are not told apart from the new ones and must be renamed before.
+    telling words.  A narrow pass: any number of rows, ties and repeated rows are each scored by their text alone.
     """
     raw = hashed.linear_scores(df, model.columns, model.weights[:, None], np.array([model.offset]), False, keep)
     s = 1 / (1 + F.exp(-F.col("_raw")[0]))

@@ -353,3 +353,57 @@ def test_pipeline_stages_on_odd_rows(spark):
     coded = corpus_pipeline.encode(spark, docs, sf)
     assert coded.count() == len(texts) and coded.where("NOT round_trip").count() == 0
     assert corpus_pipeline.encode(spark, docs.limit(0), sf).count() == 0
+
+
+def test_kept_columns_with_names_of_the_operators(spark):
+    from lotwise.llm import bpe, hashed, mixing, quality, recurrent, toxicity
+
+    names = ["ids", "decoded", "p0", "component", "component_id", "node", "score", "predicted", "n_tokens", "keep", "expected_grade", "spans", "kept", "rate", "_tokens", "kept_rate", "text2"]
+    rows = [(i, f"the cat sat on the mat number {i % 3} " * 8, *(f"{c}{i}" for c in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    vocabulary = bpe.Vocabulary(queries.vocabulary_path())
+    keep = ("doc_id", *names)
+    grades = spark.createDataFrame([(i, i % 3) for i in range(6)], "doc_id long, label int")
+    toxic = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, label int")
+    counts = recurrent.word_counts(docs)
+    v = recurrent.vocabulary(counts, words=4, counted=6)
+    weights = recurrent.parameters(v, 8)
+    mixture = mixing.mix(docs, mixing.fit(docs, toxic.selectExpr("doc_id", "if(label = 1, 'a', 'b') AS domain"), ["a", "b"]), {"a": 1, "b": 1}, keep, strict=False).rated
+    made = {
+        "encode": (bpe.encode(docs, vocabulary, keep=keep), {"ids"}), "round trip": (bpe.round_trip(docs, vocabulary, keep=keep), {"ids", "decoded"}), "decode": (bpe.decode(docs.withColumn("ids", F.lit(None).cast("binary")).withColumn("decoded", F.concat(F.lit("decoded"), "doc_id")), vocabulary, keep=tuple(c for c in keep if c != "ids")), {"decoded"}),
+        "near": (simhash.near_duplicates(docs, keep=keep), {"p0", "component", "component_id", "node"}), "likelihoods": (recurrent.likelihoods(docs, v, weights, counts, keep), {"score", "n_tokens"}), "quality": (quality.score(docs, quality.fit(docs, grades, 3), 2, keep=keep), {"keep", "expected_grade"}),
+        "toxicity": (toxicity.score(docs, toxicity.fit(docs, toxic), keep=keep), {"score", "predicted"}), "suffixes": (suffixes.repeats(docs, 200, keep), {"spans", "kept"}), "mixture": (mixture, {"rate", "_tokens"}),
+    }
+    for name, (found, clash) in made.items():
+        kept = [c for c in keep if c != "doc_id" and (name != "decode" or c != "ids")]
+        called = {c: ("kept_kept_" if c == "rate" and name == "mixture" else "kept_") + c if c in clash else c for c in kept}
+        got = {r.doc_id: [r[called[c]] for c in kept] for r in found.select("doc_id", *called.values()).collect()}
+        assert got == {i: [f"{c}{i}" for c in kept] for i in range(6)}, name
+    assert hashed.AT not in docs.columns
+
+
+def test_goals_out_of_reach_raise(spark):
+    from lotwise.llm import mixing
+
+    members = spark.createDataFrame([(i, 10, [0.5, 0.5]) for i in range(20)], "doc_id long, _tokens long, _posterior array<double>")
+    with pytest.raises(RuntimeError):
+        mixing.rates(members, [0.9, 0.1])
+    with pytest.warns(UserWarning):
+        assert mixing.rates(members, [0.9, 0.1], strict=False).rated.where("rate >= 0").count() == 20
+
+
+def test_rates_are_those_of_projected_gradient_steps_on_rates(spark):
+    """Steps on the rates themselves, one number a document: gradient of the errors by inverse curvature, what falls below 0 cut off."""
+    from lotwise.llm import mixing
+
+    rng = np.random.default_rng(11)
+    p, n = rng.dirichlet([0.4, 0.4, 0.4], 200), rng.integers(1, 500, 200).astype(float)
+    members = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(200)], "doc_id long, _tokens long, _posterior array<double>")
+    mixture = mixing.rates(members, [0.05, 0.15, 0.8])
+    goal, raw = np.array(mixture.goal), np.ones(200)
+    for _ in range(400):
+        rate = np.maximum(0, raw)
+        curve = (p * (n * (raw > 0))[:, None]).T @ p
+        raw = raw - 0.5 * p @ np.linalg.solve(curve + 1e-9 * np.eye(3), p.T @ (n * rate) - goal)
+    got = mixture.rated.orderBy("doc_id").toPandas().rate.to_numpy()
+    assert (rate == 0).any() and np.allclose(p.T @ (n * rate), goal, rtol=1e-6) and np.allclose(got, rate, atol=2e-3)
