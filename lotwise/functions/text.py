@@ -76,7 +76,7 @@ def number(c: Column) -> Column:
 
 _COUNT = "([0-9]+(?:,[0-9]{3})*)"
 #: A copy's number over the edition: the quotation mark before it, the edition, and a unit or inch mark after it, which makes it a measure.
-NUMBERED = "(?i)\\b(?:numbered|no[.])(?:\\s*in pencil)?\\s*([\"'\u2018\u2019\u201c\u201d]?)[0-9]+\\s*/\\s*" + _COUNT + "\\s*(mm\\b|cm\\b|in\\b|[\"\u201d]?)"
+NUMBERED = "(?i)\\b(?:numbered|no[.])(?:\\s*in pencil)?\\s*([\"'\u2018\u2019\u201c\u201d]?)[0-9]+\\s*/\\s*" + _COUNT + "\\s*(mm\\b|cm\\b|[\"\u201d]?)"
 #: Other forms, the surer first.
 EDITION_FORMS = (r"(?i)\bedition\s+of\s+" + _COUNT, r"(?i)\bone\s+of\s+" + _COUNT)
 

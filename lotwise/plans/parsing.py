@@ -278,3 +278,31 @@ def edition_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.coalesce(*values)
     verdict = F.when(F.col("said").isNull() | F.col("seen").isNull(), "unassessable").when(F.col("said") == F.col("seen"), "agrees").otherwise("diverges")
     return both.select("sale", "lot", "work", found["value"].alias("edition"), found["source"].alias("source"), verdict.alias("verdict"))
+
+
+#: A lot's description as a house prints it, lines parted by tags; every seventh sale's lots hold a second work.
+PRINTED_SQL = """CASE l_suppkey % 3 WHEN 0 THEN 'After ' WHEN 1 THEN 'Attributed to ' ELSE '' END || replace(s_name, '#', ' ') || ',<br>' || CASE s_nationkey % 3 WHEN 0 THEN 'Spanish' WHEN 1 THEN 'French/Belgian' ELSE 'New Zealand' END || CASE l_orderkey % 2 WHEN 0 THEN ' 1881-1973' ELSE ' b.1965' END || ',<br/><br>'
+    || CASE WHEN l_orderkey % 7 = 0 THEN 'Two works:<br>(i) ' ELSE '' END || p_name || CASE l_linenumber % 3 WHEN 0 THEN ' [Bloch ' || CAST(p_size AS {0}) || ']' ELSE '' END || ', ' || CAST(year(l_shipdate) AS {0}) || ';<br>'
+    || CASE l_linenumber % 2 WHEN 0 THEN 'etching on wove paper' ELSE 'screenprint' END || ',<br>' || CASE l_orderkey % 3 WHEN 0 THEN 'from the edition of 1,' || lpad(CAST(CAST(l_quantity AS INTEGER) AS {0}), 3, '0') WHEN 1 THEN 'signed and numbered 1/' || CAST(CAST(l_quantity AS INTEGER) AS {0}) || ' in pencil' ELSE 'an artist&#39;s proof' END || ',<br>'
+    || CASE WHEN l_linenumber % 4 = 1 THEN 'printed by Atelier &Eacute;lan &amp; Fils, Paris,<br>' ELSE '' END || 'image: ' || CAST(p_size AS {0}) || ' x ' || CAST(CAST(l_quantity AS INTEGER) AS {0}) || 'cm,<br>'
+    || CASE WHEN l_orderkey % 7 = 0 THEN '(ii) Ring &amp; Bell, c.1950;<br>lithograph on wove,<br>' ELSE '' END || CASE WHEN l_quantity > 25 THEN '(framed)<br>' ELSE '' END || CASE WHEN l_orderkey % 5 = 0 THEN 'Provenance<br>Galerie Z,<br>Paris' ELSE '' END"""
+
+
+@query("""WITH l AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey), w AS (SELECT *, unnest(CASE WHEN l_orderkey % 7 = 0 THEN [1, 2] ELSE [1] END) AS k FROM l)
+SELECT l_orderkey AS sale, l_linenumber AS lot, CAST(k AS INTEGER) AS work, replace(s_name, '#', ' ') AS artist, CASE l_suppkey % 3 WHEN 0 THEN 'after' WHEN 1 THEN 'attributed' ELSE 'certain' END AS hand, CASE s_nationkey % 3 WHEN 0 THEN 'Spanish' WHEN 1 THEN 'French/Belgian' ELSE 'New Zealand' END AS nationality, CASE l_orderkey % 2 WHEN 0 THEN '1881-1973' ELSE 'b.1965' END AS life,
+  CASE k WHEN 2 THEN 'Ring & Bell' ELSE p_name || CASE l_linenumber % 3 WHEN 0 THEN ' [Bloch ' || CAST(p_size AS VARCHAR) || ']' ELSE '' END END AS title, CASE k WHEN 2 THEN 'c.1950' ELSE CAST(year(l_shipdate) AS VARCHAR) END AS year,
+  CASE WHEN k = 2 THEN 'lithograph' WHEN l_linenumber % 2 = 0 THEN 'etching' ELSE 'screenprint' END AS medium, CASE WHEN k = 2 THEN 'wove' WHEN l_linenumber % 2 = 0 THEN 'wove paper' END AS support,
+  CASE WHEN k = 2 THEN NULL WHEN l_orderkey % 3 = 0 THEN 1000 + CAST(l_quantity AS INTEGER) WHEN l_orderkey % 3 = 1 THEN CAST(l_quantity AS INTEGER) END AS edition_size, k = 1 AND l_orderkey % 3 = 1 AS signed, CASE WHEN k = 1 AND l_linenumber % 4 = 1 THEN 'Atelier Élan & Fils, Paris' END AS printer,
+  CASE WHEN k = 1 THEN CAST(p_size AS DOUBLE) END AS width, CASE WHEN k = 1 THEN l_quantity END AS height, CASE WHEN k = 1 AND l_linenumber % 3 = 0 THEN 'Bloch ' || CAST(p_size AS VARCHAR) ELSE '' END AS entries, l_quantity > 25 AS framed, CASE WHEN l_orderkey % 5 = 0 THEN 'Galerie Z, Paris' END AS provenance, CASE WHEN l_orderkey % 7 = 0 THEN '2 works' END AS several,
+  CAST(CASE WHEN k = 1 AND l_linenumber % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k = 1 AND l_linenumber % 4 = 1 THEN 1 ELSE 0 END + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS leaks FROM w""")
+def catalogue_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every work of every lot, with all that its printed description says, by the table function over whole descriptions."""
+    from lotwise.functions import catalogue
+
+    catalogue.register(spark)
+    makers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    lots = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey")).join(makers, F.col("l_suppkey") == F.col("s_suppkey"))
+    printed = lots.select(F.col("l_orderkey").alias("sale"), F.col("l_linenumber").alias("lot"), F.expr(PRINTED_SQL.format("STRING")).alias("body"))
+    found = spark.sql("SELECT sale, lot, w.* FROM {printed}, LATERAL catalogue_works(body) w", printed=printed)
+    size = F.try_element_at("sizes", F.lit(1))
+    return found.select("sale", "lot", "work", "artist", "hand", "nationality", "life", "title", "year", "medium", "support", "edition_size", "signed", "printer", size["width"].alias("width"), size["height"].alias("height"), F.array_join("entries", ";").alias("entries"), "framed", "provenance", "several", F.size("leaks").alias("leaks"))
