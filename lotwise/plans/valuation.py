@@ -19,11 +19,15 @@ from lotwise.sources.tables import headers, sales, table, works
 REGISTRY = Registry()
 query = REGISTRY
 
-#: A house or technique and what its sales fetch beyond the mean of all, in logs.
-LEVELS = f"""{LOGS}, {HEADERS}, priced AS (SELECT l.*, house, estimate, p_type AS technique, CAST(year(sale_date) AS INTEGER) AS year FROM logs l JOIN headers USING (sale) JOIN part ON work = p_partkey),
-houses AS (SELECT house, avg(y) - (SELECT avg(y) FROM priced) AS offset_log FROM priced GROUP BY 1), years AS (SELECT year, avg(y) - (SELECT avg(y) FROM priced) AS effect FROM priced GROUP BY 1),
-span AS (SELECT min(year) AS first, max(year) AS last FROM years),
-probes AS (SELECT * FROM (SELECT p.*, sale_date AS until, row_number() OVER (PARTITION BY work ORDER BY sale_date DESC, sale DESC, lot DESC, hammer DESC, artist DESC) AS k FROM priced p) WHERE k = 1)"""
+def at_day(name: str, by: str, rows: str) -> str:
+    """SQL of the mean log price of each value of ``by`` before each day that is asked for, from running sums over days."""
+    return f"""{name} AS (SELECT v.{by}, d.until, k.s / k.c AS level FROM days d CROSS JOIN (SELECT DISTINCT {by} FROM {rows}) v ASOF JOIN (SELECT {by}, sale_date, sum(s) OVER w AS s, sum(c) OVER w AS c FROM (SELECT {by}, sale_date, sum(y) AS s, count(*) AS c FROM {rows} GROUP BY 1, 2) WINDOW w AS (PARTITION BY {by} ORDER BY sale_date)) k ON k.{by} = v.{by} AND d.until > k.sale_date)"""
+
+
+#: What houses, years and all sales fetched before a probe's day; nothing of that day or later counts.
+LEVELS = f"""{LOGS}, {HEADERS}, priced AS (SELECT l.*, house, estimate, p_type AS technique, CAST(year(sale_date) AS INTEGER) AS year, 1 AS everything FROM logs l JOIN headers USING (sale) JOIN part ON work = p_partkey),
+probes AS (SELECT * FROM (SELECT p.*, sale_date AS until, row_number() OVER (PARTITION BY work ORDER BY sale_date DESC, sale DESC, lot DESC, hammer DESC, artist DESC) AS k FROM priced p) WHERE k = 1),
+days AS (SELECT DISTINCT until FROM probes), {at_day('house_at', 'house', 'priced')}, {at_day('year_at', 'year', 'priced')}, {at_day('all_at', 'everything', 'priced')}"""
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +35,17 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).join(headers(spark, sf_dir).select("sale", "house", "estimate"), "sale").join(works(spark, sf_dir).select("work", "technique"), "work").withColumn("year", F.year("sale_date"))
 
 
-def level_of(lots: DataFrame, by: str, name: str) -> DataFrame:
-    """What each value of ``by`` fetches beyond the mean of all; few rows, from one aggregate."""
-    by_value = lots.groupBy(by).agg(F.sum("y").alias("_s"), F.count("y").alias("_n"))
-    whole = by_value.agg(F.sum("_s").alias("_t"), F.sum("_n").alias("_m"))
-    return by_value.crossJoin(F.broadcast(whole)).select(by, (F.col("_s") / F.col("_n") - F.col("_t") / F.col("_m")).alias(name))
+def level_before(lots: DataFrame, by: str, days: DataFrame) -> DataFrame:
+    """``by, until, level``: the mean log price of each value of ``by`` before each of ``days`` (until), where it had any.
+
+    Daily totals and the days asked for go through one window by value; values of ``by`` are few, as houses or years are.
+    """
+    daily = lots.groupBy(by, F.col("sale_date").alias("until")).agg(F.sum("y").alias("_s"), F.count("*").alias("_c"))
+    values = lots.agg(F.collect_set(by).alias("_v"))
+    asked = days.crossJoin(F.broadcast(values)).select(F.explode("_v").alias(by), "until", F.lit(True).alias("_asked"))
+    earlier = Window.partitionBy(by).orderBy(F.unix_date("until")).rangeBetween(Window.unboundedPreceding, -1)
+    sums = daily.unionByName(asked, allowMissingColumns=True).withColumns({"_s": F.sum("_s").over(earlier), "_c": F.sum("_c").over(earlier)})
+    return sums.where("_asked AND _c > 0").select(by, "until", (F.col("_s") / F.col("_c")).alias("level"))
 
 
 def latest(lots: DataFrame) -> DataFrame:
@@ -44,22 +54,25 @@ def latest(lots: DataFrame) -> DataFrame:
     return lots.withColumn("_k", F.row_number().over(Window.partitionBy("work").orderBy(*order))).where("_k = 1").drop("_k").withColumn("until", F.col("sale_date"))
 
 
-REBASED = f"""{LEVELS}, rebased AS (SELECT p.work, p.until, c.sale_date, c.y + ht.offset_log - hc.offset_log + CASE WHEN c.year >= p.year - 1 THEN 0 ELSE yt.effect - yc.effect END AS y, CASE WHEN c.year >= p.year - 1 THEN 0 ELSE yt.effect - yc.effect END AS moved
-  FROM probes p JOIN priced c ON c.work = p.work AND c.sale_date < p.until JOIN houses ht ON ht.house = p.house JOIN houses hc ON hc.house = c.house, span
-  JOIN years yt ON yt.year = greatest(least(p.year - 1, last), first) JOIN years yc ON yc.year = c.year)"""
-REBASED = REBASED.replace("house = c.house, span\n  JOIN years yt", "house = c.house CROSS JOIN span\n  JOIN years yt")
+MOVED = "CASE WHEN c.year >= p.year - 1 THEN 0 ELSE coalesce(yt.level - yc.level, 0) END"
+REBASED = f"""{LEVELS}, rebased AS (SELECT p.work, p.until, c.sale_date, c.y + coalesce(ht.level - hc.level, 0) + {MOVED} AS y, {MOVED} AS moved
+  FROM probes p JOIN priced c ON c.work = p.work AND c.sale_date < p.until LEFT JOIN house_at ht ON ht.house = p.house AND ht.until = p.until LEFT JOIN house_at hc ON hc.house = c.house AND hc.until = p.until
+  LEFT JOIN year_at yt ON yt.year = p.year - 1 AND yt.until = p.until LEFT JOIN year_at yc ON yc.year = c.year AND yc.until = p.until)"""
 
 
 def rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earlier sales of each probe's work, moved to the probe's house and forward to the level of the year before it."""
+    """Earlier sales of each probe's work, moved to the probe's house and forward to the level of the year before it, by what was known on its day."""
     lots = priced(spark, sf_dir)
-    houses, years = level_of(lots, "house", "offset_log"), level_of(lots, "year", "effect")
-    ends = years.agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    probes = latest(lots).join(houses, "house").crossJoin(F.broadcast(ends)).select("work", "until", F.col("offset_log").alias("to_house"), F.col("year").alias("valued"), F.greatest(F.least(F.col("year") - 1, "last"), "first").alias("level_year"))
-    probes = probes.join(years.select(F.col("year").alias("level_year"), F.col("effect").alias("to_year")), "level_year")
-    comps = lots.select("work", "sale_date", "y", "house", "year").join(houses, "house").join(years, "year")
-    moved = F.when(F.col("year") >= F.col("valued") - 1, 0.0).otherwise(F.col("to_year") - F.col("effect"))
-    return probes.join(comps, "work").where("sale_date < until").select("work", "until", "sale_date", (F.col("y") + F.col("to_house") - F.col("offset_log") + moved).alias("y"), moved.alias("moved"))
+    probes = latest(lots)
+    days = probes.select("until").distinct()
+    houses, years = level_before(lots, "house", days), level_before(lots, "year", days)
+    named = lambda df, by, name: df.select(F.col(by).alias(f"_{name}"), "until", F.col("level").alias(name))
+    asked = probes.select("work", "until", F.col("house").alias("_to_house"), (F.col("year") - 1).alias("_to_year"), F.col("year").alias("valued"))
+    asked = asked.join(named(houses, "house", "to_house"), ["_to_house", "until"], "left").join(named(years, "year", "to_year"), ["_to_year", "until"], "left")
+    comps = lots.select("work", "sale_date", "y", F.col("house").alias("_of_house"), F.col("year").alias("_of_year"))
+    pairs = asked.join(comps, "work").where("sale_date < until").join(named(houses, "house", "of_house"), ["_of_house", "until"], "left").join(named(years, "year", "of_year"), ["_of_year", "until"], "left")
+    moved = F.when(F.col("_of_year") >= F.col("valued") - 1, 0.0).otherwise(F.coalesce(F.col("to_year") - F.col("of_year"), F.lit(0.0)))
+    return pairs.select("work", "until", "sale_date", (F.col("y") + F.coalesce(F.col("to_house") - F.col("of_house"), F.lit(0.0)) + moved).alias("y"), moved.alias("moved"))
 
 
 @query(f"""WITH {REBASED} SELECT work, count(*) AS n, round(median(y), 6) AS level, round(avg(moved), 6) AS moved, CAST(max(sale_date) AS VARCHAR) AS latest FROM rebased GROUP BY 1""")
@@ -68,34 +81,46 @@ def rebased_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebased(spark, sf_dir).groupBy("work").agg(F.count("*").alias("n"), F.round(estimates.median("y"), 6).alias("level"), F.round(F.avg("moved"), 6).alias("moved"), F.max("sale_date").cast("string").alias("latest"))
 
 
+def running(name: str, by: str) -> str:
+    on = f"PARTITION BY {by} " if by else ""
+    cols = f"{by}, " if by else ""
+    return f"""{name} AS (SELECT {cols}sale_date, sum(s) OVER w AS s, sum(c) OVER w AS c FROM (SELECT {cols}sale_date, sum(y) AS s, count(*) AS c FROM priced GROUP BY {cols}sale_date) WINDOW w AS ({on}ORDER BY sale_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))"""
+
+
 BANDS = "CASE WHEN edition <= 10 THEN 'tiny' WHEN edition <= 25 THEN 'small' WHEN edition <= 40 THEN 'medium' ELSE 'large' END"
 
 
-@query(f"""WITH {LEVELS}, f AS (SELECT *, CASE WHEN signed THEN 'signed' ELSE 'unsigned' END AS signature, {BANDS} AS band FROM priced), g AS (SELECT *, CASE WHEN signed THEN 'signed' ELSE 'unsigned' END AS signature, {BANDS} AS band FROM probes),
-b AS (SELECT 'signature' AS dim, signature AS lvl, avg(y) AS m FROM f GROUP BY 2 UNION ALL SELECT 'band', band, avg(y) FROM f GROUP BY 2 UNION ALL SELECT 'process', technique, avg(y) FROM f GROUP BY 2),
-beta AS (SELECT b.dim, b.lvl, b.m - r.m AS e FROM b JOIN b r ON r.dim = b.dim AND r.lvl IN ('unsigned', 'large', 'ECONOMY') WHERE b.lvl <> r.lvl),
-a AS (SELECT artist, avg(y) AS level FROM f GROUP BY 1), attrs AS (SELECT work, artist, year, unnest(['signature', 'band', 'process']) AS dim, unnest([signature, band, technique]) AS lvl FROM g)
-SELECT work, round(level + coalesce(sum(e), 0) + effect, 6) AS mu, coalesce(string_agg(dim || '=' || lvl, ',' ORDER BY dim) FILTER (e IS NOT NULL), '') AS terms FROM attrs LEFT JOIN beta USING (dim, lvl) JOIN a USING (artist) JOIN years USING (year) GROUP BY work, level, effect""")
-def attribute_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log price of each probe from its artist's level, what its attributes add to reference levels, and its year.
+#: Attributes of a lot and the level of each that others are measured from.
+REFERENCES = {"signature": "unsigned", "band": "large", "process": "ECONOMY"}
+ATTRIBUTES = f"CASE WHEN signed THEN 'signed' ELSE 'unsigned' END AS signature, {BANDS} AS band, technique AS process"
 
-    A level without an effect of its own (a reference) adds nothing and isn't named among the terms.
-    """
-    lots = priced(spark, sf_dir).withColumn("signature", F.when(F.col("signed"), "signed").otherwise("unsigned")).withColumn("band", numbers.banded(F.col("edition"), [(10, "tiny"), (25, "small"), (40, "medium")], "large"))
-    dims = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(c).alias("lvl")) for d, c in (("signature", "signature"), ("band", "band"), ("process", "technique"))))).alias("a")
-    means = lots.select("y", dims).groupBy("a.dim", "a.lvl").agg(F.avg("y").alias("m"))
-    reference = F.col("lvl").isin("unsigned", "large", "ECONOMY")
-    beta = means.where(~reference).join(F.broadcast(means.where(reference).select("dim", F.col("m").alias("r"))), "dim").select("dim", "lvl", (F.col("m") - F.col("r")).alias("e"))
-    attrs = latest(lots).select("work", "artist", "year", dims).select("work", "artist", "year", "a.dim", "a.lvl").join(beta, ["dim", "lvl"], "left")
-    added = attrs.groupBy("work", "artist", "year").agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("e"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("e").isNotNull(), F.concat("dim", F.lit("="), "lvl")))), ",").alias("terms"))
-    own = lots.groupBy("artist").agg(F.avg("y").alias("level"))
-    return added.join(own, "artist").join(level_of(lots, "year", "effect"), "year").select("work", F.round(F.col("level") + F.col("e") + F.col("effect"), 6).alias("mu"), "terms")
 
+@query(f"""WITH {LEVELS}, {running('by_artist', 'artist')}, f AS (SELECT *, {ATTRIBUTES} FROM priced), {', '.join(at_day(f'{d}_at', d, 'f') for d in REFERENCES)}, g AS (SELECT *, {ATTRIBUTES} FROM probes),
+lvl AS ({' UNION ALL '.join(f"SELECT '{d}' AS dim, {d} AS lvl, until, level FROM {d}_at" for d in REFERENCES)}), ref AS (SELECT * FROM lvl WHERE (dim, lvl) IN ({', '.join(f"('{d}', '{v}')" for d, v in REFERENCES.items())})),
+attrs AS (SELECT work, artist, year, sale_date, until, unnest(['signature', 'band', 'process']) AS dim, unnest([signature, band, process]) AS lvl FROM g),
+e AS (SELECT a.*, CASE WHEN a.lvl <> ref.lvl THEN lvl.level - ref.level END AS e FROM attrs a LEFT JOIN lvl ON lvl.dim = a.dim AND lvl.lvl = a.lvl AND lvl.until = a.until LEFT JOIN ref ON ref.dim = a.dim AND ref.until = a.until)
+SELECT work, round(any_value(b.s / b.c) + coalesce(sum(e), 0) + coalesce(any_value(y.level - z.level), 0), 6) AS mu, coalesce(string_agg(dim || '=' || lvl, ',' ORDER BY dim) FILTER (e IS NOT NULL), '') AS terms
+FROM e JOIN by_artist b ON b.artist = e.artist AND b.sale_date = e.sale_date AND b.c > 0 LEFT JOIN year_at y ON y.year = e.year AND y.until = e.until LEFT JOIN all_at z ON z.until = e.until GROUP BY work""")
+def attribute_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log price of each probe from its artist's level, what its attributes add to reference levels, and its year, all before its day.
 
-def running(name: str, by: str) -> str:
-    on = f"PARTITION BY {by} " if by else ""
-    cols = f"{by}, " if by else ""
-    return f"""{name} AS (SELECT {cols}sale_date, sum(s) OVER w AS s, sum(c) OVER w AS c FROM (SELECT {cols}sale_date, sum(y) AS s, count(*) AS c FROM priced GROUP BY {cols}sale_date) WINDOW w AS ({on}ORDER BY sale_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))"""
+    A level without an effect of its own (a reference, or one without earlier sales) adds nothing and isn't named among
+    the terms; without earlier sales of the artist there is no price.
+    """
+    lots = priced(spark, sf_dir).withColumn("signature", F.when(F.col("signed"), "signed").otherwise("unsigned")).withColumn("band", numbers.banded(F.col("edition"), [(10, "tiny"), (25, "small"), (40, "medium")], "large")).withColumn("process", F.col("technique"))
+    probes = latest(lots)
+    days = probes.select("until").distinct()
+    found = probes.select("work", "artist", "sale_date", "year", "until", *REFERENCES)
+    for dim, reference in REFERENCES.items():
+        level = level_before(lots, dim, days)
+        base = level.where(F.col(dim) == reference).select("until", F.col("level").alias("_r"))
+        found = found.join(level, [dim, "until"], "left").join(base, "until", "left").withColumn(f"e_{dim}", F.when(F.col(dim) != reference, F.col("level") - F.col("_r"))).drop("level", "_r")
+    known = found.join(before(lots, ["artist"]), ["artist", "sale_date"])
+    known = known.join(level_before(lots, "year", days).withColumnRenamed("level", "_y"), ["year", "until"], "left").join(level_before(lots.withColumn("everything", F.lit(1)), "everything", days).select("until", F.col("level").alias("_z")), "until", "left")
+    zero = F.lit(0.0)
+    added = sum((F.coalesce(f"e_{d}", zero) for d in REFERENCES), zero) + F.coalesce(F.col("_y") - F.col("_z"), zero)
+    terms = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"e_{d}").isNotNull(), F.concat(F.lit(f"{d}="), d)) for d in sorted(REFERENCES)))), ",")
+    return known.select("work", F.round(F.col("s") / F.col("c") + added, 6).alias("mu"), terms.alias("terms"))
 
 
 #: Bias and spread by source and key, the most specific key first; ``all`` is the last resort.
