@@ -218,3 +218,35 @@ def class_means(df: DataFrame, label: str, vector: str) -> DataFrame:
 
     parts = df.select(label, vector).where(F.col(label).isNotNull() & F.col(vector).isNotNull()).mapInArrow(sums, f"{label} {kind}, n long, m array<double>")
     return parts.groupBy(label).applyInArrow(unite, f"{label} {kind}, n long, m array<double>")
+
+
+#: Rows of a key up to which the rows of its groups meet in one task, and rows that a task should hold.
+WHOLE, HELD = 20_000, 50_000
+
+
+def beside(left: DataFrame, right: DataFrame, key: str, use: Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], pa.Table], schema: str) -> tuple[DataFrame, DataFrame]:
+    """What ``use`` makes of the rows of both sides of each key, and the rows of ``left`` whose key has too many rows for it.
+
+    Keys of up to ``WHOLE`` rows on each side are handled several to a task, both sides as arrays by column; the rows of
+    other keys come back for a way that spreads a key over tasks.  Null keys take no part.
+    """
+    sizes = left.groupBy(key).agg(F.count("*").alias("_l")).join(right.groupBy(key).agg(F.count("*").alias("_r")), key, "left")
+    marked = left.join(sizes, key).withColumn("_large", F.greatest("_l", F.coalesce("_r", F.lit(0))) > WHOLE).drop("_l", "_r")
+    tasks = max(1, -(-right.count() // HELD))
+    bucket = F.pmod(F.xxhash64(key), F.lit(tasks)).cast("int")
+    small = sizes.where(F.greatest("_l", F.coalesce("_r", F.lit(0))) <= WHOLE).select(key)
+    ours, theirs = marked.where("NOT _large").drop("_large").withColumn("_b", bucket), right.join(small, key, "left_semi").withColumn("_b", bucket)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        arrays = lambda t: {c: t.column(c).to_numpy() for c in t.column_names if c != "_b"}
+        x, y = arrays(a), arrays(b)
+        at, of = np.argsort(x[key], kind="stable"), np.argsort(y[key], kind="stable")
+        names, first = np.unique(x[key][at], return_index=True)
+        ends, out = np.append(first[1:], len(at)), []
+        low, high = np.searchsorted(y[key][of], names), np.searchsorted(y[key][of], names, side="right")
+        for k in range(len(names)):
+            i, j = at[first[k] : ends[k]], of[low[k] : high[k]]
+            out.append(use({c: v[i] for c, v in x.items()}, {c: v[j] for c, v in y.items()}))
+        return pa.concat_tables(out) if out else use({c: v[:0] for c, v in x.items()}, {c: v[:0] for c, v in y.items()})
+
+    return ours.groupBy("_b").cogroup(theirs.groupBy("_b")).applyInArrow(meet, schema), marked.where("_large").drop("_large")

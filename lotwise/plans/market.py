@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lotwise.operators import changes, estimates, joins, ranking
+from lotwise.operators import cells, changes, estimates, joins, ranking
 from lotwise.plans import Registry
 from lotwise.sources.tables import MONEY, artists, headers, sales, table, works
 
@@ -53,6 +59,41 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.unionByName(other)
 
 
+def beside_artist(spark: SparkSession, sf_dir: str, rows: Callable[[dict[str, np.ndarray], int, tuple, tuple], list[tuple]], schema: str) -> tuple[DataFrame, DataFrame]:
+    """What ``rows`` makes of each probe and its comparables as arrays, without a row for each pair, and the comparables of the probes that this can't take.
+
+    ``rows`` gets the probes, which one it is, (day, price) of earlier sales of its work, and (day, price, whether of its
+    technique, work) of earlier sales of its artist's other works.  Probes of artists or works with very many sales come back as
+    :func:`comparables`, whose joins spread a key.
+    """
+    lots = sales(spark, sf_dir).join(works(spark, sf_dir).select("work", "technique"), "work")
+    probes = probes_of(lots)
+    sold = lots.where("sold").select("artist", "work", "technique", F.unix_date("sale_date").alias("day"), F.col("hammer").cast("double").alias("hammer"))
+    own = sold.groupBy("work").agg(F.count("*").alias("_n"))
+    few = own.where(F.col("_n") <= cells.WHOLE).select("work")
+    lists = sold.join(few, "work", "left_semi").groupBy("work").agg(F.collect_list("day").alias("own_days"), F.collect_list("hammer").alias("own_prices"))
+    asked = probes.join(own.select(F.col("work").alias("probe"), "_n"), "probe", "left").select("probe", F.col("probe_artist").alias("artist"), F.col("probe_technique").alias("technique"), F.unix_date(F.add_months("until", -12 * YEARS)).alias("since"), F.unix_date("until").alias("until"), (F.coalesce("_n", F.lit(0)) > cells.WHOLE).alias("hot"))
+    ready = asked.where("NOT hot").drop("hot").join(lists.withColumnRenamed("work", "probe"), "probe", "left")
+
+    def use(p: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> pa.Table:
+        order = np.argsort(x["day"], kind="stable")
+        x = {c: v[order] for c, v in x.items()}
+        low, high = np.searchsorted(x["day"], p["since"]), np.searchsorted(x["day"], p["until"])
+        out = []
+        for i in range(len(p["probe"])):
+            days, prices = (np.asarray(p[c][i] if p[c][i] is not None else [], t) for c, t in (("own_days", np.int64), ("own_prices", float)))
+            within = (days >= p["since"][i]) & (days < p["until"][i])
+            span = slice(low[i], high[i])
+            other = x["work"][span] != p["probe"][i]
+            out += rows(p, i, (days[within], prices[within]), (x["day"][span][other], x["hammer"][span][other], (x["technique"][span] == p["technique"][i])[other], x["work"][span][other]))
+        return pa.table({f.name: pa.array([r[k] for r in out], f.type) for k, f in enumerate(fields)}, schema=fields)
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    small, large = cells.beside(ready, sold, "artist", use, schema)
+    left = large.select("probe").unionByName(asked.where("hot").select("probe"))
+    return small, comparables(spark, sf_dir).join(left, "probe", "left_semi")
+
+
 def nearest_comparables(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The rows of :func:`comparables` that can be among a probe's first ``k``: its work's, and the latest few of its artist by technique.
 
@@ -93,19 +134,40 @@ SELECT probe, count(*) AS n, count(*) FILTER (tier = 0) AS same_work, count(*) F
 FROM found GROUP BY probe""")
 def comps_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier counts, prices and dates of all comparables of each probe."""
-    return comparables(spark, sf_dir).groupBy("probe").agg(
-        F.count("*").alias("n"), *(F.count_if(F.col("tier") == k).alias(c) for k, c in enumerate(("same_work", "same_technique", "same_artist"))),
-        F.round(estimates.median(F.col("hammer").cast("double")), 4).alias("median_hammer"), F.min("hammer").cast("double").alias("least"), F.max("hammer").cast("double").alias("most"), F.min("sale_date").cast("string").alias("earliest"), F.max("sale_date").cast("string").alias("latest"),
-    )
+
+    def told(found: DataFrame) -> DataFrame:
+        return found.groupBy("probe").agg(
+            F.count("*").alias("n"), *(F.count_if(F.col("tier") == k).alias(c) for k, c in enumerate(("same_work", "same_technique", "same_artist"))),
+            F.round(estimates.median(F.col("hammer").cast("double")), 4).alias("median_hammer"), F.min("hammer").cast("double").alias("least"), F.max("hammer").cast("double").alias("most"), F.min("sale_date").cast("string").alias("earliest"), F.max("sale_date").cast("string").alias("latest"),
+        )
+
+    def rows(p: dict[str, np.ndarray], i: int, own: tuple, others: tuple) -> list[tuple]:
+        (d0, h0), (d, h, same, _) = own, others
+        if not len(d0) + len(d):
+            return []
+        days, prices = np.concatenate([d0, d]), np.concatenate([h0, h])
+        return [(p["probe"][i], len(days), len(d0), int(same.sum()), int((~same).sum()), float(np.median(prices)), prices.min(), prices.max(), days.min(), days.max())]
+
+    schema = "probe long, n long, same_work long, same_technique long, same_artist long, median_hammer double, least double, most double, earliest int, latest int"
+    small, large = beside_artist(spark, sf_dir, rows, schema)
+    day = lambda c: F.date_from_unix_date(c).cast("string").alias(c)
+    return small.select("probe", "n", "same_work", "same_technique", "same_artist", F.round("median_hammer", 4).alias("median_hammer"), "least", "most", day("earliest"), day("latest")).unionByName(told(large))
 
 
 @query(f"""{COMPS}, first AS (SELECT DISTINCT probe, tier, work FROM found)
 SELECT probe, work, tier, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY tier, work) AS rank FROM first) WHERE rank <= 5""")
 def comps_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five works to compare with: the own one, then the artist's in the technique, then the artist's others."""
-    found = comparables(spark, sf_dir)
-    tiers = [found.where(F.col("tier") == k).select("probe", "work").distinct() for k in range(3)]
-    return ranking.cascade(tiers, ["probe"], ["work"], [F.col("work")], 5).select("probe", "work", "tier", "rank")
+
+    def rows(p: dict[str, np.ndarray], i: int, own: tuple, others: tuple) -> list[tuple]:
+        (d0, _), (_, _, same, work) = own, others
+        tiers = [(p["probe"][i : i + 1] if len(d0) else work[:0]), np.unique(work[same]), np.unique(work[~same])]
+        chosen = [(w, t) for t, ws in enumerate(tiers) for w in ws[:5].tolist()][:5]
+        return [(p["probe"][i], w, t, k) for k, (w, t) in enumerate(chosen, 1)]
+
+    small, large = beside_artist(spark, sf_dir, rows, "probe long, work long, tier int, rank int")
+    tiers = [large.where(F.col("tier") == k).select("probe", "work").distinct() for k in range(3)]
+    return small.unionByName(ranking.cascade(tiers, ["probe"], ["work"], [F.col("work")], 5).select("probe", "work", F.col("tier").cast("int").alias("tier"), F.col("rank").cast("int").alias("rank")))
 
 
 @query("""SELECT l_suppkey AS artist, count(*) AS records, count(DISTINCT l_partkey) AS works, count(DISTINCT CASE WHEN l_linestatus = 'F' THEN l_partkey END) AS signed_works,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import numbers, text
-from lotwise.operators import joins
+from lotwise.operators import joins, leaks
 from lotwise.operators.durable import checkpoint_dir
 from lotwise.plans import Registry
 from lotwise.sources import zipped
@@ -89,14 +89,16 @@ def grams(df: DataFrame, key: str, n: int = 8) -> DataFrame:
 @query(f"""WITH b AS (SELECT DISTINCT * FROM ({GRAMS.format(id='item_id', table='benchmark')})), d AS (SELECT DISTINCT * FROM ({GRAMS.format(id='doc_id', table='documents')}))
 SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (gram) GROUP BY 1, 2""")
 def leak_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold eight words in a row of a listed passage, and how many such runs."""
-    listed, docs = grams(table(spark, sf_dir, "benchmark"), "item_id").persist(), table(spark, sf_dir, "documents").select("doc_id", "text")
-    marks = listed.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-    marks = F.broadcast(marks) if marks.limit(SENT + 1).count() <= SENT else marks
-    # whole runs are made for documents only that hold the hash of a listed one, so no document's runs are shuffled
-    w = docs.select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-zà-ÿ]+", " ")), " ").alias("w")).where(F.size("w") >= 8)
-    hits = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.slice("w", i, 8)))).alias("h")).join(marks, "h", "left_semi").select("doc_id").distinct()
-    return grams(docs.join(hits, "doc_id", "left_semi"), "doc_id").join(listed, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    """Documents that hold eight words in a row of a listed passage, and how many such runs.
+
+    Up to ``SENT`` listed runs go to every task, where a document's runs are told by rolling hashes and then word by word;
+    with more, documents' runs meet the listed ones in a join.
+    """
+    listed, docs = grams(table(spark, sf_dir, "benchmark"), "item_id"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = listed.limit(SENT + 1).collect()
+    if len(rows) > SENT:
+        return grams(docs, "doc_id").join(listed, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    return leaks.counted(docs.select("doc_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-zà-ÿ]+", " ")).alias("words")), rows, 8)
 
 
 @query("""WITH d AS (SELECT md5(text) AS h, count(*) AS copies, min(doc_id) AS first, count(DISTINCT source) AS sources FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT h, copies, first, sources FROM d WHERE copies > 1""")
