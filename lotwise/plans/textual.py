@@ -223,3 +223,22 @@ def pages_from_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda p, c="object": F.max(F.when(F.col("predicate") == f"http://example.org/{p}", F.col(c)))
     by = found.groupBy("subject").agg(of("url").alias("url"), of("title").alias("title"), F.split_part(of("size", "tag"), F.lit(";"), F.lit(2)).alias("lang"), of("size").cast("long").alias("size"))
     return by.select(F.element_at(F.split("subject", "/"), -1).cast("long").alias("page_id"), "url", "title", "lang", "size")
+
+
+#: Reports on lots in two versions of their schema, some cut short and some of a version yet to come.
+REPORT_SQL = """CASE WHEN l_orderkey % 11 = 0 THEN '{{"artist": "cut' WHEN l_orderkey % 13 = 0 THEN '{{"schema": {{"version": 3}}, "artist": "x"}}'
+  WHEN l_orderkey % 2 = 0 THEN '{{"artist": "' || s_name || '", "title": "' || p_name || '", "price": {{"low": ' || CAST(l_linenumber AS {0}) || '00, "high": "' || CAST(l_linenumber AS {0}) || '50", "currency": "GBP"}}, "comparables": [' || CAST(p_size AS {0}) || ', 2.5]}}'
+  ELSE '{{"schema": {{"version": 2}}, "attribution": {{"artist": {{"name": "' || s_name || '"}}, "hand": "after"}}, "work": {{"title": "' || p_name || '"}}, "estimate": [' || CAST(l_linenumber AS {0}) || ', ' || CAST(p_size AS {0}) || '.5], "currency": null, "comps": [{{"price": ' || CAST(p_size AS {0}) || ', "tier": 0}}, {{"price": 7, "tier": 2}}]}}' END"""
+
+
+@query("""WITH l AS (SELECT *, CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 3 WHEN l_orderkey % 2 = 0 THEN 1 ELSE 2 END AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
+SELECT l_orderkey AS sale, l_linenumber AS lot, CAST(v AS INTEGER) AS version, CASE WHEN v IN (1, 2) THEN s_name END AS artist, CASE WHEN v = 2 THEN 'after' END AS hand, CASE WHEN v IN (1, 2) THEN p_name END AS title, CASE v WHEN 1 THEN l_linenumber * 100.0 WHEN 2 THEN l_linenumber END::DOUBLE AS low,
+  CASE v WHEN 1 THEN l_linenumber * 100.0 + 50 WHEN 2 THEN p_size + 0.5 END::DOUBLE AS high, CASE WHEN v = 1 THEN 'GBP' END AS currency, CASE v WHEN 1 THEN p_size + 2.5 WHEN 2 THEN p_size + 7 END::DOUBLE AS comps_sum, CASE WHEN v = 2 THEN 2 END::INTEGER AS last_tier, CASE WHEN v IS NULL THEN 'not JSON' WHEN v = 3 THEN 'version 3' END AS unread FROM l""")
+def reports_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of two versions read into one schema, with a word on those that can't be."""
+    from lotwise.functions import reports
+
+    lots = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    told = lots.select(F.col("l_orderkey").alias("sale"), F.col("l_linenumber").alias("lot"), reports.read(F.expr(REPORT_SQL.format("STRING"))).alias("r")).select("sale", "lot", "r.*")
+    total = F.when(F.col("comps").isNotNull(), F.aggregate("comps", F.lit(0.0), lambda s, c: s + c["price"]))
+    return told.select("sale", "lot", "version", "artist", "hand", "title", "low", "high", "currency", total.alias("comps_sum"), F.try_element_at("comps", F.lit(-1))["tier"].alias("last_tier"), "unread")

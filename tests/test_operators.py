@@ -188,3 +188,18 @@ def test_edition_size_by_context(spark, given, want):
 
     assert one(spark, given, text.edition_size) == want
     assert duckdb.execute(f"SELECT {text.edition_size_sql('c')} FROM (SELECT ? AS c)", [given]).fetchone()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ('{"artist": "A", "price": {"low": 1, "high": "x"}, "comparables": [1, 2.5]}', (1, "A", None, None, 1.0, None, None, [(1.0, None), (2.5, None)], None)),
+        ('{"schema": {"version": 2}, "attribution": {"artist": {"name": "A"}, "hand": "after"}, "estimate": [1, 2], "comps": [{"price": 3, "tier": 1}]}', (2, "A", "after", None, 1.0, 2.0, None, [(3.0, 1)], None)),
+        ('{"schema": {"version": 9}, "artist": "A"}', (9, None, None, None, None, None, None, None, "version 9")), ("{", (None, None, None, None, None, None, None, None, "not JSON")), (None, (None, None, None, None, None, None, None, None, "no report")), ("[]", (1, None, None, None, None, None, None, None, None)),
+    ],
+)
+def test_reports_of_any_version(spark, given, want):
+    from lotwise.functions import reports
+
+    r = one(spark, given, reports.read)
+    assert (r.version, r.artist, r.hand, r.title, r.low, r.high, r.currency, [tuple(c) for c in r.comps] if r.comps is not None else None, r.unread) == want
