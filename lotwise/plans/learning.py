@@ -52,7 +52,7 @@ SELECT artist, """ + ", ".join(f"CAST(max(CASE WHEN l.label = '{t}' AND k.label
 def label_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Techniques of each artist as 0 and 1; techniques of fewer than five artists are left out."""
     seen = sales(spark, sf_dir).select("artist", "work").join(works(spark, sf_dir).select("work", "technique"), "work").select("artist", "technique").distinct()
-    kept = seen.withColumn("n", F.count("*").over(Window.partitionBy("technique")))
+    kept = seen.join(seen.groupBy("technique").agg(F.count("*").alias("n")), "technique")
     return kept.groupBy("artist").agg(*(F.max(F.when((F.col("technique") == t) & (F.col("n") >= 5), 1).otherwise(0)).alias(t.lower()) for t in TYPES))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lotwise.operators import cells, changes, estimates, joins, ranking
+from lotwise.operators import cells, changes, estimates, joins, ranges, ranking
 from lotwise.plans import Registry
 from lotwise.sources.tables import MONEY, artists, headers, sales, table, works
 
@@ -250,7 +250,10 @@ SELECT house, n, round(m, 6) AS median, round(greatest(0.15, 1.4826 * median(abs
 def median_mad_house(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median log estimate of each house and its robust spread, at least 0.15."""
     logs = headers(spark, sf_dir).where("estimate > 0").select("house", F.log(F.col("estimate").cast("double")).alias("x"))
-    return estimates.median_and_spread(logs, ["house"], "x", 0.15).select("house", "n", F.round("median", 6).alias("median"), F.round("spread", 6).alias("spread"))
+    mid = ranges.quantiles(logs, ["house"], "x", [0.5])
+    off = logs.join(mid, "house").select("house", F.abs(F.col("x") - F.col("q0")).alias("off"))
+    spread = ranges.quantiles(off, ["house"], "off", [0.5]).select("house", F.greatest(F.lit(0.15), 1.4826 * F.col("q0")).alias("spread"))
+    return mid.join(spread, "house").select("house", "n", F.round("q0", 6).alias("median"), F.round("spread", 6).alias("spread"))
 
 
 @query("""WITH r AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS rate FROM events GROUP BY 1, 2)
@@ -339,7 +342,7 @@ def relist_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_type AS technique, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1""")
 def spearman_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of price and size by technique, ties at their mean rank."""
-    ranks = works(spark, sf_dir).withColumns({"a": ranking.average_rank("list_price", ["technique"]), "b": ranking.average_rank("size", ["technique"])})
+    ranks = ranges.average_ranks(ranges.average_ranks(works(spark, sf_dir), ["technique"], "list_price", "a"), ["technique"], "size", "b")
     return ranks.groupBy("technique").agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 6).alias("spearman"))
 
 
@@ -347,7 +350,7 @@ def spearman_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_type AS technique, CAST(quartile AS INTEGER) AS quartile, count(*) AS n, round(avg(p_retailprice), 4) AS mean_price FROM q GROUP BY 1, 2""")
 def quartile_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean price by quartile of size within a technique."""
-    q = works(spark, sf_dir).withColumn("quartile", F.ntile(4).over(Window.partitionBy("technique").orderBy("size", "work")))
+    q = ranges.tiles(works(spark, sf_dir), ["technique"], ["size", "work"], 4, "quartile")
     return q.groupBy("technique", "quartile").agg(F.count("*").alias("n"), F.round(F.avg("list_price"), 4).alias("mean_price"))
 
 
