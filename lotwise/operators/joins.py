@@ -108,3 +108,21 @@ def within_one_edit(left: DataFrame, a: str, right: DataFrame, b: str, by: list[
     x, y = F.col(a), F.col(b)
     swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.lit(1)), F.substr(x, i, F.lit(1)), F.substr(x, i + 2)) == y)
     return pairs.where((F.levenshtein(x, y) <= 1) | ((F.length(x) == F.length(y)) & swapped))
+
+
+def within_edits(df: DataFrame, c: str, most: int) -> DataFrame:
+    """Pairs (a < b) of distinct texts of ``c`` that may be ``most`` edits apart or fewer, and are, if at all near; for a check to follow.
+
+    Texts meet over what is left of them without up to ``most`` letters.  Two texts at most so many edits apart (a letter
+    left out, put in, changed, or swapped with its neighbour) share such a rest, so none is missed; a text of n letters
+    has about n to the power ``most`` of them, so this is for names, not for sentences.
+    """
+    def without_one(v: Column) -> Column:
+        n = F.length(v)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))).otherwise(F.array(v))
+
+    texts = df.where(F.col(c).isNotNull()).select(F.col(c).alias("_t")).distinct().withColumn("_r", F.array("_t")).withColumn("_all", F.array("_t"))
+    for _ in range(most):
+        texts = texts.withColumn("_r", F.array_distinct(F.flatten(F.transform("_r", without_one)))).withColumn("_all", F.array_union("_all", "_r"))
+    rests = texts.select("_t", F.explode("_all").alias("_rest"))
+    return rests.withColumnRenamed("_t", "a").join(rests.withColumnRenamed("_t", "b"), "_rest").where("a < b").select("a", "b").distinct()

@@ -128,9 +128,7 @@ def typo_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles at most three edits apart, a swap of neighbours counting as one."""
     from lotwise.functions import strings
 
-    t = works(spark, sf_dir).select("title").distinct()
-    pairs = t.select(F.col("title").alias("a")).join(t.select(F.col("title").alias("b")), F.col("a") < F.col("b"))
-    near = pairs.where((F.abs(F.length("a") - F.length("b")) <= 3) & (F.levenshtein("a", "b", 6) >= 0))  # a swap is two plain edits
+    near = joins.within_edits(works(spark, sf_dir), "title", 3)
     return near.withColumn("edits", strings.typo_distance_of("a", "b")).where("edits <= 3")
 
 

@@ -31,3 +31,17 @@ def test_many_listed_runs_take_a_join(spark, monkeypatch):
     want = sorted(map(str, textual.leak_detect(spark, SF).collect()))
     monkeypatch.setattr(textual, "SENT", 3)
     assert want and sorted(map(str, textual.leak_detect(spark, SF).collect())) == want
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_texts_within_edits_are_all_found(spark, most):
+    from itertools import product
+
+    from lotwise.functions import strings
+    from lotwise.operators import joins
+
+    words = ["".join(p) for n in range(4) for p in product("ab", repeat=n)] + ["blue ring", "bleu ring", "blu rings", "red", None, "blue ring"]
+    got = {(r.a, r.b) for r in joins.within_edits(spark.createDataFrame([(w,) for w in words], "t string"), "t", most).collect()}
+    own = sorted({w for w in words if w is not None})
+    assert {(a, b) for a in own for b in own if a < b and strings.typo_distance(a, b) <= most} <= got
+    assert not any(a == "red" or b == "red" for a, b in got if len(a) + len(b) > 9)
