@@ -66,7 +66,8 @@ def style_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top(near.select(F.col("a").alias("vec_id"), F.col("b").alias("other"), "s"), ["vec_id"], [F.desc("s"), F.col("other")], 5).groupBy("vec_id").agg(F.round(F.max("s"), 6).alias("best"), F.round(F.avg("s"), 6).alias("mean_top"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a AS x, b AS y FROM p WHERE s >= {NEAR} UNION SELECT b, a FROM p WHERE s >= {NEAR}), reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y)
+SELECT x AS node, min(least(x, y)) AS component FROM reach GROUP BY x""")
 def likeness_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors of a class that are chained by likeness."""
     links = cells.within_groups(embedded(spark, sf_dir), "label", "vec_id", "e", cells.links_from(NEAR), "a long, b long")

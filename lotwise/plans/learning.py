@@ -28,7 +28,8 @@ def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lots.groupBy(fold_of("artist", 5).alias("fold")).agg(F.count("*").alias("rows"), F.count_distinct("artist").alias("artists"), F.round(F.avg((F.col("technique") == "PROMO").cast("double")), 6).alias("promo"))
 
 
-@query()
+@query("""WITH c AS (SELECT l_suppkey AS artist, p_type AS technique, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY technique) AS t FROM c),
+s AS (SELECT artist, arg_min(technique, (t, technique)) AS scarce, sum(n) AS n FROM t GROUP BY 1), p AS (SELECT artist, (row_number() OVER (PARTITION BY scarce ORDER BY n DESC, artist) - 1) % 10 AS turn FROM s) SELECT artist, CAST(least(turn, 9 - turn) AS INTEGER) AS fold FROM p""")
 def stratified_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artists in five folds such that each technique spreads evenly: the scarcest technique's artists are dealt first."""
     lots = sales(spark, sf_dir).join(works(spark, sf_dir).select("work", "technique"), "work").groupBy("artist", "technique").agg(F.count("*").alias("n"))
