@@ -274,11 +274,11 @@ def asof_prior_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof(days, prior, ["owner"], "offered", "since", ["before", "estimate_before"], strict=True).select("owner", F.col("offered").cast("string").alias("offered"), "before", "estimate_before")
 
 
-@query("""WITH s AS (SELECT year(o_orderdate) AS step, round(avg(o_totalprice), 4) AS level FROM orders WHERE year(o_orderdate) % 2 = 0 GROUP BY 1), y AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem)
+@query("""WITH s AS (SELECT year(o_orderdate) // 2 * 2 AS step, round(avg(o_totalprice), 4) AS level FROM orders GROUP BY 1), y AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem)
 SELECT CAST(y AS INTEGER) AS y, coalesce((SELECT arg_max(level, step) FROM s WHERE step <= y), (SELECT arg_min(level, step) FROM s)) AS level FROM y""")
 def step_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A level known for some years at every year: the latest at or before it, else the earliest."""
-    known = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("step")).agg(F.round(F.avg("o_totalprice"), 4).alias("level")).where("step % 2 = 0")
+    """A level known for every second year at every year: the latest at or before it, else the earliest."""
+    known = table(spark, sf_dir, "orders").groupBy((F.floor(F.year("o_orderdate") / 2) * 2).cast("int").alias("step")).agg(F.round(F.avg("o_totalprice"), 4).alias("level"))
     years = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y")).distinct()
     return joins.step_lookup(years, known, "y", "step", "level")
 

@@ -190,15 +190,17 @@ def comp_storability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("page_id", key.alias("key_kind"), reduce(Column.__and__, tests.values()).alias("storable"), F.concat_ws(",", *(F.when(~ok, r) for r, ok in tests.items())).alias("reasons"))
 
 
-@query("""WITH web AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '^[a-z]+://(www\\.)?', ''), '/$', '') AS k1, 'H' || CAST(page_id % 5 AS VARCHAR) || '|' || CAST(page_id % 50 AS VARCHAR) AS k2 FROM pages), graph AS (SELECT DISTINCT 'H' || CAST(l_suppkey % 5 AS VARCHAR) || '|' || CAST(l_orderkey % 97 AS VARCHAR) AS k FROM lineitem WHERE l_linenumber = 1 UNION SELECT k1 FROM web WHERE page_id % 10 = 0)
-SELECT page_id FROM web WHERE k1 NOT IN (SELECT k FROM graph) AND k2 NOT IN (SELECT k FROM graph)""")
+@query("""WITH web AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '^[a-z]+://(www\\.)?', ''), '/$', '') AS k1, 'H' || CAST(page_id % 5 AS VARCHAR) || '|' || CAST(page_id AS VARCHAR) || '-' || CAST(page_id % 7 + 1 AS VARCHAR) AS k2 FROM pages),
+graph AS (SELECT DISTINCT 'H' || CAST(l_suppkey % 5 AS VARCHAR) || '|' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS k FROM lineitem), first AS (SELECT k1, min(page_id) AS first FROM web GROUP BY 1)
+SELECT page_id FROM web LEFT JOIN first USING (k1) WHERE (k1 IS NULL OR first = page_id) AND k2 NOT IN (SELECT k FROM graph)""")
 def new_web_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales found on the web that no key, by address or by house and lot, ties to a stored one."""
-    pages = table(spark, sf_dir, "pages").select("page_id", text.url_key(F.col("url")).alias("k1"), F.concat(F.lit("H"), (F.col("page_id") % 5).cast("string"), F.lit("|"), (F.col("page_id") % 50).cast("string")).alias("k2"))
-    lots = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("H"), (F.col("l_suppkey") % 5).cast("string"), F.lit("|"), (F.col("l_orderkey") % 97).cast("string")).alias("k"))
-    stored = lots.unionByName(pages.where("page_id % 10 = 0").select(F.col("k1").alias("k"))).distinct()
-    known = pages.select("page_id", F.explode(F.array("k1", "k2")).alias("k")).join(stored, "k", "left_semi").select("page_id").distinct()
-    return pages.join(known, "page_id", "left_anti").select("page_id")
+    """Sales found on the web that no key ties to a stored one (house and lot) or to one found before (address)."""
+    key = F.concat(F.lit("H"), (F.col("page_id") % 5).cast("string"), F.lit("|"), F.col("page_id").cast("string"), F.lit("-"), (F.col("page_id") % 7 + 1).cast("string"))
+    pages = table(spark, sf_dir, "pages").select("page_id", text.url_key(F.col("url")).alias("k1"), key.alias("k"))
+    lots = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("H"), (F.col("l_suppkey") % 5).cast("string"), F.lit("|"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("k"))
+    first = pages.groupBy("k1").agg(F.min("page_id").alias("first"))
+    once = pages.join(first, "k1", "left").where("k1 IS NULL OR first = page_id")
+    return once.join(lots, "k", "left_anti").select("page_id")
 
 
 @query("""WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_name AS an, b.s_name AS bn, a.s_nationkey AS ua, b.s_nationkey AS ub FROM supplier a JOIN supplier b ON a.s_suppkey // 10 = b.s_suppkey // 10 AND a.s_suppkey < b.s_suppkey)
