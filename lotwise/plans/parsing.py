@@ -6,11 +6,11 @@ columns; the patterns are the same constants in the DataFrame plans and in the S
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import text
-from lotwise.functions.parse import ARTICLE, CITED, CONDITION, DEFECTS, MIXED, PAPERS, PREFIXES, QUOTES, ROMAN, bare_title, bare_title_sql, embedding_title, identity_key, mixed_fraction, several_works, several_works_sql, without_article
+from lotwise.functions.parse import ARTICLE, CITED, CONDITION, DEFECTS, MIXED, PAPERS, PREFIXES, QUOTES, bare_title, bare_title_sql, embedding_title, identity_key, mixed_fraction, several_works, several_works_sql, without_article
 from lotwise.plans import Registry
 from lotwise.plans.textual import KEYED
 from lotwise.sources.tables import table

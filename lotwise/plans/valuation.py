@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lotwise.functions import numbers
 from lotwise.operators import estimates
 from lotwise.plans import Registry
-from lotwise.plans.market import HEADERS, SALES, probes_of
+from lotwise.plans.market import HEADERS, SALES
 from lotwise.plans.pricing import LOGS, logs
 from lotwise.sources.tables import headers, sales, table, works
 
