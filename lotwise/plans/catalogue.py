@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import text
 from lotwise.functions.parse import ARTICLE, bare_title, identity_key, without_article
 from lotwise.operators import ranking
+from lotwise.operators.durable import checkpoint_dir
 from lotwise.plans import Registry
 from lotwise.plans.market import SALES
 from lotwise.plans.parsing import KEY_SQL, LISTED, NO_SERIES_SQL, extracted, listed
 from lotwise.plans.textual import KEYED
+from lotwise.sources import sinks
 from lotwise.sources.tables import sales, table, works
 
 REGISTRY = Registry()
@@ -225,3 +229,14 @@ def misspelt_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, names = lots.select(identity_key(F.col("title")).alias("key")).distinct(), lots.select(text.title_key(F.col("name")).alias("name_key")).distinct()
     near = within_one_edit(asked, "key", names, "name_key", [])
     return near.where("key <> name_key AND size(split(key, ' ')) = size(split(name_key, ' '))").where(~F.concat("key", "name_key").rlike("[0-9]"))
+
+
+@query("""SELECT p_partkey AS work, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 5 = 0 THEN '' ELSE p_name || ', "' || p_type || '"' || chr(10) || p_brand END AS title, p_size AS size, p_retailprice AS list_price, CASE WHEN p_size % 3 = 0 THEN p_brand || ';' || p_type ELSE p_brand END AS papers FROM part""")
+def exported_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works written as CSV, quotes, line ends, nulls and lists and all, and read back."""
+    title = F.when(F.col("size") % 7 == 0, None).when(F.col("size") % 5 == 0, "").otherwise(F.concat("title", F.lit(', "'), "technique", F.lit('"\n'), "series"))
+    papers = F.when(F.col("size") % 3 == 0, F.array("series", "technique")).otherwise(F.array("series"))
+    rows = works(spark, sf_dir).select("work", title.alias("title"), "size", "list_price", papers.alias("papers"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/works-{uuid.uuid4().hex}"
+    sinks.write_csv(rows, path)
+    return sinks.read_csv(spark, path, rows.schema).withColumn("papers", F.array_join("papers", ";"))

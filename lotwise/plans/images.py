@@ -6,11 +6,15 @@ by 20, against all images.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.operators.durable import checkpoint_dir
 from lotwise.operators.inverted import InvertedFile, fused, recall
 from lotwise.plans import Registry
+from lotwise.sources import sinks
 from lotwise.sources.tables import table
 
 REGISTRY = Registry()
@@ -52,3 +56,12 @@ def image_match_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = recall(fast, exact).select(F.lit(m).alias("model"), F.lit(len(index.centroids)).alias("lists"), F.lit(probes).alias("probed"), "queries", "neighbours", F.round("recall", 6).alias("recall"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("""SELECT vec_id, label, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))), 5) AS total FROM embeddings WHERE embedding IS NOT NULL""")
+def exported_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as matrices for training elsewhere, and what reading them back gives."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    sinks.write_npz(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "embedding", path)
+    found = sinks.read_npz(spark, path, "embedding", "vec_id long, label int, embedding array<double>")
+    return found.select("vec_id", "label", F.size("embedding").cast("long").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))

@@ -6,14 +6,18 @@ the artist's other lots; only sales of the same work are paired.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import numbers
-from lotwise.operators import estimates
+from lotwise.operators import estimates, ranges
+from lotwise.operators.durable import checkpoint_dir
 from lotwise.plans import Registry
 from lotwise.plans.market import HEADERS, SALES
 from lotwise.plans.pricing import LOGS, logs
+from lotwise.sources import sinks
 from lotwise.sources.tables import headers, sales, table, works
 
 REGISTRY = Registry()
@@ -203,6 +207,21 @@ def witness_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return off.groupBy("source", "key").agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("bias"), F.round(F.coalesce(F.stddev_samp("e"), F.lit(0.0)), 6).alias("sigma"), F.round(F.avg(F.abs("e")), 6).alias("mae"))
 
 
+@query(f"""WITH {WITNESSES}, e AS (SELECT r.source, p.y - r.mu AS e FROM raw r JOIN probes p USING (work)), b AS (SELECT source, median(e) AS bias, count(*) AS n FROM e GROUP BY 1)
+SELECT 'v1' AS version, source, 'all' AS key, round(bias, 6) AS bias, round(1.4826 * median(abs(e - bias)), 6) AS sigma, n FROM e JOIN b USING (source) GROUP BY source, bias, n""")
+def stored_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bias and robust spread of each source on the probes, written as a calibration document and read back."""
+    truth = latest(priced(spark, sf_dir)).select("work", "y")
+    off = raw_witnesses(spark, sf_dir).join(truth, "work").select("source", (F.col("y") - F.col("mu")).alias("e"))
+    bias = ranges.quantiles(off, ["source"], "e", [0.5]).select("source", "n", F.col("q0").alias("bias"))
+    spread = ranges.quantiles(off.join(bias, "source").select("source", F.abs(F.col("e") - F.col("bias")).alias("a")), ["source"], "a", [0.5]).select("source", (1.4826 * F.col("q0")).alias("sigma"))
+    fitted = bias.join(spread, "source").select("source", F.lit("all").alias("key"), "bias", "sigma", "n")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/calibration-{uuid.uuid4().hex}"
+    sinks.write_calibration(fitted, path, "v1")
+    found = sinks.read_calibration(spark, path)
+    return found.select("version", "source", "key", F.round("bias", 6).alias("bias"), F.round("sigma", 6).alias("sigma"), "n")
+
+
 SOURCES = ("same_work", "artist_technique", "artist", "technique", "estimate", "same_house")
 
 

@@ -63,7 +63,7 @@ def triples(spark: SparkSession, path: str) -> DataFrame:
 
 def rates(spark: SparkSession, path: str) -> DataFrame:
     """(day, currency, rate) of a JSON document ``{day: {currency: rate}}``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     days = text.select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("day", "by"))
     return days.select(F.col("day").cast("date").alias("day"), F.explode("by").alias("currency", "rate"))
 
