@@ -26,3 +26,7 @@ def test_misspelt_titles_of_many_artists_are_looked_for_once(spark, repeated, mo
     once, more = (QUERIES["work_identity"](spark, folder) for folder in (SF, repeated))
     assert asked[1] == asked[0]
     assert more.count() == TIMES * once.count() and more.where("basis = 'typo_title'").count() == TIMES * once.where("basis = 'typo_title'").count() > 0
+
+
+def test_descriptions_of_one_file_are_read_by_many_tasks(spark):
+    assert QUERIES["catalogue_works"](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
