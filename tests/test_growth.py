@@ -30,3 +30,20 @@ def test_misspelt_titles_of_many_artists_are_looked_for_once(spark, repeated, mo
 
 def test_descriptions_of_one_file_are_read_by_many_tasks(spark):
     assert QUERIES["catalogue_works"](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize(("block", "wide"), [(4, 3), (4_096, 4_096)])
+def test_similar_nodes_in_cells(spark, monkeypatch, block, wide):
+    from lotwise.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph, "WIDE", wide)
+    sets = {n: {f"f{(n % 20) * p % 31}" for p in range(1, 3 + n % 5)} for n in range(60)}  # copies, small sets, ties
+    edges = spark.createDataFrame([(n, f) for n, s in sets.items() for f in s] + [(1, None)], "n long, f string")
+    sizes = {n: len(s) + (n == 1) for n, s in sets.items()}
+    want = []
+    for a in sets:
+        near = sorted((-(both / (sizes[a] + sizes[b] - both)), b) for b in sets if b != a and sizes[a] >= 3 <= sizes[b] and (both := len(sets[a] & sets[b])))
+        want += [(a, b, i, round(-s, 9)) for i, (s, b) in enumerate(near[:5], 1)]
+    found = graph.similar_nodes(edges, "n", "f", 3, 5)
+    assert want and sorted((r.a, r.b, r["rank"], round(r.similarity, 9)) for r in found.collect()) == sorted(want)
