@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.operators.durable import durable
 from lotwise.operators.graph import least_reachable
 
 
@@ -47,20 +48,32 @@ def pair_verdicts(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     return both.withColumn("verdict", verdict).select(*pairs.columns, "verdict")
 
 
-def held(pairs: DataFrame, rejected: DataFrame, years: DataFrame, spread: int) -> DataFrame:
+def held(pairs: DataFrame, rejected: DataFrame, years: DataFrame, spread: int, members: DataFrame | None = None) -> DataFrame:
     """(node, cluster, size, confidence, reason): clusters of the pairs that aren't rejected, and why one is held, null if it isn't.
 
     A cluster goes by its least node and is as sure as its least sure pair.  It is held if a rejected pair lies within it,
     chained together by others, else if its years lie further apart than ``spread``.  Pairs (a, b, confidence) and rejected
     pairs (a, b) may come either way round and more than once; nulls take no part, nor do years of zero.
+    With ``members`` (rep, node) pairs are of classes by their least node, a class with itself for those within, and each
+    stands for all pairs of nodes that it would make.
     """
-    ordered = lambda df: df.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+    ordered = lambda df: df.where("a IS NOT NULL AND b IS NOT NULL" + ("" if members is not None else " AND a <> b")).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
     no = ordered(rejected.select("a", "b")).distinct()
     kept = ordered(pairs.select("a", "b", "confidence")).join(no, ["a", "b"], "left_anti")
     found = least_reachable(kept.select("a", "b")).withColumnRenamed("component", "cluster")
+    if members is not None:
+        alone = kept.where("a = b").select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti")
+        found = durable(found.unionByName(alone.select("node", F.col("node").alias("cluster"))))
     of = lambda c: found.select(F.col("node").alias(c), F.col("cluster").alias(f"_{c}"))
     sure = kept.join(of("a"), "a").groupBy(F.col("_a").alias("cluster")).agg(F.min("confidence").alias("confidence"))
-    broken = no.join(of("a"), "a").join(of("b"), "b").where("_a = _b").groupBy(F.col("_a").alias("cluster")).agg(F.count("*").alias("_broken"))
+    within = no.join(of("a"), "a").join(of("b"), "b").where("_a = _b")
+    made = F.lit(1)
+    if members is not None:
+        sizes = members.groupBy("rep").agg(F.count("*").alias("_n"))
+        within = within.join(sizes.select(F.col("rep").alias("a"), F.col("_n").alias("_na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("_n").alias("_nb")), "b")
+        made = F.when(F.col("a") == F.col("b"), F.expr("_na * (_na - 1) div 2")).otherwise(F.col("_na") * F.col("_nb"))
+        found = members.join(found.withColumnRenamed("node", "rep"), "rep").select("node", "cluster")
+    broken = within.groupBy(F.col("_a").alias("cluster")).agg(F.sum(made).alias("_broken"))
     dated = found.join(years.where("year <> 0"), "node", "left").groupBy("cluster").agg(F.count_distinct("node").alias("size"), F.min("year").alias("_first"), F.max("year").alias("_last"))
     wide = F.col("_last") - F.col("_first") > spread
     reason = F.when(F.col("_broken") > 0, F.concat(F.col("_broken").cast("string"), F.lit(" rejected within"))).when(wide, F.concat(F.lit("years "), F.col("_first").cast("string"), F.lit(" to "), F.col("_last").cast("string")))
