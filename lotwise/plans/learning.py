@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import boosting, learn, ridges
+from lotwise.operators import boosting, joins, learn, ridges
 from lotwise.plans import Registry
 from lotwise.plans.pricing import LOGS, logs
 from lotwise.sources.tables import sales, table, works
@@ -216,11 +216,11 @@ cat AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p
 SELECT a, b, 1 AS label, 'same' AS kind FROM same UNION ALL SELECT a, b, 0, 'catalogue' FROM cat""")
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs to learn identity from: alike in title, catalogue and size, or in title and catalogue only."""
-    p = works(spark, sf_dir).select("work", "title", "series", "size")
+    p, members = joins.classes(works(spark, sf_dir).select("work", "title", "series", "size").dropna(), "work", ["title", "series", "size"])
     a, b = p.select(F.col("work").alias("a"), "title", "series", F.col("size").alias("x")), p.select(F.col("work").alias("b"), "title", "series", F.col("size").alias("y"))
-    pairs = a.join(b, ["title", "series"]).where("a < b")
     same = F.col("x") == F.col("y")
-    return pairs.select("a", "b", same.cast("int").alias("label"), F.when(same, "same").otherwise("catalogue").alias("kind"))
+    pairs = a.join(b, ["title", "series"]).where("a <= b").select("a", "b", same.cast("int").alias("label"), F.when(same, "same").otherwise("catalogue").alias("kind"))
+    return joins.expanded(pairs, members)
 
 
 @query("""WITH s AS (SELECT DISTINCT l_suppkey AS artist, CAST(year(l_shipdate) // 5 * 5 AS INTEGER) AS period FROM lineitem) SELECT 'period' AS kind, CAST(period AS VARCHAR) AS node, count(*) AS edges FROM s GROUP BY 2
