@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from lotwise.operators.cells import matrix
 from lotwise.operators.durable import durable
 
-#: Rows that centroids are fitted on at most, the most lists, rings a radian, rows and queries of a cell.
-SAMPLE, LISTS, RINGS, CELL, BATCH = 20_000, 2_048, 32, 2_048, 4_096
-#: Slack of bounds, above the rounding of cosines.
-SLACK = 1e-6
+#: Rows that centroids are fitted on at most, the most lists, rings a radian, rows of a part, rows of a unit and queries that are scored at once.
+SAMPLE, LISTS, RINGS, CELL, UNIT, BATCH = 20_000, 2_048, 32, 2_048, 8_192, 4_096
+#: Slack of bounds, above the rounding of cosines; of cosines rounded to nine places.
+SLACK, PLACES = 1e-6, 2e-9
 
 
 def whole(vectors: DataFrame, key: str, vector: str, width: int) -> DataFrame:
@@ -52,9 +52,26 @@ def _angles(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ c.T, -1.0, 1.0))
 
 
+def units(rows: np.ndarray, parts: np.ndarray, near: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first unit of each ring, how many it has, and the parts of a unit: rings that follow each other share a unit of up to ``UNIT`` rows, unless ``near`` tells them apart, and a ring of several parts has units of its own."""
+    per = max(1, UNIT // cell)
+    first, times = np.zeros(len(rows), np.int64), np.maximum(1, -(-parts // per))
+    unit, held = -1, 0
+    for i in range(len(rows)):
+        alone = parts[i] > 1
+        if i == 0 or alone or parts[i - 1] > 1 or near[i] != near[i - 1] or held + rows[i] > UNIT:
+            unit, held = (unit + 1 if i == 0 else int(first[i - 1] + times[i - 1])), 0
+        first[i], held = unit, held + rows[i]
+    return first, times, per
+
+
 @dataclass
 class InvertedFile:
-    """Vectors in cells (list, ring, part); ``sizes`` has the parts of each ring, at most ``LISTS`` times pi times ``RINGS`` rows."""
+    """Vectors in cells (list, ring, part); ``sizes`` has the parts, rows, first unit and units of each ring, at most ``LISTS`` times pi times ``RINGS`` rows in the order of units.
+
+    A unit is what a query is sent to: rings of lists near each other, so queries are handed out by thousands of vectors,
+    not by ring; which of a unit's lists count for a query is told where they are scored.
+    """
 
     cells: DataFrame
     centroids: np.ndarray
@@ -85,59 +102,83 @@ class InvertedFile:
 
         kind = rows.schema["key"].dataType.simpleString()
         placed = durable(rows.mapInArrow(place, f"key {kind}, v array<double>, list int, ring int"))
-        sizes = placed.groupBy("list", "ring").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
-        cells = placed.join(F.broadcast(sizes), ["list", "ring"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
+        sizes = placed.groupBy("list", "ring").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"), F.count("*").cast("int").alias("rows"))
         table = sizes.orderBy("list", "ring").toArrow()
-        return InvertedFile(cells, c, np.stack([table.column(n).to_numpy() for n in ("list", "ring", "parts")], axis=1), width)
+        own, ring, parts, held_rows = (table.column(n).to_numpy().astype(np.int64) for n in ("list", "ring", "parts", "rows"))
+        wide = min(len(c), max(1, int(count // UNIT)))
+        near = (c @ centroids_of(c, wide).T).argmax(axis=1) if len(own) else np.zeros(len(c), int)
+        order = np.lexsort((ring, own, near[own]))
+        own, ring, parts, held_rows = own[order], ring[order], parts[order], held_rows[order]
+        first, times, per = units(held_rows, parts, near[own], cell)
+        where = rows.sparkSession.createDataFrame(pa.table({"list": own.astype(np.int32), "ring": ring.astype(np.int32), "parts": parts.astype(np.int32), "_first": first}))
+        cells = placed.join(F.broadcast(where), ["list", "ring"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        cells = cells.withColumn("unit", (F.col("_first") + F.floor(F.col("part") / per)).cast("int")).drop("parts", "_first")
+        return InvertedFile(cells, c, np.stack([own, ring, parts, held_rows, first, times], axis=1), width)
 
     def _asked(self, queries: DataFrame, probes: int, rest: bool) -> DataFrame:
-        """(query, v, list, ring, part) that each query reads: the ``probes`` nearest lists, or, for ``rest``, all rings beyond them whose bound is within the angle ``most``."""
+        """(query, v, unit, least, reach) of the units that each query reads: those of the ``probes`` nearest lists, which are as near as ``reach``, or, for ``rest``, of all rings beyond them whose bound is within the angle ``most``."""
         held = queries.sparkSession.sparkContext.broadcast((self.centroids, self.sizes))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, sizes = held.value
-            own, ring, parts = sizes[:, 0], sizes[:, 1], sizes[:, 2]
+            own, ring, first, times = sizes[:, 0], sizes[:, 1], sizes[:, 4], sizes[:, 5]
+            starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.zeros(0, int)
             for whole_batch in batches:
-                for lo in range(0, whole_batch.num_rows, 256):
+                for lo in range(0, whole_batch.num_rows if len(starts) else 0, 256):
                     b = whole_batch.slice(lo, 256)
                     a = _angles(matrix(b.column("v")), c)
                     near = np.argsort(np.argsort(a, axis=1, kind="stable"), axis=1, kind="stable") < probes
-                    there = near[:, own]
+                    there, reach = near[:, own], np.where(near, a, 0).max(axis=1) + PLACES
                     if rest:
                         gap = np.maximum(a[:, own] - (ring + 1) / RINGS, ring / RINGS - a[:, own])
-                        there = ~there & (gap <= b.column("most").to_numpy()[:, None] + SLACK)
-                    q, at = np.nonzero(there)
-                    times = parts[at]
-                    q, at = np.repeat(q, times), np.repeat(at, times)
-                    part = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                    yield pa.RecordBatch.from_arrays([b.column("query").take(pa.array(q)), b.column("v").take(pa.array(q)), pa.array(own[at].astype(np.int32)), pa.array(ring[at].astype(np.int32)), pa.array(part.astype(np.int32))], ["query", "v", "list", "ring", "part"])
+                        there, reach = ~there & (gap <= b.column("most").to_numpy()[:, None] + SLACK), np.full(len(a), 4.0)
+                    q, at = np.nonzero(np.logical_or.reduceat(there, starts, axis=1))
+                    many = times[starts[at]]
+                    q, at = np.repeat(q, many), np.repeat(first[starts[at]], many)
+                    at += np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                    taken = b.take(pa.array(q))
+                    yield pa.RecordBatch.from_arrays([taken.column("query"), taken.column("v"), pa.array(at.astype(np.int32)), taken.column("least"), pa.array(reach[q])], ["query", "v", "unit", "least", "reach"])
 
         kind = queries.schema["query"].dataType.simpleString()
-        return queries.mapInArrow(run, f"query {kind}, v array<double>, list int, ring int, part int")
+        return queries.mapInArrow(run, f"query {kind}, v array<double>, unit int, least double, reach double")
 
     def _found(self, asked: DataFrame, k: int) -> DataFrame:
-        """(query, key, s): the ``k`` best of every cell asked; a cell asked by many is handed out once for each batch of queries."""
-        own = ["list", "ring", "part"]
-        batches = asked.groupBy(*own).agg(F.ceil(F.count("*") / BATCH).cast("int").alias("_n"))
-        left = asked.join(batches, own).withColumn("_b", F.pmod(F.xxhash64("query"), F.col("_n")).cast("int")).drop("_n")
-        right = self.cells.join(batches, own).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        """(query, key, s): the ``k`` best of every unit asked that are as good as ``least``; a unit asked by many is handed out once for each batch of queries."""
+        batches = asked.groupBy("unit").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("_n"))
+        left = asked.join(batches, "unit").withColumn("_b", F.pmod(F.xxhash64("query"), F.col("_n")).cast("int")).drop("_n")
+        right = self.cells.select("key", "v", "list", "unit").join(batches, "unit").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        held, width = asked.sparkSession.sparkContext.broadcast(self.centroids), self.width
 
         def best(q: pa.Table, x: pa.Table) -> pa.Table:
-            out = {"query": q.column("query").slice(0, 0), "key": x.column("key").slice(0, 0), "s": pa.array([], pa.float64())}
-            if q.num_rows and x.num_rows:
-                x = x.take(pa.compute.sort_indices(x, [("key", "ascending")]))
-                s = np.round(matrix(q.column("v")) @ matrix(x.column("v")).T, 9)
-                ids = np.array(q.column("query").to_pylist(), object)[:, None] == np.array(x.column("key").to_pylist(), object)[None]
-                s[ids] = -np.inf  # a query isn't its own answer
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(s)), top.shape[1])
-                values = s[rows, top.ravel()]
-                real = np.isfinite(values)
-                out = {"query": q.column("query").take(pa.array(rows[real])), "key": x.column("key").take(pa.array(top.ravel()[real])), "s": pa.array(values[real])}
-            return pa.table(out)
+            out = [pa.table({"query": q.column("query").slice(0, 0), "key": x.column("key").slice(0, 0), "s": pa.array([], pa.float64())})]
+            x = x.take(pa.compute.sort_indices(x, [("key", "ascending")]))
+            vectors, (lists, of) = matrix(x.column("v")).reshape(-1, width), np.unique(x.column("list").to_numpy(), return_inverse=True)
+            keys = x.column("key").combine_chunks()
+            codes = pa.compute.index_in(keys, value_set=keys.unique()).to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0, int)
+            for lo in range(0, q.num_rows if x.num_rows else 0, 256):
+                b = q.slice(lo, 256)
+                v = matrix(b.column("v"))
+                s = v @ vectors.T
+                reach = b.column("reach").to_numpy()
+                if (reach < 4).any():
+                    s[~(_angles(v, held.value[lists]) <= reach[:, None])[:, of]] = -np.inf
+                mine = pa.compute.index_in(b.column("query"), value_set=keys.unique()).fill_null(-1).to_numpy()
+                for i in np.flatnonzero(mine >= 0):
+                    s[i, np.searchsorted(codes, mine[i]) : np.searchsorted(codes, mine[i], side="right")] = -np.inf  # a query isn't its own answer
+                least = b.column("least").to_numpy()
+                bar = least - PLACES
+                if s.shape[1] > k and (s >= bar[:, None]).sum() > 2 * k * len(s):
+                    bar = np.maximum(bar, np.partition(s, -k, axis=1)[:, -k] - PLACES)
+                rows, at = np.nonzero((s >= bar[:, None]) & np.isfinite(s))
+                values = np.round(s[rows, at], 9)
+                order = np.lexsort((at, -values, rows))
+                rows, at, values = rows[order], at[order], values[order]
+                kept = (np.arange(len(rows)) - np.searchsorted(rows, rows) < k) & (values >= least[rows])
+                out.append(pa.table({"query": b.column("query").take(pa.array(rows[kept])), "key": keys.take(pa.array(at[kept])), "s": pa.array(values[kept])}))
+            return pa.concat_tables(out)
 
         query, key = (df.schema[c].dataType.simpleString() for df, c in ((asked, "query"), (self.cells, "key")))
-        return left.groupBy(*own, "_b").cogroup(right.groupBy(*own, "_b")).applyInArrow(best, f"query {query}, key {key}, s double")
+        return left.groupBy("unit", "_b").cogroup(right.groupBy("unit", "_b")).applyInArrow(best, f"query {query}, key {key}, s double")
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int, probes: int = 8, exact: bool = True) -> DataFrame:
         """(query, key, s, rank): the ``k`` vectors of greatest cosine (to nine places) with each query but itself, ties to the smaller key.
@@ -145,15 +186,15 @@ class InvertedFile:
         The nearest ``probes`` lists are read first.  If ``exact``, so is every ring elsewhere that could hold a vector as
         good as the ``k``-th found; a query that has found fewer reads all of them.
         """
-        asking = whole(queries, key, vector, self.width).withColumnRenamed("key", "query")
-        first = durable(_top(self._found(self._asked(asking, probes, False), k), k))
+        asking = whole(queries, key, vector, self.width).withColumnRenamed("key", "query").repartition(queries.sparkSession.sparkContext.defaultParallelism)
+        first = durable(_top(self._found(self._asked(asking.select("query", "v", F.lit(-2.0).alias("least")), probes, False), k), k))
         if not exact:
             return first
-        reach = first.groupBy("query").agg(F.count("*").alias("n"), F.acos(F.least(F.greatest(F.min("s"), F.lit(-1.0)), F.lit(1.0))).alias("far"))
-        bounded = asking.join(reach, "query", "left").select("query", "v", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(4.0)).alias("most"))
+        reach = first.groupBy("query").agg(F.count("*").alias("n"), F.min("s").alias("s"))
+        full, far = F.col("n") >= k, F.acos(F.least(F.greatest("s", F.lit(-1.0)), F.lit(1.0)))
+        bounded = asking.join(reach, "query", "left").select("query", "v", F.when(full, far).otherwise(F.lit(4.0)).alias("most"), F.when(full, F.col("s")).otherwise(F.lit(-2.0)).alias("least"))
         rest = self._found(self._asked(bounded, probes, True), k)
-        return _top(first.drop("rank").unionByName(rest), k)
-
+        return _top(first.drop("rank").unionByName(rest).groupBy("query", "key").agg(F.max("s").alias("s")), k)
 
     def probes_for(self, queries: DataFrame, key: str, vector: str, k: int, share: float, sample: int = 200) -> int:
         """How many lists hold ``share`` of the true ``k`` nearest, by the exact answers of the ``sample`` queries of least key hash."""

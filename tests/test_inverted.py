@@ -72,3 +72,12 @@ def test_fused_rankings(spark):
     a = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.5, 2)], "query long, key long, s double, rank int")
     b = spark.createDataFrame([(1, 11, 0.4, 1), (1, 12, 0.95, 2), (1, 9, 0.9, 3)], "query long, key long, s double, rank int")
     assert [(r.key, r["rank"]) for r in fused(a, b, 3).orderBy("rank").collect()] == [(11, 1), (12, 2), (9, 3)]
+
+
+def test_queries_are_sent_to_units_not_rings(spark):
+    """Vectors without order ask nearly all rings; what is handed out grows with units of thousands of vectors."""
+    rng = np.random.default_rng(5)
+    data = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "id long, e array<double>")
+    index = InvertedFile.fit(data, "id", "e", 8)
+    asked = inverted.whole(data.where("id % 20 = 0"), "id", "e", 8).selectExpr("key AS query", "v", "4.0D AS most", "-2.0D AS least")
+    assert len(index.sizes) > 30 and index._asked(asked, 2, True).count() == 30 and index.cells.select("unit").distinct().count() == 1
