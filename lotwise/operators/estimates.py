@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,22 +78,36 @@ def blend(witnesses: DataFrame, key: str, temperature: float = 1.0, freedom: flo
     """
     w = F.col("weight")
     mid = witnesses.groupBy(key).agg(F.collect_list(F.struct("mu", "sigma", "weight")).alias("all"), (F.sum(w * F.col("mu")) / F.sum(w)).alias("mean"), F.count("*").alias("n"), F.sqrt(F.sum(w * F.col("mu") ** 2) / F.sum(w) - (F.sum(w * F.col("mu")) / F.sum(w)) ** 2).alias("apart"), (F.sum(w * F.col("sigma")) / F.sum(w)).alias("own"))
-    step = 2 * REACH / (GRID - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: F.col("mean") - REACH + i * step)
-    density = lambda x: F.aggregate("all", F.lit(0.0), lambda s, v: s - v["weight"] * (F.log(v["sigma"]) + (freedom + 1) / 2 * F.log(1 + ((x - v["mu"]) / v["sigma"]) ** 2 / freedom)))
-    logs = mid.withColumn("logs", F.transform(grid, lambda x: density(x) / temperature))
-    dens = logs.withColumn("dens", F.transform("logs", lambda v: F.exp(v - F.array_max("logs"))))
-    total = F.aggregate("dens", F.lit(0.0), lambda s, v: s + v)
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("i"), *(F.lit(None).cast("double").alias(q) for q in ("p10", "median", "p90")))
-
-    def walk(s: Column, v: Column) -> Column:
-        cum = s["cum"] + v
-        edge = F.col("mean") - REACH + (s["i"] + 0.5) * step
-        read = lambda q: F.when((cum >= q * F.col("total")) & (s["cum"] < q * F.col("total")), edge - step * (cum - q * F.col("total")) / v)
-        return F.struct(cum.alias("cum"), (s["i"] + 1).alias("i"), *(F.coalesce(s[n], read(q)).alias(n) for n, q in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))))
-
-    got = dens.withColumn("total", total).withColumn("at", F.aggregate("dens", start, walk))
-    return got.select(key, "n", *(F.exp(F.col("at")[q]).alias(q) for q in ("median", "p10", "p90")), (F.coalesce("apart", F.lit(0.0)) / F.col("own")).alias("divergence"))
+    step, shares = 2 * REACH / (GRID - 1), (0.5, 0.1, 0.9)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1_024):
+                b = whole.slice(lo, 1_024)
+                lists, mean = b.column("all"), b.column("mean").cast(pa.float64()).to_numpy(zero_copy_only=False)
+                mu, sigma, weight = (lists.flatten().field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("mu", "sigma", "weight"))
+                counts = lists.value_lengths().to_numpy()
+                starts = np.cumsum(counts) - counts
+                x = mean[:, None] - REACH + np.arange(GRID) * step
+                logs = np.zeros_like(x)
+                for j in range(counts.max()):
+                    has = np.flatnonzero(counts > j)
+                    m, g, v = (c[starts[has] + j][:, None] for c in (mu, sigma, weight))
+                    logs[has] -= v * (np.log(g) + (freedom + 1) / 2 * np.log(1 + ((x[has] - m) / g) ** 2 / freedom))
+                logs /= temperature
+                dens = np.exp(logs - logs.max(axis=1, keepdims=True))
+                cum, found = dens.cumsum(axis=1), []
+                for q in shares:
+                    goal = q * cum[:, -1:]
+                    at = (cum >= goal).argmax(axis=1)
+                    each = np.arange(len(at))
+                    found.append(mean - REACH + (at + 0.5) * step - step * (cum[each, at] - goal[:, 0]) / dens[each, at])
+                kept = [b.column(c) for c in (key, "n", "apart", "own")]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.exp(f), from_pandas=True) for f in found)], [key, "n", "apart", "own", "median", "p10", "p90"])
+
+    kind = mid.schema[key].dataType.simpleString()
+    got = mid.mapInArrow(read, f"{key} {kind}, n long, apart double, own double, median double, p10 double, p90 double")
+    return got.select(key, "n", "median", "p10", "p90", (F.coalesce("apart", F.lit(0.0)) / F.col("own")).alias("divergence"))
 
 
 def ranked_area(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.operators import estimates, joins
 from lotwise.plans import Registry
-from lotwise.plans.market import COMPS, HEADERS, SALES, YEARS, comparables, probes_of
+from lotwise.plans.market import COMPS, HEADERS, SALES, YEARS, beside_artist, probes_of
 from lotwise.sources.tables import headers, sales, table, works
 
 REGISTRY = Registry()
@@ -65,8 +66,19 @@ q AS (SELECT probe, {', '.join(f"exp(min(mean - 4 + (i + 0.5::DOUBLE) * (8.0::DO
 @query(f"WITH {BLENDED.removeprefix('WITH ')} SELECT probe, n, round(median, 4) AS median, round(p10, 4) AS p10, round(p90, 4) AS p90, round(coalesce(apart, 0) / own, 4) AS divergence FROM m JOIN q USING (probe)")
 def blended_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price with its range for each work, from its own, its artist's and its technique's earlier sales."""
-    lots = comparables(spark, sf_dir).withColumn("y", F.log(F.col("hammer").cast("double")))
-    by = lots.groupBy("probe", "tier").agg(estimates.median("y").alias("mu"), F.stddev_samp("y").alias("sd"), F.count("*").alias("n"))
+
+    def rows(p: dict[str, np.ndarray], i: int, own: tuple, others: tuple) -> list[tuple]:
+        (_, h0), (_, h, same, _) = own, others
+        out = []
+        for tier, prices in enumerate((h0, h[same], h[~same])):
+            if len(prices):
+                y = np.log(prices[prices > 0])
+                out.append((p["probe"][i], tier, float(np.median(y)) if len(y) else None, float(y.std(ddof=1)) if len(y) > 1 else None, len(prices)))
+        return out
+
+    small, large = beside_artist(spark, sf_dir, rows, "probe long, tier int, mu double, sd double, n long")
+    y = F.log(F.col("hammer").cast("double"))
+    by = small.unionByName(large.groupBy("probe", "tier").agg(estimates.median(y).alias("mu"), F.stddev_samp(y).alias("sd"), F.count("*").alias("n")))
     witnesses = by.select("probe", "mu", F.greatest(F.lit(0.2), F.coalesce("sd", F.lit(0.8)) / F.sqrt("n")).alias("sigma"), F.element_at(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.25)), F.col("tier") + 1).alias("weight"))
     return estimates.blend(witnesses, "probe").select("probe", "n", *(F.round(c, 4).alias(c) for c in ("median", "p10", "p90", "divergence")))
 

@@ -93,3 +93,13 @@ def test_pairs_of_copies_are_made_last(spark, repeated, monkeypatch, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW part AS SELECT * FROM '{repeated}/part.parquet/*.parquet'")
     assert sorted(map(tuple, found.collect())) == sorted(db.execute(f"SELECT {", ".join(PAIR.get(name, "a b".split()))} FROM ({SQL[name]})").fetchall())
+
+
+def test_prices_blend_what_an_artist_sold_without_pairs_of_lots(spark, monkeypatch):
+    """No row for each probe and lot is made but for the probes that arrays can't take."""
+    from lotwise.plans import market
+
+    own, asked = market.comparables, []
+    monkeypatch.setattr(market, "comparables", lambda spark, folder, only=None: asked.append(only) or own(spark, folder, only))
+    assert QUERIES["blended_prices"](spark, SF).count() > 0
+    assert len(asked) == 1 and asked[0] is not None and asked[0].count() == 0
