@@ -103,3 +103,21 @@ def test_prices_blend_what_an_artist_sold_without_pairs_of_lots(spark, monkeypat
     monkeypatch.setattr(market, "comparables", lambda spark, folder, only=None: asked.append(only) or own(spark, folder, only))
     assert QUERIES["blended_prices"](spark, SF).count() > 0
     assert len(asked) == 1 and asked[0] is not None and asked[0].count() == 0
+
+
+def test_titles_meet_names_once_for_all_artists(spark, repeated, monkeypatch):
+    from lotwise.plans import catalogue
+
+    own, met = catalogue.handed, []
+    monkeypatch.setattr(catalogue, "handed", lambda texts: met.append(texts.count()) or own(texts))
+    once, more = (QUERIES["title_ranking"](spark, folder).count() for folder in (SF, repeated))
+    assert more == TIMES * once > 0 and met[:2] == met[2:] and len(met) == 4
+
+
+def test_misspelt_titles_are_read_once_each(spark, monkeypatch):
+    from lotwise.plans import catalogue
+
+    read = []
+    monkeypatch.setattr(catalogue, "distinct_titles", lambda *a, f=catalogue.distinct_titles: read.append(f(*a)) or read[-1])
+    assert QUERIES["misspelt_titles"](spark, SF).count() > 0
+    assert len(read) == 1 and read[0].count() == read[0].distinct().count()
