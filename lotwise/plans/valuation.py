@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import numbers
 from lotwise.operators import estimates, ranges
-from lotwise.operators.durable import checkpoint_dir
+from lotwise.operators.durable import checkpoint_dir, durable
 from lotwise.plans import Registry
 from lotwise.plans.market import HEADERS, SALES
 from lotwise.plans.pricing import LOGS, logs
@@ -39,6 +39,12 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).join(headers(spark, sf_dir).select("sale", "house", "estimate"), "sale").join(works(spark, sf_dir).select("work", "technique"), "work").withColumn("year", F.year("sale_date"))
 
 
+def settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Priced lots and each work's latest, computed once for all that a valuation reads of them."""
+    lots = durable(priced(spark, sf_dir).select("work", "artist", "technique", "house", "estimate", "sale_date", "year", "sale", "lot", "hammer", "y"))
+    return lots, durable(latest(lots))
+
+
 def level_before(lots: DataFrame, by: str, days: DataFrame) -> DataFrame:
     """``by, until, level``: the mean log price of each value of ``by`` before each of ``days`` (until), where it had any.
 
@@ -64,10 +70,8 @@ REBASED = f"""{LEVELS}, rebased AS (SELECT p.work, p.until, c.sale_date, c.y + c
   LEFT JOIN year_at yt ON yt.year = p.year - 1 AND yt.until = p.until LEFT JOIN year_at yc ON yc.year = c.year AND yc.until = p.until)"""
 
 
-def rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rebased(lots: DataFrame, probes: DataFrame) -> DataFrame:
     """Earlier sales of each probe's work, moved to the probe's house and forward to the level of the year before it, by what was known on its day."""
-    lots = priced(spark, sf_dir)
-    probes = latest(lots)
     days = probes.select("until").distinct()
     houses, years = level_before(lots, "house", days), level_before(lots, "year", days)
     named = lambda df, by, name: df.select(F.col(by).alias(f"_{name}"), "until", F.col("level").alias(name))
@@ -82,7 +86,7 @@ def rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {REBASED} SELECT work, count(*) AS n, round(median(y), 6) AS level, round(avg(moved), 6) AS moved, CAST(max(sale_date) AS VARCHAR) AS latest FROM rebased GROUP BY 1""")
 def rebased_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level of a work by its earlier sales at the probe's house and market."""
-    return rebased(spark, sf_dir).groupBy("work").agg(F.count("*").alias("n"), F.round(estimates.median("y"), 6).alias("level"), F.round(F.avg("moved"), 6).alias("moved"), F.max("sale_date").cast("string").alias("latest"))
+    return rebased(*settled(spark, sf_dir)).groupBy("work").agg(F.count("*").alias("n"), F.round(estimates.median("y"), 6).alias("level"), F.round(F.avg("moved"), 6).alias("moved"), F.max("sale_date").cast("string").alias("latest"))
 
 
 def running(name: str, by: str) -> str:
@@ -149,13 +153,11 @@ def before(lots: DataFrame, by: list[str]) -> DataFrame:
     return days.select(*by, "sale_date", F.sum("s").over(w).alias("s"), F.sum("c").over(w).alias("c")).where("c > 0")
 
 
-def raw_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_witnesses(lots: DataFrame, probes: DataFrame) -> DataFrame:
     """``work, source, mu, keys``: what each source says of a probe's log price, with calibration keys, the surest first."""
-    lots = priced(spark, sf_dir)
-    probes = latest(lots)
     age = F.when(F.datediff("until", "last_sale") / 365.25 <= 3, "recent").otherwise("old")
     band = F.when(F.col("n") <= 1, "1").when(F.col("n") == 2, "2").otherwise("3+")
-    own = rebased(spark, sf_dir).groupBy("work", "until").agg(F.count("*").alias("n"), estimates.median("y").alias("mu"), F.max("sale_date").alias("last_sale"))
+    own = rebased(lots, probes).groupBy("work", "until").agg(F.count("*").alias("n"), estimates.median("y").alias("mu"), F.max("sale_date").alias("last_sale"))
     found = own.select("work", F.lit("same_work").alias("source"), "mu", F.array(F.concat_ws("|", band, age), band, F.lit("all")).alias("keys"))
     for source, by in (("artist_technique", ["artist", "technique"]), ("artist", ["artist"]), ("technique", ["technique"])):
         known = probes.select("work", *by, "sale_date").join(before(lots, by), [*by, "sale_date"])
@@ -166,11 +168,11 @@ def raw_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(house.select("work", F.lit("same_house").alias("source"), "mu", F.array(age, F.lit("all")).alias("keys")))
 
 
-def witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def witnesses(spark: SparkSession, sf_dir: str, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``work, source, mu, sigma, key``: witnesses with the bias and spread of their surest key that is calibrated."""
-    known = F.create_map(*(x for s, k, b, g in CALIBRATION for x in (F.lit(f"{s}/{k}"), F.struct(F.lit(b).alias("bias"), F.lit(g).alias("sigma"), F.lit(k).alias("key")))))
-    hit = F.try_element_at(F.array_compact(F.transform("keys", lambda k: known[F.concat("source", F.lit("/"), k)])), F.lit(1))
-    return raw_witnesses(spark, sf_dir).select("work", "source", "mu", hit.alias("c")).select("work", "source", (F.col("mu") + F.col("c.bias")).alias("mu"), "c.sigma", "c.key")
+    biases = F.create_map(*(x for s, k, b, g in CALIBRATION for x in (F.lit(f"{s}/{k}"), F.struct(F.lit(b).alias("bias"), F.lit(g).alias("sigma"), F.lit(k).alias("key")))))
+    hit = F.try_element_at(F.array_compact(F.transform("keys", lambda k: biases[F.concat("source", F.lit("/"), k)])), F.lit(1))
+    return raw_witnesses(*(known or settled(spark, sf_dir))).select("work", "source", "mu", hit.alias("c")).select("work", "source", (F.col("mu") + F.col("c.bias")).alias("mu"), "c.sigma", "c.key")
 
 
 @query(f"""WITH {WITNESSES} SELECT work, source, round(mu, 6) AS mu, sigma, key FROM witnesses""")
@@ -202,8 +204,9 @@ def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, key, count(*) AS n, round(avg(e), 6) AS bias, round(coalesce(stddev_samp(e), 0), 6) AS sigma, round(avg(abs(e)), 6) AS mae FROM e GROUP BY 1, 2""")
 def witness_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bias and spread of each source by key, from what the probes fetched."""
-    truth = latest(priced(spark, sf_dir)).select("work", "y")
-    off = witnesses(spark, sf_dir).join(truth, "work").select("source", "key", (F.col("y") - F.col("mu")).alias("e"))
+    lots, probes = settled(spark, sf_dir)
+    truth = probes.select("work", "y")
+    off = witnesses(spark, sf_dir, (lots, probes)).join(truth, "work").select("source", "key", (F.col("y") - F.col("mu")).alias("e"))
     return off.groupBy("source", "key").agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("bias"), F.round(F.coalesce(F.stddev_samp("e"), F.lit(0.0)), 6).alias("sigma"), F.round(F.avg(F.abs("e")), 6).alias("mae"))
 
 
@@ -211,8 +214,9 @@ def witness_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'v1' AS version, source, 'all' AS key, round(bias, 6) AS bias, round(1.4826 * median(abs(e - bias)), 6) AS sigma, n FROM e JOIN b USING (source) GROUP BY source, bias, n""")
 def stored_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bias and robust spread of each source on the probes, written as a calibration document and read back."""
-    truth = latest(priced(spark, sf_dir)).select("work", "y")
-    off = raw_witnesses(spark, sf_dir).join(truth, "work").select("source", (F.col("y") - F.col("mu")).alias("e"))
+    lots, probes = settled(spark, sf_dir)
+    truth = probes.select("work", "y")
+    off = durable(raw_witnesses(lots, probes).join(truth, "work").select("source", (F.col("y") - F.col("mu")).alias("e")))
     bias = ranges.quantiles(off, ["source"], "e", [0.5]).select("source", "n", F.col("q0").alias("bias"))
     spread = ranges.quantiles(off.join(bias, "source").select("source", F.abs(F.col("e") - F.col("bias")).alias("a")), ["source"], "a", [0.5]).select("source", (1.4826 * F.col("q0")).alias("sigma"))
     fitted = bias.join(spread, "source").select("source", F.lit("all").alias("key"), "bias", "sigma", "n")
@@ -232,8 +236,9 @@ def witness_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     One aggregate over the witnesses gives the errors of all choices for one source, so a round costs as many jobs as
     there are sources; rounds end when no weight changes.
     """
-    truth = latest(priced(spark, sf_dir)).select("work", "y")
-    wide = witnesses(spark, sf_dir).groupBy("work").agg(*(F.max(F.when(F.col("source") == s, F.col("mu"))).alias(s) for s in SOURCES)).join(truth, "work").persist()
+    lots, probes = settled(spark, sf_dir)
+    truth = probes.select("work", "y")
+    wide = witnesses(spark, sf_dir, (lots, probes)).groupBy("work").agg(*(F.max(F.when(F.col("source") == s, F.col("mu"))).alias(s) for s in SOURCES)).join(truth, "work").persist()
     choices, weights = (0.0, 0.25, 0.5, 1.0, 2.0), dict.fromkeys(SOURCES, 1.0)
 
     def pooled(w: dict[str, float]):
@@ -279,14 +284,14 @@ def direct_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.work, p.artist, CAST(p.until AS VARCHAR) AS until, facts.lots, facts.sold, facts.artists, artist_sales, artist_level, coalesce(o.n, 0) AS same_work, round(v.mu, 6) AS mu FROM probes p JOIN facts USING (work) JOIN who USING (artist) LEFT JOIN own o USING (work) LEFT JOIN pooled v USING (work)""")
 def evidence_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that is known of each probe in one row: work facts, artist profile, own sales and pooled level."""
-    lots = priced(spark, sf_dir)
+    lots, probes = settled(spark, sf_dir)
     facts = sales(spark, sf_dir).groupBy("work").agg(F.count("*").alias("lots"), F.count_if("sold").alias("sold"), F.count_distinct("artist").alias("artists"))
     who = lots.groupBy("artist").agg(F.count("*").alias("artist_sales"), F.round(F.avg("y"), 6).alias("artist_level"))
-    own = rebased(spark, sf_dir).groupBy("work").agg(F.count("*").alias("same_work"))
+    own = rebased(lots, probes).groupBy("work").agg(F.count("*").alias("same_work"))
     precision = 1 / F.col("sigma") ** 2
-    pooled = witnesses(spark, sf_dir).groupBy("work").agg(F.round(F.sum(F.col("mu") * precision) / F.sum(precision), 6).alias("mu"))
-    probes = latest(lots).select("work", "artist", F.col("until").cast("string").alias("until"))
-    return probes.join(facts, "work").join(who, "artist").join(own, "work", "left").join(pooled, "work", "left").select("work", "artist", "until", "lots", "sold", "artists", "artist_sales", "artist_level", F.coalesce("same_work", F.lit(0)).alias("same_work"), "mu")
+    pooled = witnesses(spark, sf_dir, (lots, probes)).groupBy("work").agg(F.round(F.sum(F.col("mu") * precision) / F.sum(precision), 6).alias("mu"))
+    asked = probes.select("work", "artist", F.col("until").cast("string").alias("until"))
+    return asked.join(facts, "work").join(who, "artist").join(own, "work", "left").join(pooled, "work", "left").select("work", "artist", "until", "lots", "sold", "artists", "artist_sales", "artist_level", F.coalesce("same_work", F.lit(0)).alias("same_work"), "mu")
 
 
 @query(f"""WITH {SALES}, r AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY sale_date DESC, sale DESC, lot DESC, hammer DESC) AS k FROM sales WHERE sold)

@@ -121,3 +121,13 @@ def test_misspelt_titles_are_read_once_each(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "distinct_titles", lambda *a, f=catalogue.distinct_titles: read.append(f(*a)) or read[-1])
     assert QUERIES["misspelt_titles"](spark, SF).count() > 0
     assert len(read) == 1 and read[0].count() == read[0].distinct().count()
+
+
+@pytest.mark.parametrize("name", ["stored_calibration", "evidence_bundles", "witness_weights", "witness_calibration"])
+def test_priced_lots_are_made_once(spark, monkeypatch, name):
+    from lotwise.plans import valuation
+
+    own, made = valuation.priced, []
+    monkeypatch.setattr(valuation, "priced", lambda *a: made.append(1) or own(*a))
+    QUERIES[name](spark, SF)
+    assert len(made) == 1
