@@ -131,3 +131,21 @@ def test_priced_lots_are_made_once(spark, monkeypatch, name):
     monkeypatch.setattr(valuation, "priced", lambda *a: made.append(1) or own(*a))
     QUERIES[name](spark, SF)
     assert len(made) == 1
+
+
+def test_rests_of_texts_are_made_by_many_tasks(spark):
+    """Texts without up to three letters are a row each, made in parallel; nested arrays made again for each use took a minute of one task."""
+    import random
+    import time
+
+    from lotwise.functions.strings import typo_distance
+    from lotwise.operators import joins
+
+    rng = random.Random(1)
+    texts = ["", "a", "aa", "aab", "ab", "ba", "é\U0001f600b", *("".join(rng.choice("abc ") for _ in range(rng.randrange(4, 16))) for _ in range(120))]
+    texts = sorted(set(texts))
+    began = time.time()
+    found = {(r.a, r.b) for r in joins.within_edits(spark.createDataFrame([(t,) for t in [*texts, *texts, None]], "t string"), "t", 3).collect()}
+    assert time.time() - began < 30
+    near = {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if typo_distance(a, b) <= 3}
+    assert near and near <= found and all(a < b for a, b in found)
