@@ -1,12 +1,13 @@
 """Gradient boosting on histograms: values in bins, sums by node and bin as one aggregate a level, nulls sent the better way.
 
-Rows stay where they are: a pass sends the trees made so far to every task, which finds its rows' nodes and adds up
+Rows whose features fall into the same bins become one, with their number and the sum of their targets, which is all
+that trees are made of.  A pass sends the trees made so far to every task, which finds its rows' nodes and adds up
 gradients by node, feature and bin; these sums are all that comes back, so the driver's work doesn't grow with the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from lotwise.operators.durable import durable
 from lotwise.operators.ridges import _blocks, added
 
+#: Combinations of bins up to which a task looks predictions up instead of walking the trees for each row.
+LOOKED_UP = 1_000_000
+
 
 @dataclass
 class Tree:
@@ -52,6 +56,14 @@ class Boosted:
     def predict(self, bins: np.ndarray) -> np.ndarray:
         return self.base + sum((t.value[t.nodes(bins)] for t in self.trees), np.zeros(len(bins)))
 
+    def predictor(self) -> Callable[[np.ndarray], np.ndarray]:
+        """:meth:`predict`, from a table of all combinations of bins where these are few."""
+        widths = [len(e) + 2 for e in self.edges]
+        if np.prod(widths, dtype=float) > LOOKED_UP:
+            return self.predict
+        known = self.predict(np.stack(np.unravel_index(np.arange(int(np.prod(widths))), widths), axis=1))
+        return lambda bins: known[np.ravel_multi_index(tuple(bins.T), widths)]
+
 
 def edges_of(df: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     """Cuts at even shares of each feature's values, in one aggregate; equal cuts are one."""
@@ -84,13 +96,29 @@ def _columns(batch: pa.RecordBatch, features: list[str]) -> list[np.ndarray]:
     return [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in features]
 
 
+def grouped(rows: DataFrame, model: Boosted) -> DataFrame:
+    """``_0, _1, .., _n, _y``: the bins of each feature, how many rows have them all, and the sum of their ``_y``."""
+    held, names = rows.sparkSession.sparkContext.broadcast(model), [f"_{k}" for k in range(len(model.features))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = held.value.binned(_columns(b, held.value.features))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k].astype(np.int32)) for k in range(len(names))), b.column("_y")], [*names, "_y"])
+
+    found = rows.mapInArrow(run, f"{', '.join(f'{n} int' for n in names)}, _y double")
+    return durable(found.groupBy(*names).agg(F.count("*").cast("double").alias("_n"), F.sum("_y").alias("_y")))
+
+
 def fit(df: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 3, bins: int = 32, rate: float = 0.2, ridge: float = 1.0, least: int = 5) -> Boosted:
     """Trees of ``depth`` levels on squared errors of ``target``; rows without a target take no part, nulls and NaN of features have a bin of their own."""
-    rows = durable(df.where(F.col(target).isNotNull() & ~F.isnan(target)).select(*(F.col(c).cast("double").alias(c) for c in features), F.col(target).cast("double").alias("_y")))
-    mean = rows.agg(F.avg("_y")).first()[0]
-    model = Boosted(features, edges_of(rows, features, bins), mean or 0.0)
-    if mean is None:
+    rows = df.where(F.col(target).isNotNull() & ~F.isnan(target)).select(*(F.col(c).cast("double").alias(c) for c in features), F.col(target).cast("double").alias("_y"))
+    model = Boosted(features, edges_of(rows, features, bins), 0.0)
+    held_rows = grouped(rows, model)
+    n, y = held_rows.agg(F.sum("_n"), F.sum("_y")).first()
+    if not n:
         return model
+    model.base = y / n
     width, spark = max(len(e) for e in model.edges) + 2, df.sparkSession
 
     def sums(tree: Tree, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,20 +127,22 @@ def fit(df: DataFrame, features: list[str], target: str, trees: int = 20, depth:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, t = held.value
+            predict = m.predictor()
             total = np.zeros((2, size, len(features), width))
             for b in batches:
                 if b.num_rows:
-                    x = m.binned(_columns(b, features))
-                    g = m.predict(x) - b.column("_y").to_numpy()
+                    x = np.stack([b.column(f"_{k}").to_numpy() for k in range(len(features))], axis=1).astype(int)
+                    n = b.column("_n").to_numpy()
+                    g = n * predict(x) - b.column("_y").to_numpy()
                     at = t.nodes(x) - first
                     inside = at >= 0  # rows in leaves above have no further split
                     for k in range(len(features)):
                         key = at[inside] * width + x[inside, k]
                         total[0, :, k] += np.bincount(key, g[inside], size * width).reshape(size, width)
-                        total[1, :, k] += np.bincount(key, minlength=size * width).reshape(size, width)
+                        total[1, :, k] += np.bincount(key, n[inside], size * width).reshape(size, width)
             yield _blocks(total.ravel())
 
-        both = added(rows.mapInArrow(run, "block int, values array<double>"), 2 * size * len(features) * width).reshape(2, size, len(features), width)
+        both = added(held_rows.mapInArrow(run, "block int, values array<double>"), 2 * size * len(features) * width).reshape(2, size, len(features), width)
         return both[0], both[1]
 
     for _ in range(trees):
@@ -139,9 +169,11 @@ def predicted(df: DataFrame, model: Boosted, name: str = "prediction") -> DataFr
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = None
         for b in batches:
             if b.num_rows:
-                p = held.value.predict(held.value.binned(_columns(b, held.value.features)))
+                predict = predict or held.value.predictor()
+                p = predict(held.value.binned(_columns(b, held.value.features)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, name])
 
     from pyspark.sql import types as T
@@ -158,7 +190,7 @@ def importance(df: DataFrame, model: Boosted, target: str, seed: int = 1) -> Dat
     rows = df.where(F.col(target).isNotNull()).select(*(F.col(c).cast("double").alias(c) for c in features), F.col(target).cast("double").alias("_y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng, total = np.random.default_rng(seed), np.zeros((len(features) + 1, 3))
+        rng, total, predict = np.random.default_rng(seed), np.zeros((len(features) + 1, 3)), held.value.predictor()
         for b in batches:
             if b.num_rows:
                 x, y = held.value.binned(_columns(b, features)), b.column("_y").to_numpy()
@@ -166,7 +198,7 @@ def importance(df: DataFrame, model: Boosted, target: str, seed: int = 1) -> Dat
                     z = x.copy()
                     if k >= 0:
                         z[:, k] = rng.permutation(z[:, k])
-                    e = np.abs(held.value.predict(z) - y)
+                    e = np.abs(predict(z) - y)
                     total[k + 1] += len(e), e.sum(), (e <= np.log(2)).sum()
         yield pa.RecordBatch.from_arrays([pa.array([None, *features], pa.string()), *(pa.array(total[:, j]) for j in range(3))], ["feature", "n", "e", "w"])
 

@@ -87,3 +87,17 @@ def test_no_rows_constant_features_and_nothing_but_nulls(spark, rows):
     same = spark.createDataFrame([(1.0, None, float("nan"), float(i % 2)) for i in range(20)], "a double, b double, c double, y double")
     model = boosting.fit(same, FEATURES, "y", trees=2)
     assert [round(r.prediction, 9) for r in boosting.predicted(same, model).select("prediction").distinct().collect()] == [0.5]
+
+
+def test_rows_of_equal_bins_are_one(rows, monkeypatch):
+    """Copies of rows add nothing to what is read at each level of a tree, and predictions looked up are those of the trees."""
+    read = []
+    monkeypatch.setattr(boosting, "grouped", lambda *a, own=boosting.grouped: read.append(own(*a)) or read[-1])
+    copies = rows.crossJoin(rows.sparkSession.range(5)).drop("id")
+    once, more = (boosting.fit(r, FEATURES, "y", trees=3, bins=6, least=least, ridge=ridge) for r, least, ridge in ((rows, 5, 1.0), (copies, 25, 5.0)))
+    counts = [r.count() for r in read]
+    assert counts[0] == counts[1] < 7 * 8 * 8 and [r.agg(F.sum("_n")).first()[0] for r in read] == [800, 4000]
+    bins = np.stack(np.unravel_index(np.arange(np.prod([len(e) + 2 for e in once.edges])), [len(e) + 2 for e in once.edges]), axis=1)
+    assert np.allclose(once.predict(bins), more.predict(bins), atol=1e-9) and (once.predictor()(bins) == once.predict(bins)).all()
+    monkeypatch.setattr(boosting, "LOOKED_UP", 0)
+    assert (once.predictor()(bins) == once.predict(bins)).all()
