@@ -235,7 +235,8 @@ def beside(left: DataFrame, right: DataFrame, key: str, use: Callable[[dict[str,
     tasks = max(1, -(-right.count() // HELD))
     bucket = F.pmod(F.xxhash64(key), F.lit(tasks)).cast("int")
     small = sizes.where(F.greatest("_l", F.coalesce("_r", F.lit(0))) <= WHOLE).select(key)
-    ours, theirs = marked.where("NOT _large").drop("_large").withColumn("_b", bucket), right.join(small, key, "left_semi").withColumn("_b", bucket)
+    parts = max(min(tasks, left.sparkSession.sparkContext.defaultParallelism), tasks // 5)  # so that sorting by bucket holds no more in a larger job
+    ours, theirs = (df.withColumn("_b", bucket).repartition(parts, "_b") for df in (marked.where("NOT _large").drop("_large"), right.join(small, key, "left_semi")))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         arrays = lambda t: {c: t.column(c).to_numpy() for c in t.column_names if c != "_b"}

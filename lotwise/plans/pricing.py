@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import estimates, joins
+from lotwise.operators import estimates
 from lotwise.plans import Registry
 from lotwise.plans.market import COMPS, HEADERS, SALES, YEARS, beside_artist, probes_of
 from lotwise.sources.tables import headers, sales, table, works
@@ -120,24 +120,15 @@ def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT work AS probe, CASE WHEN own >= 3 THEN 'direct' WHEN own >= 1 AND near >= 3 THEN 'direct_thin' WHEN own >= 1 THEN 'single' WHEN near >= 5 THEN 'technique' WHEN near >= 1 THEN 'technique_thin' WHEN n >= 1 THEN 'artist' ELSE 'none' END AS evidence FROM (SELECT DISTINCT l_partkey AS work FROM lineitem) LEFT JOIN s ON work = probe""")
 def evidence_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a valuation of each work would rest on, in seven classes."""
-    lots = sales(spark, sf_dir).join(works(spark, sf_dir).select("work", "technique"), "work")
-    found = probes_of(lots).select(F.col("probe").alias("work"), F.col("probe_artist").alias("artist"), F.col("probe_technique").alias("technique"), "until", F.add_months("until", -12 * YEARS).alias("since"))
-    for name, by in (("own", ["work"]), ("by_artist", ["artist"]), ("by_both", ["artist", "technique"]), ("own_by_artist", ["artist", "work"])):
-        found = counted(found, lots.where("sold"), by, name)
-    own, near = F.col("own"), F.col("by_both") - F.col("own_by_artist")
-    n = own + F.col("by_artist") - F.col("own_by_artist")
-    tier = F.when(own >= 3, "direct").when((own >= 1) & (near >= 3), "direct_thin").when(own >= 1, "single").when(near >= 5, "technique").when(near >= 1, "technique_thin").when(n >= 1, "artist").otherwise("none")
-    return found.select(F.col("work").alias("probe"), tier.alias("evidence"))
 
+    def rows(p: dict[str, np.ndarray], i: int, own: tuple, others: tuple) -> list[tuple]:
+        return [(p["probe"][i], len(own[0]), int(others[2].sum()), len(own[0]) + len(others[0]))]
 
-def counted(probes: DataFrame, lots: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``probes`` with the number of lots of their group from ``since`` to before ``until``: a running count at either end."""
-    days = lots.groupBy(*by, F.col("sale_date").alias("_day")).agg(F.count("*").alias("_c"))
-    so_far = days.select(*by, "_day", F.sum("_c").over(Window.partitionBy(*by).orderBy("_day")).alias("_so_far"))
-    out = probes
-    for end in ("until", "since"):
-        out = joins.asof(out, so_far, by, end, "_day", ["_so_far"], strict=True).withColumnRenamed("_so_far", f"_{end}")
-    return out.select(*probes.columns, (F.coalesce("_until", F.lit(0)) - F.coalesce("_since", F.lit(0))).alias(name))
+    small, large = beside_artist(spark, sf_dir, rows, "probe long, own long, near long, n long")
+    known = small.unionByName(large.groupBy("probe").agg(F.count_if(F.col("tier") == 0).alias("own"), F.count_if(F.col("tier") == 1).alias("near"), F.count("*").alias("n")))
+    own, near, n = (F.coalesce(c, F.lit(0)) for c in ("own", "near", "n"))
+    tier = F.when(own >= 3, "direct").when((own >= 1) & (near >= 3), "direct_thin").when(own >= 1, "single").when(near >= 5, "technique").when(near >= 1, "technique_thin").when(n >= 1, "artist").otherwise("none")
+    return sales(spark, sf_dir).select(F.col("work").alias("probe")).distinct().join(known, "probe", "left").select("probe", tier.alias("evidence"))
 
 
 @query(f"""WITH {HEADERS}, {SALES} SELECT house, round(ln(CAST(sum(hammer) FILTER (sold) AS DOUBLE) / count(*)), 6) AS yield, round(avg(CASE WHEN sold THEN 1.0 ELSE 0.0 END), 6) AS chance, CASE WHEN avg(CASE WHEN sold THEN 1.0 ELSE 0.0 END) >= 0.67 THEN 'liquid' ELSE 'thin' END AS verdict FROM sales JOIN headers USING (sale) GROUP BY 1""")
