@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.operators import boosting, joins, learn, ridges
+from lotwise.operators.durable import durable
 from lotwise.plans import Registry
 from lotwise.plans.pricing import LOGS, logs
 from lotwise.sources.tables import sales, table, works
@@ -251,7 +252,8 @@ def graph_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def boosted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of gradient boosting on later sales after a fit to earlier ones, and without each feature in turn."""
-    f = price_features(spark, sf_dir).join(sales(spark, sf_dir).where("sold AND hammer > 0").groupBy("sale", "lot", "work").agg(F.avg(F.log(F.col("hammer").cast("double"))).alias("y")), ["sale", "lot", "work"])
+    y = sales(spark, sf_dir).where("sold AND hammer > 0").groupBy("sale", "lot", "work").agg(F.avg(F.log(F.col("hammer").cast("double"))).alias("y"))
+    f = durable(price_features(spark, sf_dir).join(y, ["sale", "lot", "work"]).select("signed", "edition_log", "size_log", "premium_share", "year_index", "y"))
     return learn.boosted(f, ["signed", "edition_log", "size_log", "premium_share"], "y", F.col("year_index") < 5)
 
 
