@@ -32,20 +32,30 @@ def holding_conflicts(members: DataFrame, holdings: DataFrame) -> DataFrame:
     return found.where(F.size("accessions") > 1)
 
 
+def numbers_by_prefix(entries: DataFrame) -> DataFrame:
+    """(node, by): the catalogues that know a node, in order, each with the numbers it has for it."""
+    known = entries.where("prefix IS NOT NULL AND number IS NOT NULL").groupBy("node", "prefix").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    return known.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("prefix", "numbers"))).alias("by"))
+
+
+def verdict(x: Column, y: Column) -> Column:
+    """The verdict on two nodes by what :func:`numbers_by_prefix` says of them, null or empty for none; either way round."""
+    x, y = F.map_from_entries(x), F.map_from_entries(y)
+    shared = F.array_intersect(F.map_keys(x), F.map_keys(y))
+    heads = lambda m, p: F.transform(m[p], digits)
+    agree = F.exists(shared, lambda p: F.arrays_overlap(x[p], y[p]))
+    near = F.exists(shared, lambda p: F.arrays_overlap(heads(x, p), heads(y, p)))
+    return F.when(F.coalesce(F.size(shared), F.lit(0)) <= 0, "silent").when(agree, "agree").when(near, "silent").otherwise("conflict")
+
+
 def pair_verdicts(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """Pairs with ``verdict``: agree (a catalogue has both under one number), conflict (those that know both have numbers of different digits), else silent.
 
     Here "618" and "618Bd" are silent: a letter may name an edition, so it is neither corroboration nor a veto.
     """
-    known = entries.where("prefix IS NOT NULL AND number IS NOT NULL").groupBy("node", "prefix").agg(F.collect_set("number").alias("numbers"))
-    each = known.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "numbers"))).alias("by"))
+    each = numbers_by_prefix(entries)
     both = pairs.join(each.select(F.col("node").alias("a"), F.col("by").alias("_a")), "a", "left").join(each.select(F.col("node").alias("b"), F.col("by").alias("_b")), "b", "left")
-    shared = F.array_intersect(F.map_keys("_a"), F.map_keys("_b"))
-    heads = lambda m, p: F.transform(m[p], digits)
-    agree = F.exists(shared, lambda p: F.arrays_overlap(F.col("_a")[p], F.col("_b")[p]))
-    near = F.exists(shared, lambda p: F.arrays_overlap(heads(F.col("_a"), p), heads(F.col("_b"), p)))
-    verdict = F.when(F.coalesce(F.size(shared), F.lit(0)) <= 0, "silent").when(agree, "agree").when(near, "silent").otherwise("conflict")
-    return both.withColumn("verdict", verdict).select(*pairs.columns, "verdict")
+    return both.withColumn("verdict", verdict(F.col("_a"), F.col("_b"))).select(*pairs.columns, "verdict")
 
 
 def held(pairs: DataFrame, rejected: DataFrame, years: DataFrame, spread: int, members: DataFrame | None = None) -> DataFrame:

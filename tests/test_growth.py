@@ -95,6 +95,28 @@ def test_pairs_of_copies_are_made_last(spark, repeated, monkeypatch, name):
     assert sorted(map(tuple, found.collect())) == sorted(db.execute(f"SELECT {", ".join(PAIR.get(name, "a b".split()))} FROM ({SQL[name]})").fetchall())
 
 
+def test_copies_that_catalogues_number_apart_are_compared_once(spark, tmp_path, monkeypatch):
+    """Entries follow keys, so copies have other numbers; verdicts are put in where copies are made into pairs, and clusters agree."""
+    import duckdb
+
+    from lotwise.operators import joins
+    from test_queries import SQL
+
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    rows = part.crossJoin(spark.range(TIMES).select(F.col("id").alias("_i")))
+    rows.withColumn("p_partkey", F.col("p_partkey") + F.col("_i") * 20_000).drop("_i").write.parquet(f"{tmp_path}/part.parquet")
+    own, made = joins.expanded, []
+    monkeypatch.setattr(joins, "expanded", lambda pairs, *more, **named: made.append(pairs.count()) or own(pairs, *more, **named))
+    QUERIES["pair_verdicts"](spark, SF)
+    found = {n: QUERIES[n](spark, str(tmp_path)).drop("confidence") for n in ("pair_verdicts", "held_clusters")}
+    assert 0 < made[0] <= made[1] <= made[0] + part.count()  # a class with itself counts once
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for n, df in found.items():
+        want = db.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[n]})").fetchall()
+        assert want and sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
 def test_prices_blend_what_an_artist_sold_without_pairs_of_lots(spark, monkeypatch):
     """No row for each probe and lot is made but for the probes that arrays can't take."""
     from lotwise.plans import market
