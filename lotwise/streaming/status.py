@@ -3,65 +3,76 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lotwise.streaming.events import timed
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATUS = "user_id long, event_type string, event_id long, at timestamp, n long, quiet boolean"
+#: Groups of users that Python is called for; a call costs some milliseconds, whether for one user or for thousands.
+BUCKETS = 1_024
+#: What is kept of a bucket's users.
+KEPT = pa.schema({"known": pa.bool_(), "user_id": pa.int64(), "us": pa.int64(), "event_id": pa.int64(), "event_type": pa.string(), "n": pa.int64(), "quiet": pa.bool_()})
 
 
-class LastStatus(StatefulProcessor):
-    """A user's latest event by time, then id, with the number of events; a row more once the watermark is ``quiet`` past it.
+def _packed(users: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, KEPT) as w:
+        w.write_table(users)
+    return out.getvalue().to_pybytes()
 
-    Which event is the latest doesn't depend on the order in which they come.
-    """
-
-    def __init__(self, quiet: timedelta):
-        self.quiet = int(quiet.total_seconds() * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long, event_id long, event_type string, n long")
-
-    def _row(self, key: tuple, at: int, event_id: int, kind: str, n: int, quiet: bool) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]], "event_type": [kind], "event_id": [event_id], "at": [pd.Timestamp(at, unit="us")], "n": [n], "quiet": [quiet]})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get() if self.last.exists() else None
-        at, event_id, kind, n = before or (None, None, None, 0)
-        for f in rows:
-            n += len(f)
-            top = f.sort_values(["us", "event_id"]).iloc[-1]
-            if at is None or (top.us, top.event_id) > (at, event_id):
-                at, event_id, kind = int(top.us), int(top.event_id), top.event_type
-        if before and before[0] != at:
-            self.handle.deleteTimer(before[0] // 1000 + self.quiet)
-        if not before or before[0] != at:
-            self.handle.registerTimer(at // 1000 + self.quiet)
-        self.last.update((at, event_id, kind, n))
-        yield self._row(key, at, event_id, kind, n, False)
+def last_status(quiet: timedelta) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Users' latest events by time, then id, with the numbers of events, for a bucket of users; a row more of a user once the watermark is ``quiet`` past it.
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._row(key, *self.last.get(), True)
-
-    def close(self) -> None:
-        pass
-
-
-def statuses(events: DataFrame, late: str, quiet: timedelta) -> DataFrame:
+    Which event is the latest doesn't depend on the order in which they come.  A bucket's timer is that of its next user.
+    """
+    wait = int(quiet.total_seconds() * 1000)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        users, mark = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else KEPT.empty_table(), state.getCurrentWatermarkMs()
+        old = users.num_rows
+        if not state.hasTimedOut:
+            new = [pa.Table.from_pandas(f.assign(n=1, quiet=False)[KEPT.names], KEPT, preserve_index=False).replace_schema_metadata() for f in frames]
+            users = pa.concat_tables([users, *new])
+        known, ids, us, event_ids, n, silent = (users.column(c).to_numpy() for c in ("known", "user_id", "us", "event_id", "n", "quiet"))
+        order = np.lexsort((event_ids, us, ids, known))
+        known, ids, fresh = known[order], ids[order], order >= old
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])])
+        latest = order[np.r_[first[1:], len(order)] - 1]
+        n, silent, fresh = np.add.reduceat(n[order], first), np.logical_and.reduceat(silent[order], first), np.logical_or.reduceat(fresh, first)
+        over = ~silent & (us[latest] // 1000 + wait <= mark)
+        silent |= over
+        users = users.take(pa.array(latest)).set_column(5, "n", pa.array(n)).set_column(6, "quiet", pa.array(silent))
+        state.update((_packed(users),))
+        if not silent.all():
+            state.setTimeoutTimestamp(max(mark, int((us[latest] // 1000)[~silent].min()) + wait - 1))  # what lies before the watermark has passed, not what equals it
+        told = fresh | over
+        if told.any():
+            user = pd.arrays.IntegerArray(ids[first][told], ~known[first][told])
+            kinds, at = users.column("event_type").filter(pa.array(told)).to_pylist(), us[latest][told]
+            yield pd.DataFrame({"user_id": user, "event_type": kinds, "event_id": event_ids[latest][told], "at": pd.to_datetime(at, unit="us"), "n": n[told], "quiet": silent[told]})
+
+    return update
+
+
+def statuses(events: DataFrame, late: str, quiet: timedelta, buckets: int = BUCKETS) -> DataFrame:
     """Changes of users' status; rows older than ``late`` before the newest of earlier batches are left out and counted by Spark.
 
-    A null user is a user; rows without a time are left out.
+    A null user is a user; rows without a time are left out.  States are kept by bucket of users; a stream keeps the
+    number of ``buckets`` that it began with.
     """
-    rows = events.where("ts IS NOT NULL").withWatermark("ts", late).select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"), "ts")
-    return rows.groupBy("user_id").transformWithStateInPandas(LastStatus(quiet), STATUS, "Update", "EventTime")
+    user = {"known": F.col("user_id").isNotNull(), "user_id": F.coalesce("user_id", F.lit(0)).cast("long")}
+    rows = events.where("ts IS NOT NULL").withWatermark("ts", late).select(F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"), *(c.alias(k) for k, c in user.items()), "event_id", "event_type", F.unix_micros("ts").alias("us"), "ts")
+    return rows.groupBy("bucket").applyInPandasWithState(last_status(quiet), STATUS, "users binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 class KeyedSink:
@@ -117,7 +128,7 @@ def drain(spark: SparkSession, feed: str, checkpoint: str, sink: KeyedSink, late
     """Take in all files that have arrived at ``feed`` since the last call; (rows, late rows) of each batch that had any."""
     conf, name = spark.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(name, None)
-    conf.set(name, STORE)  # state with timers needs it; the stream takes the setting over when it starts
+    conf.set(name, STORE)  # so that states needn't fit memory; the stream takes the setting over when it starts
     try:
         files = timed(spark.readStream.schema(spark.read.parquet(feed).schema).parquet(feed))
         changes = statuses(files, late, quiet)

@@ -1,8 +1,10 @@
 """The stream of statuses: ties, late rows, timers and a sink that can be written again."""
 
 from datetime import datetime, timedelta
+from functools import partial
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,37 @@ def test_ties_late_rows_and_timers(fed):
     assert held(sink)[1] == ("back", 31, 3, False)
 
 
+def test_users_of_a_bucket_are_told_together(fed, monkeypatch):
+    """One call of Python for all users of a bucket, each with its own timer, null users and large ids among them."""
+    monkeypatch.setattr(status, "statuses", partial(status.statuses, buckets=1))
+    test_ties_late_rows_and_timers(fed)
+
+
+def test_one_call_tells_many_users():
+    class State:
+        exists, hasTimedOut, get, timer, mark = False, False, None, None, 0
+        getCurrentWatermarkMs = lambda self: self.mark
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, at):
+            self.timer = at
+
+    state, large = State(), 2**60 + 1
+    rows = [(True, large + u % 1_000, u, "ab"[u % 2], u * 1_000_000) for u in range(3_000)] + [(False, 0, 7, "null", 5)]
+    tell = status.last_status(timedelta(hours=1))
+    frame = pd.DataFrame(rows, columns=["known", "user_id", "event_id", "event_type", "us"])
+    (found,) = tell((0,), iter([frame[:1_500], frame[1_500:]]), state)
+    assert len(found) == 1_001 and found.user_id.isna().sum() == 1 and not found.quiet.any()
+    assert {tuple(r) for r in found.dropna()[["user_id", "event_id", "n"]].itertuples(index=False)} == {(large + u, 2_000 + u, 3) for u in range(1_000)}
+    assert state.timer == 3_600_000 - 1
+    state.hasTimedOut, state.mark = True, 3_600_000 + 2_000_000  # the null user's hour is over, and that of the first known one
+    (found,) = tell((0,), iter(()), state)
+    assert sorted(found.event_id) == [7, 2_000] and found.quiet.all()
+    assert state.timer == 3_600_000 + 2_001_000 - 1
+
+
 def test_a_batch_written_again_changes_nothing(spark, tmp_path):
     sink = status.KeyedSink(spark, str(tmp_path), ["user_id"], status.STATUS, buckets=2)
     row = lambda u, k, n: (u, k, n, DAY, n, False)
