@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.operators.durable import durable
+
 
 def stratified_groups(counts: DataFrame, group: str, label: str, n: str, folds: int) -> DataFrame:
     """``group, fold``: groups dealt so that each label spreads over the folds.
@@ -111,20 +113,36 @@ def random_projection(edges: DataFrame, width: int, rounds: int, seed: int) -> D
     return side.withColumn("n", length).select("a", F.transform("v", lambda x: F.round(F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0), 6)).alias("embedding"))
 
 
+#: Combinations of features that a task of a fit holds.
+COMBINED = 20_000
+
+
 def boosted(df: DataFrame, features: list[str], target: str, training: Column, trees: int = 10) -> DataFrame:
-    """``left_out, mae, within_double``: errors on the rest of a model fitted to ``training``, with all features and without each."""
+    """``left_out, mae, within_double``: errors on the rest of a model fitted to ``training``, with all features and without each.
+
+    Rows of equal features become one with their number as weight and the mean of their targets: squared errors within them
+    are the same whatever the trees, so sums of residuals and gains of splits are those of the rows.  Each combination of
+    features is predicted once by all models, and errors are taken for every row in one pass.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = []
-    for out in ("", *features):
-        used = [f for f in features if f != out]
-        both = VectorAssembler(inputCols=used, outputCol="x").transform(df)
-        model = GBTRegressor(featuresCol="x", labelCol=target, maxIter=trees, maxDepth=3, seed=1).fit(both.where(training))
-        e = F.abs(F.col("prediction") - F.col(target))
-        r = model.transform(both.where(~training)).agg(F.avg(e).alias("mae"), F.avg((e <= math.log(2)).cast("double")).alias("w")).first()
-        rows.append((out, round(r.mae, 6) if r.mae is not None else None, round(r.w, 6) if r.w is not None else None))
-    return df.sparkSession.createDataFrame(rows, "left_out string, mae double, within_double double")
+    def combined(rows: DataFrame, *more: Column) -> DataFrame:
+        found = durable(rows.groupBy(*features).agg(F.count("*").cast("double").alias("_w"), *more))
+        return durable(found.repartition(found.count() // COMBINED + 1, *features).sortWithinPartitions(*features))
+
+    rest, leave_out = df.where(~training), ("", *features)
+    known, asked = combined(df.where(training), F.avg(target).alias("_y")), combined(rest)
+    for k, out in enumerate(leave_out):
+        taken = VectorAssembler(inputCols=[f for f in features if f != out], outputCol="_x")
+        model = GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol=f"_p{k}", maxIter=trees, maxDepth=3, seed=1).fit(taken.transform(known))
+        asked = model.transform(taken.transform(asked)).drop("_x")
+    same = [rest[f].eqNullSafe(F.col(f"_f_{f}")) for f in features]
+    both = rest.join(asked.select(*(F.col(f).alias(f"_f_{f}") for f in features), *(f"_p{k}" for k in range(len(leave_out)))), same)
+    errors = [F.abs(F.col(f"_p{k}") - F.col(target)) for k in range(len(leave_out))]
+    r = both.agg(*(F.avg(e).alias(f"mae{k}") for k, e in enumerate(errors)), *(F.avg((e <= math.log(2)).cast("double")).alias(f"w{k}") for k, e in enumerate(errors))).first()
+    whole = lambda v: round(v, 6) if v is not None else None
+    return df.sparkSession.createDataFrame([(out, whole(r[f"mae{k}"]), whole(r[f"w{k}"])) for k, out in enumerate(leave_out)], "left_out string, mae double, within_double double")
 
 
 def two_stage(df: DataFrame, key: str, vector: str, family: str, kind: str) -> DataFrame:
